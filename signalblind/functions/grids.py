@@ -165,7 +165,6 @@ def clahe(px, height, width, tiles=8, clip=2.0) -> Column:
     tile_w = F.ceil(width / n).cast("int")
     area = tile_h * tile_w
     limit = F.greatest(F.floor(F.lit(clip) * area / 256.0).cast("int"), F.lit(1))
-    bins = F.sequence(F.lit(0), F.lit(255))
 
     def tile_lut(ty, tx):
         cells = grid(tile_h, tile_w, lambda y, x: px[
@@ -173,26 +172,30 @@ def clahe(px, height, width, tiles=8, clip=2.0) -> Column:
         ])
 
         def from_levels(levels):
-            counts = F.transform(
-                levels, lambda e, i: F.struct(e["v"].alias("v"), (e["n"] - F.when(i > 0, levels[F.greatest(i - 1, F.lit(0))]["n"]).otherwise(F.lit(0))).cast("int").alias("c"))
-            )
-            excess = F.aggregate(counts, F.lit(0), lambda a, e: a + F.greatest(e["c"] - limit, F.lit(0)))
-            by_value = F.map_from_entries(F.transform(counts, lambda e: F.struct(e["v"], F.least(e["c"], limit))))
-
-            def spread(m_and_e):
-                m, over = m_and_e["m"], m_and_e["e"]
-                batch = F.floor(over / 256).cast("int")
+            # Running sum of the clipped counts at each value that occurs.
+            start = F.struct(
+                F.array().cast("array<struct<v:int,c:bigint>>").alias("done"),
+                F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("c"))
+
+            def clip_one(state, e):
+                return let(state["c"] + F.least(e["n"] - state["n"], limit), lambda c: F.struct(
+                    F.concat(state["done"], F.array(F.struct(e["v"].alias("v"), c.alias("c")))).alias("done"),
+                    e["n"].alias("n"), c.alias("c")))
+
+            def spread(state):
+                done = state["done"]
+                # The sum as a step function over all 256 values.
+                flat = F.concat(F.array_repeat(F.lit(0).cast("bigint"), done[0]["v"]), F.flatten(F.transform(
+                    done, lambda e, i: F.array_repeat(
+                        e["c"], F.coalesce(F.get(done, i + 1)["v"], F.lit(256)) - e["v"]))))
+                over = state["n"] - state["c"]
+                batch = F.floor(over / 256)
                 rest = over - batch * 256
-                stride = F.greatest(F.floor(F.lit(256) / F.greatest(rest, F.lit(1))).cast("int"), F.lit(1))
-                full = F.transform(bins, lambda b: F.coalesce(F.try_element_at(m, b), F.lit(0)) + batch + F.when(
-                    (rest > 0) & (b % stride == 0) & (F.floor(b / stride) < rest), 1).otherwise(0))
-                start = F.struct(F.array().cast("array<int>").alias("lut"), F.lit(0).alias("sum"))
-                return F.aggregate(full, start, lambda s, c: F.struct(
-                    F.concat(s["lut"], F.array(to_byte(half_up((s["sum"] + c) * F.lit(255.0) / area)))).alias("lut"),
-                    (s["sum"] + c).alias("sum"),
-                ), lambda s: s["lut"])
-
-            return let(F.struct(by_value.alias("m"), excess.alias("e")), spread)
+                stride = F.greatest(F.floor(256 / F.greatest(rest, F.lit(1))), F.lit(1))
+                return F.transform(flat, lambda c, b: to_byte(half_up(
+                    (c + batch * (b + 1) + F.least(rest, F.floor(b / stride) + 1)) * F.lit(255.0) / area)))
+
+            return let(F.aggregate(levels, start, clip_one), spread)
 
         return let(let(cells, cumulative_histogram), from_levels)
 

@@ -6,9 +6,12 @@ Each works on one Arrow batch of packed grids, stacked by shape, and nothing els
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 GRID_TYPE = ArrayType(IntegerType())
+BOXES_TYPE = ArrayType(StructType(
+    [StructField(c, IntegerType()) for c in ("label", "x", "y", "w", "h")]
+    + [StructField("area", LongType()), StructField("outer", BooleanType())]))
 SPECTRUM_TYPE = StructType([StructField(c, DoubleType()) for c in ("prominence", "radius", "angle", "ring")])
 SHIFT_TYPE = StructType([StructField(c, DoubleType()) for c in ("shift_x", "shift_y", "shift_magnitude", "response")])
 
@@ -52,18 +55,40 @@ def _labels(mask, connectivity):
         label = jumped
 
 
-def component_labels(connectivity=8):
-    """UDF (mask, height, width) -> label per cell; cells > 0 are foreground."""
+def _boxes(dark):
+    """Bounding boxes of the 8-connected regions of a stack, a list per grid.
+
+    ``outer`` tells whether background 4-connected to the border touches the region.
+    """
+    n, h, w = dark.shape
+    label = _labels(dark, 8)
+    rim = np.pad(~dark, ((0, 0), (1, 1), (1, 1)), constant_values=True)
+    open_air = _labels(rim, 4) == 0
+    touched = np.zeros_like(dark)
+    for dy, dx in ((0, 1), (2, 1), (1, 0), (1, 2)):
+        touched |= open_air[:, dy:dy + h, dx:dx + w]
+    out = []
+    for i in range(n):
+        y, x = np.nonzero(dark[i])
+        found, at = np.unique(label[i][y, x], return_inverse=True)
+        box = np.array([np.full(len(found), h), np.full(len(found), w), np.full(len(found), -1), np.full(len(found), -1)])
+        np.minimum.at(box[0], at, y), np.minimum.at(box[1], at, x)
+        np.maximum.at(box[2], at, y), np.maximum.at(box[3], at, x)
+        area, outer = np.bincount(at, minlength=len(found)), np.bincount(at, weights=touched[i][y, x], minlength=len(found)) > 0
+        out.append([
+            {"label": int(found[k]), "x": int(box[1][k]), "y": int(box[0][k]), "w": int(box[3][k] - box[1][k] + 1),
+             "h": int(box[2][k] - box[0][k] + 1), "area": int(area[k]), "outer": bool(outer[k])} for k in range(len(found))])
+    return out
 
-    @F.pandas_udf(GRID_TYPE)
-    def label(mask: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
-        out = [None] * len(mask)
-        for at, (stack,) in _stacks(height, width, mask):
-            for i, grid in zip(at, _labels(stack > 0, connectivity)):
-                out[i] = grid.ravel().astype("int32")
-        return pd.Series(out)
 
-    return label
+@F.pandas_udf(BOXES_TYPE)
+def component_boxes(dark: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+    """Boxes of the dark regions of a mask (cells > 0 are dark)."""
+    out = [None] * len(dark)
+    for at, (stack,) in _stacks(height, width, dark):
+        for i, boxes in zip(at, _boxes(stack > 0)):
+            out[i] = boxes
+    return pd.Series(out)
 
 
 @F.pandas_udf(GRID_TYPE)
@@ -113,7 +138,6 @@ def spectrum_peak(pixels: pd.Series, height: pd.Series, width: pd.Series) -> pd.
     out = np.zeros((len(pixels), 4))
     for at, (stack,) in _stacks(height, width, pixels):
         out[at] = _spectrum(stack.astype("float64"))
-    out[:, :2], out[:, 2], out[:, 3] = out[:, :2].round(6), out[:, 2].round(3), out[:, 3].round(6)
     return pd.DataFrame(out, columns=["prominence", "radius", "angle", "ring"])
 
 

@@ -1,10 +1,11 @@
 """Features across neighbouring frames."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import grids
 from ..functions.columns import held, let, round6
 from ..functions.kernels import phase_shift
+from .controls import first_per_key
 from .ordering import with_previous
 from .sampling import CHUNK
 
@@ -61,17 +62,9 @@ def registration(frames: DataFrame, by: list, order: list, sample="sample_id", b
     return ready.select(*by, sample, phase_shift(held("prev_pixels"), held("_moving"), "_h", "_w").alias("s")).select(*by, sample, "s.*")
 
 
-def best_variant(results: DataFrame, score="primary_metric_score", sample="sample_id", ordinal="ordinal") -> DataFrame:
-    """The variant with the highest score per sample, the first one on a tie.
+def best_variant(results: DataFrame, sample="sample_id", score="primary_metric_score", ties=("ordinal",)) -> DataFrame:
+    """The record with the highest score per sample; ``ties`` settle equal scores.
 
-    A partial aggregate, as only the best record per sample travels.
+    A partial aggregate, so only the best record per sample travels.
     """
-    record = F.struct(*results.columns)
-    best = results.groupBy(sample).agg(F.max_by(record, F.struct(F.col(score), -F.col(ordinal))).alias("r"))
-    return best.select("r.*")
-
-
-def best_variant_by(results: DataFrame, order: list, sample="sample_id") -> DataFrame:
-    """W3 with a free tie order; a sample has at most one row per variant."""
-    w = Window.partitionBy(sample).orderBy(*order)
-    return results.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    return first_per_key(results, sample, [-F.col(score), *[F.col(c) for c in ties]])

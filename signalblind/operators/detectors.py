@@ -1,16 +1,16 @@
-"""Per-frame features (T1-T15) over packed frames or their cells.
+"""Per-frame features (T1-T15) over packed frames.
 
-Counting features explode cells and group them: a frame is one row, so its cells are
-in one task and partial aggregation sends at most a few hundred rows per frame on.
+A frame is one row, so its features are computed inside that row: a detector run is one
+scan without a shuffle. Only line votes and the series spectrum group rows.
 """
 
 import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions import columns as C, grids
+from ..functions import columns as C, features, grids
 from ..functions.columns import held, let, round6
-from ..functions.kernels import component_labels, spectrum_peak
+from ..functions.kernels import component_boxes, spectrum_peak
 from .ordering import top_per_group
 from .preprocess import canny, to_cells
 
@@ -24,32 +24,13 @@ def register_detector(name: str, fn):
     _CUSTOM[name] = fn
 
 
-def laplacian(df: DataFrame) -> DataFrame:
-    """4-neighbour Laplacian, edges mirrored without repeating."""
-
-    def cell(p):
-        at = lambda y, x: p[grids.mirrored(y, _H) * _W + grids.mirrored(x, _W)]
-        return grids.grid(_H, _W, lambda y, x: at(y - 1, x) + at(y + 1, x) + at(y, x - 1) + at(y, x + 1) - 4 * p[y * _W + x])
-
-    return df.withColumn("laplacian", let(_P, cell))
+def _in_row(df, keys, feature):
+    return df.select(*keys, let(_P, lambda p: feature(p, _H, _W)).alias("_f")).select(*keys, "_f.*")
 
 
 def entropy_texture(df: DataFrame, keys: list) -> DataFrame:
-    """Histogram entropy, population deviation, variance of the Laplacian."""
-    lap = laplacian(df).select(*keys, F.posexplode_outer(F.arrays_zip("pixels", "laplacian")).alias("_i", "c"))
-    hist = lap.groupBy(*keys, F.col("c.pixels").alias("v")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("c.laplacian").alias("ls"),
-        F.sum(F.col("c.laplacian").cast("long") * F.col("c.laplacian")).alias("lq"))
-    total = hist.groupBy(*keys).agg(
-        F.sum("n").alias("cells"), F.sum(F.col("n") * F.log2("n")).alias("nlogn"),
-        F.sum(F.col("n") * F.col("v")).alias("s"), F.sum(F.col("n") * F.col("v") * F.col("v")).alias("q"),
-        F.sum("ls").alias("ls"), F.sum("lq").alias("lq"))
-    n = F.col("cells").cast("double")
-    variance = lambda q, s: (n * F.col(q) - F.col(s).cast("double") * F.col(s)) / (n * n)
-    return total.select(
-        *keys, round6(F.log2(n) - F.col("nlogn") / n).alias("entropy"),
-        round6(F.sqrt(variance("q", "s"))).alias("contrast_std"),
-        round6(variance("lq", "ls")).alias("laplacian_variance"))
+    """T1"""
+    return _in_row(df, keys, features.entropy_texture)
 
 
 def binary_mask(df: DataFrame) -> DataFrame:
@@ -61,27 +42,50 @@ def binary_mask(df: DataFrame) -> DataFrame:
     return df.withColumn("mask", let(_P, mask))
 
 
+def with_boxes(df: DataFrame) -> DataFrame:
+    """Boxes of all dark regions of each frame as one array column."""
+    dark = binary_mask(df).withColumn("_dark", let(F.col("mask"), grids.invert)).drop("mask")
+    return dark.withColumn("boxes", component_boxes(held("_dark"), _H, _W)).drop("_dark")
+
+
+def _described(boxes, height, width, min_area):
+    """Boxes of at least ``min_area`` cells with shape and the text-like test."""
+
+    def describe(b):
+        fill = b["area"] / (b["w"] * b["h"])
+        aspect = b["w"] / b["h"]
+        text_like = fill.between(0.15, 0.85) & aspect.between(0.1, 10.0) & (b["area"] / (height * width) < 0.2)
+        return F.struct(
+            *[b[c].alias(c) for c in ("label", "x", "y", "w", "h", "area")], round6(aspect).alias("aspect"),
+            round6(fill).alias("fill"), text_like.alias("text_like"))
+
+    return F.transform(F.filter(boxes, lambda b: b["area"] >= min_area), describe)
+
+
 def components(df: DataFrame, keys: list, min_area=4) -> DataFrame:
-    """Boxes of 8-connected dark regions, one row each."""
-    dark = binary_mask(df).withColumn("_dark", F.transform("mask", lambda v: F.lit(255) - v))
-    labelled = dark.withColumn("_label", component_labels(8)(held("_dark"), _H, _W))
-    cells = labelled.select(*keys, "height", "width", F.posexplode_outer("_label").alias("_pos", "label")).filter("label >= 0")
-    y, x = F.floor(F.col("_pos") / _W), F.col("_pos") % _W
-    boxes = cells.groupBy(*keys, "height", "width", "label").agg(
-        F.min(x).cast("int").alias("x"), F.min(y).cast("int").alias("y"),
-        (F.max(x) - F.min(x) + 1).cast("int").alias("w"), (F.max(y) - F.min(y) + 1).cast("int").alias("h"),
-        F.count(F.lit(1)).alias("area")).filter(F.col("area") >= min_area)
-    fill = F.col("area") / (F.col("w") * F.col("h"))
-    aspect = F.col("w") / F.col("h")
-    text_like = fill.between(0.15, 0.85) & aspect.between(0.1, 10.0) & (F.col("area") / (_H * _W) < 0.2)
-    return boxes.withColumns({"aspect": round6(aspect), "fill": round6(fill), "text_like": text_like})
-
-
-def component_summary(boxes: DataFrame, keys: list) -> DataFrame:
-    """Counts and median area; frames without a component have no row."""
-    return boxes.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("component_count"), F.count_if("text_like").alias("text_like_count"),
-        F.percentile("area", 0.5).alias("median_area"))
+    """8-connected dark regions, one row each."""
+    listed = with_boxes(df).select(*keys, _described(F.col("boxes"), _H, _W, min_area).alias("_b"))
+    return listed.select(*keys, F.explode_outer("_b").alias("_b")).filter("_b is not null").select(*keys, "_b.*")
+
+
+def _median(values):
+    """Median of a sorted array; 0 when it is empty."""
+    n = F.size(values)
+    middle = F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))
+    return F.when(n > 0, middle / 2.0).otherwise(F.lit(0.0))
+
+
+def _summary(described):
+    return let(described, lambda d: F.struct(
+        F.size(d).cast("bigint").alias("component_count"),
+        F.size(F.filter(d, lambda b: b["text_like"])).cast("bigint").alias("text_like_count"),
+        let(F.sort_array(F.transform(d, lambda b: b["area"])), _median).alias("median_area")))
+
+
+def component_summary(df: DataFrame, keys: list, min_area=4) -> DataFrame:
+    """Counts and median area per frame."""
+    boxed = with_boxes(df)
+    return boxed.select(*keys, _summary(_described(F.col("boxes"), _H, _W, min_area)).alias("_s")).select(*keys, "_s.*")
 
 
 def top_components(boxes: DataFrame, keys: list, k=50) -> DataFrame:
@@ -89,41 +93,40 @@ def top_components(boxes: DataFrame, keys: list, k=50) -> DataFrame:
     return top_per_group(boxes, keys, [F.desc("area"), F.col("label")], k)
 
 
+def _rois(boxes, height, width, k, pad, original_height, original_width):
+    """The ``k`` largest outer boxes, padded, scaled and clipped."""
+
+    def fits(b):
+        box = b["w"] * b["h"]
+        return b["outer"] & (box >= 25) & (box <= height * width * 0.5) & (b["w"] / b["h"]).between(0.05, 20.0)
+
+    # Largest box first, then the lowest and rightmost, then the label.
+    sortable = F.transform(F.filter(boxes, fits), lambda b: F.struct(
+        (-b["w"] * b["h"]).alias("a"), (-b["y"]).alias("y"), (-b["x"]).alias("x"), b["label"].alias("l"),
+        b["w"].alias("w"), b["h"].alias("h")))
+
+    def place(s, i):
+        sx, sy = original_width / width, original_height / height
+        x0 = F.greatest(F.lit(0), ((-s["x"] - pad) * sx).cast("int"))
+        y0 = F.greatest(F.lit(0), ((-s["y"] - pad) * sy).cast("int"))
+        x1 = F.least(original_width, ((-s["x"] + s["w"] + pad) * sx).cast("int"))
+        y1 = F.least(original_height, ((-s["y"] + s["h"] + pad) * sy).cast("int"))
+        return F.struct((i + 1).cast("bigint").alias("rank"), x0.alias("x"), y0.alias("y"), (x1 - x0).alias("width"),
+                        (y1 - y0).alias("height"), (-s["a"]).alias("area"))
+
+    placed = F.transform(F.slice(F.array_sort(sortable), 1, k), place)
+    return F.filter(placed, lambda r: (r["width"] > 0) & (r["height"] > 0))
+
+
 def candidate_rois(df: DataFrame, keys: list, k=5, pad=4, original=None) -> DataFrame:
-    """Padded boxes of outer dark regions, largest first.
+    """Padded boxes of outer dark regions, one row each, largest first.
 
-    Outer means not enclosed by another region: the region touches background that is
-    4-connected to the border of the frame. ``original`` names the height and width
+    Outer means not enclosed by another region. ``original`` names the height and width
     columns to scale to when steps changed the frame size.
     """
-    dark = binary_mask(df).withColumn("_dark", F.transform("mask", lambda v: F.lit(255) - v))
-    # A frame of light cells around the grid joins all border background.
-    padded = dark.withColumn("_back", let(F.col("mask"), lambda m: grids.grid(_H + 2, _W + 2, lambda y, x: F.when(
-        (y == 0) | (x == 0) | (y == _H + 1) | (x == _W + 1), F.lit(255)
-    ).otherwise(m[grids.repeated(y - 1, _H) * _W + grids.repeated(x - 1, _W)]))))
-    labelled = padded.withColumn("_label", component_labels(8)(held("_dark"), _H, _W)).withColumn(
-        "_outside", component_labels(4)(held("_back"), _H + 2, _W + 2))
-    extra = list(original or [])
-    cells = labelled.select(*keys, "height", "width", *extra, "_outside", F.posexplode_outer("_label").alias("_pos", "label")).filter("label >= 0")
-    y, x = F.floor(F.col("_pos") / _W).cast("int"), F.col("_pos") % _W
-    open_at = lambda dy, dx: F.col("_outside")[(y + 1 + dy) * (_W + 2) + x + 1 + dx] == 0
-    touches = open_at(-1, 0) | open_at(1, 0) | open_at(0, -1) | open_at(0, 1)
-    boxes = cells.groupBy(*keys, "height", "width", *extra, "label").agg(
-        F.min(x).alias("x"), F.min(y).alias("y"), (F.max(x) - F.min(x) + 1).alias("w"),
-        (F.max(y) - F.min(y) + 1).alias("h"), F.max(touches).alias("outer")).filter("outer")
-    area, aspect = F.col("w") * F.col("h"), F.col("w") / F.col("h")
-    fit = boxes.withColumn("area", area).filter(
-        (area >= 25) & (area <= _H * _W * 0.5) & aspect.between(0.05, 20.0))
-    best = top_per_group(fit, keys, [F.desc("area"), F.desc("y"), F.desc("x"), F.col("label")], k)
     oh, ow = (F.col(original[0]), F.col(original[1])) if original else (_H, _W)
-    scale = lambda v, new, old: (v * (new / old)).cast("int")
-    x0 = F.greatest(F.lit(0), scale(F.col("x") - pad, ow, _W))
-    y0 = F.greatest(F.lit(0), scale(F.col("y") - pad, oh, _H))
-    x1 = F.least(ow, scale(F.col("x") + F.col("w") + pad, ow, _W))
-    y1 = F.least(oh, scale(F.col("y") + F.col("h") + pad, oh, _H))
-    return best.select(
-        *keys, "rank", x0.alias("x"), y0.alias("y"), (x1 - x0).alias("width"), (y1 - y0).alias("height"), "area"
-    ).filter("width > 0 and height > 0")
+    listed = with_boxes(df).select(*keys, _rois(F.col("boxes"), _H, _W, k, pad, oh, ow).alias("_r"))
+    return listed.select(*keys, F.explode_outer("_r").alias("_r")).filter("_r is not null").select(*keys, "_r.*")
 
 
 def edges(df: DataFrame) -> DataFrame:
@@ -133,8 +136,7 @@ def edges(df: DataFrame) -> DataFrame:
 
 def edge_density(df: DataFrame, keys: list) -> DataFrame:
     """T4: share of edge cells."""
-    n = F.size(F.filter("pixels", lambda v: v > 0))
-    return edges(df).select(*keys, round6(n / F.size("pixels")).alias("edge_density"))
+    return edges(df).select(*keys, let(_P, features.bright_share).alias("edge_density"))
 
 
 def hough_votes(edge_frames: DataFrame, keys: list) -> DataFrame:
@@ -149,9 +151,11 @@ def hough_votes(edge_frames: DataFrame, keys: list) -> DataFrame:
 
 def hough_lines(edge_frames: DataFrame, keys: list, votes=50, max_gap=8, k=100) -> DataFrame:
     """T5: straight runs of edge cells on well-voted lines, gaps of at most ``max_gap``."""
-    points = hough_votes(edge_frames, keys)
+    # Fewer edge cells than votes cannot make a line, so such frames never fan out.
+    enough = edge_frames.filter(F.size(F.filter("pixels", lambda v: v > 0)) >= votes)
+    points = hough_votes(enough, keys)
     winners = points.groupBy(*keys, "theta", "rho").agg(F.count(F.lit(1)).alias("votes")).filter(F.col("votes") >= votes)
-    size = edge_frames.select(*keys, F.greatest(F.lit(10), F.floor(F.least("height", "width") / 20)).alias("_least"))
+    size = enough.select(*keys, F.greatest(F.lit(10), F.floor(F.least("height", "width") / 20)).alias("_least"))
     along = F.col("y") * F.cos(F.radians("theta")) - F.col("x") * F.sin(F.radians("theta"))
     on = points.join(winners, [*keys, "theta", "rho"]).withColumn("_t", along)
     line = Window.partitionBy(*keys, "theta", "rho").orderBy("_t", "y", "x")
@@ -171,9 +175,11 @@ def line_summary(lines: DataFrame, keys: list) -> DataFrame:
         F.count(F.lit(1)).alias("line_count"), round6(F.avg("length")).alias("mean_line_length"))
 
 
-def spectrum(df: DataFrame, keys: list) -> DataFrame:
+def spectrum(df: DataFrame, keys: list, digits=6) -> DataFrame:
     """T7"""
-    return df.select(*keys, spectrum_peak(held("pixels"), _H, _W).alias("s")).select(*keys, "s.*")
+    measured = df.select(*keys, spectrum_peak(held("pixels"), _H, _W).alias("s")).select(*keys, "s.*")
+    places = {"prominence": digits, "radius": digits, "angle": 3, "ring": digits}
+    return measured.withColumns({c: F.round(c, n) for c, n in places.items()})
 
 
 def series_spectrum(df: DataFrame, by: list, position: str, value: str, harmonics=32) -> DataFrame:
@@ -201,60 +207,13 @@ def series_peak(power: DataFrame, by: list) -> DataFrame:
 
 
 def speckle(df: DataFrame, keys: list, window=7) -> DataFrame:
-    """Local contrast K = deviation / mean over a box, mirrored edges.
-
-    Box sums are exact integers, done separably inside the row.
-    """
-    size = max(3, window)
-    ones = [1] * size
-
-    def local(p):
-        first = grids.weighted(p, _H, _W, ones, grids.mirrored, F.lit(0))
-        second = grids.weighted(F.transform(p, lambda v: v * v), _H, _W, ones, grids.mirrored, F.lit(0))
-        return F.zip_with(first, second, lambda s, q: F.struct(s.alias("s"), q.alias("q")))
-
-    cells = df.withColumn("_local", let(_P, local)).select(
-        *keys, F.explode_outer(F.arrays_zip("pixels", "_local")).alias("c"))
-    n = float(size * size)
-    mean = F.col("c._local.s") / n
-    variance = F.greatest(F.lit(0.0), (F.col("c._local.q") * n - F.col("c._local.s").cast("double") * F.col("c._local.s")) / (n * n))
-    each = cells.select(*keys, F.col("c.pixels").alias("v"), variance.alias("var"), (F.sqrt(variance) / (mean + 1e-6)).alias("k"))
-    return each.groupBy(*keys).agg(
-        round6(F.avg("k")).alias("contrast_mean"), round6(F.stddev_pop("k")).alias("contrast_spread"),
-        round6(F.avg("var")).alias("variance_mean"),
-        round6(F.avg((F.col("v") >= 250).cast("double"))).alias("saturated_fraction"))
+    """T9"""
+    return _in_row(df, keys, lambda p, h, w: features.speckle(p, h, w, window))
 
 
 def glcm(df: DataFrame, keys: list, levels=16) -> DataFrame:
-    """Texture of neighbour pairs (right and below), counted in both directions."""
-
-    def quantise(p):
-        return let(F.struct(F.array_min(p).alias("lo"), F.array_max(p).alias("hi")), lambda r: F.transform(
-            p, lambda v: F.floor((v - r["lo"]) * (levels - 1) / F.greatest(r["hi"] - r["lo"], F.lit(1))).cast("int")))
-
-    def pairs(q):
-        right = F.flatten(F.transform(F.sequence(F.lit(0), _H - 1), lambda y: F.transform(
-            F.sequence(F.lit(1), _W - 1), lambda x: F.struct(q[y * _W + x - 1].alias("a"), q[y * _W + x].alias("b")))))
-        below = F.transform(F.sequence(_W, _H * _W - 1), lambda i: F.struct(q[i - _W].alias("a"), q[i].alias("b")))
-        return F.concat(F.when(_W > 1, right).otherwise(F.slice(right, 1, 0)),
-                        F.when(_H > 1, below).otherwise(F.slice(below, 1, 0)))
-
-    cells = df.withColumn("_q", let(_P, quantise)).select(*keys, F.explode_outer(let(F.col("_q"), pairs)).alias("c"))
-    lo, hi = F.least("c.a", "c.b"), F.greatest("c.a", "c.b")
-    counts = cells.groupBy(*keys, lo.alias("a"), hi.alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    # Off-diagonal pairs fill two cells of the symmetric matrix, diagonal ones count twice in one.
-    n = F.col("n").cast("double")
-    gap = (F.col("b") - F.col("a")).cast("double")
-    same = F.col("a") == F.col("b")
-    square = F.when(same, 4 * n * n).otherwise(2 * n * n)
-    nlogn = F.when(same, 2 * n * F.log2(2 * n)).otherwise(2 * n * F.log2(n))
-    sums = counts.groupBy(*keys).agg(
-        F.sum(2 * n).alias("t"), F.sum(2 * n * gap * gap).alias("c"), F.sum(2 * n / (1.0 + gap)).alias("h"),
-        F.sum(square).alias("e"), F.sum(nlogn).alias("l"))
-    t = F.col("t")
-    return sums.select(
-        *keys, round6(F.col("c") / t).alias("contrast"), round6(F.col("h") / t).alias("homogeneity"),
-        round6(F.sqrt("e") / t).alias("energy"), round6(F.log2(t) - F.col("l") / t).alias("entropy"))
+    """T10"""
+    return _in_row(df, keys, lambda p, h, w: features.pair_texture(p, h, w, levels))
 
 
 def text_evidence(words: DataFrame, keys: list) -> DataFrame:
@@ -265,34 +224,37 @@ def text_evidence(words: DataFrame, keys: list) -> DataFrame:
         round6(F.coalesce(F.avg(F.when(F.col("conf") >= 0, F.col("conf"))), F.lit(0.0))).alias("confidence"))
 
 
-def _joined(base: DataFrame, parts: list, keys: list) -> DataFrame:
-    for part in parts:
-        base = base.join(part, keys, "left")
-    return base
-
-
-def detect(df: DataFrame, keys: list, metric="structure_score", words: DataFrame = None, carry=()) -> DataFrame:
+def detect(df: DataFrame, keys: list, metric="structure_score", words: DataFrame = None, carry=(), original=None) -> DataFrame:
     """All features of each (sample, variant) row with T12-T14 scores.
 
-    Every feature is grouped by the same keys, so the joins reuse that partitioning.
+    Everything but line votes comes from one pass over the row; only rows with enough
+    edge cells vote, and what is joined back is one small row per frame.
     """
-    base = df.select(*keys, *carry)
-    rois = candidate_rois(df, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("roi_count"))
-    texture = glcm(df, keys).withColumnRenamed("entropy", "glcm_entropy").withColumnRenamed("contrast", "glcm_contrast")
-    edged = edges(df)
-    parts = [
-        entropy_texture(df, keys), component_summary(components(df, keys), keys), rois,
-        edged.select(*keys, round6(F.size(F.filter("pixels", lambda v: v > 0)) / F.size("pixels")).alias("edge_density")),
-        line_summary(hough_lines(edged, keys), keys), spectrum(df, keys), speckle(df, keys), texture,
-    ]
+    oh, ow = (F.col(original[0]), F.col(original[1])) if original else (_H, _W)
+    boxed = canny(with_boxes(df), 50, 150, into="_edges")
+    measured = boxed.select(
+        *keys, *carry, "_edges", "height", "width",
+        let(_P, lambda p: features.entropy_texture(p, _H, _W)).alias("_texture"),
+        let(_P, lambda p: features.speckle(p, _H, _W)).alias("_speckle"),
+        let(_P, lambda p: features.pair_texture(p, _H, _W)).alias("_pairs"),
+        _summary(_described(F.col("boxes"), _H, _W, 4)).alias("_components"),
+        _rois(F.col("boxes"), _H, _W, 5, 4, oh, ow).alias("candidate_rois"),
+        spectrum_peak(held("pixels"), _H, _W).alias("_spectrum"))
+    flat = measured.select(
+        *keys, *carry, "_texture.*", "_speckle.*", "_components.*", "candidate_rois",
+        F.size("candidate_rois").cast("bigint").alias("roi_count"),
+        let(F.col("_edges"), features.bright_share).alias("edge_density"),
+        *[F.round(F.col(f"_spectrum.{c}"), 3 if c == "angle" else 6).alias(c) for c in ("prominence", "radius", "angle", "ring")],
+        *[F.col(f"_pairs.{c}").alias(f"glcm_{c}") for c in ("contrast", "homogeneity", "energy", "entropy")])
+    edged = canny(df.select(*keys, "pixels", "height", "width"), 50, 150)
+    out = flat.join(line_summary(hough_lines(edged, keys), keys), keys, "left")
     if words is not None:
-        parts.append(text_evidence(words, keys))
-    for fn in _CUSTOM.values():
-        parts.append(fn(df, keys))
-    out = _joined(base, parts, keys)
-    if words is None:
+        out = out.join(text_evidence(words, keys), keys, "left")
+    else:
         out = out.withColumns({"word_count": F.lit(None).cast("bigint"), "confidence": F.lit(0.0)})
-    return with_scores(out.fillna(0, ["component_count", "text_like_count", "median_area", "roi_count", "line_count", "mean_line_length"]), metric)
+    for fn in _CUSTOM.values():
+        out = out.join(fn(df, keys), keys, "left")
+    return with_scores(out.fillna(0, ["line_count", "mean_line_length"]), metric)
 
 
 def with_scores(features: DataFrame, metric="structure_score") -> DataFrame:

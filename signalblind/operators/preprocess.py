@@ -98,11 +98,11 @@ def column_step(step: str):
     return None
 
 
-def canny(df: DataFrame, low: int, high: int) -> DataFrame:
+def canny(df: DataFrame, low: int, high: int, into="pixels") -> DataFrame:
     """Thinned Sobel edges in the JVM, then one Arrow pass that links them."""
     px, h, w = F.col("pixels"), F.col("height"), F.col("width")
-    return df.withColumn("pixels", let(px, lambda p: grids.edge_candidates(p, h, w, low, high))).withColumn(
-        "pixels", link_edges(held("pixels"), h, w))
+    thinned = df.withColumn("_thin", let(px, lambda p: grids.edge_candidates(p, h, w, low, high)))
+    return thinned.withColumn(into, link_edges(held("_thin"), h, w)).drop("_thin")
 
 
 def apply_steps(df: DataFrame, steps: list, channels=1) -> DataFrame:

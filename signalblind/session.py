@@ -38,3 +38,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` out once and drop its lineage; survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """Use all cores when the input has fewer splits than the cluster has cores.
+
+    Per-frame steps are compute-bound, so a lone small file is worth one hash shuffle of
+    its raw rows; a large input has splits enough and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

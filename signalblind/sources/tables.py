@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import let
+from ..session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +19,7 @@ def capture_role(label):
 
 def frames(spark, sf_dir) -> DataFrame:
     """Embeddings as 8x8 frames; the label is the capture, ``vec_id`` the source position."""
-    e = table(spark, sf_dir, "embeddings")
+    e = spread(table(spark, sf_dir, "embeddings"), "vec_id")
     byte = lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((v.cast("double") + 0.55) * 230))).cast("int")
     return e.select(
         F.concat(F.lit("cap-"), F.col("label")).alias("capture_id"),
