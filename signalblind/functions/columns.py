@@ -17,6 +17,18 @@ FAMILIES = ["symbol", "diffraction", "speckle", "texture"]
 PRIMARY_METRICS = ["structure_score", "fft_peak_prominence", "speckle_contrast", "ocr_symbol_score"]
 
 
+def pixels() -> Column:
+    return F.col("pixels")
+
+
+def height() -> Column:
+    return F.col("height")
+
+
+def width() -> Column:
+    return F.col("width")
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once and hand it to ``body``.
 
@@ -26,13 +38,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def held(column: str) -> Column:
-    """A computed column as UDF argument, read twice so that its projection stays apart.
+def fenced(value: Column) -> Column:
+    """A computed column that Catalyst leaves where it is: one row out for one row in.
 
-    Catalyst would inline the lambdas that compute it into the UDF call, and Spark does
-    not extract a UDF whose argument holds nested lambdas.
+    Without the generator Catalyst may inline the lambdas behind a column into a UDF call
+    or a pushed-down filter, and Spark does not extract a UDF whose argument holds
+    nested lambdas. Filters on other columns still move below it.
     """
-    return F.when(F.col(column).isNotNull(), F.col(column))
+    return F.explode_outer(F.array(value))
 
 
 def micros(value: Column) -> Column:

@@ -7,6 +7,7 @@ what lies outside.
 """
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -24,7 +25,7 @@ def grid(height: Column, width: Column, cell) -> Column:
 
 def mirrored(i: Column, n: Column) -> Column:
     period = F.greatest(2 * (n - 1), F.lit(1))
-    return let(F.pmod(i, period), lambda m: F.when(m < n, m).otherwise(period - m))
+    return F.least(F.pmod(i, period), period - F.pmod(i, period))
 
 
 def repeated(i: Column, n: Column) -> Column:
@@ -40,21 +41,28 @@ def to_byte(value: Column) -> Column:
 
 
 def weighted(px, height, width, weights, border, zero) -> Column:
-    """Separable weighted sum, along rows and then along columns."""
-    radius = len(weights) // 2
+    """Separable weighted sum, along rows and then along columns.
+
+    Border positions are looked up from one index array per direction; short kernels are
+    written out term by term, long ones folded.
+    """
+    radius, size = len(weights) // 2, len(weights)
     taps = F.array(*[F.lit(w) for w in weights])
-    span = F.sequence(F.lit(-radius), F.lit(radius))
 
-    def pass_over(source, index):
-        return grid(
-            height, width,
-            lambda y, x: F.aggregate(span, zero, lambda acc, k: acc + taps[k + radius] * source[index(y, x, k)]),
-        )
+    def total(read):
+        if size <= 9:
+            terms = [read(k) if w == 1 else F.lit(w) * read(k) for k, w in enumerate(weights)]
+            return reduce(lambda a, b: a + b, terms)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), zero, lambda acc, k: acc + taps[k] * read(k))
 
-    return let(
-        pass_over(px, lambda y, x, k: y * width + border(x + k, width)),
-        lambda rows: pass_over(rows, lambda y, x, k: border(y + k, height) * width + x),
-    )
+    def positions(n):
+        return F.transform(F.sequence(F.lit(-radius), n - 1 + radius), lambda i: border(i, n))
+
+    def rows_then_columns(at):
+        rows = grid(height, width, lambda y, x: total(lambda k: px[y * width + at["x"][x + k]]))
+        return let(rows, lambda r: grid(height, width, lambda y, x: total(lambda k: r[at["y"][y + k] * width + x])))
+
+    return let(F.struct(positions(width).alias("x"), positions(height).alias("y")), rows_then_columns)
 
 
 # --- colour and pointwise ------------------------------------------------------------
@@ -222,6 +230,32 @@ def clahe(px, height, width, tiles=8, clip=2.0) -> Column:
     return let(luts, blend)
 
 
+# --- bit masks -----------------------------------------------------------------------
+
+
+def pack_bits(mask) -> Column:
+    """Cells above zero as bits of 64-bit words, first cell highest: 1/32 of the bytes."""
+    words = F.sequence(F.lit(0), F.ceil(F.size(mask) / 64).cast("int") - 1)
+    return F.transform(words, lambda k: F.aggregate(
+        F.slice(mask, k * 64 + 1, 64), F.lit(0).cast("bigint"),
+        lambda a, v: F.shiftleft(a, 1).bitwiseOR(F.when(v > 0, 1).otherwise(0).cast("bigint"))))
+
+
+def bit_at(words, i, cells) -> Column:
+    """Cell ``i`` of packed words that hold ``cells`` cells."""
+    word = F.floor(i / 64).cast("int")
+    last = F.least(F.lit(64), cells - word * 64) - 1
+    return F.call_function("shiftrightunsigned", words[word], last - i % 64).bitwiseAND(F.lit(1).cast("bigint"))
+
+
+def bit_overlap(left, right) -> Column:
+    """Intersection over union of two packed masks of one shape; an empty union gives 0."""
+    count = lambda op: F.aggregate(F.zip_with(left, right, lambda a, b: F.bit_count(op(a, b))), F.lit(0), lambda a, n: a + n)
+    both = count(lambda a, b: a.bitwiseAND(b))
+    either = count(lambda a, b: a.bitwiseOR(b))
+    return F.when(either == 0, F.lit(0.0)).otherwise(both / F.greatest(either, F.lit(1)))
+
+
 # --- neighbourhood -------------------------------------------------------------------
 
 

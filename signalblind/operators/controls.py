@@ -5,9 +5,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import grids
-from ..functions.columns import let
-
-_H, _W, _P = F.col("height"), F.col("width"), F.col("pixels")
+from ..functions.columns import height, let, pixels, width
 
 # Generated control types at each level, in the order they are made.
 CONTROL_TYPES = {
@@ -28,7 +26,7 @@ def blank_mean(p):
 
 def rotated(p):
     """90 degrees clockwise; the caller swaps height and width."""
-    return grids.grid(_W, _H, lambda y, x: p[(_H - 1 - x) * _W + y])
+    return grids.grid(width(), height(), lambda y, x: p[(height() - 1 - x) * width() + y])
 
 
 def block_order(count, seed=12345):
@@ -40,7 +38,7 @@ def block_order(count, seed=12345):
 
 def block_shuffle(p, block=32, seed=12345):
     """Tiles change places; where a smaller edge tile lands, uncovered cells stay."""
-    rows, cols = F.ceil(_H / block).cast("int"), F.ceil(_W / block).cast("int")
+    rows, cols = F.ceil(height() / block).cast("int"), F.ceil(width() / block).cast("int")
 
     def place(order):
         def cell(y, x):
@@ -49,11 +47,11 @@ def block_shuffle(p, block=32, seed=12345):
             def read(src):
                 sy = F.floor(src / cols).cast("int") * block + (y - ty * block)
                 sx = (src % cols) * block + (x - tx * block)
-                return F.when((sy < _H) & (sx < _W), p[F.least(sy, _H - 1) * _W + F.least(sx, _W - 1)]).otherwise(p[y * _W + x])
+                return F.when((sy < height()) & (sx < width()), p[F.least(sy, height() - 1) * width() + F.least(sx, width() - 1)]).otherwise(p[y * width() + x])
 
             return let(order[ty * cols + tx], read)
 
-        return grids.grid(_H, _W, cell)
+        return grids.grid(height(), width(), cell)
 
     return let(block_order(rows * cols, seed), place)
 
@@ -92,13 +90,13 @@ def matched_controls(frames: DataFrame, level="standard", role="role", block=32)
     if level not in CONTROL_TYPES:
         raise ValueError(f"unknown control level: {level}")
     if not CONTROL_TYPES[level]:
-        return frames.limit(0).select(*_control_columns(frames, F.lit(""), _P, _H, _W))
+        return frames.limit(0).select(*_control_columns(frames, F.lit(""), pixels(), height(), width()))
     make = {
-        "blank_mean": (let(_P, blank_mean), _H, _W),
-        "rotated": (let(_P, rotated), _W, _H),
-        "block_shuffle": (let(_P, lambda p: block_shuffle(p, block)), _H, _W),
-        "noise_matched": (let(_P, lambda p: noise_matched(p, F.col("frame_id"))), _H, _W),
-        "intensity_inverted": (let(_P, grids.invert), _H, _W),
+        "blank_mean": (let(pixels(), blank_mean), height(), width()),
+        "rotated": (let(pixels(), rotated), width(), height()),
+        "block_shuffle": (let(pixels(), lambda p: block_shuffle(p, block)), height(), width()),
+        "noise_matched": (let(pixels(), lambda p: noise_matched(p, F.col("frame_id"))), height(), width()),
+        "intensity_inverted": (let(pixels(), grids.invert), height(), width()),
     }
     stacked = F.array(*[
         F.struct(F.lit(t).alias("type"), make[t][0].alias("pixels"), make[t][1].alias("height"), make[t][2].alias("width"))

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import grids
-from ..functions.columns import held, let, round6
+from ..functions.columns import fenced, let, round6
 from ..functions.kernels import phase_shift
 from .controls import first_per_key
 from .ordering import with_previous
@@ -19,29 +19,31 @@ def with_group(samples: DataFrame, group="parent") -> DataFrame:
     return samples.withColumn("sequence_id", parent)
 
 
-def _resized_mask(mask, from_h, from_w, to_h, to_w):
-    """Nearest cell of a mask of another shape."""
+def _resized_mask(words, from_h, from_w, to_h, to_w):
+    """Nearest cell of a packed mask of another shape."""
     same = (from_h == to_h) & (from_w == to_w)
-    return F.when(same, mask).otherwise(let(mask, lambda m: grids.grid(to_h, to_w, lambda y, x: m[
-        F.least(F.floor(y * from_h / to_h).cast("int"), from_h - 1) * from_w
-        + F.least(F.floor(x * from_w / to_w).cast("int"), from_w - 1)])))
+    resized = let(words, lambda m: grids.grid(to_h, to_w, lambda y, x: grids.bit_at(
+        m, F.least(F.floor(y * from_h / to_h).cast("int"), from_h - 1) * from_w
+        + F.least(F.floor(x * from_w / to_w).cast("int"), from_w - 1), from_h * from_w)))
+    return F.when(same, words).otherwise(let(resized, grids.pack_bits))
 
 
 def persistence(frames: DataFrame, by: list, order: list, sample="sample_id", bucket=None) -> DataFrame:
     """Best overlap (IoU) of a frame's bright mask with the frame before or after it.
 
-    Each frame is paired with its predecessor only; the overlap counts for both, so one
-    partial aggregate replaces the look ahead.
+    Masks travel as packed bits. Each frame is paired with its predecessor only; the
+    overlap counts for both, so one partial aggregate replaces the look ahead.
     """
     bucket = F.floor(F.coalesce("frame_index", F.lit(0)) / CHUNK) if bucket is None else bucket
-    masks = frames.withColumn("mask", let(F.col("pixels"), grids.otsu)).select(
-        sample, *by, *[c for c in ("frame_index", "blind_id") if c in frames.columns], "height", "width", "mask")
+    mask = let(F.col("pixels"), lambda p: let(grids.otsu(p), grids.pack_bits))
+    masks = frames.select(
+        sample, *by, *[c for c in ("frame_index", "blind_id") if c in frames.columns and c != sample],
+        "height", "width", mask.alias("mask"))
     paired = with_previous(masks, by, order, bucket, [sample, "height", "width", "mask"])
     resized = paired.withColumn("prev_mask", F.when(F.col("prev_mask").isNotNull(), _resized_mask(
         F.col("prev_mask"), F.col("prev_height"), F.col("prev_width"), F.col("height"), F.col("width"))))
-    both = F.size(F.filter(F.zip_with("prev_mask", "mask", lambda a, b: (a > 0) & (b > 0)), lambda v: v))
-    either = F.size(F.filter(F.zip_with("prev_mask", "mask", lambda a, b: (a > 0) | (b > 0)), lambda v: v))
-    scored = resized.withColumn("_iou", F.when(F.col("prev_mask").isNull() | (either == 0), 0.0).otherwise(both / either))
+    iou = F.when(F.col("prev_mask").isNull(), F.lit(0.0)).otherwise(grids.bit_overlap(F.col("prev_mask"), F.col("mask")))
+    scored = resized.withColumn("_iou", iou)
     spread = scored.select(*by, F.explode_outer(F.array(F.col(sample), F.col(f"prev_{sample}"))).alias(sample), "_iou")
     return spread.filter(F.col(sample).isNotNull()).groupBy(*by, sample).agg(
         round6(F.max("_iou")).alias("persistence_score"))
@@ -58,8 +60,8 @@ def registration(frames: DataFrame, by: list, order: list, sample="sample_id", b
     same = (h == F.col("height")) & (w == F.col("width"))
     fitted = F.when(same, F.col("pixels")).otherwise(let(
         F.col("pixels"), lambda p: grids.area_resize(p, F.col("height"), F.col("width"), h, w)))
-    ready = paired.withColumns({"_moving": fitted, "_h": h, "_w": w})
-    return ready.select(*by, sample, phase_shift(held("prev_pixels"), held("_moving"), "_h", "_w").alias("s")).select(*by, sample, "s.*")
+    ready = paired.withColumns({"_h": h, "_w": w}).withColumn("_moving", fenced(fitted))
+    return ready.select(*by, sample, phase_shift("prev_pixels", "_moving", "_h", "_w").alias("s")).select(*by, sample, "s.*")
 
 
 def best_variant(results: DataFrame, sample="sample_id", score="primary_metric_score", ties=("ordinal",)) -> DataFrame:

@@ -9,13 +9,11 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import columns as C, features, grids
-from ..functions.columns import held, let, round6
+from ..functions.columns import fenced, height, let, pixels, round6, width
 from ..functions.kernels import component_boxes, spectrum_peak
 from .ordering import top_per_group
 from .preprocess import canny, to_cells
 
-_H, _W, _P = F.col("height"), F.col("width"), F.col("pixels")
-
 _CUSTOM = {}
 
 
@@ -25,7 +23,7 @@ def register_detector(name: str, fn):
 
 
 def _in_row(df, keys, feature):
-    return df.select(*keys, let(_P, lambda p: feature(p, _H, _W)).alias("_f")).select(*keys, "_f.*")
+    return df.select(*keys, let(pixels(), lambda p: feature(p, height(), width())).alias("_f")).select(*keys, "_f.*")
 
 
 def entropy_texture(df: DataFrame, keys: list) -> DataFrame:
@@ -39,13 +37,13 @@ def binary_mask(df: DataFrame) -> DataFrame:
     def mask(p):
         return let(F.when(F.array_max(p) <= 1, F.transform(p, lambda v: v * 255)).otherwise(p), grids.otsu)
 
-    return df.withColumn("mask", let(_P, mask))
+    return df.withColumn("mask", let(pixels(), mask))
 
 
 def with_boxes(df: DataFrame) -> DataFrame:
     """Boxes of all dark regions of each frame as one array column."""
-    dark = binary_mask(df).withColumn("_dark", let(F.col("mask"), grids.invert)).drop("mask")
-    return dark.withColumn("boxes", component_boxes(held("_dark"), _H, _W)).drop("_dark")
+    dark = binary_mask(df).withColumn("_dark", fenced(let(F.col("mask"), grids.invert))).drop("mask")
+    return dark.withColumn("boxes", component_boxes("_dark", height(), width())).drop("_dark")
 
 
 def _described(boxes, height, width, min_area):
@@ -64,7 +62,7 @@ def _described(boxes, height, width, min_area):
 
 def components(df: DataFrame, keys: list, min_area=4) -> DataFrame:
     """8-connected dark regions, one row each."""
-    listed = with_boxes(df).select(*keys, _described(F.col("boxes"), _H, _W, min_area).alias("_b"))
+    listed = with_boxes(df).select(*keys, _described(F.col("boxes"), height(), width(), min_area).alias("_b"))
     return listed.select(*keys, F.explode_outer("_b").alias("_b")).filter("_b is not null").select(*keys, "_b.*")
 
 
@@ -85,7 +83,7 @@ def _summary(described):
 def component_summary(df: DataFrame, keys: list, min_area=4) -> DataFrame:
     """Counts and median area per frame."""
     boxed = with_boxes(df)
-    return boxed.select(*keys, _summary(_described(F.col("boxes"), _H, _W, min_area)).alias("_s")).select(*keys, "_s.*")
+    return boxed.select(*keys, _summary(_described(F.col("boxes"), height(), width(), min_area)).alias("_s")).select(*keys, "_s.*")
 
 
 def top_components(boxes: DataFrame, keys: list, k=50) -> DataFrame:
@@ -124,8 +122,8 @@ def candidate_rois(df: DataFrame, keys: list, k=5, pad=4, original=None) -> Data
     Outer means not enclosed by another region. ``original`` names the height and width
     columns to scale to when steps changed the frame size.
     """
-    oh, ow = (F.col(original[0]), F.col(original[1])) if original else (_H, _W)
-    listed = with_boxes(df).select(*keys, _rois(F.col("boxes"), _H, _W, k, pad, oh, ow).alias("_r"))
+    oh, ow = (F.col(original[0]), F.col(original[1])) if original else (height(), width())
+    listed = with_boxes(df).select(*keys, _rois(F.col("boxes"), height(), width(), k, pad, oh, ow).alias("_r"))
     return listed.select(*keys, F.explode_outer("_r").alias("_r")).filter("_r is not null").select(*keys, "_r.*")
 
 
@@ -136,7 +134,7 @@ def edges(df: DataFrame) -> DataFrame:
 
 def edge_density(df: DataFrame, keys: list) -> DataFrame:
     """T4: share of edge cells."""
-    return edges(df).select(*keys, let(_P, features.bright_share).alias("edge_density"))
+    return edges(df).select(*keys, let(pixels(), features.bright_share).alias("edge_density"))
 
 
 def hough_votes(edge_frames: DataFrame, keys: list) -> DataFrame:
@@ -177,7 +175,8 @@ def line_summary(lines: DataFrame, keys: list) -> DataFrame:
 
 def spectrum(df: DataFrame, keys: list, digits=6) -> DataFrame:
     """T7"""
-    measured = df.select(*keys, spectrum_peak(held("pixels"), _H, _W).alias("s")).select(*keys, "s.*")
+    held = df.withColumn("pixels", fenced(pixels()))
+    measured = held.select(*keys, spectrum_peak(pixels(), height(), width()).alias("s")).select(*keys, "s.*")
     places = {"prominence": digits, "radius": digits, "angle": 3, "ring": digits}
     return measured.withColumns({c: F.round(c, n) for c, n in places.items()})
 
@@ -230,16 +229,16 @@ def detect(df: DataFrame, keys: list, metric="structure_score", words: DataFrame
     Everything but line votes comes from one pass over the row; only rows with enough
     edge cells vote, and what is joined back is one small row per frame.
     """
-    oh, ow = (F.col(original[0]), F.col(original[1])) if original else (_H, _W)
-    boxed = canny(with_boxes(df), 50, 150, into="_edges")
+    oh, ow = (F.col(original[0]), F.col(original[1])) if original else (height(), width())
+    boxed = canny(with_boxes(df.withColumn("pixels", fenced(pixels()))), 50, 150, into="_edges")
     measured = boxed.select(
         *keys, *carry, "_edges", "height", "width",
-        let(_P, lambda p: features.entropy_texture(p, _H, _W)).alias("_texture"),
-        let(_P, lambda p: features.speckle(p, _H, _W)).alias("_speckle"),
-        let(_P, lambda p: features.pair_texture(p, _H, _W)).alias("_pairs"),
-        _summary(_described(F.col("boxes"), _H, _W, 4)).alias("_components"),
-        _rois(F.col("boxes"), _H, _W, 5, 4, oh, ow).alias("candidate_rois"),
-        spectrum_peak(held("pixels"), _H, _W).alias("_spectrum"))
+        let(pixels(), lambda p: features.entropy_texture(p, height(), width())).alias("_texture"),
+        let(pixels(), lambda p: features.speckle(p, height(), width())).alias("_speckle"),
+        let(pixels(), lambda p: features.pair_texture(p, height(), width())).alias("_pairs"),
+        _summary(_described(F.col("boxes"), height(), width(), 4)).alias("_components"),
+        _rois(F.col("boxes"), height(), width(), 5, 4, oh, ow).alias("candidate_rois"),
+        spectrum_peak(pixels(), height(), width()).alias("_spectrum"))
     flat = measured.select(
         *keys, *carry, "_texture.*", "_speckle.*", "_components.*", "candidate_rois",
         F.size("candidate_rois").cast("bigint").alias("roi_count"),

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import grids
-from ..functions.columns import held, let
+from ..functions.columns import fenced, let
 from ..functions.kernels import link_edges
 
 
@@ -101,8 +101,8 @@ def column_step(step: str):
 def canny(df: DataFrame, low: int, high: int, into="pixels") -> DataFrame:
     """Thinned Sobel edges in the JVM, then one Arrow pass that links them."""
     px, h, w = F.col("pixels"), F.col("height"), F.col("width")
-    thinned = df.withColumn("_thin", let(px, lambda p: grids.edge_candidates(p, h, w, low, high)))
-    return thinned.withColumn(into, link_edges(held("_thin"), h, w)).drop("_thin")
+    thinned = df.withColumn("_thin", fenced(let(px, lambda p: grids.edge_candidates(p, h, w, low, high))))
+    return thinned.withColumn(into, link_edges("_thin", h, w)).drop("_thin")
 
 
 def apply_steps(df: DataFrame, steps: list, channels=1) -> DataFrame:
@@ -164,8 +164,8 @@ def expand_variants(df: DataFrame, profile: str, channels=1) -> DataFrame:
                 now = 1 if step == "grayscale" else now
                 size = F.lit(2) if step == "resize_2x" else size
             elif step in CANNY:
-                df = df.withColumn(f"_v{i}_{j}", let(px, lambda p: grids.edge_candidates(p, h, w, *CANNY[step])))
-                df = df.withColumn(f"_v{i}_{j}", link_edges(held(f"_v{i}_{j}"), h, w))
+                df = df.withColumn(f"_v{i}_{j}", fenced(let(px, lambda p: grids.edge_candidates(p, h, w, *CANNY[step]))))
+                df = df.withColumn(f"_v{i}_{j}", link_edges(f"_v{i}_{j}", h, w))
                 px = F.col(f"_v{i}_{j}")
             else:
                 raise ValueError(f"step {step} works on a whole DataFrame; run it with apply_steps")

@@ -110,7 +110,7 @@ def scene_thumbnail(px: Column, height: Column, width: Column) -> Column:
     """64x64 area thumbnail. A grid that divides 64 is kept: repeating its cells
     would leave every mean difference as it is."""
     kept = (F.lit(64) % height == 0) & (F.lit(64) % width == 0)
-    return F.when(kept, px).otherwise(grids.area_resize(px, height, width, 64, 64))
+    return F.when(kept, px).otherwise(let(px, lambda p: grids.area_resize(p, height, width, 64, 64)))
 
 
 def scene_change(previous: Column, current: Column) -> Column:

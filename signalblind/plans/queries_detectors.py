@@ -245,7 +245,7 @@ def _(spark, sf):
 T15 = f"""{COMPONENTS}, {SUMMARY}, {ROIS}, {SPECTRUM},
 roi_counts AS (SELECT frame_id, count(*) AS roi_count FROM rois GROUP BY 1),
 edge_share AS (SELECT frame_id, round(avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END), 6) AS edge_density FROM edge_cells GROUP BY 1),
-bundle AS (SELECT t.frame_id, t.entropy, e.edge_density, k.contrast_mean, g.contrast AS glcm_contrast, s.prominence, s.ring,
+bundle AS (SELECT t.frame_id, t.entropy, e.edge_density, k.contrast_mean, g.contrast AS glcm_contrast, round(s.prominence, 6) AS prominence, round(s.ring, 6) AS ring,
     coalesce(c.text_like_count, 0) AS text_like, coalesce(r.roi_count, 0) AS roi_count
   FROM texture t JOIN edge_share e USING (frame_id) JOIN speckles k USING (frame_id) JOIN glcms g USING (frame_id)
   JOIN spectra s USING (frame_id) LEFT JOIN comp_summary c USING (frame_id) LEFT JOIN roi_counts r USING (frame_id)),
@@ -253,17 +253,18 @@ detected AS (SELECT frame_id, text_like AS text_like_count, roi_count, edge_dens
   round(0.20::DOUBLE * least(1.0::DOUBLE, text_like / 30.0::DOUBLE) + 0.15::DOUBLE * least(1.0::DOUBLE, greatest(0.0::DOUBLE, entropy / 8))
     + 0.20::DOUBLE * least(1.0::DOUBLE, edge_density * 8) + 0.10::DOUBLE * least(1.0::DOUBLE, roi_count / 5.0::DOUBLE), 6) AS structure_score,
   round(least(1.0::DOUBLE, text_like / 40.0::DOUBLE), 6) AS symbol,
-  round(round(least(1.0::DOUBLE, prominence / 8 * 0.75::DOUBLE + ring * 0.25::DOUBLE), 6), 4) AS diffraction,
+  floor(round(least(1.0::DOUBLE, prominence / 8 * 0.75::DOUBLE + ring * 0.25::DOUBLE), 6) * 10000) / 10000 AS diffraction,
   round(least(1.0::DOUBLE, contrast_mean * 2), 6) AS speckle,
-  round(least(1.0::DOUBLE, entropy / 8 * 0.35::DOUBLE + edge_density * 4 * 0.25::DOUBLE + least(1.0::DOUBLE, glcm_contrast / 24) * 0.25::DOUBLE
-    + least(1.0::DOUBLE, roi_count / 5.0::DOUBLE) * 0.15::DOUBLE), 4) AS texture FROM bundle)"""
+  floor(round(least(1.0::DOUBLE, entropy / 8 * 0.35::DOUBLE + edge_density * 4 * 0.25::DOUBLE + least(1.0::DOUBLE, glcm_contrast / 24) * 0.25::DOUBLE
+    + least(1.0::DOUBLE, roi_count / 5.0::DOUBLE) * 0.15::DOUBLE), 6) * 10000) / 10000 AS texture FROM bundle)"""
 
 
 @query("t15_detector_bundle", f"""WITH RECURSIVE {canny_sql(50, 150)}, {T1}, {SPECKLE}, {GLCM}, {T15} SELECT * FROM detected""")
 def _(spark, sf):
     out = D.detect(frames(spark, sf).select("frame_id", "pixels", "height", "width"), KEY)
     return out.select("frame_id", "text_like_count", "roi_count", "edge_density", "structure_score", "symbol",
-                      F.round("diffraction", 4).alias("diffraction"), "speckle", F.round("texture", 4).alias("texture"))
+                      (F.floor(F.col("diffraction") * 10000) / 10000).alias("diffraction"), "speckle",
+                      (F.floor(F.col("texture") * 10000) / 10000).alias("texture"))
 
 
 # --- across frames -----------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import hamming, let, round6, signature_hex
+from ..functions.columns import hamming, height, let, pixels, signature_hex, width
 from ..operators import preprocess as P, sampling as S
 from ..sources import media
 from ..sources.tables import document_signatures, frames, mosaics, table
@@ -10,8 +10,6 @@ from .registry import (
     CELL_OUT, CELLS, DOC_SIGNATURES, FRAMES, MOSAIC, PACKED, at, mirrored, otsu_sql, query, repeated,
 )
 
-H, W, PX = F.col("height"), F.col("width"), F.col("pixels")
-
 
 def cells(df):
     return P.to_cells(df, "frame_id")
@@ -28,7 +26,7 @@ def _(spark, sf):
 @query("io2_frame_table", f"""WITH {CELLS}
 SELECT frame_id, 8 AS height, 8 AS width, string_agg(CAST(v AS VARCHAR), ',' ORDER BY y, x) AS pixels FROM cells GROUP BY frame_id""")
 def _(spark, sf):
-    return frames(spark, sf).select("frame_id", "height", "width", F.concat_ws(",", PX.cast("array<string>")).alias("pixels"))
+    return frames(spark, sf).select("frame_id", "height", "width", F.concat_ws(",", pixels().cast("array<string>")).alias("pixels"))
 
 
 @query("io3_cells", f"WITH {CELLS} SELECT {CELL_OUT} FROM cells")
@@ -126,7 +124,7 @@ def _(spark, sf):
 SELECT frame_id, lower(lpad(to_hex(CAST(sum(CASE WHEN v * 64 >= t THEN CAST(pow(2, 63 - (y * 8 + x)) AS HUGEINT) ELSE 0 END) AS UBIGINT)), 16, '0')) AS signature
 FROM cells JOIN sums USING (frame_id) GROUP BY frame_id""")
 def _(spark, sf):
-    sig = let(PX, lambda p: S.signature(p, H, W))
+    sig = let(pixels(), lambda p: S.signature(p, height(), width()))
     return frames(spark, sf).select("frame_id", signature_hex(sig).alias("signature"))
 
 
@@ -136,7 +134,7 @@ sums AS (SELECT frame_id, sum(v) AS t FROM blocks GROUP BY 1)
 SELECT frame_id, lower(lpad(to_hex(CAST(sum(CASE WHEN v * 64 >= t THEN CAST(pow(2, 63 - (ty * 8 + tx)) AS HUGEINT) ELSE 0 END) AS UBIGINT)), 16, '0')) AS signature
 FROM blocks JOIN sums USING (frame_id) GROUP BY frame_id""")
 def _(spark, sf):
-    sig = let(PX, lambda p: S.signature(p, H, W))
+    sig = let(pixels(), lambda p: S.signature(p, height(), width()))
     return mosaics(spark, sf).select("frame_id", signature_hex(sig).alias("signature"))
 
 
@@ -152,7 +150,7 @@ def _(spark, sf):
 
 @query("d3_mean_intensity", f"WITH {CELLS} SELECT frame_id, round(avg(v), 6) AS mean_intensity FROM cells GROUP BY frame_id")
 def _(spark, sf):
-    return frames(spark, sf).select("frame_id", let(PX, S.mean_intensity).alias("mean_intensity"))
+    return frames(spark, sf).select("frame_id", let(pixels(), S.mean_intensity).alias("mean_intensity"))
 
 
 @query("d4_scene_change", f"""WITH {PACKED}, prev AS (
@@ -164,7 +162,7 @@ def _(spark, sf):
 
 
 def scene_frames(spark, sf):
-    return frames(spark, sf).select("capture_id", "frame_id", "frame_index", S.scene_thumbnail(PX, H, W).alias("thumb"))
+    return frames(spark, sf).select("capture_id", "frame_id", "frame_index", S.scene_thumbnail(pixels(), height(), width()).alias("thumb"))
 
 
 @query("d5_scene_change_sampler", f"""WITH RECURSIVE {PACKED}, ordered AS (
@@ -282,7 +280,7 @@ SELECT frame_id, y, x, CAST((114 * px[y * 8 + x + 1] + 587 * px[(y * 8 + x + 1)
 FROM packed, ys, xs""")
 def _(spark, sf):
     # Three channels per cell: the cell and the two after it.
-    three = let(PX, lambda p: F.flatten(F.transform(p, lambda v, i: F.array(v, p[(i + 1) % 64], p[(i + 2) % 64]))))
+    three = let(pixels(), lambda p: F.flatten(F.transform(p, lambda v, i: F.array(v, p[(i + 1) % 64], p[(i + 2) % 64]))))
     return cells(P.apply_steps(frames(spark, sf).withColumn("pixels", three), ["grayscale"], channels=3))
 
 
