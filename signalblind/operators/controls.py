@@ -5,7 +5,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import grids
-from ..functions.columns import height, let, pixels, width
+from ..functions.columns import fenced, height, let, pixels, width
 
 # Generated control types at each level, in the order they are made.
 CONTROL_TYPES = {
@@ -101,7 +101,8 @@ def matched_controls(frames: DataFrame, level="standard", role="role", block=32)
     stacked = F.array(*[
         F.struct(F.lit(t).alias("type"), make[t][0].alias("pixels"), make[t][1].alias("height"), make[t][2].alias("width"))
         for t in CONTROL_TYPES[level]])
-    each = frames.filter(F.col(role) == "laser").withColumn("_c", F.explode_outer(stacked))
+    listed = frames.filter(F.col(role) == "laser").withColumn("_all", fenced(stacked))
+    each = listed.withColumn("_c", F.explode_outer("_all"))
     return each.select(*_control_columns(frames, F.col("_c.type"), F.col("_c.pixels"), F.col("_c.height"), F.col("_c.width")))
 
 

@@ -173,7 +173,9 @@ def expand_variants(df: DataFrame, profile: str, channels=1) -> DataFrame:
             F.lit(i).alias("ordinal"), F.lit(name).alias("variant"), px.alias("pixels"),
             (F.col("height") * size).alias("height"), (F.col("width") * size).alias("width")))
     keys = [c for c in own if c not in ("pixels", "height", "width")]
-    return df.select(*keys, F.explode_outer(F.array(*stacked)).alias("_v")).select(*keys, "_v.*")
+    # Fenced, so that reading two fields of a variant does not build the list twice.
+    listed = df.select(*keys, fenced(F.array(*stacked)).alias("_all"))
+    return listed.select(*keys, F.explode_outer("_all").alias("_v")).select(*keys, "_v.*")
 
 
 def crop(df: DataFrame, x: int, y: int, width=None, height=None) -> DataFrame:

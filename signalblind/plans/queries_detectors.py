@@ -146,8 +146,7 @@ SELECT user_id, n, CAST(arg_min(k, -round(mag, 6) * 1000 + k / 1e6) AS INTEGER)
   round(greatest(0, (max(mag) - avg(mag)) / (stddev_pop(mag) + 1e-6)), 4) AS prominence FROM power GROUP BY user_id, n""")
 def _(spark, sf):
     ev = table(spark, sf, "events").select("user_id", "ts", "event_id", "value")
-    day = F.floor(F.unix_timestamp("ts") / 86400)
-    placed = running_count(ev, ["user_id"], [F.col("ts"), F.col("event_id")], day, "t").withColumn("t", F.col("t") - 1)
+    placed = running_count(ev, ["user_id"], [F.col("ts"), F.col("event_id")], F.to_date("ts"), "t").withColumn("t", F.col("t") - 1)
     return D.series_peak(D.series_spectrum(placed, ["user_id"], "t", "value"), ["user_id"])
 
 
@@ -308,7 +307,7 @@ def _(spark, sf):
 @query("w5_running_minimum", """SELECT event_id, user_id, min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS running FROM events""")
 def _(spark, sf):
     ev = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
-    return running_min(ev, ["user_id"], [F.col("ts"), F.col("event_id")], F.floor(F.unix_timestamp("ts") / 86400), "value", "running").select(
+    return running_min(ev, ["user_id"], [F.col("ts"), F.col("event_id")], F.to_date("ts"), "value", "running").select(
         "event_id", "user_id", "running")
 
 

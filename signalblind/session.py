@@ -1,6 +1,7 @@
 """Session settings and durable cut points."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +49,9 @@ def spread(df: DataFrame, *keys) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder next to the checkpoints, on storage every executor sees."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
