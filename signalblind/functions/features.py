@@ -54,7 +54,8 @@ def speckle(px, height, width, window=7) -> Column:
     size = max(3, window)
     ones, area = [1] * size, float(size * size)
     first = grids.weighted(px, height, width, ones, grids.mirrored, F.lit(0))
-    second = grids.weighted(F.transform(px, lambda v: v * v), height, width, ones, grids.mirrored, F.lit(0))
+    second = let(F.transform(px, lambda v: v * v), lambda q: grids.weighted(
+        q, height, width, ones, grids.mirrored, F.lit(0)))
 
     def local(s, q):
         variance = F.greatest(F.lit(0.0), (q * area - s.cast("double") * s) / (area * area))

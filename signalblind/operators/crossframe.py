@@ -28,18 +28,24 @@ def _resized_mask(words, from_h, from_w, to_h, to_w):
     return F.when(same, words).otherwise(let(resized, grids.pack_bits))
 
 
+def with_mask(frames: DataFrame) -> DataFrame:
+    """Bright cells of each frame as packed bits."""
+    return frames.withColumn("mask", let(F.col("pixels"), lambda p: let(grids.otsu(p), grids.pack_bits)))
+
+
 def persistence(frames: DataFrame, by: list, order: list, sample="sample_id", bucket=None) -> DataFrame:
-    """Best overlap (IoU) of a frame's bright mask with the frame before or after it.
+    """Best overlap (IoU) of a frame's bright mask with the frame before or after it."""
+    return mask_persistence(with_mask(frames), by, order, sample, bucket)
 
-    Masks travel as packed bits. Each frame is paired with its predecessor only; the
-    overlap counts for both, so one partial aggregate replaces the look ahead.
-    """
+
+def mask_persistence(masks: DataFrame, by: list, order: list, sample="sample_id", bucket=None) -> DataFrame:
+    """W1 from packed masks. Each frame is paired with its predecessor only; the overlap
+    counts for both, so one partial aggregate replaces the look ahead."""
     bucket = F.floor(F.coalesce("frame_index", F.lit(0)) / CHUNK) if bucket is None else bucket
-    mask = let(F.col("pixels"), lambda p: let(grids.otsu(p), grids.pack_bits))
-    masks = frames.select(
-        sample, *by, *[c for c in ("frame_index", "blind_id") if c in frames.columns and c != sample],
-        "height", "width", mask.alias("mask"))
-    paired = with_previous(masks, by, order, bucket, [sample, "height", "width", "mask"])
+    slim = masks.select(
+        sample, *by, *[c for c in ("frame_index", "blind_id") if c in masks.columns and c != sample],
+        "height", "width", "mask")
+    paired = with_previous(slim, by, order, bucket, [sample, "height", "width", "mask"])
     resized = paired.withColumn("prev_mask", F.when(F.col("prev_mask").isNotNull(), _resized_mask(
         F.col("prev_mask"), F.col("prev_height"), F.col("prev_width"), F.col("height"), F.col("width"))))
     iou = F.when(F.col("prev_mask").isNull(), F.lit(0.0)).otherwise(grids.bit_overlap(F.col("prev_mask"), F.col("mask")))

@@ -12,7 +12,7 @@ from ..functions import columns as C, features, grids
 from ..functions.columns import fenced, height, let, pixels, round6, width
 from ..functions.kernels import component_boxes, spectrum_peak
 from .ordering import top_per_group
-from .preprocess import canny, to_cells
+from .preprocess import canny
 
 _CUSTOM = {}
 
@@ -137,25 +137,41 @@ def edge_density(df: DataFrame, keys: list) -> DataFrame:
     return edges(df).select(*keys, let(pixels(), features.bright_share).alias("edge_density"))
 
 
-def hough_votes(edge_frames: DataFrame, keys: list) -> DataFrame:
-    """T5: votes of edge cells for lines (1 degree, 1 pixel), partially counted per frame."""
+def edge_points(edge_frames: DataFrame, keys: list, votes=50, source="pixels") -> DataFrame:
+    """Positions of edge cells; null where a frame has fewer than ``votes`` of them, as
+    they cannot make a line."""
+    return edge_frames.select(*keys, "height", "width", let(F.col(source), lambda p: _points(p, votes)).alias("points"))
+
+
+def _points(edge_cells, votes):
+    found = F.filter(F.transform(edge_cells, lambda v, i: F.when(v > 0, i)), lambda i: i.isNotNull())
+    return let(found, lambda f: F.when(F.size(f) >= votes, f))
+
+
+def hough_votes(points: DataFrame, keys: list) -> DataFrame:
+    """T5: votes of edge cells for lines (1 degree, 1 pixel), one row per cell and angle.
+
+    The rows are grouped right away, so partial counts keep at most one entry per line
+    of a frame.
+    """
     table = F.array(*[
         F.struct(F.lit(d).alias("theta"), F.lit(math.cos(math.radians(d))).alias("c"), F.lit(math.sin(math.radians(d))).alias("s"))
         for d in range(180)])
-    points = to_cells(edge_frames, *keys).filter("v > 0").select(*keys, "y", "x", F.explode_outer(table).alias("a"))
+    cells = points.select(*keys, "width", F.explode_outer("points").alias("_pos")).filter("_pos is not null").select(
+        *keys, F.floor(F.col("_pos") / F.col("width")).cast("int").alias("y"), (F.col("_pos") % F.col("width")).alias("x"))
+    aimed = cells.select(*keys, "y", "x", F.explode_outer(table).alias("a"))
     rho = F.floor(F.col("x") * F.col("a.c") + F.col("y") * F.col("a.s") + 0.5).cast("int")
-    return points.select(*keys, "y", "x", F.col("a.theta").alias("theta"), rho.alias("rho"))
+    return aimed.select(*keys, "y", "x", F.col("a.theta").alias("theta"), rho.alias("rho"))
 
 
-def hough_lines(edge_frames: DataFrame, keys: list, votes=50, max_gap=8, k=100) -> DataFrame:
+def hough_lines(points: DataFrame, keys: list, votes=50, max_gap=8, k=100) -> DataFrame:
     """T5: straight runs of edge cells on well-voted lines, gaps of at most ``max_gap``."""
-    # Fewer edge cells than votes cannot make a line, so such frames never fan out.
-    enough = edge_frames.filter(F.size(F.filter("pixels", lambda v: v > 0)) >= votes)
-    points = hough_votes(enough, keys)
-    winners = points.groupBy(*keys, "theta", "rho").agg(F.count(F.lit(1)).alias("votes")).filter(F.col("votes") >= votes)
-    size = enough.select(*keys, F.greatest(F.lit(10), F.floor(F.least("height", "width") / 20)).alias("_least"))
+    cells = hough_votes(points, keys)
+    winners = cells.groupBy(*keys, "theta", "rho").agg(F.count(F.lit(1)).alias("votes")).filter(F.col("votes") >= votes)
+    size = points.select(*keys, F.greatest(F.lit(10), F.floor(F.least("height", "width") / 20)).alias("_least"))
     along = F.col("y") * F.cos(F.radians("theta")) - F.col("x") * F.sin(F.radians("theta"))
-    on = points.join(winners, [*keys, "theta", "rho"]).withColumn("_t", along)
+    on = cells.join(winners, [*keys, "theta", "rho"]).withColumn("_t", along)
+    # One window is one line of one frame.
     line = Window.partitionBy(*keys, "theta", "rho").orderBy("_t", "y", "x")
     broken = (F.col("_t") - F.lag("_t").over(line) > max_gap).cast("int")
     runs = on.withColumn("_broken", F.coalesce(broken, F.lit(0))).withColumn("_run", F.sum("_broken").over(line))
@@ -223,12 +239,9 @@ def text_evidence(words: DataFrame, keys: list) -> DataFrame:
         round6(F.coalesce(F.avg(F.when(F.col("conf") >= 0, F.col("conf"))), F.lit(0.0))).alias("confidence"))
 
 
-def detect(df: DataFrame, keys: list, metric="structure_score", words: DataFrame = None, carry=(), original=None) -> DataFrame:
-    """All features of each (sample, variant) row with T12-T14 scores.
-
-    Everything but line votes comes from one pass over the row; only rows with enough
-    edge cells vote, and what is joined back is one small row per frame.
-    """
+def measure(df: DataFrame, keys: list, carry=(), original=None) -> DataFrame:
+    """All per-frame features in one pass over the row, with what later steps need of
+    the pixels: ``points`` of edge cells for lines and the packed bright ``mask``."""
     oh, ow = (F.col(original[0]), F.col(original[1])) if original else (height(), width())
     boxed = canny(with_boxes(df.withColumn("pixels", fenced(pixels()))), 50, 150, into="_edges")
     measured = boxed.select(
@@ -238,21 +251,34 @@ def detect(df: DataFrame, keys: list, metric="structure_score", words: DataFrame
         let(pixels(), lambda p: features.pair_texture(p, height(), width())).alias("_pairs"),
         _summary(_described(F.col("boxes"), height(), width(), 4)).alias("_components"),
         _rois(F.col("boxes"), height(), width(), 5, 4, oh, ow).alias("candidate_rois"),
-        spectrum_peak(pixels(), height(), width()).alias("_spectrum"))
-    flat = measured.select(
-        *keys, *carry, "_texture.*", "_speckle.*", "_components.*", "candidate_rois",
+        spectrum_peak(pixels(), height(), width()).alias("_spectrum"),
+        let(pixels(), lambda p: let(grids.otsu(p), grids.pack_bits)).alias("mask"))
+    return measured.select(
+        *keys, *carry, "height", "width", "mask", let(F.col("_edges"), lambda e: _points(e, 50)).alias("points"),
+        "_texture.*", "_speckle.*", "_components.*", "candidate_rois",
         F.size("candidate_rois").cast("bigint").alias("roi_count"),
         let(F.col("_edges"), features.bright_share).alias("edge_density"),
         *[F.round(F.col(f"_spectrum.{c}"), 3 if c == "angle" else 6).alias(c) for c in ("prominence", "radius", "angle", "ring")],
         *[F.col(f"_pairs.{c}").alias(f"glcm_{c}") for c in ("contrast", "homogeneity", "energy", "entropy")])
-    edged = canny(df.select(*keys, "pixels", "height", "width"), 50, 150)
-    out = flat.join(line_summary(hough_lines(edged, keys), keys), keys, "left")
+
+
+def detect(df: DataFrame, keys: list, metric="structure_score", words: DataFrame = None, carry=(), original=None) -> DataFrame:
+    """All features of each (sample, variant) row with T12-T14 scores."""
+    out = complete(measure(df, keys, carry, original), keys, metric, words)
+    for fn in _CUSTOM.values():
+        out = out.join(fn(df, keys), keys, "left")
+    return out.drop("mask", "points", "height", "width")
+
+
+def complete(measured: DataFrame, keys: list, metric="structure_score", words: DataFrame = None) -> DataFrame:
+    """Line evidence, text evidence and scores on top of ``measure``; what is joined is
+    one small row per frame."""
+    lines = line_summary(hough_lines(measured.select(*keys, "height", "width", "points"), keys), keys)
+    out = measured.join(lines, keys, "left")
     if words is not None:
         out = out.join(text_evidence(words, keys), keys, "left")
     else:
         out = out.withColumns({"word_count": F.lit(None).cast("bigint"), "confidence": F.lit(0.0)})
-    for fn in _CUSTOM.values():
-        out = out.join(fn(df, keys), keys, "left")
     return with_scores(out.fillna(0, ["line_count", "mean_line_length"]), metric)
 
 

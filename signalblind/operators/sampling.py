@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import grids
 from ..functions.columns import hamming, let, round6
-from ..session import cut
+from ..session import cut, shuffle_partitions
 from .ordering import running_count, with_previous
 
 # Sampling profiles (profile, mode, interval, cap, deduplicate, scene threshold).
@@ -155,6 +155,9 @@ def near_classes(left: DataFrame, right: DataFrame, by: str, max_distance=3, max
     group of copies never multiplies out. Exact: blocking only prunes.
     """
     width = max(max_mean_diff, 1e-9)
+    # Classes fan out into many keys, so they are spread evenly first.
+    n = shuffle_partitions(left.sparkSession)
+    left, right = left.repartition(n, by, "signature"), right.repartition(n, by, "signature")
     slot = F.floor(F.col("mean_intensity") / width).cast("long")
     l = left.select(
         F.col(by).alias("l_by"), F.col("signature").alias("l_signature"), F.col("mean_intensity").alias("l_mean"),
@@ -244,12 +247,13 @@ def select_frames(
         F.lit(0).cast("bigint").alias("signature"), F.lit(0.0).alias("mean_intensity")]
     if threshold is not None:
         needed.append("thumb")
-    rows = cut(frames.select(*needed))
+    rows = cut(frames.select(*needed), by, "_order")
     classes = cut(rows.select(by, "signature", "mean_intensity").distinct()) if deduplicate else None
     by_type = frames.schema[by].dataType.simpleString()
     out_schema = spark_schema(f"{by} {by_type}, _chunk bigint, _order bigint, status int, _last boolean")
     scan = _greedy(threshold, deduplicate, update_on_duplicate, max_distance, max_mean_diff, by, out_schema)
 
+    parts = shuffle_partitions(frames.sparkSession)
     decided = None
     for _ in range(max_rounds):
         todo = rows
@@ -275,7 +279,7 @@ def select_frames(
         else:
             todo = todo.withColumn("_hit", F.lit(False))
         # One group is one chunk, so at most ``chunk`` rows whatever the capture holds.
-        now = cut(todo.groupBy(by, "_chunk").applyInPandas(scan, out_schema))
+        now = cut(todo.repartition(parts, by, "_chunk").groupBy(by, "_chunk").applyInPandas(scan, out_schema), by, "_order")
         if decided is not None:
             moved = now.alias("a").join(decided.alias("b"), [by, "_order"]).filter(
                 (F.col("a.status") != F.col("b.status")) | (F.col("a._last") != F.col("b._last")))

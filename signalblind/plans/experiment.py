@@ -12,6 +12,7 @@ from ..functions import columns as C
 from ..functions.columns import let
 from ..operators import blinding as B, controls as K, crossframe as X, detectors as D, preprocess as P
 from ..operators import review as R, sampling as S, stats
+from ..session import cut, spread
 from ..sources import sinks
 
 
@@ -65,12 +66,15 @@ def blinded_run(samples: DataFrame, profile="baseline", metric="structure_score"
         "review_height": F.col("height"), "review_width": F.col("width"),
         "frame_index": F.coalesce("frame_index", F.lit(0))})
     keep = ["blind_id", "sequence_id", "frame_index", "review_height", "review_width"]
-    work = P.expand_variants(sized.select(*keep, "pixels", "height", "width"), profile)
+    work = P.expand_variants(spread(sized.select(*keep, "pixels", "height", "width"), "blind_id"), profile)
     keys, sequence = ["blind_id", "variant"], ["sequence_id", "variant"]
     order = [F.col("frame_index"), F.col("blind_id")]
-    found = D.detect(work, keys, metric, carry=["ordinal"], original=("review_height", "review_width"))
-    persist = X.persistence(work, sequence, order, "blind_id").drop("sequence_id")
+    # Features, edge points and masks are read by three later steps, so they are computed
+    # once and written out; pixels are not.
+    measured = cut(D.measure(work, keys, ["ordinal", "sequence_id", "frame_index"], ("review_height", "review_width")))
+    persist = X.mask_persistence(measured, sequence, order, "blind_id").drop("sequence_id")
     moved = X.registration(work, sequence, order, "blind_id").drop("sequence_id")
+    found = D.complete(measured.drop("sequence_id", "frame_index"), keys, metric).drop("mask", "points", "height", "width")
     known = [c for c in B.ATTRIBUTION if c in samples.columns]
     return found.join(persist, keys).join(moved, keys).join(samples.select("blind_id", *known), "blind_id").withColumnRenamed(
         "variant", "preprocessing_variant").withColumns({

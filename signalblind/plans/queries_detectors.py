@@ -104,14 +104,14 @@ ANGLES = "angles(theta, c, s) AS (VALUES " + ", ".join(
 SELECT frame_id, theta, CAST(floor(x * c + y * s + 0.5) AS INTEGER) AS rho, count(*) AS votes
 FROM edge_cells, angles WHERE v > 0 GROUP BY ALL HAVING count(*) >= 6""")
 def _(spark, sf):
-    votes = D.hough_votes(D.edges(frames(spark, sf)), KEY)
+    votes = D.hough_votes(D.edge_points(D.edges(frames(spark, sf)), KEY, 6), KEY)
     return votes.groupBy("frame_id", "theta", "rho").agg(F.count(F.lit(1)).alias("votes")).filter("votes >= 6")
 
 
 @query("t5_line_evidence")
 def _(spark, sf):
     edged = D.edges(mosaics(spark, sf))
-    found = D.line_summary(D.hough_lines(edged, KEY), KEY)
+    found = D.line_summary(D.hough_lines(D.edge_points(edged, KEY), KEY), KEY)
     return edged.select("frame_id").join(found, KEY, "left").fillna(0, ["line_count", "mean_line_length"])
 
 

@@ -5,12 +5,18 @@ from pyspark.sql import functions as F
 from ..functions.columns import hamming, height, let, pixels, signature_hex, width
 from ..operators import preprocess as P, sampling as S
 from ..sources import media
+from ..session import cut
 from ..sources.tables import document_signatures, frames, mosaics, table
 from .registry import (
     CELL_OUT, CELLS, DOC_SIGNATURES, FRAMES, MOSAIC, PACKED, at, mirrored, otsu_sql, query, repeated,
 )
 
 
+def signed_documents(spark, sf):
+    """Signatures are small next to the texts and read in every round, so they are kept."""
+    return cut(document_signatures(spark, sf))
+
+
 def cells(df):
     return P.to_cells(df, "frame_id")
 
@@ -143,7 +149,7 @@ SELECT capture_id, frame_index, CAST(bit_count(xor(signature, lag(signature) OVE
 def _(spark, sf):
     from ..operators.ordering import with_previous
 
-    sigs = document_signatures(spark, sf)
+    sigs = signed_documents(spark, sf)
     out = with_previous(sigs, ["capture_id"], ["frame_index"], F.floor(F.col("frame_index") / S.CHUNK), ["signature"])
     return out.select("capture_id", "frame_index", hamming(F.col("signature"), F.col("prev_signature")).alias("distance"))
 
@@ -197,7 +203,7 @@ walk AS (
 @query("d6_near_duplicates", GREEDY + """
 SELECT capture_id, frame_index, CASE WHEN dup THEN 'duplicate' ELSE 'kept' END AS status FROM walk""")
 def _(spark, sf):
-    return S.select_frames(document_signatures(spark, sf)).select("capture_id", "frame_index", "status")
+    return S.select_frames(signed_documents(spark, sf)).select("capture_id", "frame_index", "status")
 
 
 @query("d6_duplicate_log", GREEDY + """, options AS (
@@ -206,7 +212,7 @@ ranked AS (SELECT *, bit_count(xor(k.s, signature)) AS distance, abs(k.m - mean_
 SELECT capture_id, frame_index, k.f AS duplicate_of, CAST(distance AS BIGINT) AS signature_distance, round(diff, 6) AS mean_difference
 FROM ranked QUALIFY row_number() OVER (PARTITION BY capture_id, frame_index ORDER BY distance, diff, k.f) = 1""")
 def _(spark, sf):
-    return S.match_duplicates(S.select_frames(document_signatures(spark, sf)))
+    return S.match_duplicates(S.select_frames(signed_documents(spark, sf)))
 
 
 @query("j7_near_pairs", f"""WITH {DOC_SIGNATURES}, classes AS (
@@ -216,7 +222,7 @@ SELECT a.capture_id, a.first_ AS l_first, b.first_ AS r_first, a.n AS l_n, b.n A
 FROM classes a JOIN classes b ON a.capture_id = b.capture_id AND a.first_ < b.first_
 WHERE bit_count(xor(a.signature, b.signature)) <= 3 AND abs(a.mean_intensity - b.mean_intensity) <= 4.0""")
 def _(spark, sf):
-    return S.near_pairs(document_signatures(spark, sf)).select(
+    return S.near_pairs(signed_documents(spark, sf)).select(
         "capture_id", "l_first", "r_first", "l_n", "r_n", hamming(F.col("l_signature"), F.col("r_signature")).alias("distance"))
 
 
@@ -227,7 +233,7 @@ looked_at AS (SELECT * FROM numbered WHERE kept_so_far < 100 OR (kept_so_far = 1
 
 @query("d7_max_frames", CAPPED + " SELECT capture_id, frame_index, CASE WHEN dup THEN 'duplicate' ELSE 'kept' END AS status FROM looked_at")
 def _(spark, sf):
-    return S.cap_selection(S.select_frames(document_signatures(spark, sf)), 100).select("capture_id", "frame_index", "status")
+    return S.cap_selection(S.select_frames(signed_documents(spark, sf)), 100).select("capture_id", "frame_index", "status")
 
 
 @query("d8_sampling_diagnostics", GREEDY + """
@@ -237,7 +243,7 @@ SELECT capture_id, count(*) AS available_frames, count(*) FILTER (WHERE NOT dup)
 FROM (SELECT *, sum(CASE WHEN dup THEN 1 ELSE 0 END) OVER (PARTITION BY capture_id ORDER BY rn) AS dup_rank FROM walk)
 GROUP BY capture_id""")
 def _(spark, sf):
-    out = S.sampling_diagnostics(S.select_frames(document_signatures(spark, sf)))
+    out = S.sampling_diagnostics(S.select_frames(signed_documents(spark, sf)))
     return out.withColumn("duplicates", F.concat_ws(",", F.col("duplicates").cast("array<string>")))
 
 

@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from ..operators import blinding as B, crossframe as X, review as R, stats as S
 from ..session import cut
-from ..sources.tables import document_signatures, frames
+from ..sources.tables import frames
 from . import experiment as E
-from .queries_frames import GREEDY
+from .queries_frames import GREEDY, signed_documents
 from .queries_stats import COHEN, FRAME_RESULTS, FRAME_SCORES, LADDER, MEANS, SEED, frame_results
 from .registry import EMPIRICAL, STEP_UP, permutation_sql, query
 
@@ -17,7 +17,7 @@ from .registry import EMPIRICAL, STEP_UP, permutation_sql, query
 kept_frames AS (SELECT capture_id, frame_index, row_number() OVER (PARTITION BY capture_id ORDER BY frame_index) - 1 AS n FROM walk WHERE NOT dup)
 SELECT capture_id, frame_index, format('{}-frame-{:06d}', capture_id, n) AS frame_id FROM kept_frames WHERE n < 100""")
 def _(spark, sf):
-    return E.ingest(document_signatures(spark, sf), interval=2, cap=100).select("capture_id", "frame_index", "frame_id")
+    return E.ingest(signed_documents(spark, sf), interval=2, cap=100).select("capture_id", "frame_index", "frame_id")
 
 
 @query("e1_scene_ingest")

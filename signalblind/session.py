@@ -35,17 +35,27 @@ def ensure_checkpoint_dir(spark: SparkSession):
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="signalblind-checkpoint-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` out once and drop its lineage; survives executor loss."""
+def cut(df: DataFrame, *keys) -> DataFrame:
+    """Write ``df`` out once and drop its lineage; survives executor loss.
+
+    With ``keys`` a small result is spread over all cores again.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    return spread(out, *keys) if keys else out
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    """Partitions for compute-bound steps that must not be merged for being small."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def spread(df: DataFrame, *keys) -> DataFrame:
     """Use all cores when the input has fewer splits than the cluster has cores.
 
     Per-frame steps are compute-bound, so a lone small file is worth one hash shuffle of
-    its raw rows; a large input has splits enough and is left alone.
+    its raw rows; a large input has splits enough and is left alone. Meant for scans and
+    cut results, whose partition count is known without running anything.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

@@ -48,7 +48,7 @@ def mosaics(spark, sf_dir) -> DataFrame:
 
 def words(spark, sf_dir) -> DataFrame:
     """Document words as a recognised-word table; confidence from the quality label."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     quality = table(spark, sf_dir, "labels").select("doc_id", "quality")
     confident = docs.join(quality, "doc_id", "left").withColumn(
         "conf", F.coalesce(F.col("quality") * 100.0, F.lit(-1.0)))
@@ -57,7 +57,7 @@ def words(spark, sf_dir) -> DataFrame:
 
 def document_signatures(spark, sf_dir) -> DataFrame:
     """64-bit signature per document: which of 64 word-hash buckets reach the mean count."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
     tokens = docs.select("doc_id", "lang", F.explode(F.split("text", " ")).alias("word")).filter(F.trim("word") != "")
     bucket = F.conv(F.substring(F.md5("word"), 1, 2), 16, 10).cast("int").bitwiseAND(F.lit(252)) / 4
     counts = tokens.groupBy("doc_id", "lang", bucket.cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
