@@ -12,6 +12,7 @@ from ..functions import columns as C
 from ..functions.columns import let
 from ..operators import blinding as B, controls as K, crossframe as X, detectors as D, preprocess as P
 from ..operators import review as R, sampling as S, stats
+from ..operators.ordering import attach_totals
 from ..session import cut, spread
 from ..sources import sinks
 
@@ -263,21 +264,24 @@ class Experiment:
         state, summary = self.state(), self.summary()
         top = self.candidates()
         shown = [c for c in top.columns if c not in ("candidate_rois",)]
-        candidates = top.agg(F.array_sort(F.collect_list(F.struct("rank", *[c for c in shown if c != "rank"]))))
-        unblinded = F.lit(self.unblinded())
-        texts = self.results().agg(F.coalesce(F.max("word_count"), F.lit(0)) > 0)
+        # At most the twenty candidates of the report are gathered.
+        candidates = top.agg(F.array_sort(F.collect_list(F.struct("rank", *[c for c in shown if c != "rank"]))).alias("top_candidates"))
+        texts = self.results().agg((F.coalesce(F.max("word_count"), F.lit(0)) > 0).alias("any_text"))
+        row = attach_totals(attach_totals(summary, texts, []), candidates, [])
         listed = R.badges(
-            unblinded, F.col("calibration_passed"), F.col("synthetic_positive_count"), F.coalesce("control_count", F.lit(0)),
-            texts.scalar(), F.lit(0), F.lit(state["complete"]))
-        return summary.select(
+            F.lit(self.unblinded()), F.col("calibration_passed"), F.col("synthetic_positive_count"), F.coalesce("control_count", F.lit(0)),
+            F.col("any_text"), F.lit(0), F.lit(state["complete"]))
+        return row.select(
             F.lit(state["run_id"]).alias("run_id"), F.lit(state["protocol"]).alias("protocol"), F.lit(state["review_state"]).alias("review_state"),
-            listed.alias("badges"), F.struct(*summary.columns).alias("summary"), candidates.scalar().alias("top_candidates"))
+            listed.alias("badges"), F.struct(*summary.columns).alias("summary"), "top_candidates")
 
     def export_candidates(self, path: str):
         sinks.write_candidates(self.candidates(), path, self.unblinded())
 
     def export_bundle(self, path: str, include_media=False):
         """IO9: report, results and asset hashes; media only after the reveal."""
+        if include_media and not self.unblinded():
+            raise ValueError("source media cannot be exported until the review is explicitly unblinded")
         state = self.spark.createDataFrame([tuple(self.state().values())], STATE_SCHEMA)
         manifest = state.select(F.lit(1).alias("schema_version"), F.col("run_id").alias("experiment_id"), F.col("seed").alias("blind_seed"),
                                 "protocol", F.col("profile").alias("preprocessing_profiles"), "digest")
