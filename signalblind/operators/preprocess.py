@@ -147,35 +147,37 @@ def variant_hash(profile, name, steps):
 def expand_variants(df: DataFrame, profile: str, channels=1) -> DataFrame:
     """Every frame under every variant of a profile (5 or 19), in one scan.
 
-    Steps differ by variant, so the cross with the variant list is written as one
-    column per variant, stacked into rows at the end; nothing is shuffled.
+    Each frame row is repeated per variant and a row runs only the steps of its own
+    variant, so one processed frame is in memory at a time and nothing is shuffled.
+    Edge variants share one Arrow pass; other rows send it an empty grid.
     """
     if profile not in PROFILES:
         raise ValueError(f"unknown preprocessing profile: {profile}")
-    own = df.columns
-    stacked = []
-    for i, (name, steps) in enumerate(PROFILES[profile]):
-        px, size, now = F.col("pixels"), F.lit(1), channels
-        for j, step in enumerate(steps.split()):
-            h, w = F.col("height") * size, F.col("width") * size
+    listed = F.array(*[
+        F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("variant")) for i, (name, _) in enumerate(PROFILES[profile])])
+    keys = [c for c in df.columns if c not in ("pixels", "height", "width")]
+    rows = df.select("*", F.explode_outer(listed).alias("_v")).select(*df.columns, "_v.*")
+    h, w = F.col("height"), F.col("width")
+    # The first branches keep the CASE chains well-formed for profiles without such steps.
+    thin, final, scale = F.when(F.lit(False), F.col("pixels")), F.when(F.lit(False), F.col("pixels")), F.when(F.lit(False), 1)
+    for name, steps in PROFILES[profile]:
+        mine, px, size, now = F.col("variant") == name, F.col("pixels"), 1, channels
+        for step in steps.split():
             single = column_step(step)
             if single is not None:
-                px = let(px, lambda p: single(p, h, w, now))
+                px = let(px, lambda p: single(p, h * size, w * size, now))
                 now = 1 if step == "grayscale" else now
-                size = F.lit(2) if step == "resize_2x" else size
-            elif step in CANNY:
-                df = df.withColumn(f"_v{i}_{j}", fenced(let(px, lambda p: grids.edge_candidates(p, h, w, *CANNY[step]))))
-                df = df.withColumn(f"_v{i}_{j}", link_edges(f"_v{i}_{j}", h, w))
-                px = F.col(f"_v{i}_{j}")
+                size = 2 if step == "resize_2x" else size
+            elif step in CANNY and size == 1:
+                thin = thin.when(mine, let(px, lambda p: grids.edge_candidates(p, h, w, *CANNY[step])))
+                px = F.col("_linked")
             else:
                 raise ValueError(f"step {step} works on a whole DataFrame; run it with apply_steps")
-        stacked.append(F.struct(
-            F.lit(i).alias("ordinal"), F.lit(name).alias("variant"), px.alias("pixels"),
-            (F.col("height") * size).alias("height"), (F.col("width") * size).alias("width")))
-    keys = [c for c in own if c not in ("pixels", "height", "width")]
-    # Fenced, so that reading two fields of a variant does not build the list twice.
-    listed = df.select(*keys, fenced(F.array(*stacked)).alias("_all"))
-    return listed.select(*keys, F.explode_outer("_all").alias("_v")).select(*keys, "_v.*")
+        final, scale = final.when(mine, px), scale.when(mine, size)
+    thinned = rows.withColumn("_thin", fenced(thin.otherwise(F.array().cast("array<int>"))))
+    linked = thinned.withColumn("_linked", link_edges("_thin", h, w)).withColumn("_scale", scale)
+    return linked.select(*keys, "ordinal", "variant", final.alias("pixels"), (h * F.col("_scale")).alias("_height"), (
+        w * F.col("_scale")).alias("_width")).withColumnsRenamed({"_height": "height", "_width": "width"})
 
 
 def crop(df: DataFrame, x: int, y: int, width=None, height=None) -> DataFrame:

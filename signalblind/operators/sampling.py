@@ -58,23 +58,36 @@ def resolve_plan(captures: DataFrame, profile_table: DataFrame) -> DataFrame:
     )
 
 
+def _positions(frames, by, order, name, extra=()):
+    """Positions over the key columns alone, so that pixels stay out of the ordering."""
+    keys = frames.select(by, order, *extra)
+    return running_count(keys, [by], [F.col(order)], F.floor(F.col(order) / CHUNK), name).withColumn(name, F.col(name) - 1)
+
+
+def _back(frames, keys, by, order):
+    """Frames of the given keys; few keys make this a broadcast join."""
+    wide = [c for c in frames.columns if c not in keys.columns]
+    return frames.join(keys.drop(*[c for c in keys.columns if c in frames.columns and c not in (by, order)]), [by, order]) if wide else keys
+
+
 def with_position(frames: DataFrame, by="capture_id", order="frame_index", name="position") -> DataFrame:
     """0-based position of every frame in its capture, unreadable ones included."""
-    bucket = F.floor(F.col(order) / CHUNK)
-    return running_count(frames, [by], [F.col(order)], bucket, name).withColumn(name, F.col(name) - 1)
+    return _back(frames, _positions(frames, by, order, name), by, order)
 
 
 def interval_sample(frames: DataFrame, k, by="capture_id", order="frame_index") -> DataFrame:
     """every k-th frame. F2 is the same with k = 1. ``k`` is a number or a column name."""
-    step = F.col(k) if isinstance(k, str) else F.lit(k)
-    return with_position(frames, by, order).filter(F.col("position") % step == 0)
+    step, extra = (F.col(k), [k]) if isinstance(k, str) else (F.lit(k), [])
+    keys = _positions(frames, by, order, "position", extra).filter(F.col("position") % step == 0)
+    return _back(frames, keys, by, order)
 
 
 def cap_frames(frames: DataFrame, cap: int, by="capture_id", order="frame_index") -> DataFrame:
     """The first ``cap`` frames of each capture."""
     if cap is None:
         return frames
-    return with_position(frames, by, order, "_p").filter(F.col("_p") < cap).drop("_p")
+    keys = _positions(frames, by, order, "_p").filter(F.col("_p") < cap)
+    return _back(frames, keys, by, order).drop("_p")
 
 
 def number_frames(frames: DataFrame, by="capture_id", order="frame_index") -> DataFrame:

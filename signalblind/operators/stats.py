@@ -17,8 +17,9 @@ def sample_scores(results: DataFrame, by=(), sample="sample_id", label="unblinde
                   score="primary_metric_score", fallback=None, persistence="persistence_score") -> DataFrame:
     """Mean score and persistence of a sample over its variants."""
     value = F.coalesce(F.col(score), F.col(fallback)) if fallback else F.col(score)
-    sums = results.groupBy(*by, sample).agg(
-        F.first(label).alias("unblinded_label"), F.count(F.lit(1)).alias("variants"),
+    # A sample has one label; grouping by it keeps the aggregate hash-based.
+    sums = results.groupBy(*by, sample, F.col(label).alias("unblinded_label")).agg(
+        F.count(F.lit(1)).alias("variants"),
         F.sum(micros(F.coalesce(value, F.lit(0.0)))).alias("_s"),
         F.sum(micros(F.coalesce(F.col(persistence), F.lit(0.0)))).alias("_p"))
     return sums.select(
@@ -77,10 +78,12 @@ def empirical_p(scores: DataFrame, by=(), value="score") -> DataFrame:
     """Share of controls scoring at least as high, with the add-one rule.
 
     Rows collapse to distinct scores before anything is ordered. Every sample is a
-    candidate, controls and the calibration sample included.
+    candidate, controls and the calibration sample included. ``scores`` is read twice,
+    so hand in a stored table.
     """
     keyed = scores.withColumn("_v", micros(F.col(value) * 1000))
-    levels = keyed.groupBy(*by, "_v").agg(F.count(F.when(F.col("role") == "control", 1)).alias("_c"))
+    # Few next to the samples and read three times, so written out once.
+    levels = cut(keyed.groupBy(*by, "_v").agg(F.count(F.when(F.col("role") == "control", 1)).alias("_c")))
     above = running_sum(levels, list(by), [F.desc("_v")], F.floor(-F.col("_v") / 1e6), "_c", "_ge")
     totals = _grouped(levels, by).agg(F.sum("_c").alias("_n"))
     above = attach_totals(above, totals, by)
@@ -91,7 +94,7 @@ def empirical_p(scores: DataFrame, by=(), value="score") -> DataFrame:
 def bh_q(df: DataFrame, p="p_value", by=(), name="q_value") -> DataFrame:
     """Benjamini-Hochberg step-up over distinct p-values; ties share the highest rank."""
     clipped = df.withColumn("_p", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(p))))
-    levels = clipped.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    levels = cut(clipped.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_n")))
     totals = _grouped(levels, by).agg(F.sum("_n").alias("_m"))
     ranked = running_sum(levels, list(by), [F.col("_p")], _score_bucket(F.col("_p")), "_n", "_k")
     ranked = attach_totals(ranked, totals, by)

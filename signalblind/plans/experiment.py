@@ -138,14 +138,22 @@ class Experiment:
         if self.state()["review_state"] == "blinded":
             raise ValueError(f"the latest review is still blinded; unblind it before {what}")
 
-    def add_capture(self, frames: DataFrame, **sampling):
-        """Ingest packed frames (capture_id, frame_index, role, pixels, height, width)."""
+    def add_capture(self, frames: DataFrame, metadata=None, kind="image-set", fps=None, **sampling):
+        """Ingest packed frames (capture_id, frame_index, role, pixels, height, width) with
+        the recorded capture metadata; what is missing there becomes a warning."""
         self._require_open("changing captures")
         bad = frames.filter(~F.col("role").isin(*C.CAPTURE_ROLES)).select("role").first()
         if bad is not None:
             raise ValueError(f"unknown capture role {bad['role']!r}; expected one of {C.CAPTURE_ROLES}")
         kept = ingest(with_measures(frames), **sampling).drop("thumb")
         kept.write.mode("append").partitionBy("capture_id").parquet(f"{self.path}/frames")
+        recorded = lambda field: F.lit(None if metadata is None else metadata.get(field)).cast("string")
+        warnings = R.provenance_warnings(recorded, F.col("width"), F.col("height"), F.lit(kind), F.lit(fps).cast("double"))
+        frames.groupBy("capture_id", "role").agg(F.min("width").alias("width"), F.min("height").alias("height")).select(
+            "capture_id", "role", F.lit(kind).alias("kind"), warnings.alias("warnings")).write.mode("append").parquet(f"{self.path}/captures")
+
+    def captures(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/captures")
 
     def frames(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/frames")
@@ -267,10 +275,12 @@ class Experiment:
         # At most the twenty candidates of the report are gathered.
         candidates = top.agg(F.array_sort(F.collect_list(F.struct("rank", *[c for c in shown if c != "rank"]))).alias("top_candidates"))
         texts = self.results().agg((F.coalesce(F.max("word_count"), F.lit(0)) > 0).alias("any_text"))
-        row = attach_totals(attach_totals(summary, texts, []), candidates, [])
+        row = summary
+        for part in (texts, candidates, stats.warning_count(self.captures())):
+            row = attach_totals(row, part, [])
         listed = R.badges(
             F.lit(self.unblinded()), F.col("calibration_passed"), F.col("synthetic_positive_count"), F.coalesce("control_count", F.lit(0)),
-            F.col("any_text"), F.lit(0), F.lit(state["complete"]))
+            F.col("any_text"), F.coalesce("warning_count", F.lit(0)), F.lit(state["complete"]))
         return row.select(
             F.lit(state["run_id"]).alias("run_id"), F.lit(state["protocol"]).alias("protocol"), F.lit(state["review_state"]).alias("review_state"),
             listed.alias("badges"), F.struct(*summary.columns).alias("summary"), "top_candidates")

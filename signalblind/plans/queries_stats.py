@@ -5,6 +5,7 @@ from pyspark.sql import Window, functions as F
 from ..functions import columns as C
 from ..functions.columns import round6
 from ..operators import blinding as B, crossframe as X, detectors as D, review as R, stats as S
+from ..session import cut
 from ..sources import sinks
 from ..sources.tables import frames, results, table
 from .queries_detectors import BEST, SPECKLE, TIES, W1
@@ -18,6 +19,11 @@ def line_scores(spark, sf):
     return S.sample_scores(results(spark, sf), **NAMES)
 
 
+def kept_scores(spark, sf):
+    """The same, written out once for statistics that read it several times."""
+    return cut(line_scores(spark, sf))
+
+
 # --- statistics --------------------------------------------------------------------------
 
 
@@ -75,18 +81,16 @@ def _(spark, sf):
 
 @query("s4_empirical_p", f"WITH {SCORES}, {EMPIRICAL} SELECT sample_id, role, p_value FROM empirical")
 def _(spark, sf):
-    return S.empirical_p(line_scores(spark, sf)).select("sample_id", "role", "p_value")
+    return S.empirical_p(kept_scores(spark, sf)).select("sample_id", "role", "p_value")
 
 
 @query("s5_bh_q_values", f"WITH {SCORES}, {EMPIRICAL}, {STEP_UP} SELECT sample_id, p_value, q_value FROM qvalues")
 def _(spark, sf):
-    return S.bh_q(S.empirical_p(line_scores(spark, sf))).select("sample_id", "p_value", "q_value")
+    return S.bh_q(S.empirical_p(kept_scores(spark, sf))).select("sample_id", "p_value", "q_value")
 
 
 @query("s6_permutation_p", f"{FRAME_SCORES}, {permutation_sql(SEED)} SELECT CAST(permutation_p_value AS DOUBLE) AS permutation_p_value FROM permuted")
 def _(spark, sf):
-    from ..session import cut
-
     return S.permutation_p(cut(S.sample_scores(frame_results(spark, sf))), SEED)
 
 
@@ -336,7 +340,7 @@ def _(spark, sf):
 def _(spark, sf):
     from ..operators.ordering import running_sum
 
-    keyed = line_scores(spark, sf).withColumn("sv", C.micros(F.col("score") * 1000))
+    keyed = kept_scores(spark, sf).withColumn("sv", C.micros(F.col("score") * 1000))
     levels = keyed.groupBy("sv").agg(F.count(F.when(F.col("role") == "control", 1)).alias("c"))
     return running_sum(levels, [], [F.desc("sv")], F.floor(-F.col("sv") / 1e6), "c", "controls_at_or_above").select("sv", "controls_at_or_above")
 
@@ -454,7 +458,7 @@ def _(spark, sf):
 
 @query("j5_q_attach", f"WITH {SCORES}, {EMPIRICAL}, {STEP_UP} SELECT r.sample_id, r.variant, r.l_partkey, q.q_value FROM results r LEFT JOIN qvalues q USING (sample_id)")
 def _(spark, sf):
-    q = S.bh_q(S.empirical_p(line_scores(spark, sf)))
+    q = S.bh_q(S.empirical_p(kept_scores(spark, sf)))
     return S.attach_q(results(spark, sf), q).select("sample_id", "variant", "l_partkey", "q_value")
 
 

@@ -28,7 +28,7 @@ def captures(spark):
 
 def test_whole_experiment(spark, tmp_path):
     exp = E.Experiment.create(spark, str(tmp_path / "exp"))
-    exp.add_capture(captures(spark), interval=1)
+    exp.add_capture(captures(spark), metadata={"camera": "bench"}, interval=1)
     frames = exp.frames()
     assert frames.count() == 8, "the byte copy is dropped"
     assert exp.estimate("baseline").first().asDict() == {"sample_count": 8 + 12 + 1, "preprocessing_variants": 5, "detector_records": 105, "runtime_label": "short"}
@@ -58,6 +58,7 @@ def test_whole_experiment(spark, tmp_path):
     exp.complete_review()
     badges = exp.report().first().badges
     assert badges[:2] == ["review blinded", "source roles sealed"] and "blind review complete" in badges
+    assert "provenance warnings: 6" in badges
     exp.export_bundle(str(tmp_path / "blind"))
     text = "".join(p.read_text() for p in (tmp_path / "blind").rglob("*.json"))
     assert "cap-a" not in text and "laser\"" not in text and "digest" not in text

@@ -70,6 +70,16 @@ def test_registered_step_and_variants_in_one_scan(spark):
     assert "Exchange" not in plan and plan.count("Scan ") == 1
 
 
+@pytest.mark.parametrize("profile", ["baseline", "wide", "text_preparation"])
+def test_variants_equal_their_steps(spark, profile):
+    df = frame(spark, noise(16, 24, 1), noise(9, 9, 2))
+    both = {(r.frame_id, r.variant): (r.height, r.width, r.pixels) for r in P.expand_variants(df, profile).collect()}
+    assert len(both) == 2 * len(P.PROFILES[profile])
+    for name, steps in P.PROFILES[profile]:
+        for r in P.apply_steps(df, steps.split()).collect():
+            assert both[r.frame_id, name] == (r.height, r.width, r.pixels), name
+
+
 def test_detection_does_not_shuffle_frames(spark):
     plan = D.measure(frame(spark, noise(8, 8)), ["frame_id"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
