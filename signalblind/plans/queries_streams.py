@@ -30,19 +30,19 @@ def event_stream(spark, sf):
 
 @query("st1_stream_deduplicate", GREEDY + " SELECT capture_id, frame_index, CASE WHEN dup THEN 'duplicate' ELSE 'kept' END AS status FROM walk")
 def _(spark, sf):
-    ST.use_rocksdb(spark)
     # One file in frame order stands for frames arriving in order.
     sigs = document_signatures(spark, sf).orderBy("frame_index").coalesce(1)
-    return drained(spark, ST.deduplicate_stream(stream_of(spark, sigs, "signatures"), max_frames=None), "dedup")
+    with ST.rocksdb_state(spark):
+        return drained(spark, ST.deduplicate_stream(stream_of(spark, sigs, "signatures"), max_frames=None), "dedup")
 
 
 @query("st2_stream_scene_change")
 def _(spark, sf):
-    ST.use_rocksdb(spark)
     shots = frames(spark, sf).select(
         "capture_id", "frame_index", F.timestamp_seconds("frame_index").alias("ts"),
         scene_thumbnail(F.col("pixels"), F.col("height"), F.col("width")).alias("thumb"))
-    return drained(spark, ST.scene_change_stream(stream_of(spark, shots, "shots"), 0.12), "scene")
+    with ST.rocksdb_state(spark):
+        return drained(spark, ST.scene_change_stream(stream_of(spark, shots, "shots"), 0.12), "scene")
 
 
 SINCE = "(SELECT epoch(max(ts)) - 600 FROM events)"

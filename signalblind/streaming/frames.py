@@ -1,5 +1,7 @@
 """Ordered frame ingest as Structured Streaming (ST1-ST3)."""
 
+from contextlib import contextmanager
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -11,9 +13,19 @@ from pyspark.sql.types import (
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def use_rocksdb(spark):
-    """Keyed state lives in RocksDB, checkpointed with the query, so it may outgrow memory."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+@contextmanager
+def rocksdb_state(spark):
+    """Keyed state in RocksDB, checkpointed with the query, so it may outgrow memory.
+
+    The setting counts when a query starts and is put back afterwards.
+    """
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
 class _Deduplicate(StatefulProcessor):
