@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import columns as C, features, grids
 from ..functions.columns import fenced, height, let, pixels, round6, width
 from ..functions.kernels import component_boxes, spectrum_peak
+from ..session import cut
 from .ordering import top_per_group
 from .preprocess import canny
 
@@ -263,11 +264,14 @@ def measure(df: DataFrame, keys: list, carry=(), original=None) -> DataFrame:
 
 
 def detect(df: DataFrame, keys: list, metric="structure_score", words: DataFrame = None, carry=(), original=None) -> DataFrame:
-    """All features of each (sample, variant) row with T12-T14 scores."""
-    out = complete(measure(df, keys, carry, original), keys, metric, words)
+    """All features of each (sample, variant) row with T12-T14 scores.
+
+    Measurements feed the scores and the line votes, so they are written out once.
+    """
+    out = complete(cut(measure(df, keys, carry, original).drop("mask")), keys, metric, words)
     for fn in _CUSTOM.values():
         out = out.join(fn(df, keys), keys, "left")
-    return out.drop("mask", "points", "height", "width")
+    return out.drop("points", "height", "width")
 
 
 def complete(measured: DataFrame, keys: list, metric="structure_score", words: DataFrame = None) -> DataFrame:

@@ -50,6 +50,38 @@ def test_resize_doubles_the_frame(spark):
     assert (out.height, out.width, set(out.pixels)) == (8, 12, {77})
 
 
+def clahe(img, tiles=8, clip=2.0):
+    """Plain loops: clipped tile tables, blended between tile centres."""
+    th, tw = img.shape[0] // tiles, img.shape[1] // tiles
+    luts = np.zeros((tiles, tiles, 256))
+    for ty, tx in np.ndindex(tiles, tiles):
+        h = np.bincount(img[ty * th:(ty + 1) * th, tx * tw:(tx + 1) * tw].ravel(), minlength=256)
+        limit = max(int(clip * th * tw / 256), 1)
+        over = np.maximum(h - limit, 0).sum()
+        h = np.minimum(h, limit) + over // 256
+        rest = over % 256
+        step = max(256 // rest, 1) if rest else 1
+        for i in range(rest):
+            h[i * step] += 1
+        luts[ty, tx] = np.clip(np.floor(np.cumsum(h) * 255 / (th * tw) + 0.5), 0, 255)
+    out = np.zeros(img.shape, int)
+    clamp = lambda i: min(max(i, 0), tiles - 1)
+    for y, x in np.ndindex(img.shape):
+        fy, fx = y / th - 0.5, x / tw - 0.5
+        y1, x1 = int(np.floor(fy)), int(np.floor(fx))
+        wy, wx, v = fy - y1, fx - x1, img[y, x]
+        upper = luts[clamp(y1), clamp(x1), v] * (1 - wx) + luts[clamp(y1), clamp(x1 + 1), v] * wx
+        lower = luts[clamp(y1 + 1), clamp(x1), v] * (1 - wx) + luts[clamp(y1 + 1), clamp(x1 + 1), v] * wx
+        out[y, x] = np.floor(upper * (1 - wy) + lower * wy + 0.5)
+    return out
+
+
+def test_clahe_matches_plain_loops(spark):
+    busy, smooth = noise(64, 80, 6), (np.indices((48, 64)).sum(axis=0) * 2) % 256
+    for got, img in zip(pixels_of(P.apply_steps(frame(spark, busy, smooth), ["clahe"])), (busy, smooth)):
+        assert (got == clahe(img)).all()
+
+
 def test_unknown_step_and_profile_are_refused(spark):
     with pytest.raises(ValueError):
         P.apply_steps(frame(spark, noise(4, 4)), ["emboss"])
