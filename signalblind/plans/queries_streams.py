@@ -38,8 +38,9 @@ def _(spark, sf):
 
 @query("st2_stream_scene_change")
 def _(spark, sf):
+    # One frame per second from the second day on: time zero counts as late from the start.
     shots = frames(spark, sf).select(
-        "capture_id", "frame_index", F.timestamp_seconds("frame_index").alias("ts"),
+        "capture_id", "frame_index", F.timestamp_seconds(F.col("frame_index") + 86400).alias("ts"),
         scene_thumbnail(F.col("pixels"), F.col("height"), F.col("width")).alias("thumb"))
     with ST.rocksdb_state(spark):
         return drained(spark, ST.scene_change_stream(stream_of(spark, shots, "shots"), 0.12), "scene")

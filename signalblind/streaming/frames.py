@@ -133,8 +133,11 @@ class _SceneChange(StatefulProcessor):
 
 
 def scene_change_stream(frames: DataFrame, threshold=0.10, delay="10 seconds", order="frame_index", ts="ts") -> DataFrame:
-    """ST2: scene-change sampling of ``thumb`` grids in event-time order; late rows are
-    reported, not applied."""
+    """ST2: scene-change sampling of ``thumb`` grids in event-time order.
+
+    Late rows are never applied: Spark drops rows behind the watermark and counts them in
+    the query progress; one that still gets through is reported with status late.
+    """
     schema = StructType([
         StructField("capture_id", frames.schema["capture_id"].dataType), StructField(order, LongType()),
         StructField("status", StringType())])

@@ -25,12 +25,12 @@ def test_late_frames_are_reported_not_applied(spark):
         [("c", 3, [99] * 4), ("c", 70, [5] * 4)],
         [("c", 200, [200] * 4)],
     ]
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     out, checkpoint = scratch_path(spark, "late-out"), scratch_path(spark, "late-checkpoint")
     with ST.rocksdb_state(spark):
         for batch in batches:
             spark.createDataFrame(batch, "capture_id string, frame_index bigint, thumb array<int>").withColumn(
-                "ts", F.timestamp_seconds("frame_index")).select("capture_id", "frame_index", "ts", "thumb").coalesce(1).write.mode("append").parquet(path)
+                "ts", F.timestamp_seconds(F.col("frame_index") + 86400)).select("capture_id", "frame_index", "ts", "thumb").coalesce(1).write.mode("append").parquet(path)
+            stream = spark.readStream.schema(schema).parquet(path)
             seen = {r.frame_index: r.status for r in ST.run_to_end(ST.scene_change_stream(stream, 0.1, "5 seconds"), out, checkpoint).collect()}
     assert 3 not in seen or seen[3] == "late"
     assert seen[0] == "kept" and all(seen[i] in ("kept", "same_scene") for i in (10, 20, 30, 40, 50, 70))
