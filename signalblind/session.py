@@ -35,13 +35,26 @@ def ensure_checkpoint_dir(spark: SparkSession):
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="signalblind-checkpoint-"))
 
 
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, *keys) -> DataFrame:
     """Write ``df`` out once and drop its lineage; survives executor loss.
 
+    The shuffle files behind it are removed then, for nothing reads them again.
     With ``keys`` a small result is spread over all cores again.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    try:
+        spark.conf.set(CLEAN_SHUFFLES, "true")
+        out = df.select("*").checkpoint(eager=True)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_SHUFFLES)
+        else:
+            spark.conf.set(CLEAN_SHUFFLES, before)
     return spread(out, *keys) if keys else out
 
 
