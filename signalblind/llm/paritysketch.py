@@ -97,7 +97,6 @@ def sets_of(docs: DataFrame, ids: DataFrame, words) -> DataFrame:
                 sets = [T.mix(s) for s in T.Words(data, offsets, lower=True).shingle_sets(words)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([np.sort(s).tobytes() for s in sets], pa.binary())], ["doc", "shingles"])
 
-    # an id that occurs on several rows counts as one document, the largest set standing for it
     return some.mapInArrow(run, "doc bigint, shingles binary").groupBy("doc").agg(F.max("shingles").alias("shingles"))
 
 
@@ -203,8 +202,8 @@ def linked(docs: DataFrame, num=90, den=100, words=3) -> DataFrame:
     distinct ``words``-word shingles (letters A-Z lower-cased; a text with fewer words is
     one shingle). ``component_id`` is the smallest doc_id reachable by links. Texts that
     are null or have no word have the empty set, link with nothing and keep their own id.
-    Rows that share a doc_id count as one document; a row without a doc_id comes out with
-    its size and the component of its copies, or null. An empty table gives no rows; other
+    A row without a doc_id comes out with its size and the component of its copies, or null;
+    identical rows come out alike; ids are expected to name one text each. An empty table gives no rows; other
     columns are ignored.
     """
     bands = Bands(num, den)
@@ -214,7 +213,7 @@ def linked(docs: DataFrame, num=90, den=100, words=3) -> DataFrame:
     classes = cut(alive.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("doc"), first.alias("first")).select("doc", "n", "h1", "h2", "first.keys", "first.mini"))
     entries = classes.select("doc", F.explode("keys").alias("key"))
     groups = entries.groupBy("key").agg(F.min("doc").alias("rep"), F.count("*").alias("c")).filter("c > 1")
-    shared = cut(entries.join(groups, "key"))
+    shared = cut(entries.join(groups.hint("merge"), "key"))  # merged at every size; hot keys split
     size_of = classes.select("doc", "n", "mini")
 
     def verified(pairs):
@@ -223,7 +222,6 @@ def linked(docs: DataFrame, num=90, den=100, words=3) -> DataFrame:
         counted = shared_shingles(pairs, sets_of(docs, ids, words))
         return counted.filter(F.col("shared") * den >= num * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
-    copies = alive.join(classes.select("n", "h1", "h2", "doc"), ["n", "h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("doc").alias("b")).filter("a <> b")
     star = cut(verified(shared.filter("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b")).distinct()))
     label = components(star).select(F.col("node").alias("doc"), "component")
     members = cut(shared.join(label, "doc", "left").select("key", "c", "doc", "rep", F.coalesce("component", "doc").alias("comp")))
