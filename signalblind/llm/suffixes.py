@@ -27,7 +27,7 @@ from signalblind.llm.anchors import ANSWERS, _told
 from signalblind.session import cut
 
 Q = 16
-PER_BUCKET = 3 << 20
+PER_BUCKET = 1 << 20
 PER_QUESTION = 24 << 20
 _U = np.uint64
 _TABLE = T.table(7)
