@@ -13,8 +13,10 @@ VOCABULARY = "word_bpe_49k.json"
 def identified_language(spark, docs, sf_dir):
     """Drop documents without letters or whose language stays uncertain."""
     model = langid.fit(langid.training_rows(docs))
-    named = langid.predict(docs, model, docs.columns)
-    return named.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    # the columns travel as one struct, so none can clash with the prediction
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    named = langid.predict(rows, model, ["_row"])
+    return named.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("_row.*")
 
 
 def without(docs, ids):
