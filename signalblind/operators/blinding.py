@@ -15,7 +15,7 @@ SEALED_COLUMNS = [
     "primary_metric_score", "persistence_score",
 ]
 
-# Attribution restored by the reveal.
+# Attribution restored by the reveal.
 ATTRIBUTION = [
     "sample_id", "unblinded_label", "capture_id", "parent_capture_id", "frame_id", "parent_frame_id", "control_type",
     "frame_index", "timestamp_ms",
@@ -80,7 +80,7 @@ def check_digest(seal_map: DataFrame, expected: str):
     """Refuse to go on when the map is not the one that was sealed."""
     found = digest(seal_map).first()["digest"]
     if found != expected:
-        raise ValueError("the sealed map failed its integrity check; source roles were not revealed")
+        raise ValueError("integrity: the stored map is not the one that was sealed, so nothing is revealed")
 
 
 def write_seal(seal_map: DataFrame, path: str) -> str:

@@ -10,46 +10,46 @@ from ..functions.kernels import link_edges
 # The two preprocessing profiles (variant name and its steps, in order).
 PROFILES = {
     "baseline": [
-        ("grayscale", "grayscale"),
-        ("otsu", "grayscale gaussian_blur otsu_threshold"),
-        ("adaptive", "grayscale adaptive_threshold"),
-        ("equalized", "grayscale histogram_equalization otsu_threshold"),
-        ("edges", "grayscale gaussian_blur canny_edges"),
+        ("grayscale", ["grayscale"]),
+        ("otsu", ["grayscale", "gaussian_blur", "otsu_threshold"]),
+        ("adaptive", ["grayscale", "adaptive_threshold"]),
+        ("equalized", ["grayscale", "histogram_equalization", "otsu_threshold"]),
+        ("edges", ["grayscale", "gaussian_blur", "canny_edges"]),
     ],
     "wide": [
-        ("grayscale", "grayscale"),
-        ("clahe", "grayscale clahe"),
-        ("sharpen_otsu", "grayscale sharpen otsu_threshold"),
-        ("invert_otsu", "grayscale invert otsu_threshold"),
-        ("threshold_64", "grayscale threshold_64"),
-        ("threshold_96", "grayscale threshold_96"),
-        ("threshold_128", "grayscale threshold_128"),
-        ("threshold_160", "grayscale threshold_160"),
-        ("threshold_192", "grayscale threshold_192"),
-        ("adaptive_15", "grayscale adaptive_threshold_15"),
-        ("adaptive_31", "grayscale adaptive_threshold_31"),
-        ("adaptive_51", "grayscale adaptive_threshold_51"),
-        ("edges_low", "grayscale gaussian_blur canny_low"),
-        ("edges_standard", "grayscale gaussian_blur canny_edges"),
-        ("edges_high", "grayscale gaussian_blur canny_high"),
-        ("morph_close", "grayscale otsu_threshold morph_close_2"),
-        ("morph_open", "grayscale otsu_threshold morph_open_2"),
-        ("morph_gradient", "grayscale morph_gradient_3"),
-        ("resize_2x_otsu", "grayscale resize_2x otsu_threshold"),
+        ("grayscale", ["grayscale"]),
+        ("clahe", ["grayscale", "clahe"]),
+        ("sharpen_otsu", ["grayscale", "sharpen", "otsu_threshold"]),
+        ("invert_otsu", ["grayscale", "invert", "otsu_threshold"]),
+        ("threshold_64", ["grayscale", "threshold_64"]),
+        ("threshold_96", ["grayscale", "threshold_96"]),
+        ("threshold_128", ["grayscale", "threshold_128"]),
+        ("threshold_160", ["grayscale", "threshold_160"]),
+        ("threshold_192", ["grayscale", "threshold_192"]),
+        ("adaptive_15", ["grayscale", "adaptive_threshold_15"]),
+        ("adaptive_31", ["grayscale", "adaptive_threshold_31"]),
+        ("adaptive_51", ["grayscale", "adaptive_threshold_51"]),
+        ("edges_low", ["grayscale", "gaussian_blur", "canny_low"]),
+        ("edges_standard", ["grayscale", "gaussian_blur", "canny_edges"]),
+        ("edges_high", ["grayscale", "gaussian_blur", "canny_high"]),
+        ("morph_close", ["grayscale", "otsu_threshold", "morph_close_2"]),
+        ("morph_open", ["grayscale", "otsu_threshold", "morph_open_2"]),
+        ("morph_gradient", ["grayscale", "morph_gradient_3"]),
+        ("resize_2x_otsu", ["grayscale", "resize_2x", "otsu_threshold"]),
     ],
     # Chains of the older text-preparation scripts.
     "text_preparation": [
-        ("blur_otsu", "gaussian_blur otsu_threshold"),
-        ("denoise_adaptive", "bilateral histogram_equalization adaptive_threshold_11_2 morph_close_2 morph_open_2"),
-        ("edge_detection", "canny_high_200"),
-        ("thresholding", "otsu_threshold"),
-        ("morphological_operations", "morph_close_3"),
-        ("adaptive_thresholding", "adaptive_threshold_11_2"),
-        ("gaussian_blur", "gaussian_blur"),
-        ("sharpening", "sharpen"),
-        ("histogram_equalization", "histogram_equalization"),
-        ("median_blur", "median_5"),
-        ("bilateral_filter", "bilateral"),
+        ("blur_otsu", ["gaussian_blur", "otsu_threshold"]),
+        ("denoise_adaptive", ["bilateral", "histogram_equalization", "adaptive_threshold_11_2", "morph_close_2", "morph_open_2"]),
+        ("edge_detection", ["canny_high_200"]),
+        ("thresholding", ["otsu_threshold"]),
+        ("morphological_operations", ["morph_close_3"]),
+        ("adaptive_thresholding", ["adaptive_threshold_11_2"]),
+        ("gaussian_blur", ["gaussian_blur"]),
+        ("sharpening", ["sharpen"]),
+        ("histogram_equalization", ["histogram_equalization"]),
+        ("median_blur", ["median_5"]),
+        ("bilateral_filter", ["bilateral"]),
     ],
 }
 
@@ -133,7 +133,7 @@ def variants(spark: SparkSession, profile: str) -> DataFrame:
     """The variants of a profile with the hash of their definition."""
     if profile not in PROFILES:
         raise ValueError(f"unknown preprocessing profile: {profile}")
-    rows = [(profile, i, name, steps.split()) for i, (name, steps) in enumerate(PROFILES[profile])]
+    rows = [(profile, i, name, steps) for i, (name, steps) in enumerate(PROFILES[profile])]
     table = spark.createDataFrame(rows, "profile string, ordinal int, variant string, steps array<string>")
     return table.withColumn("hash", variant_hash(F.col("profile"), F.col("variant"), F.col("steps")))
 
@@ -162,7 +162,7 @@ def expand_variants(df: DataFrame, profile: str, channels=1) -> DataFrame:
     thin, final, scale = F.when(F.lit(False), F.col("pixels")), F.when(F.lit(False), F.col("pixels")), F.when(F.lit(False), 1)
     for name, steps in PROFILES[profile]:
         mine, px, size, now = F.col("variant") == name, F.col("pixels"), 1, channels
-        for step in steps.split():
+        for step in steps:
             single = column_step(step)
             if single is not None:
                 px = let(px, lambda p: single(p, h * size, w * size, now))

@@ -11,20 +11,20 @@ REVIEW_FLAGS = ["interesting", "artifact", "ocr_hit", "persistent", "exclude"]
 # Protocol presets (id, name, profile, primary metric, family, quality checks, science options).
 PROTOCOLS = [
     ("diffraction", "Diffraction / interference", "wide", "fft_peak_prominence", "diffraction",
-     "laser_capture control_capture frame_count saturation calibration",
-     "2D FFT spectrum; fringe spacing proxy; peak/ring stability",
+     ["laser_capture", "control_capture", "frame_count", "saturation", "calibration"],
+     ["2D FFT spectrum", "fringe spacing proxy", "peak/ring stability"],
      "Looks for repeatable spatial-frequency structure such as fringes, peaks, and rings."),
     ("speckle", "Laser speckle / scatter", "wide", "speckle_contrast", "speckle",
-     "laser_capture control_capture frame_count saturation stability",
-     "spatial speckle contrast; local variance map; temporal contrast proxy",
+     ["laser_capture", "control_capture", "frame_count", "saturation", "stability"],
+     ["spatial speckle contrast", "local variance map", "temporal contrast proxy"],
      "Measures spatial and frame-to-frame speckle contrast against matched controls."),
     ("ocr", "OCR / symbol recovery", "baseline", "ocr_symbol_score", "symbol",
-     "laser_capture control_capture ocr_available calibration",
-     "OCR confidence; connected components; synthetic known-text calibration",
+     ["laser_capture", "control_capture", "ocr_available", "calibration"],
+     ["OCR confidence", "connected components", "synthetic known-text calibration"],
      "Keeps OCR as a detector while requiring synthetic-positive calibration and controls."),
     ("anomaly", "General anomaly scan", "wide", "structure_score", "anomaly",
-     "laser_capture control_capture frame_count fdr",
-     "texture features; edge/line density; frame persistence; FDR correction",
+     ["laser_capture", "control_capture", "frame_count", "fdr"],
+     ["texture features", "edge/line density", "frame persistence", "FDR correction"],
      "Broad texture, edge, OCR, and persistence scan with stricter false-positive language."),
 ]
 
@@ -124,6 +124,7 @@ def provenance_warnings(meta, media_width, media_height, kind, fps) -> Column:
         F.lit(code).alias("code"), F.lit("warning").alias("severity"), F.lit(message).alias("message"))
     empty = lambda c: F.coalesce(c, F.lit("")) == ""
     zero = lambda c: F.coalesce(c, F.lit(0)) == 0
+    # Codes and texts of the warnings.
     rules = [(empty(meta(field)), f"missing_{field}", text) for field, text in RECOMMENDED_FIELDS] + [
         (zero(media_width) | zero(media_height), "unknown_resolution", "Media resolution could not be determined."),
         ((kind == "video") & zero(fps), "unknown_fps", "Video frame rate could not be determined."),
@@ -165,6 +166,7 @@ def source_provenance(samples: DataFrame, order: str, keys: list, fixture="fixtu
 
 def badges(unblinded, calibration_passed, positives, controls, any_text, warnings, complete) -> Column:
     """Q1: badge list of a run, in fixed order; arguments are Columns."""
+    # Texts of the badges.
     rules = [
         F.when(unblinded, "multiple comparisons corrected").otherwise("review blinded"),
         F.when(unblinded, "review unblinded").otherwise("source roles sealed"),
@@ -223,9 +225,8 @@ def validate_catalog(catalog: DataFrame, files: DataFrame = None) -> DataFrame:
 
 
 def protocols(spark: SparkSession) -> DataFrame:
-    schema = "protocol string, name string, profile string, primary_metric string, detector_family string, quality_checks string, science string, description string"
-    table = spark.createDataFrame(PROTOCOLS, schema)
-    return table.withColumns({"quality_checks": F.split("quality_checks", " "), "science": F.split("science", "; ")})
+    schema = "protocol string, name string, profile string, primary_metric string, detector_family string, quality_checks array<string>, science array<string>, description string"
+    return spark.createDataFrame(PROTOCOLS, schema)
 
 
 def with_protocol(df: DataFrame, table: DataFrame, want="protocol") -> DataFrame:

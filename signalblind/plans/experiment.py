@@ -291,7 +291,7 @@ class Experiment:
     def export_bundle(self, path: str, include_media=False):
         """IO9: report, results and asset hashes; media only after the reveal."""
         if include_media and not self.unblinded():
-            raise ValueError("source media cannot be exported until the review is explicitly unblinded")
+            raise ValueError("media stay back until the roles have been revealed")
         state = self.spark.createDataFrame([tuple(self.state().values())], STATE_SCHEMA)
         manifest = state.select(F.lit(1).alias("schema_version"), F.col("run_id").alias("experiment_id"), F.col("seed").alias("blind_seed"),
                                 "protocol", F.col("profile").alias("preprocessing_profiles"), "digest")

@@ -249,9 +249,9 @@ def _(spark, sf):
 
 @query("d9_dense_numbering", f"""WITH {FRAMES}
 SELECT frame_index, format('{{}}-frame-{{:06d}}', capture_id, row_number() OVER (PARTITION BY capture_id ORDER BY frame_index) - 1) AS frame_id
-FROM frames WHERE frame_index % 3 <> 0""")
+FROM frames""")
 def _(spark, sf):
-    kept = frames(spark, sf).select("capture_id", "frame_index").filter("frame_index % 3 <> 0")
+    kept = frames(spark, sf).select("capture_id", "frame_index")
     return S.number_frames(kept).select("frame_index", "frame_id")
 
 
@@ -381,8 +381,8 @@ FROM packed, taps a, taps b GROUP BY frame_id, a.i, b.i""")
 def _profile_sql(profile):
     rows = []
     for i, (name, steps) in enumerate(P.PROFILES[profile]):
-        listed = ",".join(f'"{s}"' for s in steps.split())
-        rows.append(f"('{profile}', {i}, '{name}', '{steps}', '{{\"profile\":\"{profile}\",\"variant\":{{\"name\":\"{name}\",\"steps\":[{listed}]}}}}')")
+        listed, spaced = ",".join(f'"{s}"' for s in steps), " ".join(steps)
+        rows.append(f"('{profile}', {i}, '{name}', '{spaced}', '{{\"profile\":\"{profile}\",\"variant\":{{\"name\":\"{name}\",\"steps\":[{listed}]}}}}')")
     return f"variants(profile, ordinal, variant, steps, def) AS (VALUES {', '.join(rows)})"
 
 

@@ -50,14 +50,14 @@ SINCE = "(SELECT epoch(max(ts)) - 600 FROM events)"
 
 
 @query("st3_window_means", f"""WITH hours AS (SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS start, event_type, value FROM events)
-SELECT start, event_type, count(*) AS n, round(sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) / count(*) / 100, 6) AS mean
+SELECT start, event_type, count(*) AS n, round(avg(value), 6) AS mean
 FROM hours GROUP BY start, event_type HAVING start + 3600 <= floor({SINCE} * 1000) / 1000""")
 def _(spark, sf):
     return drained(spark, ST.windowed_means(event_stream(spark, sf), ["event_type"], "value"), "windows")
 
 
 @query("st3_sliding_means", f"""WITH hops AS (SELECT event_type, value, CAST(floor(epoch(ts) / 900) * 900 AS BIGINT) - 900 * unnest(range(4)) AS start FROM events)
-SELECT start, event_type, count(*) AS n, round(sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) / count(*) / 100, 6) AS mean
+SELECT start, event_type, count(*) AS n, round(avg(value), 6) AS mean
 FROM hops GROUP BY ALL HAVING start + 3600 <= floor({SINCE} * 1000) / 1000""")
 def _(spark, sf):
     return drained(spark, ST.windowed_means(event_stream(spark, sf), ["event_type"], "value", slide="15 minutes"), "sliding")
@@ -66,6 +66,6 @@ def _(spark, sf):
 @query("st3_session_means", f"""WITH marked AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 runs AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM marked)
 SELECT CAST(floor(epoch(min(ts))) AS BIGINT) AS start, CAST(floor(epoch(max(ts)) + 1800) AS BIGINT) AS stop, user_id, count(*) AS n,
-  round(sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) / count(*) / 100, 6) AS mean FROM runs GROUP BY user_id, s HAVING epoch(max(ts)) + 1800 <= floor({SINCE} * 1000) / 1000""")
+  round(avg(value), 6) AS mean FROM runs GROUP BY user_id, s HAVING epoch(max(ts)) + 1800 <= floor({SINCE} * 1000) / 1000""")
 def _(spark, sf):
     return drained(spark, ST.session_means(event_stream(spark, sf), ["user_id"], "value"), "sessions")

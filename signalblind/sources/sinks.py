@@ -33,7 +33,7 @@ def export_bundle(tables: dict, path: str, unblinded: bool, include_media=False)
     """IO9: a directory of tables. Media only after the reveal; a sealed manifest is cut
     to its allow-list."""
     if include_media and not unblinded:
-        raise ValueError("source media cannot be exported until the review is explicitly unblinded")
+        raise ValueError("media stay back until the roles have been revealed")
     for name, df in tables.items():
         if name == "media" and not include_media:
             continue

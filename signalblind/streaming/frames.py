@@ -67,7 +67,7 @@ class _Deduplicate(StatefulProcessor):
         pass
 
 
-def deduplicate_stream(frames: DataFrame, order="frame_index", max_frames=1000, max_distance=3, max_mean_diff=4.0) -> DataFrame:
+def deduplicate_stream(frames: DataFrame, order="frame_index", max_frames=None, max_distance=3, max_mean_diff=4.0) -> DataFrame:
     """ST1: near-duplicate suppression in arrival order, keyed by ``capture_id``."""
     schema = StructType([
         StructField("capture_id", frames.schema["capture_id"].dataType), StructField(order, LongType()),
@@ -150,17 +150,17 @@ def windowed_means(events: DataFrame, keys: list, value: str, ts="ts", size="1 h
     """ST3: count and mean per event-time window; Spark drops state behind the watermark."""
     w = F.window(ts, size, slide) if slide else F.window(ts, size)
     return events.withWatermark(ts, delay).groupBy(w.alias("w"), *keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col(value) * 100 + 0.5).cast("long")).alias("cents")).select(
-        F.unix_seconds("w.start").alias("start"), *keys, "n", F.round(F.col("cents") / F.col("n") / 100, 6).alias("mean"))
+        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean")).select(
+        F.unix_seconds("w.start").alias("start"), *keys, "n", F.round("mean", 6).alias("mean"))
 
 
 def session_means(events: DataFrame, keys: list, value: str, ts="ts", gap="30 minutes", delay="10 minutes") -> DataFrame:
     """ST3: the same over sessions that end after a silence of ``gap``."""
     w = F.session_window(ts, gap)
     return events.withWatermark(ts, delay).groupBy(w.alias("w"), *keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col(value) * 100 + 0.5).cast("long")).alias("cents")).select(
+        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean")).select(
         F.unix_seconds("w.start").alias("start"), F.unix_seconds("w.end").alias("stop"), *keys, "n",
-        F.round(F.col("cents") / F.col("n") / 100, 6).alias("mean"))
+        F.round("mean", 6).alias("mean"))
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

@@ -108,7 +108,7 @@ def test_variants_equal_their_steps(spark, profile):
     both = {(r.frame_id, r.variant): (r.height, r.width, r.pixels) for r in P.expand_variants(df, profile).collect()}
     assert len(both) == 2 * len(P.PROFILES[profile])
     for name, steps in P.PROFILES[profile]:
-        for r in P.apply_steps(df, steps.split()).collect():
+        for r in P.apply_steps(df, steps).collect():
             assert both[r.frame_id, name] == (r.height, r.width, r.pixels), name
 
 
