@@ -6,6 +6,13 @@ their summed sizes. In a size band that number has a bound D; a sketch cut into
 segments must then agree in one segment (pigeonhole), which is an equi-join. Pairs found
 are pruned by the Hamming distance of a short second sketch and verified exactly.
 
+Unrelated sets must not meet, or candidates grow as the square of the corpus. A segment is
+therefore so wide that two tokens never share a bit, and is held as the XOR of the hashed
+positions of its set bits. Empty segments agree in unrelated sets, so each band has some
+spare segments: a set with no more empty segments than spares leaves them out, for one of
+the D + 1 + spare segments is then both untouched and not empty. Only a set with more empty
+ones shows them, and so does any similar set that would not be found without.
+
 Groups are never expanded: identical sets become one class, every member of a segment's
 group is compared with the group's smallest member only, and of the rest just those pairs
 are looked at that are not yet known to be connected and that the triangle inequality
@@ -36,8 +43,23 @@ class Bands:
             self.edges.append(int(self.edges[-1] * growth) + 1)
         self.edges = np.array(self.edges, np.int64)
 
+        self.plans = [self._plan(band) for band in range(len(self.edges))]
+
+    def _plan(self, band):
+        most = int(2 * self.edges[band] * (self.den - self.num) // (self.den + self.num))
+        if most == 0:
+            return 1, 0
+        least = self.num * (int(self.edges[band - 1]) + 1) / self.den if band else 1
+        for spare in range(1, max(1, most // 8) + 1):
+            k = most + 1 + spare
+            empty = k * np.exp(-least / k)  # as many in the smallest set, on average
+            if spare >= empty + 3 * np.sqrt(empty):
+                break
+        return k, spare
+
     def segments(self, band):
-        return int(2 * self.edges[band] * (self.den - self.num) // (self.den + self.num)) + 1
+        """Number of segments of a band, and how many of them are spare."""
+        return self.plans[band]
 
     def of(self, n):
         """Bands in which a set of size n can meet one at least as large, or smaller."""
@@ -55,15 +77,19 @@ def parity(values, bits):
 
 
 def segment_keys(values, n, bands):
-    """One 64-bit key for each segment and band; equal segments give equal keys."""
-    out = []
+    """One 64-bit key for each segment shown and band; equal segments give equal keys."""
+    out, bits = [], T.mix(values)
     for band in bands.of(n):
-        k = bands.segments(band)
+        k, spare = bands.segments(band)
         if k == 1:
             continue  # only equal sets, which are one class already
-        words = np.packbits(parity(values, 64 * k)).view(np.uint64)
-        place = T.mix(np.arange(k, dtype=np.uint64) + (_U(band) << _U(40)))
-        out.append(T.mix(words ^ place) + place)
+        segments = np.zeros(k, np.uint64)
+        np.bitwise_xor.at(segments, ((values >> _U(16)) % _U(k)).astype(np.intp), bits)
+        shown = np.flatnonzero(segments)
+        if k - len(shown) > spare:
+            shown = np.arange(k)
+        place = T.mix(shown.astype(np.uint64) + (_U(band) << _U(40)))
+        out.append(T.mix(segments[shown] ^ place) + place)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
