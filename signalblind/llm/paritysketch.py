@@ -50,11 +50,12 @@ class Bands:
         if most == 0:
             return 1, 0
         least = self.num * (int(self.edges[band - 1]) + 1) / self.den if band else 1
-        for spare in range(1, max(1, most // 8) + 1):
+        top, spare, wanted = max(1, most // 8), 0, 1
+        while spare < min(wanted, top):  # climbs to the least number that is enough
+            spare = min(wanted, top)
             k = most + 1 + spare
             empty = k * np.exp(-least / k)  # as many in the smallest set, on average
-            if spare >= empty + 3 * np.sqrt(empty):
-                break
+            wanted = int(np.ceil(empty + 3 * np.sqrt(empty)))
         return k, spare
 
     def segments(self, band):
