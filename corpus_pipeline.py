@@ -8,6 +8,8 @@ from signalblind.session import scratch_path
 
 LEAST_SCORE = 0.5
 VOCABULARY = "word_bpe_49k.json"
+#: Near duplicates share 80 of 100 five-word shingles or more; op10_ngram_join has its own rule.
+NEAR = {"num": 80, "den": 100, "words": 5}
 
 
 def identified_language(spark, docs, sf_dir):
@@ -27,7 +29,7 @@ def without(docs, ids):
 
 def one_of_each_group(spark, docs, sf_dir):
     """Keep the document of the smallest id of every group of near duplicates."""
-    return without(docs, paritysketch.linked(docs).filter("doc_id <> component_id")).dropDuplicates(["doc_id", "text"])
+    return without(docs, paritysketch.linked(docs, **NEAR).filter("doc_id <> component_id")).dropDuplicates(["doc_id", "text"])
 
 
 def decontaminated(spark, docs, sf_dir):

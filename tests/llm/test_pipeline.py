@@ -1,6 +1,7 @@
 """The pipeline against its stages done by brute force, on the smallest tables."""
 
 import hashlib
+import itertools
 import re
 
 import pytest
@@ -40,3 +41,20 @@ def test_stages_keep_the_columns(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns, name
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_jaccard_join", "benchmark_decontamination", "pii", "bpe"]
+
+
+def test_near_duplicates_by_five_words(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sets = {}
+    for r in docs.collect():
+        w = WORD.findall((r.text or "").translate({i: i + 32 for i in range(65, 91)}))
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    near = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] & sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    group = {d: d for d in sets}
+    while any(group[a] != group[b] for a, b in near):
+        for a, b in near:
+            group[a] = group[b] = min(group[a], group[b])
+    kept = sorted(d for d in sets if group[d] == d)
+    by_three = {d for d, _, c in linked_by_force([(r.doc_id, r.text) for r in docs.collect()]) if d == c}
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()) == kept
+    assert set(kept) < by_three
