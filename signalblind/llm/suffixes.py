@@ -14,6 +14,11 @@ in one place form a short string. Two questions are asked of all packs of docume
 
 Equal strings of a pack travel once, with the smallest id that holds them, and answers are
 bits, so a text with millions of copies costs one string a pack.
+
+A passage that many documents share gives its outermost 16-grams a different string in each
+document. Such a hot gram's strings are cut into single windows, which go to buckets by
+their own hash. Between 1 and 2 packs then ask which of these windows occur in more than one
+document. What is left of a window is one string a pack.
 """
 
 import hashlib
@@ -29,10 +34,12 @@ from signalblind.session import cut
 Q = 16
 PER_BUCKET = 1 << 20
 PER_QUESTION = 24 << 20
+#: Differing strings of a gram, beyond one a pack, from which it is hot.
+HOT = 4096
 _U = np.uint64
 _TABLE = T.table(7)
 _LAST = np.iinfo(np.int64).max
-GRAMS = "bucket int, pack int, n int, hash binary, again binary"
+GRAMS = "bucket int, pack int, n int, hash binary, again binary, more binary"
 STRINGS = "bucket int, pack int, n int, sizes binary, bytes binary, least binary"
 
 
@@ -65,6 +72,17 @@ class Windows:
         self.gram = T.mix(grams[gram[new]])  # the least of many, so mixed again
         self.row = np.searchsorted(offsets, self.at, "right") - 1
 
+    def split(self, hot):
+        """Cut the strings marked ``hot`` into single windows; True for each of those."""
+        times = np.where(hot, self.n, 1)
+        inner = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        single = np.repeat(hot, times)
+        self.at = np.repeat(self.at, times) + inner
+        self.n = np.where(single, 1, np.repeat(self.n, times))
+        self.gram, self.row = np.repeat(self.gram, times), np.repeat(self.row, times)
+        self.gram[single] = T.mix(self.strings(np.flatnonzero(single))[1])
+        return single
+
     def strings(self, some):
         """Length and hash of the strings numbered ``some``."""
         a, size = self.at[some], self.n[some] + self.depth - 1
@@ -200,12 +218,52 @@ def _answer_strings(depth):
     return run
 
 
-def _answer_grams(table):
-    n = table["n"].to_numpy()
-    again = np.concatenate([T.flags(x.as_py(), k) for x, k in zip(table["again"], n)])
-    yes, ends = T.met_again(T.joined(table["hash"], np.uint32), again), np.cumsum(n)
-    cols = [table["pack"].combine_chunks(), pa.array([1] * len(n), pa.int32()), table["bucket"].combine_chunks(), pa.array([T.bits(yes[e - k : e]) for e, k in zip(ends, n)], pa.binary())]
-    return pa.table(cols, names=["pack", "step", "bucket", "yes"])
+def _ask_grams(pack, gram, doc, n_buckets, string=None):
+    """Questions about the distinct grams; with ``string``, also how many differing ones each has."""
+    order = np.lexsort((doc, gram))
+    g, d = gram[order], doc[order]
+    first = np.ones(len(g), bool)
+    first[1:] = g[1:] != g[:-1]
+    at = np.flatnonzero(first)
+    uniq, again = g[at], d[at] != d[np.append(at[1:], len(g)) - 1] if len(at) else np.zeros(0, bool)
+    more = np.zeros(len(at), np.uint32)
+    if string is not None and len(at):
+        times = np.diff(np.append(at, len(g)))
+        owner = np.repeat(np.arange(len(at)), times)
+        several = np.repeat(times > 1, times)
+        owner, own = owner[several], string[order][several]
+        by = np.lexsort((own, owner))
+        owner, own = owner[by], own[by]
+        differs = (owner[1:] == owner[:-1]) & (own[1:] != own[:-1])
+        more = np.bincount(owner[1:][differs], minlength=len(at)).astype(np.uint32)
+    rows = T.slices(T.bucket_of(uniq, n_buckets))
+    sparse = [np.stack([k := np.flatnonzero(more[a:b]), more[a:b][k]]).astype(np.uint32).tobytes() for _, a, b in rows]
+    cols = [[r[0] for r in rows], [pack] * len(rows), [b - a for _, a, b in rows], [uniq[a:b].astype(np.uint32).tobytes() for _, a, b in rows], [T.bits(again[a:b]) for _, a, b in rows], sparse]
+    return pa.table([pa.array(c, k) for c, k in zip(cols, [pa.int32()] * 3 + [pa.binary()] * 3)], names=["bucket", "pack", "n", "hash", "again", "more"])
+
+
+def _answer_grams(step, hot):
+    """Answers of ``step``, and as step 3 which grams have more than ``hot`` differing strings."""
+
+    def run(table):
+        n = table["n"].to_numpy()
+        ends = np.cumsum(n)
+        again = np.concatenate([T.flags(x.as_py(), k) for x, k in zip(table["again"], n)])
+        hashes, more = T.joined(table["hash"], np.uint32), np.zeros(int(ends[-1]), np.int64)
+        for x, e, k in zip(table["more"], ends, n):
+            place, extra = np.frombuffer(x.as_py(), np.uint32).reshape(2, -1)
+            more[e - k + place.astype(np.int64)] = extra
+        yes, rows = T.met_again(hashes, again), []
+        pack, bucket = table["pack"].to_pylist(), table["bucket"].to_pylist()
+        rows += [(p, step, b, T.bits(yes[e - k : e])) for p, b, e, k in zip(pack, bucket, ends, n)]
+        if more.sum() > hot:
+            back = np.unique(hashes, return_inverse=True)[1]
+            crowded = np.bincount(back, weights=more)[back] > hot
+            rows += [(p, 3, b, T.bits(crowded[e - k : e])) for p, b, e, k in zip(pack, bucket, ends, n) if crowded[e - k : e].any()]
+        cols = [pa.array(c, k) for c, k in zip(zip(*rows), [pa.int32()] * 3 + [pa.binary()])]
+        return pa.table(cols, names=["pack", "step", "bucket", "yes"])
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, depth=50, outputs=("n_bytes", "n_removed", "n_spans", "kept_sha256")) -> DataFrame:
@@ -223,22 +281,38 @@ def remove_repeats(docs: DataFrame, depth=50, outputs=("n_bytes", "n_removed", "
     packed, total = T.packs(docs)
     n_grams, n_strings = max(1, -(-total // PER_QUESTION)), max(1, -(-total // PER_BUCKET))
 
+    n_singles = max(1, -(-total // (PER_QUESTION >> 3)))
+
     def ask_grams(table):
-        gram, doc = _grams(_windows(table, depth))
-        order = np.lexsort((doc, gram))
-        g, d = gram[order], doc[order]
-        first = np.ones(len(g), bool)
-        first[1:] = g[1:] != g[:-1]
-        at = np.flatnonzero(first)
-        uniq, again = g[at], d[at] != d[np.append(at[1:], len(g)) - 1] if len(at) else np.zeros(0, bool)
-        pack, rows = table["pack"][0].as_py(), T.slices(T.bucket_of(uniq, n_grams))
-        cols = [[r[0] for r in rows], [pack] * len(rows), [b - a for _, a, b in rows], [uniq[a:b].astype(np.uint32).tobytes() for _, a, b in rows], [T.bits(again[a:b]) for _, a, b in rows]]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, [pa.int32()] * 3 + [pa.binary()] * 2)], names=["bucket", "pack", "n", "hash", "again"])
+        found = _windows(table, depth)
+        string = _cat([w.strings(np.arange(len(w.at)))[1] for _, _, w, _ in found], _U)
+        return _ask_grams(table["pack"][0].as_py(), *_grams(found), n_grams, string)
 
-    def strings(table, answers):
+    def split(table, answers):
+        """Windows of a pack, hot strings cut, with the answers to 1 and the windows cut out."""
         found = _windows(table, depth)
         uniq, back = np.unique(_grams(found)[0], return_inverse=True)
-        hit = _told(answers, 1, uniq, n_grams)[back] if len(uniq) else np.zeros(0, bool)
+        hit, hot = (_told(answers, step, uniq, n_grams)[back] if len(uniq) else np.zeros(0, bool) for step in (1, 3))
+        single = np.zeros(len(hit), bool)
+        if hot.any():
+            ends = np.cumsum([len(w.at) for _, _, w, _ in found])
+            times = np.where(hot, _cat([w.n for _, _, w, _ in found], np.int64), 1)
+            single = _cat([w.split(hot[e - len(w.at) : e]) for e, (_, _, w, _) in zip(ends, found)], bool)
+            hit = np.repeat(hit, times)
+        return found, hit, single
+
+    def ask_singles(table, answers):
+        if not table.num_rows:
+            return _ask_grams(0, np.zeros(0, _U), np.zeros(0, np.int64), n_singles)
+        found, _, single = split(table, answers)
+        gram, doc = _grams(found)
+        return _ask_grams(table["pack"][0].as_py(), gram[single], doc[single], n_singles)
+
+    def strings(table, answers):
+        found, hit, single = split(table, answers)
+        if single.any():
+            uniq, back = np.unique(_grams(found)[0][single], return_inverse=True)
+            hit[single] = _told(answers, 4, uniq, n_singles)[back]
         return found, Strings(found, hit, n_strings)
 
     def ask_strings(table, answers):
@@ -289,7 +363,10 @@ def remove_repeats(docs: DataFrame, depth=50, outputs=("n_bytes", "n_removed", "
                         out[o].append(row[o])
         return pa.table([table["doc_id"].combine_chunks(), *(pa.array(out[o], kinds[o][0]) for o in outputs)], names=["doc_id", *outputs])
 
-    first = cut(packed.groupBy("pack").applyInArrow(ask_grams, GRAMS).groupBy("bucket").applyInArrow(_answer_grams, ANSWERS))
+    first = cut(packed.groupBy("pack").applyInArrow(ask_grams, GRAMS).groupBy("bucket").applyInArrow(_answer_grams(1, HOT), ANSWERS))
+    if not first.filter("step = 3").isEmpty():
+        singles = packed.groupBy("pack").cogroup(first.groupBy("pack")).applyInArrow(ask_singles, GRAMS)
+        first = first.unionAll(cut(singles.groupBy("bucket").applyInArrow(_answer_grams(4, HOT), ANSWERS)))
     asked = packed.groupBy("pack").cogroup(first.groupBy("pack")).applyInArrow(ask_strings, STRINGS)
     both = cut(asked.groupBy("bucket").applyInArrow(_answer_strings(depth), ANSWERS)).unionAll(first)
     schema = "doc_id bigint, " + ", ".join(f"{o} {kinds[o][1]}" for o in outputs)

@@ -85,6 +85,38 @@ def test_byte_repeats(docs, empty):
     assert any(e[2] for e in expected) and suffixes.remove_repeats(empty).count() == 0
 
 
+def test_byte_repeats_of_a_passage_that_many_share(spark, monkeypatch, tmp_path):
+    from fixtures import sentence
+
+    passage, answer = sentence(31, 60), suffixes._answer_strings
+    rows = [(i, f"{sentence(1000 + i, 25)} {passage} {sentence(3000 + i, 25)}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    def watched(depth):
+        run = answer(depth)
+
+        def watch(table):
+            with open(tmp_path / f"{table['bucket'][0]}", "w") as f:
+                f.write(str(sum(len(x) for x in table["bytes"].to_pylist())))
+            return run(table)
+
+        return watch
+
+    monkeypatch.setattr(suffixes, "_answer_strings", watched)
+    monkeypatch.setattr(suffixes, "PER_BUCKET", 2048)
+    monkeypatch.setattr(suffixes, "HOT", 8, raising=False)
+    least, expected = {}, []
+    for i, t in rows:
+        gone = set()
+        for a in range(len(t) - 49):
+            if least.setdefault(t[a : a + 50], i) < i:
+                gone.update(range(a, a + 50))
+        expected.append((i, sha(bytes(ord(c) for a, c in enumerate(t) if a not in gone))))
+    same_rows([tuple(r) for r in suffixes.remove_repeats(docs, outputs=("kept_sha256",)).collect()], expected)
+    # the passage's outer grams have one string a document, 20 kB in a single bucket
+    assert 0 < max(int(f.read_text()) for f in tmp_path.iterdir()) < 8192
+
+
 def test_quotations(spark):
     rows = [
         (1, 0, "a", "First line.\nSecond line."), (1, 1, "b", "> first  LINE.\nI agree."), (1, 2, "a", "Other topic."), (1, 3, "c", ">> First line.\n> I agree.\nMe too."),
