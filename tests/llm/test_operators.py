@@ -191,6 +191,26 @@ def test_licences(docs, empty):
     assert any(e[1] == "MIT" for e in expected) and licenses.scan(empty).count() == 0
 
 
+def test_licences_across_lines(spark):
+    import textwrap
+
+    from fixtures import sentence
+
+    before, after = sentence(41, 80), sentence(42, 80)
+    whole = {n: licenses.TEMPLATES[n] for n in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "LGPL-3.0", "AGPL-3.0", "Apache-2.0")}
+    rows, expected = [], []
+    for n, texts in whole.items():
+        wrapped = textwrap.fill(max(texts, key=len), 78)
+        for t in (wrapped, f"{n} title\n\nCopyright (c) 2020 someone\n\n{wrapped}\n", "\n".join(["# " + x for x in [before, *wrapped.split("\n"), after]]), f"{before} {' '.join(wrapped.split())} {after}"):
+            expected.append((len(rows), n, True))
+            rows.append((len(rows), t))
+    rows += [(len(rows), f"{before} released under the MIT License, {after}"), (len(rows) + 1, f"{before} {after}")]
+    expected += [(len(rows) - 2, "MIT", True), (len(rows) - 1, None, False)]
+    out = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license, r.n_passages > 0) for r in out) == expected
+    assert all(r.dice > 0.95 for r in out if r.license)
+
+
 def test_leaks(spark, docs, empty):
     from fixtures import sentence
 
