@@ -21,20 +21,30 @@ def identified_language(spark, docs, sf_dir):
     return named.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("_row.*")
 
 
+def key():
+    """The doc_id; rows without one count as larger and are known by a hash of their text."""
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62))
+
+
+def keyed(docs):
+    """(doc_id, text) of every row, with an id for rows that have none."""
+    return docs.select(key().alias("doc_id"), "text")
+
+
 def without(docs, ids):
-    """``docs`` without the rows whose doc_id is in ``ids``."""
+    """``docs`` without the rows whose id in ``keyed(docs)`` is in ``ids``."""
     gone = ids.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(paritysketch.small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(paritysketch.small(gone), key() == F.col("_gone"), "left_anti")
 
 
 def one_of_each_group(spark, docs, sf_dir):
     """Keep the document of the smallest id of every group of near duplicates."""
-    return without(docs, paritysketch.linked(docs, **NEAR).filter("doc_id <> component_id")).dropDuplicates(["doc_id", "text"])
+    return without(docs, paritysketch.linked(keyed(docs), **NEAR).filter("doc_id <> component_id")).dropDuplicates(["doc_id", "text"])
 
 
 def decontaminated(spark, docs, sf_dir):
     """Drop documents that hold a benchmark item."""
-    return without(docs, decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return without(docs, decontam.leaks(keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def redacted(spark, docs, sf_dir):

@@ -58,3 +58,18 @@ def test_near_duplicates_by_five_words(spark):
     by_three = {d for d, _, c in linked_by_force([(r.doc_id, r.text) for r in docs.collect()]) if d == c}
     assert sorted(r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()) == kept
     assert set(kept) < by_three
+
+
+def test_rows_without_id(spark):
+    from fixtures import sentence
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    a, b, c = (sentence(50 + i, 100) for i in range(3))
+    near = lambda t: " ".join(t.split()[:-1]) + " changed"
+    rows = [(1, a), (None, a), (None, near(a)), (None, b), (None, near(b)), (None, c), (2, c + " " + item), (None, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()]
+    assert (1, a) in kept and not {(None, a), (None, near(a))} & set(kept)
+    assert len({(None, b), (None, near(b))} & set(kept)) == 1 and (None, c) in kept
+    clean = corpus_pipeline.decontaminated(spark, docs, SF).collect()
+    assert sorted(r.text for r in clean) == sorted(t for _, t in rows[:6])
