@@ -40,7 +40,7 @@ _powers = {}
 
 def powers(n):
     """Powers of the base and of its inverse modulo 2**64, at least ``n`` of each."""
-    if _powers.get("n", 0) < n:
+    if _powers.get("n", -1) < n:
         size = max(n, GROUP_BYTES + 4096)
         for k, b in (("up", _BASE), ("down", _BACK)):
             p = np.full(size, b, np.uint64)
