@@ -1,8 +1,8 @@
-"""The registered queries of the ten operators, thin digests of what the operators return."""
+"""The registered queries of the operators, thin digests of what the operators return."""
 
 from pyspark.sql import functions as F
 
-from signalblind.llm import anchors, bpe, decontam, langid, licenses, paritysketch, pii, quality, quotes, suffixes
+from signalblind.llm import anchors, bpe, bytebpe, decontam, langid, licenses, paritysketch, periods, pii, quality, quotes, suffixes, vectorcodes
 
 QUERIES, ORACLES = {}, {}
 
@@ -75,3 +75,20 @@ def _(spark, sf_dir):
 @query("op10_ngram_join")
 def _(spark, sf_dir):
     return paritysketch.linked(table(spark, sf_dir))
+
+
+@query("op11_vector_codes")
+def _(spark, sf_dir):
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_byte_bpe")
+def _(spark, sf_dir):
+    import public_tokenizers
+
+    return bytebpe.encode(table(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op13_periodic_runs")
+def _(spark, sf_dir):
+    return periods.detect(table(spark, sf_dir), plant=True)
