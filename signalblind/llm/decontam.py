@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalblind.llm import text as T
+from signalblind.session import cut as written
 
 WORDS = 5
 BLOCK_SHINGLES = 1 << 20
@@ -77,8 +78,8 @@ class Index:
         return out
 
 
-def leaks(docs: DataFrame, items: DataFrame, threshold=0.8, words=WORDS, block_shingles=BLOCK_SHINGLES) -> DataFrame:
-    """(doc_id, item_id, shared, containment) of each document that holds an item.
+def leaks(docs: DataFrame, items: DataFrame, threshold=0.8, words=WORDS, block_shingles=BLOCK_SHINGLES, carry=()) -> DataFrame:
+    """(doc_id, ``carry``, item_id, shared, containment) of each document that holds an item.
 
     Containment is the share of the item's distinct ``words``-word shingles (letters A-Z
     lower-cased) that the whole text holds; pairs at ``threshold`` and above are returned,
@@ -89,9 +90,10 @@ def leaks(docs: DataFrame, items: DataFrame, threshold=0.8, words=WORDS, block_s
     block, so what is broadcast stays bounded. Documents are never shuffled.
     """
     spark = docs.sparkSession
-    key, item_key = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {key}, item_id {item_key}, shared bigint, containment double"
-    sets = item_sets(items, words)
+    item_key = items.schema["item_id"].dataType.simpleString()
+    kept = ["doc_id", *carry]
+    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept) + f", item_id {item_key}, shared bigint, containment double"
+    sets = written(item_sets(items, words))
     total = sets.agg(F.sum("n")).first()[0]
     if not total:
         return spark.createDataFrame([], schema)
@@ -122,9 +124,9 @@ def leaks(docs: DataFrame, items: DataFrame, threshold=0.8, words=WORDS, block_s
                         for i, n in index.matches(s, threshold):
                             rows.append(lo + d), item.append(index.ids[i]), share.append((n, n / int(index.n[i])))
                     if rows:
-                        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(item, pa_type(ids)), pa.array([n for n, _ in share], pa.int64()), pa.array([c for _, c in share], pa.float64())], ["doc_id", "item_id", "shared", "containment"])
+                        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows)) for c in kept), pa.array(item, pa_type(ids)), pa.array([n for n, _ in share], pa.int64()), pa.array([c for _, c in share], pa.float64())], [*kept, "item_id", "shared", "containment"])
 
-        return docs.select("doc_id", "text").mapInArrow(run, schema)
+        return docs.select(*kept, "text").mapInArrow(run, schema)
 
     out = None
     for b in range(blocks):

@@ -13,10 +13,15 @@ spare segments: a set with no more empty segments than spares leaves them out, f
 the D + 1 + spare segments is then both untouched and not empty. Only a set with more empty
 ones shows them, and so does any similar set that would not be found without.
 
-Groups are never expanded: identical sets become one class, every member of a segment's
-group is compared with the group's smallest member only, and of the rest just those pairs
-are looked at that are not yet known to be connected and that the triangle inequality
-(Jaccard distance is a metric) does not rule out.
+Groups are never expanded: identical sets become one class, named by a hash of the set,
+every member of a segment's group is compared with the group's smallest member only, and of
+the rest just those pairs are looked at that are not yet known to be connected and that the
+triangle inequality (Jaccard distance is a metric) does not rule out.
+
+Segments are never stored with the documents. One pass over the texts makes the classes and
+finds keys that very many documents show; a second one sends each key of a class, as four
+bytes beside its bucket, to the bucket that tells which keys several classes show. The very
+frequent ones are known to be shared and skip the buckets, so none of these grows with them.
 """
 
 import numpy as np
@@ -94,37 +99,178 @@ def segment_keys(values, n, bands):
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def profiles(docs: DataFrame, words, bands) -> DataFrame:
-    """(doc_id, n, two hashes of the set, segment keys, short sketch) of every text."""
+HOT = 1 << 16
+HOT_KEYS = 1 << 20
+BUCKET = 1 << 21
+CHUNK = 1 << 21
+
+
+def profiles(docs: DataFrame, words, bands, carry=()) -> DataFrame:
+    """(doc_id, ``carry``, n, number of keys, two hashes of the set, short sketch) of every text.
+
+    Rows with n = -1 hold keys that many texts of a task show, how many, and one of their sets.
+    """
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *carry))
+    names = ["doc_id", *carry, "n", "keys", "h1", "h2", "mini", "frequent"]
 
     def run(batches):
+        found, sets, held, types = [], [], 0, None
+
+        def frequent():
+            keys, of = np.concatenate(found), np.repeat(np.array([h for h, _ in sets], np.int64), [k for _, k in sets])
+            value, first, n = np.unique(keys, return_index=True, return_counts=True)
+            often = n >= max(32, len(sets) // 500)
+            triple = np.column_stack([value[often].view(np.int64), n[often], of[first[often]]])
+            blank = [pa.nulls(1, t) for t in types]
+            found.clear(), sets.clear()
+            return pa.RecordBatch.from_arrays([*blank, pa.array([-1], pa.int64()), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, pa.binary()), pa.array([triple.tobytes()], pa.binary())], names)
+
         for batch in batches:
+            types = [batch.column(c).type for c in ("doc_id", *carry)]
             texts = T.column(batch, "text")
             for lo, hi, data, offsets in T.groups(texts):
-                rows = []
-                for s in T.Words(data, offsets, lower=True).shingle_sets(words):
+                ids, rows = batch.column("doc_id").slice(lo, hi - lo), []
+                for i, s in zip(ids, T.Words(data, offsets, lower=True).shingle_sets(words)):
                     mixed = T.mix(s)
-                    keys = segment_keys(mixed, len(s), bands)
-                    rows.append((len(s), *T.set_hash(s), keys.view(np.int64), np.packbits(parity(mixed >> _U(8), MINI)).tobytes()))
-                n, h1, h2, keys, mini = zip(*rows)
-                cols = [pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(mini, pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *cols], ["doc_id", "n", "h1", "h2", "keys", "mini"])
+                    keys, (h1, h2) = segment_keys(mixed, len(s), bands), T.set_hash(s)
+                    rows.append((len(s), len(keys), h1, h2, np.packbits(parity(mixed >> _U(8), MINI)).tobytes()))
+                    if len(keys) and i.is_valid:
+                        found.append(keys)
+                        sets.append((h1, len(keys)))
+                        held += len(keys)
+                cols = [pa.array(c, pa.int64()) for c in list(zip(*rows))[:4]]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", *carry)), *cols, pa.array([r[4] for r in rows], pa.binary()), pa.nulls(len(rows), pa.binary())], names)
+                if held >= CHUNK:
+                    yield frequent()
+                    held = 0
+        if found:
+            yield frequent()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, h1 bigint, h2 bigint, keys array<bigint>, mini binary")
+    return docs.select("doc_id", *carry, "text").mapInArrow(run, f"{kinds}, n bigint, keys bigint, h1 bigint, h2 bigint, mini binary, frequent binary")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, words) -> DataFrame:
-    """(doc, shingles) of the rows whose ``doc_id`` is in ``ids`` (column doc, distinct)."""
-    some = docs.select("doc_id", "text").join(small(ids), F.col("doc_id") == F.col("doc"), "left_semi")
+def hot_keys(profile: DataFrame, total):
+    """{key: (how often, a set that shows it)} of keys with a millionth of all entries, so at most a million."""
 
     def run(batches):
+        for batch in batches:
+            for data in batch.column("frequent").to_pylist():
+                t = np.frombuffer(data, np.int64).reshape(-1, 3)
+                yield pa.RecordBatch.from_arrays([pa.array(t[:, k]) for k in range(3)], ["key", "c", "rep"])
+
+    often = profile.filter("n = -1").select("frequent").mapInArrow(run, "key bigint, c bigint, rep bigint")
+    least = max(HOT, total // HOT_KEYS)
+    return {r["key"]: (r["c"], r["rep"]) for r in often.groupBy("key").agg(F.sum("c").alias("c"), F.min("rep").alias("rep")).filter(F.col("c") >= least).collect()}
+
+
+def classes_of(profile: DataFrame):
+    """(name, n, h1, h2, smallest doc_id, mini) of every distinct set, and names other than h1.
+
+    A set is named by its first hash. Of sets that share one by chance, of which the largest
+    corpora have a handful, all but the first get another hash.
+    """
+    alive = profile.filter("n > 0 and doc_id is not null")
+    sets = cut(alive.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc"), F.min("mini").alias("mini")))
+    twice = sets.groupBy("h1").agg(F.count("*").alias("c"), F.min(F.struct("h2", "n")).alias("first")).filter("c > 1").collect()
+    if not twice:
+        return sets.withColumn("name", F.col("h1")), {}
+    held = F.array(*(F.struct(F.lit(r["h1"]), F.lit(r["first"]["h2"]), F.lit(r["first"]["n"])) for r in twice))
+    other = F.col("h1").isin([r["h1"] for r in twice]) & ~F.array_contains(held, F.struct("h1", "h2", "n"))
+    named = sets.withColumn("name", F.when(other, F.xxhash64("h1", "h2", "n")).otherwise(F.col("h1")))
+    return named, {(r["h1"], r["h2"], r["n"]): r["name"] for r in named.filter("name <> h1").collect()}
+
+
+def _names(sets, renamed):
+    for s in sets:
+        h1, h2 = T.set_hash(s)
+        yield renamed.get((h1, h2, len(s)), h1)
+
+
+def shared_keys(docs: DataFrame, classes: DataFrame, renamed, words, bands, hot, total) -> DataFrame:
+    """(key, c, name, rep) of the keys that several classes show: c members, rep one of them."""
+    some = docs.select("doc_id", "text").join(small(classes.select("doc").distinct()), F.col("doc_id") == F.col("doc"), "left_semi")
+    buckets = max(1, -(-total // BUCKET), shuffle_partitions(docs.sparkSession))
+    known = np.sort(np.array(list(hot), np.int64).view(np.uint64))
+
+    def ask(batches):
+        keys, names, held = [], [], 0
+
+        def rows():
+            k, n = np.concatenate(keys), np.concatenate(names)
+            keys.clear(), names.clear()
+            at = np.minimum(np.searchsorted(known, k), max(0, len(known) - 1))
+            often = known[at] == k if len(known) else np.zeros(len(k), bool)
+            for i in np.unique(at[often]).tolist():  # known to be shared: straight on, spread by the members
+                some = n[often & (at == i)]
+                yield -1 - int(some[0]) % buckets, i, b"", some
+            k, n = k[~often], n[~often]
+            b = T.bucket_of(k, buckets)
+            order = np.argsort(b, kind="stable")
+            b, k, n = b[order], k[order].astype(np.uint32), n[order]
+            for bucket, lo, hi in T.slices(b):
+                yield bucket, None, k[lo:hi].tobytes(), n[lo:hi]
+
+        def batch_of(rows):
+            bucket, key, low, name = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(key, pa.int64()), pa.array(low, pa.binary()), pa.array([x.tobytes() for x in name], pa.binary())], ["bucket", "key", "low", "name"])
+
         for batch in batches:
             texts = T.column(batch, "text")
-            for lo, hi, data, offsets in T.groups(texts):
-                sets = [T.mix(s) for s in T.Words(data, offsets, lower=True).shingle_sets(words)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([np.sort(s).tobytes() for s in sets], pa.binary())], ["doc", "shingles"])
+            for _, _, data, offsets in T.groups(texts):
+                sets = [s for s in T.Words(data, offsets, lower=True).shingle_sets(words) if len(s)]
+                for s, name in zip(sets, _names(sets, renamed)):
+                    keys.append(segment_keys(T.mix(s), len(s), bands))
+                    names.append(np.full(len(keys[-1]), name, np.int64))
+                    held += len(keys[-1])
+                if held >= CHUNK:
+                    yield batch_of(rows())
+                    held = 0
+        if held:
+            yield batch_of(rows())
+
+    facts = [hot[k] for k in known.view(np.int64).tolist()]
+
+    def pass_on(table):
+        out = []
+        for i, data in zip(table["key"].to_pylist(), table["name"].to_pylist()):
+            doc = np.unique(np.frombuffer(data, np.int64))
+            out.append(np.column_stack([np.full(len(doc), -1 - i), np.full(len(doc), facts[i][0]), doc, np.full(len(doc), facts[i][1])]))
+        return pa.table(list(np.concatenate(out).T), ["key", "c", "doc", "rep"])
+
+    def meet(table):
+        if table["bucket"][0].as_py() < 0:
+            return pass_on(table)
+        low, name = T.joined(table["low"], np.uint32), T.joined(table["name"], np.int64)
+        order = np.lexsort((name, low))
+        low, name = low[order], name[order]
+        new = np.ones(len(low), bool)
+        new[1:] = (low[1:] != low[:-1]) | (name[1:] != name[:-1])
+        low, name = low[new], name[new]
+        first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]]) if len(low) else np.zeros(0, np.int64)
+        n = np.diff(np.r_[first, len(low)])
+        c = np.repeat(n, n)
+        keep = c > 1
+        key = (np.int64(table["bucket"][0].as_py()) << 32) | low.astype(np.int64)
+        return pa.table({"key": key[keep], "c": c[keep], "doc": name[keep], "rep": np.repeat(name[first], n)[keep]})
+
+    schema = "key bigint, c bigint, doc bigint, rep bigint"
+    asked = some.mapInArrow(ask, "bucket bigint, key bigint, low binary, name binary")
+    return asked.groupBy("bucket").applyInArrow(meet, schema)
+
+
+def sets_of(docs: DataFrame, classes: DataFrame, names: DataFrame, renamed, words) -> DataFrame:
+    """(doc, shingles) of the classes in ``names`` (column doc, distinct), read from their texts again."""
+    wanted = classes.select("name", F.col("doc").alias("_id")).join(names, F.col("name") == F.col("doc"), "left_semi").select("_id").distinct()
+    some = docs.select("doc_id", "text").join(small(wanted), F.col("doc_id") == F.col("_id"), "left_semi")
 
-    return some.mapInArrow(run, "doc bigint, shingles binary").groupBy("doc").agg(F.max("shingles").alias("shingles"))
+    def run(batches):
+        for batch in batches:
+            texts = T.column(batch, "text")
+            for _, _, data, offsets in T.groups(texts):
+                sets = [s for s in T.Words(data, offsets, lower=True).shingle_sets(words) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(_names(sets, renamed)), pa.int64()), pa.array([np.sort(T.mix(s)).tobytes() for s in sets], pa.binary())], ["doc", "shingles"])
+
+    return some.mapInArrow(run, "doc bigint, shingles binary").join(names, "doc", "left_semi").groupBy("doc").agg(F.max("shingles").alias("shingles"))
 
 
 BROADCAST_ROWS = 1 << 20
@@ -222,7 +368,7 @@ def unsettled(members: DataFrame, num, den) -> DataFrame:
     return units.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def linked(docs: DataFrame, num=90, den=100, words=3) -> DataFrame:
+def linked(docs: DataFrame, num=90, den=100, words=3, carry=()) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
     Two documents link when ``den`` * intersection >= ``num`` * union of their sets of
@@ -230,23 +376,24 @@ def linked(docs: DataFrame, num=90, den=100, words=3) -> DataFrame:
     one shingle). ``component_id`` is the smallest doc_id reachable by links. Texts that
     are null or have no word have the empty set, link with nothing and keep their own id.
     A row without a doc_id comes out with its size and the component of its copies, or null;
-    identical rows come out alike; ids are expected to name one text each. An empty table gives no rows; other
-    columns are ignored.
+    identical rows come out alike. An id may stand for several texts: each has the component
+    of its own text. With ``carry`` those columns come too, and ``component``, which tells
+    components apart even where one id has several texts (null for the empty set and for rows
+    without doc_id and copies). An empty table gives no rows; other columns are ignored.
     """
     bands = Bands(num, den)
-    profile = cut(profiles(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), words, bands))
-    alive = profile.filter("n > 0 and doc_id is not null")
-    first = F.min_by(F.struct("keys", "mini"), "doc_id")
-    classes = cut(alive.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("doc"), first.alias("first")).select("doc", "n", "h1", "h2", "first.keys", "first.mini"))
-    entries = classes.select("doc", F.explode("keys").alias("key"))
-    groups = entries.groupBy("key").agg(F.min("doc").alias("rep"), F.count("*").alias("c")).filter("c > 1")
-    shared = cut(entries.join(groups.hint("merge"), "key"))  # merged at every size; hot keys split
-    size_of = classes.select("doc", "n", "mini")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *carry, "text")
+    profile = cut(profiles(docs, words, bands, carry))
+    rows = profile.filter("n >= 0").drop("frequent")
+    classes, renamed = classes_of(rows)
+    total = rows.agg(F.sum("keys")).first()[0] or 0
+    shared = cut(shared_keys(docs, classes, renamed, words, bands, hot_keys(profile, total), total))
+    size_of = classes.select(F.col("name").alias("doc"), "n", "mini")
 
     def verified(pairs):
         pairs = cut(plausible(pairs, size_of, num, den))
-        ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
-        counted = shared_shingles(pairs, sets_of(docs, ids, words))
+        names = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
+        counted = shared_shingles(pairs, sets_of(docs, classes, names, renamed, words))
         return counted.filter(F.col("shared") * den >= num * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
     star = cut(verified(shared.filter("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b")).distinct()))
@@ -254,7 +401,10 @@ def linked(docs: DataFrame, num=90, den=100, words=3) -> DataFrame:
     members = cut(shared.join(label, "doc", "left").select("key", "c", "doc", "rep", F.coalesce("component", "doc").alias("comp")))
     mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
     rest = verified(unsettled(members.join(mixed, "key", "left_semi").join(size_of, "doc"), num, den))
-    label = components(star.unionAll(rest)).select(F.col("node").alias("doc"), "component")
-    classes_of = classes.select("n", "h1", "h2", "doc").join(label, "doc", "left").select("n", "h1", "h2", F.coalesce("component", "doc").alias("component_id"))
-    out = profile.select("doc_id", "n", "h1", "h2").join(classes_of, ["n", "h1", "h2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    label = components(star.unionAll(rest)).select(F.col("node").alias("name"), "component")
+    found = cut(classes.select("n", "h1", "h2", "doc", "name").join(label, "name", "left").withColumn("component", F.coalesce("component", "name")))
+    least = found.groupBy("component").agg(F.min("doc").alias("component_id"))
+    of_set = found.select("n", "h1", "h2", "component").join(least, "component")
+    out = rows.select("doc_id", *carry, "n", "h1", "h2").join(of_set, ["n", "h1", "h2"], "left")
+    kept = [*carry, "component"] if carry else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *kept)

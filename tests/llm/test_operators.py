@@ -251,12 +251,12 @@ def test_bpe_long_words():
         assert " ".join(map(str, t.encode(text, add_special_tokens=False).ids)) == next(bpe.encoded(v, [text]))[3][0]
 
 
-def sets_of(text):
+def sets_of(text, k=3):
     w = WORD.findall((text or "").translate({i: i + 32 for i in range(65, 91)}))
-    return frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
 
 
-def linked_by_force(rows):
+def linked_by_force(rows, num=90, k=3):
     up = {i: i for i, _ in rows}
 
     def top(x):
@@ -264,10 +264,10 @@ def linked_by_force(rows):
             x = up[x]
         return x
 
-    sets = {i: sets_of(t) for i, t in rows}
+    sets = {i: sets_of(t, k) for i, t in rows}
     for a, b in itertools.combinations(sorted(sets), 2):
         shared = len(sets[a] & sets[b])
-        if shared and 100 * shared >= 90 * len(sets[a] | sets[b]):
+        if shared and 100 * shared >= num * len(sets[a] | sets[b]):
             x, y = sorted((top(a), top(b)))
             up[y] = x
     return {(i, len(sets[i]), top(i)) for i in sets}
@@ -290,6 +290,43 @@ def test_similarity_join(spark, docs, empty):
     assert len(odd) == 1 and odd[0].component_id == 8
 
 
+def test_similarity_join_of_hot_keys(spark, monkeypatch):
+    """The same components whether frequent keys pass through buckets or not."""
+    from fixtures import sentence
+
+    monkeypatch.setattr(paritysketch, "HOT", 40)
+    rows = []
+    for i in range(120):
+        w = sentence(23 + i % 2, 90).split()
+        w[i % 90] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    profile = paritysketch.profiles(d, 3, paritysketch.Bands())
+    assert paritysketch.hot_keys(profile, 0)
+    assert {tuple(r) for r in paritysketch.linked(d).collect()} == linked_by_force(rows)
+
+
+def test_sets_that_share_a_hash_by_chance(spark):
+    rows = [(1, 5, 7, 70, b"a"), (2, 5, 7, 71, b"b"), (3, 5, 7, 71, b"b"), (4, 6, 8, 70, b"c"), (5, 5, 7, 72, b"d")]
+    profile = spark.createDataFrame(rows, "doc_id long, n long, h1 long, h2 long, mini binary")
+    named, renamed = paritysketch.classes_of(profile)
+    out = {(r.h1, r.h2, r.n): (r.name, r.doc) for r in named.collect()}
+    assert {k: d for k, (_, d) in out.items()} == {(7, 70, 5): 1, (7, 71, 5): 2, (8, 70, 6): 4, (7, 72, 5): 5}
+    assert len({n for n, _ in out.values()}) == 4 and out[8, 70, 6][0] == 8
+    assert renamed == {k: n for k, (n, _) in out.items() if n != k[0]} and len(renamed) == 2
+
+
+def test_similarity_join_of_repeated_ids(spark):
+    from fixtures import sentence
+
+    a, c = sentence(25, 100), sentence(26, 100)
+    b = " ".join(a.split()[:-1]) + " changed"
+    d = spark.createDataFrame([(1, a), (2, b), (2, c), (3, b), (3, c)], "doc_id long, text string")
+    out = sorted((r.doc_id, r.component_id, r.component) for r in paritysketch.linked(d.withColumn("m", F.lit(1)), carry=("m",)).collect())
+    assert [x[:2] for x in out] == [(1, 1), (2, 1), (2, 2), (3, 1), (3, 2)]
+    assert len({x[2] for x in out}) == 2
+
+
 def test_blocks_of_a_hot_key(spark, monkeypatch):
     from fixtures import sentence
 
