@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from signalblind.llm import langid, pii
-from test_operators import WORD, linked_by_force
+from test_operators import WORD, linked_by_force, sets_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,12 +19,8 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.fit(langid.training_rows(docs))
     named = {r.doc_id: r.text for r in langid.predict(docs, model, docs.columns).collect() if r.lang_pred != "und" and r.score >= 0.5}
-    first = {d for d, _, c in linked_by_force(list(named.items())) if d == c}
-
-    def shingles(t):
-        w = WORD.findall((t or "").translate({i: i + 32 for i in range(65, 91)}))
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-
+    first = {d for d, _, c in linked_by_force(list(named.items()), 80, 5) if d == c}
+    shingles = lambda t: sets_of(t, 5)
     items = [shingles(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     clean = [d for d in first if not any(i and len(i & shingles(named[d])) >= 0.8 * len(i) for i in items)]
     left = docs.filter(docs.doc_id.isin(clean))
@@ -44,22 +40,49 @@ def test_stages_keep_the_columns(spark):
 
 
 def test_near_duplicates_by_five_words(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    kept = sorted(d for d, _, c in linked_by_force(rows, 80, 5) if d == c)
+    by_three = {d for d, _, c in linked_by_force(rows) if d == c}
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    sets = {}
-    for r in docs.collect():
-        w = WORD.findall((r.text or "").translate({i: i + 32 for i in range(65, 91)}))
-        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-    near = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] & sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
-    group = {d: d for d in sets}
-    while any(group[a] != group[b] for a, b in near):
-        for a, b in near:
-            group[a] = group[b] = min(group[a], group[b])
-    kept = sorted(d for d in sets if group[d] == d)
-    by_three = {d for d, _, c in linked_by_force([(r.doc_id, r.text) for r in docs.collect()]) if d == c}
     assert sorted(r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()) == kept
     assert set(kept) < by_three
 
 
+def test_ids_of_several_texts(spark):
+    from fixtures import sentence
+
+    a, c = sentence(70, 100), sentence(71, 100)
+    b = " ".join(a.split()[:-1]) + " changed"
+    docs = spark.createDataFrame([(1, a), (2, b), (2, c), (3, b), (2, c), (4, b), (4, a)], "doc_id long, text string")
+    kept = [tuple(r) for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()]
+    assert sorted(kept) == sorted([(1, a), (2, c)])
+
+
+def stage(name):
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows(spark, name):
+    from fixtures import sentence
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, pack string, hash string, name string, spans string, score string"
+    good = [(i, sentence(80 + i, 60), "en", "s", 0, "p", "h", "n", "s", "s") for i in range(4)]
+    odd = [(10, None, "en", "s", 0, *"abcde"), (11, "", "en", "s", 0, *"abcde"), (11, "", "en", "s", 0, *"abcde"), (None, None, None, None, None, *"abcde"), good[0], (None, good[1][1], None, None, None, *"abcde")]
+    for rows in ([], odd[:4], good + odd):
+        docs = spark.createDataFrame(rows, schema)
+        out = stage(name)(spark, docs, SF)
+        found = out.collect()
+        if name != "bpe":
+            assert out.columns == docs.columns
+        ids = sorted((r.doc_id is None, r.doc_id or 0) for r in found)
+        if name in ("benchmark_decontamination", "pii", "bpe"):
+            assert len(ids) == len(rows)
+        elif name == "ngram_jaccard_join" and rows:
+            # of equal rows one stays, and the copy without id gives way to the row that has one
+            assert [i for _, i in ids] == ([0, 1, 2, 3] if len(rows) > 4 else []) + [10, 11, 0]
+
+
 def test_rows_without_id(spark):
     from fixtures import sentence
 
