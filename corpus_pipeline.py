@@ -1,10 +1,9 @@
 """From raw documents to token counts: five stages, each written as Parquet and read again."""
 
-import public_tokenizers
 from pyspark.sql import functions as F
 
 from signalblind.llm import bpe, decontam, langid, paritysketch, pii
-from signalblind.session import scratch_path
+from signalblind.session import cut, scratch_path
 
 LEAST_SCORE = 0.5
 VOCABULARY = "word_bpe_49k.json"
@@ -26,25 +25,42 @@ def key():
     return F.coalesce(F.col("doc_id").cast("bigint"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62))
 
 
-def keyed(docs):
-    """(doc_id, text) of every row, with an id for rows that have none."""
-    return docs.select(key().alias("doc_id"), "text")
+def without(docs, rows):
+    """``docs`` without the rows whose id and text are those of ``rows`` (__id, __mark)."""
+    gone = cut(rows.select("__id", "__mark").distinct())
+    many = gone.count() > paritysketch.BROADCAST_ROWS
+    return docs.join(gone if many else F.broadcast(gone), (key() == F.col("__id")) & (mark() == F.col("__mark")), "left_anti")
 
 
-def without(docs, ids):
-    """``docs`` without the rows whose id in ``keyed(docs)`` is in ``ids``."""
-    gone = ids.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(paritysketch.small(gone), key() == F.col("_gone"), "left_anti")
+def mark():
+    """A hash of the text, telling rows of one id apart."""
+    return F.coalesce(F.xxhash64("text"), F.lit(0))
 
 
 def one_of_each_group(spark, docs, sf_dir):
-    """Keep the document of the smallest id of every group of near duplicates."""
-    return without(docs, paritysketch.linked(keyed(docs), **NEAR).filter("doc_id <> component_id")).dropDuplicates(["doc_id", "text"])
+    """Keep one document of every group of near duplicates: the smallest id, then text hash.
+
+    Texts that are null or without a word are alike to nothing and stay. Of rows with equal
+    id and text one stays. Rows without doc_id count as larger than any id.
+    """
+    ids = docs.select(key().alias("doc_id"), "text", key().alias("__id"), mark().alias("__mark"))
+    links = cut(paritysketch.linked(ids, **NEAR, carry=("__id", "__mark")).select("__id", "__mark", "component"))
+    first = links.filter("component is not null").groupBy("component").agg(F.min(F.struct("__id", "__mark")).alias("first"), F.max(F.struct("__id", "__mark")).alias("last"))
+    several = first.filter("first <> last").select("component", "first")
+    left = without(docs, links.join(several, "component").filter(F.struct("__id", "__mark") != F.col("first")))
+    twice = cut(links.groupBy("__id", "__mark").count().filter("count > 1").select("__id", "__mark"))
+    if twice.isEmpty():
+        return left
+    same = (key() == F.col("__id")) & (mark() == F.col("__mark"))
+    return without(left, twice).unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminated(spark, docs, sf_dir):
-    """Drop documents that hold a benchmark item."""
-    return without(docs, decontam.leaks(keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    """Drop documents that hold a benchmark item; null and empty texts hold none."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    texts = docs.select(key().alias("doc_id"), "text", mark().alias("__mark"))
+    leaks = decontam.leaks(texts, items, carry=("__mark",))
+    return without(docs, leaks.select(F.col("doc_id").alias("__id"), "__mark"))
 
 
 def redacted(spark, docs, sf_dir):
@@ -54,6 +70,8 @@ def redacted(spark, docs, sf_dir):
 
 def encoded(spark, docs, sf_dir):
     """Token counts and digests of every document left."""
+    import public_tokenizers
+
     return bpe.encode(docs, public_tokenizers.path(VOCABULARY))
 
 
