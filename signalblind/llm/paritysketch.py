@@ -11,7 +11,10 @@ therefore so wide that two tokens never share a bit, and is held as the XOR of t
 positions of its set bits. Empty segments agree in unrelated sets, so each band has some
 spare segments: a set with no more empty segments than spares leaves them out, for one of
 the D + 1 + spare segments is then both untouched and not empty. Only a set with more empty
-ones shows them, and so does any similar set that would not be found without.
+ones shows them, and so does any similar set that would not be found without. The same goes
+for segments that a thousandth of all documents show, such as a single token of a common
+passage: equal segments are hot for both sets, so hiding them loses nothing as long as empty
+and hot ones together are no more than the spares.
 
 Groups are never expanded: identical sets become one class, named by a hash of the set,
 every member of a segment's group is compared with the group's smallest member only, and of
@@ -24,6 +27,8 @@ bytes beside its bucket, to the bucket that tells which keys several classes sho
 frequent ones are known to be shared and skip the buckets, so none of these grows with them.
 """
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,7 +65,7 @@ class Bands:
             spare = min(wanted, top)
             k = most + 1 + spare
             empty = k * np.exp(-least / k)  # as many in the smallest set, on average
-            wanted = int(np.ceil(empty + 3 * np.sqrt(empty)))
+            wanted = int(np.ceil(empty + 3 * np.sqrt(empty))) + 2 + most // 20  # the last for hot ones
         return k, spare
 
     def segments(self, band):
@@ -77,12 +82,28 @@ class Bands:
 _U = np.uint64
 
 
+def short_sketch(values):
+    """Parity sketch of two to four bits a token, :data:`MINI` at least, so that it never fills up."""
+    size = max(MINI, 1 << int(2 * len(values) - 1).bit_length())
+    return np.packbits(parity(values >> _U(8), size), bitorder="little").tobytes()
+
+
 def parity(values, bits):
     """Bits of the sketch of ``values`` (already mixed) as a flat array of 0 and 1."""
     return (np.bincount((values >> _U(16)) % _U(bits), minlength=bits) & 1).astype(np.uint8)
 
 
-def segment_keys(values, n, bands):
+NO_KEYS = np.zeros(0, np.uint64)
+
+
+def among(keys, known):
+    """Which keys are in the sorted array ``known``."""
+    if not len(known):
+        return np.zeros(len(keys), bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
+def segment_keys(values, n, bands, hot=NO_KEYS):
     """One 64-bit key for each segment shown and band; equal segments give equal keys."""
     out, bits = [], T.mix(values)
     for band in bands.of(n):
@@ -91,15 +112,18 @@ def segment_keys(values, n, bands):
             continue  # only equal sets, which are one class already
         segments = np.zeros(k, np.uint64)
         np.bitwise_xor.at(segments, ((values >> _U(16)) % _U(k)).astype(np.intp), bits)
-        shown = np.flatnonzero(segments)
-        if k - len(shown) > spare:
-            shown = np.arange(k)
-        place = T.mix(shown.astype(np.uint64) + (_U(band) << _U(40)))
-        out.append(T.mix(segments[shown] ^ place) + place)
+        place = T.mix(np.arange(k, dtype=np.uint64) + (_U(band) << _U(40)))
+        keys, full = T.mix(segments ^ place) + place, segments != 0
+        cold = full & ~among(keys, hot) if len(hot) else full
+        for shown in (cold, full):
+            if k - shown.sum() <= spare:
+                keys = keys[shown]
+                break
+        out.append(keys)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-HOT = 1 << 16
+HOT = 256
 HOT_KEYS = 1 << 20
 BUCKET = 1 << 21
 CHUNK = 1 << 21
@@ -119,7 +143,7 @@ def profiles(docs: DataFrame, words, bands, carry=()) -> DataFrame:
         def frequent():
             keys, of = np.concatenate(found), np.repeat(np.array([h for h, _ in sets], np.int64), [k for _, k in sets])
             value, first, n = np.unique(keys, return_index=True, return_counts=True)
-            often = n >= max(32, len(sets) // 500)
+            often = n >= max(16, len(sets) // 1000)
             triple = np.column_stack([value[often].view(np.int64), n[often], of[first[often]]])
             blank = [pa.nulls(1, t) for t in types]
             found.clear(), sets.clear()
@@ -133,7 +157,7 @@ def profiles(docs: DataFrame, words, bands, carry=()) -> DataFrame:
                 for i, s in zip(ids, T.Words(data, offsets, lower=True).shingle_sets(words)):
                     mixed = T.mix(s)
                     keys, (h1, h2) = segment_keys(mixed, len(s), bands), T.set_hash(s)
-                    rows.append((len(s), len(keys), h1, h2, np.packbits(parity(mixed >> _U(8), MINI)).tobytes()))
+                    rows.append((len(s), len(keys), h1, h2, short_sketch(mixed)))
                     if len(keys) and i.is_valid:
                         found.append(keys)
                         sets.append((h1, len(keys)))
@@ -150,7 +174,7 @@ def profiles(docs: DataFrame, words, bands, carry=()) -> DataFrame:
 
 
 def hot_keys(profile: DataFrame, total):
-    """{key: (how often, a set that shows it)} of keys with a millionth of all entries, so at most a million."""
+    """(keys in order, how often, a set that shows each): at least a millionth of all entries, so at most a million."""
 
     def run(batches):
         for batch in batches:
@@ -160,7 +184,10 @@ def hot_keys(profile: DataFrame, total):
 
     often = profile.filter("n = -1").select("frequent").mapInArrow(run, "key bigint, c bigint, rep bigint")
     least = max(HOT, total // HOT_KEYS)
-    return {r["key"]: (r["c"], r["rep"]) for r in often.groupBy("key").agg(F.sum("c").alias("c"), F.min("rep").alias("rep")).filter(F.col("c") >= least).collect()}
+    rows = often.groupBy("key").agg(F.sum("c").alias("c"), F.min("rep").alias("rep")).filter(F.col("c") >= least).toArrow()
+    key, c, rep = (rows[n].to_numpy() for n in ("key", "c", "rep"))
+    order = np.argsort(key.view(np.uint64))
+    return key.view(np.uint64)[order], c[order], rep[order]
 
 
 def classes_of(profile: DataFrame):
@@ -174,8 +201,8 @@ def classes_of(profile: DataFrame):
     twice = sets.groupBy("h1").agg(F.count("*").alias("c"), F.min(F.struct("h2", "n")).alias("first")).filter("c > 1").collect()
     if not twice:
         return sets.withColumn("name", F.col("h1")), {}
-    held = F.array(*(F.struct(F.lit(r["h1"]), F.lit(r["first"]["h2"]), F.lit(r["first"]["n"])) for r in twice))
-    other = F.col("h1").isin([r["h1"] for r in twice]) & ~F.array_contains(held, F.struct("h1", "h2", "n"))
+    first = [(F.col("h1") == r["h1"]) & (F.col("h2") == r["first"]["h2"]) & (F.col("n") == r["first"]["n"]) for r in twice]
+    other = F.col("h1").isin([r["h1"] for r in twice]) & ~functools.reduce(lambda a, b: a | b, first)
     named = sets.withColumn("name", F.when(other, F.xxhash64("h1", "h2", "n")).otherwise(F.col("h1")))
     return named, {(r["h1"], r["h2"], r["n"]): r["name"] for r in named.filter("name <> h1").collect()}
 
@@ -190,7 +217,7 @@ def shared_keys(docs: DataFrame, classes: DataFrame, renamed, words, bands, hot,
     """(key, c, name, rep) of the keys that several classes show: c members, rep one of them."""
     some = docs.select("doc_id", "text").join(small(classes.select("doc").distinct()), F.col("doc_id") == F.col("doc"), "left_semi")
     buckets = max(1, -(-total // BUCKET), shuffle_partitions(docs.sparkSession))
-    known = np.sort(np.array(list(hot), np.int64).view(np.uint64))
+    known, often_shown, shown_by = hot
 
     def ask(batches):
         keys, names, held = [], [], 0
@@ -198,8 +225,7 @@ def shared_keys(docs: DataFrame, classes: DataFrame, renamed, words, bands, hot,
         def rows():
             k, n = np.concatenate(keys), np.concatenate(names)
             keys.clear(), names.clear()
-            at = np.minimum(np.searchsorted(known, k), max(0, len(known) - 1))
-            often = known[at] == k if len(known) else np.zeros(len(k), bool)
+            at, often = np.searchsorted(known, k), among(k, known)
             for i in np.unique(at[often]).tolist():  # known to be shared: straight on, spread by the members
                 some = n[often & (at == i)]
                 yield -1 - int(some[0]) % buckets, i, b"", some
@@ -219,7 +245,7 @@ def shared_keys(docs: DataFrame, classes: DataFrame, renamed, words, bands, hot,
             for _, _, data, offsets in T.groups(texts):
                 sets = [s for s in T.Words(data, offsets, lower=True).shingle_sets(words) if len(s)]
                 for s, name in zip(sets, _names(sets, renamed)):
-                    keys.append(segment_keys(T.mix(s), len(s), bands))
+                    keys.append(segment_keys(T.mix(s), len(s), bands, known))
                     names.append(np.full(len(keys[-1]), name, np.int64))
                     held += len(keys[-1])
                 if held >= CHUNK:
@@ -228,13 +254,11 @@ def shared_keys(docs: DataFrame, classes: DataFrame, renamed, words, bands, hot,
         if held:
             yield batch_of(rows())
 
-    facts = [hot[k] for k in known.view(np.int64).tolist()]
-
     def pass_on(table):
         out = []
         for i, data in zip(table["key"].to_pylist(), table["name"].to_pylist()):
             doc = np.unique(np.frombuffer(data, np.int64))
-            out.append(np.column_stack([np.full(len(doc), -1 - i), np.full(len(doc), facts[i][0]), doc, np.full(len(doc), facts[i][1])]))
+            out.append(np.column_stack([np.full(len(doc), -1 - i), np.full(len(doc), often_shown[i]), doc, np.full(len(doc), shown_by[i])]))
         return pa.table(list(np.concatenate(out).T), ["key", "c", "doc", "rep"])
 
     def meet(table):
@@ -301,8 +325,24 @@ def near(a, b, na, nb, num, den):
     return (apart * (num + den) <= (den - num) * (na + nb)) & (den * np.minimum(na, nb) >= num * np.maximum(na, nb))
 
 
-def _sketches(column):
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, MINI // 64)
+def folded(sketches, size):
+    """Sketches (bytes of equal length) as words, folded to ``size`` bytes: bits modulo a power of two."""
+    out = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+    while out.shape[1] * 8 > size:
+        half = out.shape[1] // 2
+        out = out[:, :half] ^ out[:, half:]
+    return out
+
+
+def alike_in_length(column):
+    """Sketches of a column as a matrix, all folded to the shortest."""
+    rows = column.to_pylist()
+    sizes = np.array([len(r) for r in rows])
+    out = np.zeros((len(rows), int(sizes.min()) // 8), np.uint64)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        out[at] = folded([rows[i] for i in at], int(sizes.min()))
+    return out
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, num, den) -> DataFrame:
@@ -313,7 +353,13 @@ def plausible(pairs: DataFrame, classes: DataFrame, num, den) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                ok = near(_sketches(batch.column("ma")), _sketches(batch.column("mb")), batch.column("na").to_numpy(), batch.column("nb").to_numpy(), num, den)
+                ma, mb, na, nb = (batch.column(c).to_pylist() if c[0] == "m" else batch.column(c).to_numpy() for c in ("ma", "mb", "na", "nb"))
+                sizes = np.array([(len(a), len(b)) for a, b in zip(ma, mb)])
+                ok = np.zeros(batch.num_rows, bool)
+                for pair in np.unique(sizes, axis=0):
+                    at = np.flatnonzero((sizes == pair).all(axis=1))
+                    for at in np.array_split(at, 1 + len(at) * int(pair.max()) // (1 << 24)):
+                        ok[at] = near(folded([ma[i] for i in at], pair.min()), folded([mb[i] for i in at], pair.min()), na[at], nb[at], num, den)
                 yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(ok))
 
     return both.mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint")
@@ -335,11 +381,12 @@ def unsettled(members: DataFrame, num, den) -> DataFrame:
 
     def compare(t):
         doc, rep, comp, n, own = (t[c].to_numpy() for c in ("doc", "rep", "comp", "n", "own"))
-        mini, i, j = _sketches(t["mini"]), int(t["i"][0].as_py()), int(t["j"][0].as_py())
+        mini, i, j = alike_in_length(t["mini"]), int(t["i"][0].as_py()), int(t["j"][0].as_py())
         left = np.flatnonzero((own == i) & (doc != rep))
         right = left if i == j else np.flatnonzero((own == j) & (doc != rep))
-        for lo in range(0, len(left), 256):
-            x = left[lo : lo + 256, None]
+        step = max(1, (1 << 22) // max(1, len(right) * mini.shape[1]))
+        for lo in range(0, len(left), step):
+            x = left[lo : lo + step, None]
             y = right[None, :]
             ok = near(mini[x], mini[y], n[x], n[y], num, den) & (comp[x] != comp[y])
             if i == j:
