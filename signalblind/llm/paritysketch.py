@@ -125,8 +125,8 @@ def segment_keys(values, n, bands, hot=NO_KEYS):
 
 HOT = 256
 HOT_KEYS = 1 << 20
-BUCKET = 1 << 21
-CHUNK = 1 << 21
+BUCKET = 1 << 19
+CHUNK = 1 << 19
 
 
 def profiles(docs: DataFrame, words, bands, carry=()) -> DataFrame:
@@ -143,7 +143,7 @@ def profiles(docs: DataFrame, words, bands, carry=()) -> DataFrame:
         def frequent():
             keys, of = np.concatenate(found), np.repeat(np.array([h for h, _ in sets], np.int64), [k for _, k in sets])
             value, first, n = np.unique(keys, return_index=True, return_counts=True)
-            often = n >= max(16, len(sets) // 1000)
+            often = n >= max(8, len(sets) // 1000)
             triple = np.column_stack([value[often].view(np.int64), n[often], of[first[often]]])
             blank = [pa.nulls(1, t) for t in types]
             found.clear(), sets.clear()
@@ -292,9 +292,9 @@ def sets_of(docs: DataFrame, classes: DataFrame, names: DataFrame, renamed, word
             texts = T.column(batch, "text")
             for _, _, data, offsets in T.groups(texts):
                 sets = [s for s in T.Words(data, offsets, lower=True).shingle_sets(words) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array(list(_names(sets, renamed)), pa.int64()), pa.array([np.sort(T.mix(s)).tobytes() for s in sets], pa.binary())], ["doc", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(_names(sets, renamed)), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc", "shingles"])
 
-    return some.mapInArrow(run, "doc bigint, shingles binary").join(names, "doc", "left_semi").groupBy("doc").agg(F.max("shingles").alias("shingles"))
+    return some.mapInArrow(run, "doc bigint, shingles array<bigint>").join(names, "doc", "left_semi").groupBy("doc").agg(F.any_value("shingles").alias("shingles"))
 
 
 BROADCAST_ROWS = 1 << 20
@@ -308,15 +308,7 @@ def small(ids: DataFrame) -> DataFrame:
 def shared_shingles(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` (a, b, ...) with the exact number of shingles that both hold."""
     both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb")), "b")
-    keep = [f for f in pairs.schema.fields]
-
-    def run(batches):
-        for batch in batches:
-            n = [len(np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True)) for x, y in zip(batch.column("sa"), batch.column("sb"))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), pa.array(n, pa.int64())], [*(f.name for f in keep), "shared"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep) + ", shared bigint"
-    return both.select(*(f.name for f in keep), "sa", "sb").mapInArrow(run, schema)
+    return both.select(*pairs.columns, F.size(F.array_intersect("sa", "sb")).cast("bigint").alias("shared"))
 
 
 def near(a, b, na, nb, num, den):
@@ -384,7 +376,7 @@ def unsettled(members: DataFrame, num, den) -> DataFrame:
         mini, i, j = alike_in_length(t["mini"]), int(t["i"][0].as_py()), int(t["j"][0].as_py())
         left = np.flatnonzero((own == i) & (doc != rep))
         right = left if i == j else np.flatnonzero((own == j) & (doc != rep))
-        step = max(1, (1 << 22) // max(1, len(right) * mini.shape[1]))
+        step = max(1, (1 << 20) // max(1, len(right) * mini.shape[1]))
         for lo in range(0, len(left), step):
             x = left[lo : lo + step, None]
             y = right[None, :]
