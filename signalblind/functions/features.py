@@ -1,116 +1,125 @@
-"""Features of one packed grid as Column expressions: no explode, no shuffle."""
+"""Features of frames, measured on stacks of equal size, and what is left as Column expressions."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from . import grids
-from .columns import let, round6
+from .columns import round6
+from .kernels import BOXES_TYPE, GRID_TYPE, _boxes
+from .stencils import histograms, mirrored, otsu, stacks, taken
 
 
-def _long(v=0):
-    return F.lit(v).cast("bigint")
+def _nlogn(counts):
+    return (counts * np.log2(np.maximum(counts, 1))).sum(axis=-1)
 
 
-def _moments(values) -> Column:
-    """Number, sum and sum of squares of integers, exact."""
-    start = F.struct(_long().alias("n"), _long().alias("s"), _long().alias("q"))
-    return F.aggregate(values, start, lambda a, v: F.struct(
-        (a["n"] + 1).alias("n"), (a["s"] + v).alias("s"), (a["q"] + v.cast("bigint") * v).alias("q")))
+def _variance(values):
+    """Population variance of whole numbers from exact sums."""
+    flat = values.reshape(len(values), -1).astype(np.int64)
+    n, s = float(flat.shape[1]), flat.sum(axis=1).astype(float)
+    return (n * (flat * flat).sum(axis=1) - s * s) / (n * n)
 
 
-def _variance(m) -> Column:
-    n = m["n"].cast("double")
-    return (n * m["q"] - m["s"].cast("double") * m["s"]) / (n * n)
+def entropy_texture(stack):
+    """Histogram entropy, population deviation, variance of the 4-neighbour Laplacian."""
+    n = float(stack[0].size)
+    sides = sum(taken(stack, axis, d, mirrored) for axis in (1, 2) for d in (-1, 1))
+    return {
+        "entropy": np.log2(n) - _nlogn(histograms(stack)) / n, "contrast_std": np.sqrt(_variance(stack)),
+        "laplacian_variance": _variance(sides - 4 * stack)}
 
 
-def _counts(levels) -> Column:
-    """Histogram entries (value, count) from a cumulative histogram."""
-    return F.transform(levels, lambda e, i: F.struct(
-        e["v"].alias("v"), (e["n"] - F.coalesce(F.get(levels, i - 1)["n"], _long())).cast("double").alias("c")))
+def box_sums(stack, size):
+    """Sums over a size x size box with mirrored edges, from running sums in each direction."""
+    r = size // 2
+    for axis in (2, 1):
+        n = stack.shape[axis]
+        wide = np.take(stack, mirrored(np.arange(-r, n + size - 1 - r), n), axis=axis).cumsum(axis=axis)
+        wide = np.concatenate([np.zeros_like(np.take(wide, [0], axis=axis)), wide], axis=axis)
+        stack = np.take(wide, np.arange(size, size + n), axis=axis) - np.take(wide, np.arange(n), axis=axis)
+    return stack
 
 
-def laplacian(px, height, width) -> Column:
-    """4-neighbour Laplacian, edges mirrored without repeating."""
-    at = lambda y, x: px[grids.mirrored(y, height) * width + grids.mirrored(x, width)]
-    return grids.grid(height, width, lambda y, x: (
-        at(y - 1, x) + at(y + 1, x) + at(y, x - 1) + at(y, x + 1) - 4 * px[y * width + x]))
-
-
-def entropy_texture(px, height, width) -> Column:
-    """Histogram entropy, population deviation, variance of the Laplacian."""
-    nlogn = let(grids.cumulative_histogram(px), lambda l: F.aggregate(
-        _counts(l), F.lit(0.0), lambda a, e: a + e["c"] * F.log2(e["c"])))
-    n = F.size(px).cast("double")
-    return F.struct(
-        round6(F.log2(n) - nlogn / n).alias("entropy"),
-        round6(F.sqrt(let(_moments(px), _variance))).alias("contrast_std"),
-        round6(let(_moments(laplacian(px, height, width)), _variance)).alias("laplacian_variance"))
-
+def speckle(stack, window=7):
+    """Local contrast K = deviation / mean over a box, mirrored edges; box sums are exact."""
+    size = max(3, window)
+    area, wide = float(size * size), stack.astype(np.int64)
+    s, q = box_sums(wide, size).astype(float), box_sums(wide * wide, size).astype(float)
+    v = np.maximum(0.0, (q * area - s * s) / (area * area))
+    k = np.sqrt(v) / (s / area + 1e-6)
+    mean = k.mean(axis=(1, 2))
+    return {
+        "contrast_mean": mean, "contrast_spread": np.sqrt(np.maximum(0.0, (k * k).mean(axis=(1, 2)) - mean * mean)),
+        "variance_mean": v.mean(axis=(1, 2)), "saturated_fraction": (stack >= 250).mean(axis=(1, 2))}
 
-def speckle(px, height, width, window=7) -> Column:
-    """Local contrast K = deviation / mean over a box, mirrored edges.
 
-    Box sums are exact integers, added along rows and then along columns.
-    """
-    size = max(3, window)
-    ones, area = [1] * size, float(size * size)
-    first = grids.weighted(px, height, width, ones, grids.mirrored, F.lit(0))
-    second = let(F.transform(px, lambda v: v * v), lambda q: grids.weighted(
-        q, height, width, ones, grids.mirrored, F.lit(0)))
-
-    def local(s, q):
-        variance = F.greatest(F.lit(0.0), (q * area - s.cast("double") * s) / (area * area))
-        return let(variance, lambda v: F.struct(v.alias("v"), (F.sqrt(v) / (s / area + 1e-6)).alias("k")))
-
-    start = F.struct(F.lit(0.0).alias("k"), F.lit(0.0).alias("kk"), F.lit(0.0).alias("v"))
-    sums = F.aggregate(F.zip_with(first, second, local), start, lambda a, c: F.struct(
-        (a["k"] + c["k"]).alias("k"), (a["kk"] + c["k"] * c["k"]).alias("kk"), (a["v"] + c["v"]).alias("v")))
-    n = F.size(px).cast("double")
-    bright = F.size(F.filter(px, lambda v: v >= 250))
-    return let(sums, lambda t: F.struct(
-        round6(t["k"] / n).alias("contrast_mean"),
-        round6(F.sqrt(F.greatest(F.lit(0.0), t["kk"] / n - (t["k"] / n) * (t["k"] / n)))).alias("contrast_spread"),
-        round6(t["v"] / n).alias("variance_mean"), round6(bright / n).alias("saturated_fraction")))
-
-
-def pair_texture(px, height, width, levels=16) -> Column:
+def pair_texture(stack, levels=16):
     """Texture of neighbour pairs (right and below), counted in both directions."""
-
-    def quantise(r):
-        return F.transform(px, lambda v: F.floor(
-            (v - r["lo"]) * (levels - 1) / F.greatest(r["hi"] - r["lo"], F.lit(1))).cast("int"))
-
-    def code(a, b):
-        return F.least(a, b) * levels + F.greatest(a, b)
-
-    def pairs(q):
-        right = F.flatten(F.transform(F.sequence(F.lit(0), height - 1), lambda y: F.transform(
-            F.sequence(F.lit(0), width - 1), lambda x: F.when(x > 0, code(q[y * width + x], F.get(q, y * width + x - 1))))))
-        below = F.transform(q, lambda v, i: F.when(i >= width, code(v, F.get(q, i - width))))
-        return F.filter(F.concat(right, below), lambda c: c.isNotNull())
-
-    def measure(entries):
-        # An off-diagonal pair fills two cells of the symmetric matrix, a diagonal one counts twice in one.
-        def add(acc, e):
-            n, gap = e["c"], (e["v"] % levels - F.floor(e["v"] / levels)).cast("double")
-            same = gap == 0
-            return F.struct(
-                (acc["t"] + 2 * n).alias("t"), (acc["c"] + 2 * n * gap * gap).alias("c"),
-                (acc["h"] + 2 * n / (gap + 1.0)).alias("h"),
-                (acc["e"] + F.when(same, 4 * n * n).otherwise(2 * n * n)).alias("e"),
-                (acc["l"] + F.when(same, 2 * n * F.log2(2 * n)).otherwise(2 * n * F.log2(n))).alias("l"))
-
-        start = F.struct(*[F.lit(0.0).alias(k) for k in "tchel"])
-        return let(F.aggregate(entries, start, add), lambda a: F.struct(
-            round6(a["c"] / a["t"]).alias("contrast"), round6(a["h"] / a["t"]).alias("homogeneity"),
-            round6(F.sqrt(a["e"]) / a["t"]).alias("energy"), round6(F.log2(a["t"]) - a["l"] / a["t"]).alias("entropy")))
-
-    def from_pairs(codes):
-        zero = F.struct(*[F.lit(0.0).alias(k) for k in ("contrast", "homogeneity", "energy", "entropy")])
-        return F.when(F.size(codes) == 0, zero).otherwise(
-            let(let(grids.cumulative_histogram(codes), _counts), measure))
-
-    quantised = let(F.struct(F.array_min(px).alias("lo"), F.array_max(px).alias("hi")), quantise)
-    return let(let(quantised, pairs), from_pairs)
+    low, high = stack.min(axis=(1, 2), keepdims=True), stack.max(axis=(1, 2), keepdims=True)
+    q = ((stack - low) * (levels - 1) // np.maximum(high - low, 1)).astype(np.int64)
+    n, matrix = len(stack), np.zeros((len(stack), levels * levels))
+    frame = (np.arange(n) * levels * levels)[:, None, None]
+    for a, b in ((q[:, :, :-1], q[:, :, 1:]), (q[:, :-1], q[:, 1:])):
+        for x, y in ((a, b), (b, a)):
+            matrix += np.bincount((frame + x * levels + y).ravel(), minlength=matrix.size).reshape(matrix.shape)
+    gap = np.abs(np.arange(levels)[:, None] - np.arange(levels)[None]).ravel().astype(float)
+    total = matrix.sum(axis=1)
+    some = np.maximum(total, 1.0)
+    return {
+        "contrast": (matrix * gap * gap).sum(axis=1) / some, "homogeneity": (matrix / (gap + 1.0)).sum(axis=1) / some,
+        "energy": np.sqrt((matrix * matrix).sum(axis=1)) / some, "entropy": np.log2(some) - _nlogn(matrix) / some}
+
+
+def measured(kernel, names, **options):
+    """Arrow UDF of (pixels, height, width) giving a struct of one kernel's doubles; null without cells."""
+
+    def run(pixels: pd.Series, height: pd.Series, width: pd.Series) -> pd.DataFrame:
+        out = np.full((len(pixels), len(names)), np.nan)
+        for at, stack in stacks(pixels, height, width):
+            if stack.size:
+                values = kernel(stack, **options)
+                out[at] = np.column_stack([values[k] for k in names])
+        return pd.DataFrame(out, columns=names)
+
+    return F.pandas_udf(run, StructType([StructField(k, DoubleType()) for k in names]))
+
+
+# What each kernel measures.
+TEXTURE = ["entropy", "contrast_std", "laplacian_variance"]
+SPECKLE = ["contrast_mean", "contrast_spread", "variance_mean", "saturated_fraction"]
+PAIRS = ["contrast", "homogeneity", "energy", "entropy"]
+
+
+def rounded(struct, names):
+    """The struct's fields rounded to six decimals, as a list of columns."""
+    return [round6(F.col(f"{struct}.{k}")).alias(k) for k in names]
+
+
+def binary(stack):
+    """0/1 frames are scaled to 0/255 first, then Otsu."""
+    tops = stack.max(axis=(1, 2), keepdims=True)
+    return otsu(np.where(tops <= 1, stack * 255, stack))
+
+
+@F.pandas_udf(GRID_TYPE)
+def binary_grid(pixels: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+    """T2"""
+    out = [None] * len(pixels)
+    for at, stack in stacks(pixels, height, width):
+        for i, frame in zip(at, binary(stack) if stack.size else stack):
+            out[i] = frame.ravel()
+    return pd.Series(out)
+
+
+@F.pandas_udf(BOXES_TYPE)
+def dark_boxes(pixels: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+    """Boxes of the dark regions of a frame's binary mask."""
+    out = [None] * len(pixels)
+    for at, stack in stacks(pixels, height, width):
+        for i, boxes in zip(at, _boxes(binary(stack) == 0) if stack.size else [[]] * len(at)):
+            out[i] = boxes
+    return pd.Series(out)
 
 
 def bright_share(px) -> Column:

@@ -6,8 +6,6 @@ the edge, adaptive threshold, median and Sobel repeat it, morphology ignores
 what lies outside.
 """
 
-import math
-from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -40,31 +38,6 @@ def to_byte(value: Column) -> Column:
     return F.least(F.greatest(value, F.lit(0)), F.lit(255))
 
 
-def weighted(px, height, width, weights, border, zero) -> Column:
-    """Separable weighted sum, along rows and then along columns.
-
-    Border positions are looked up from one index array per direction; short kernels are
-    written out term by term, long ones folded.
-    """
-    radius, size = len(weights) // 2, len(weights)
-    taps = F.array(*[F.lit(w) for w in weights])
-
-    def total(read):
-        if size <= 9:
-            terms = [read(k) if w == 1 else F.lit(w) * read(k) for k, w in enumerate(weights)]
-            return reduce(lambda a, b: a + b, terms)
-        return F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), zero, lambda acc, k: acc + taps[k] * read(k))
-
-    def positions(n):
-        return F.transform(F.sequence(F.lit(-radius), n - 1 + radius), lambda i: border(i, n))
-
-    def rows_then_columns(at):
-        rows = grid(height, width, lambda y, x: total(lambda k: px[y * width + at["x"][x + k]]))
-        return let(rows, lambda r: grid(height, width, lambda y, x: total(lambda k: r[at["y"][y + k] * width + x])))
-
-    return let(F.struct(positions(width).alias("x"), positions(height).alias("y")), rows_then_columns)
-
-
 # --- colour and pointwise ------------------------------------------------------------
 
 
@@ -142,94 +115,6 @@ def otsu(px) -> Column:
     return let(otsu_level(px), lambda level: threshold(px, level))
 
 
-def _lookup(px, entries, value) -> Column:
-    """Replace each cell by ``value(entry)`` of its histogram entry."""
-    table = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["v"], value(e))))
-    filled = let(table, lambda m: F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: F.try_element_at(m, v)))
-    return let(filled, lambda lut: F.transform(px, lambda v: lut[v]))
-
-
-def equalize(px) -> Column:
-    """Stretch by the cumulative histogram; a flat grid stays as it is."""
-
-    def remap(entries):
-        first, total = entries[0], F.element_at(entries, -1)["n"]
-
-        def value(entry):
-            spread = (total - first["n"]).cast("double")
-            return F.when(spread == 0, entry["v"]).otherwise(
-                half_up((entry["n"] - first["n"]).cast("double") * 255.0 / F.greatest(spread, F.lit(1.0)))
-            )
-
-        return _lookup(px, entries, value)
-
-    return let(cumulative_histogram(px), remap)
-
-
-def clahe(px, height, width, tiles=8, clip=2.0) -> Column:
-    """Per-tile clipped equalisation, blended bilinearly between tile centres."""
-    n = F.lit(tiles)
-    tile_h = F.ceil(height / n).cast("int")
-    tile_w = F.ceil(width / n).cast("int")
-    area = tile_h * tile_w
-    limit = F.greatest(F.floor(F.lit(clip) * area / 256.0).cast("int"), F.lit(1))
-
-    def tile_lut(ty, tx):
-        cells = grid(tile_h, tile_w, lambda y, x: px[
-            mirrored(ty * tile_h + y, height) * width + mirrored(tx * tile_w + x, width)
-        ])
-
-        def from_levels(levels):
-            # Running sum of the clipped counts at each value that occurs.
-            start = F.struct(
-                F.array().cast("array<struct<v:int,c:bigint>>").alias("done"),
-                F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("c"))
-
-            def clip_one(state, e):
-                return let(state["c"] + F.least(e["n"] - state["n"], limit), lambda c: F.struct(
-                    F.concat(state["done"], F.array(F.struct(e["v"].alias("v"), c.alias("c")))).alias("done"),
-                    e["n"].alias("n"), c.alias("c")))
-
-            def spread(state):
-                done = state["done"]
-                # The sum as a step function over all 256 values.
-                flat = F.concat(F.array_repeat(F.lit(0).cast("bigint"), done[0]["v"]), F.flatten(F.transform(
-                    done, lambda e, i: F.array_repeat(
-                        e["c"], F.coalesce(F.get(done, i + 1)["v"], F.lit(256)) - e["v"]))))
-                over = state["n"] - state["c"]
-                batch = F.floor(over / 256)
-                rest = over - batch * 256
-                stride = F.greatest(F.floor(256 / F.greatest(rest, F.lit(1))), F.lit(1))
-                return F.transform(flat, lambda c, b: to_byte(half_up(
-                    (c + batch * (b + 1) + F.least(rest, F.floor(b / stride) + 1)) * F.lit(255.0) / area)))
-
-            return let(F.aggregate(levels, start, clip_one), spread)
-
-        return let(let(cells, cumulative_histogram), from_levels)
-
-    luts = F.flatten(F.transform(_range(n), lambda ty: F.transform(_range(n), lambda tx: tile_lut(ty, tx))))
-
-    def blend(all_luts):
-        def cell(y, x):
-            fy, fx = y / tile_h - 0.5, x / tile_w - 0.5
-
-            def mix(pos):
-                y1, x1 = pos["y1"], pos["x1"]
-                wy, wx = fy - y1, fx - x1
-                top, bottom = repeated(y1, n), repeated(y1 + 1, n)
-                left, right = repeated(x1, n), repeated(x1 + 1, n)
-                v = px[y * width + x]
-                upper = all_luts[top * tiles + left][v] * (1.0 - wx) + all_luts[top * tiles + right][v] * wx
-                lower = all_luts[bottom * tiles + left][v] * (1.0 - wx) + all_luts[bottom * tiles + right][v] * wx
-                return half_up(upper * (1.0 - wy) + lower * wy)
-
-            return let(F.struct(F.floor(fy).cast("int").alias("y1"), F.floor(fx).cast("int").alias("x1")), mix)
-
-        return grid(height, width, cell)
-
-    return let(luts, blend)
-
-
 # --- bit masks -----------------------------------------------------------------------
 
 
@@ -256,135 +141,6 @@ def bit_overlap(left, right) -> Column:
     return F.when(either == 0, F.lit(0.0)).otherwise(both / F.greatest(either, F.lit(1)))
 
 
-# --- neighbourhood -------------------------------------------------------------------
-
-
-def gaussian_5(px, height, width) -> Column:
-    """Binomial weights 1 4 6 4 1 in both directions, rounded half up."""
-    sums = weighted(px, height, width, [1, 4, 6, 4, 1], mirrored, F.lit(0))
-    return F.transform(sums, lambda s: F.floor((s + 128) / 256).cast("int"))
-
-
-def gaussian_weights(size) -> list:
-    sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
-    raw = [math.exp(-((i - size // 2) ** 2) / (2 * sigma * sigma)) for i in range(size)]
-    return [w / sum(raw) for w in raw]
-
-
-def adaptive_threshold(px, height, width, size=31, offset=5) -> Column:
-    """Brighter than the rounded Gaussian local mean minus ``offset``."""
-    size = size if size % 2 else size + 1
-    means = weighted(px, height, width, gaussian_weights(size), repeated, F.lit(0.0))
-    return F.zip_with(px, means, lambda v, m: F.when(v > half_up(m) - offset, F.lit(255)).otherwise(F.lit(0)))
-
-
-def sharpen(px, height, width) -> Column:
-    """G9"""
-    return grid(height, width, lambda y, x: to_byte(
-        5 * px[y * width + x]
-        - px[mirrored(y - 1, height) * width + x] - px[mirrored(y + 1, height) * width + x]
-        - px[y * width + mirrored(x - 1, width)] - px[y * width + mirrored(x + 1, width)]
-    ))
-
-
-def _box(px, height, width, size, pick) -> Column:
-    """Minimum or maximum over a size x size box, separable, outside cells ignored."""
-    low = -(size // 2)
-    offsets = range(low, low + size)
-    rows = grid(height, width, lambda y, x: pick(*[px[y * width + repeated(x + d, width)] for d in offsets]))
-    return let(rows, lambda r: grid(height, width, lambda y, x: pick(*[r[repeated(y + d, height) * width + x] for d in offsets])))
-
-
-def dilate(px, height, width, size) -> Column:
-    return _box(px, height, width, size, F.greatest)
-
-
-def erode(px, height, width, size) -> Column:
-    return _box(px, height, width, size, F.least)
-
-
-def morph_close(px, height, width, size) -> Column:
-    """G11 / G17"""
-    return let(dilate(px, height, width, size), lambda d: erode(d, height, width, size))
-
-
-def morph_open(px, height, width, size) -> Column:
-    """G11"""
-    return let(erode(px, height, width, size), lambda e: dilate(e, height, width, size))
-
-
-def morph_gradient(px, height, width, size) -> Column:
-    """G11"""
-    return F.zip_with(dilate(px, height, width, size), erode(px, height, width, size), lambda d, e: d - e)
-
-
-def median(px, height, width, size=5) -> Column:
-    """G15"""
-    r = size // 2
-    return grid(height, width, lambda y, x: F.sort_array(F.array(*[
-        px[repeated(y + dy, height) * width + repeated(x + dx, width)]
-        for dy in range(-r, r + 1) for dx in range(-r, r + 1)
-    ]))[size * size // 2])
-
-
-def bilateral(px, height, width, size=9, sigma_value=75.0, sigma_space=75.0) -> Column:
-    """Mean over a disc, weighted by distance and by difference in value."""
-    r = size // 2
-    disc = [
-        (dy, dx, math.exp(-(dy * dy + dx * dx) / (2 * sigma_space * sigma_space)))
-        for dy in range(-r, r + 1) for dx in range(-r, r + 1) if dy * dy + dx * dx <= r * r
-    ]
-    taps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(w).alias("w")) for dy, dx, w in disc])
-    fall = -1.0 / (2 * sigma_value * sigma_value)
-
-    def cell(y, x):
-        here = px[y * width + x]
-        start = F.struct(F.lit(0.0).alias("top"), F.lit(0.0).alias("bottom"))
-
-        def add(state, tap):
-            there = px[mirrored(y + tap["dy"], height) * width + mirrored(x + tap["dx"], width)]
-
-            def weigh(v):
-                d = (v - here).cast("double")
-                weight = tap["w"] * F.exp(d * d * fall)
-                return let(weight, lambda w: F.struct(
-                    (state["top"] + w * v).alias("top"), (state["bottom"] + w).alias("bottom")))
-
-            return let(there, weigh)
-
-        return F.aggregate(taps, start, add, lambda s: half_up(s["top"] / s["bottom"]))
-
-    return grid(height, width, cell)
-
-
-def resize_2x(px, height, width) -> Column:
-    """Cubic (a = -0.75) enlargement by two; only two phases of weights occur."""
-
-    def cubic(t):
-        a = -0.75
-        near = ((a + 2) * t - (a + 3)) * t * t + 1
-        u = t + 1
-        far = ((a * u - 5 * a) * u + 8 * a) * u - 4 * a
-        v = 1 - t
-        near_right = ((a + 2) * v - (a + 3)) * v * v + 1
-        return [far, near, near_right, 1 - far - near - near_right]
-
-    # Target 2i sits at source i - 0.25, target 2i + 1 at i + 0.25.
-    even, odd = cubic(0.75), cubic(0.25)
-
-    def taps(read, index, n):
-        base = F.floor(index / 2).cast("int")
-        left = let(base, lambda b: sum(
-            (w * read(repeated(b - 2 + k, n)) for k, w in enumerate(even)), F.lit(0.0)))
-        right = let(base, lambda b: sum(
-            (w * read(repeated(b - 1 + k, n)) for k, w in enumerate(odd)), F.lit(0.0)))
-        return F.when(index % 2 == 0, left).otherwise(right)
-
-    rows = grid(height, width * 2, lambda y, x: taps(lambda i: px[y * width + i], x, width))
-    return let(rows, lambda r: grid(height * 2, width * 2, lambda y, x: to_byte(half_up(
-        taps(lambda i: r[i * width * 2 + x], y, height)))))
-
-
 def area_resize(px, height, width, out_h, out_w) -> Column:
     """Mean of the covered area of each target cell, rounded half up."""
 
@@ -404,53 +160,3 @@ def area_resize(px, height, width, out_h, out_w) -> Column:
         return half_up(total / ((y1 - y0) * (x1 - x0)))
 
     return grid(F.lit(out_h), F.lit(out_w), cell)
-
-
-# --- edges ---------------------------------------------------------------------------
-
-
-def sobel(px, height, width) -> Column:
-    """Horizontal and vertical 3x3 Sobel responses as ``array<struct<gx,gy>>``."""
-
-    def cell(y, x):
-        def at(dy, dx):
-            return px[repeated(y + dy, height) * width + repeated(x + dx, width)]
-
-        gx = (at(-1, 1) + 2 * at(0, 1) + at(1, 1)) - (at(-1, -1) + 2 * at(0, -1) + at(1, -1))
-        gy = (at(1, -1) + 2 * at(1, 0) + at(1, 1)) - (at(-1, -1) + 2 * at(-1, 0) + at(-1, 1))
-        return F.struct(gx.alias("gx"), gy.alias("gy"))
-
-    return grid(height, width, cell)
-
-
-def edge_candidates(px, height, width, low, high) -> Column:
-    """Thinned edge cells: 2 strong, 1 weak, 0 none; ``kernels.link_edges`` joins them.
-
-    A cell stays when its magnitude |gx| + |gy| peaks along its gradient, which is
-    taken as horizontal below 22.5 degrees, vertical above 67.5 and diagonal between.
-    """
-    tan_22 = math.tan(math.radians(22.5))
-
-    def thin(g):
-        def mag(y, x):
-            inside = (y >= 0) & (y < height) & (x >= 0) & (x < width)
-            i = repeated(y, height) * width + repeated(x, width)
-            return F.when(inside, F.abs(g[i]["gx"]) + F.abs(g[i]["gy"])).otherwise(F.lit(0))
-
-        def cell(y, x):
-            here = g[y * width + x]
-            m = F.abs(here["gx"]) + F.abs(here["gy"])
-            ax, ay = F.abs(here["gx"]).cast("double"), F.abs(here["gy"]).cast("double")
-            flat = ay < ax * tan_22
-            steep = ay > ax * (tan_22 + 2.0)
-            side = F.when((here["gx"] < 0) != (here["gy"] < 0), F.lit(-1)).otherwise(F.lit(1))
-            peak = (
-                F.when(flat, (m > mag(y, x - 1)) & (m >= mag(y, x + 1)))
-                .when(steep, (m > mag(y - 1, x)) & (m >= mag(y + 1, x)))
-                .otherwise((m > mag(y - 1, x - side)) & (m > mag(y + 1, x + side)))
-            )
-            return F.when((m > low) & peak, F.when(m > high, 2).otherwise(1)).otherwise(0)
-
-        return grid(height, width, cell)
-
-    return let(sobel(px, height, width), thin)

@@ -81,32 +81,6 @@ def _boxes(dark):
     return out
 
 
-@F.pandas_udf(BOXES_TYPE)
-def component_boxes(dark: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
-    """Boxes of the dark regions of a mask (cells > 0 are dark)."""
-    out = [None] * len(dark)
-    for at, (stack,) in _stacks(height, width, dark):
-        for i, boxes in zip(at, _boxes(stack > 0)):
-            out[i] = boxes
-    return pd.Series(out)
-
-
-@F.pandas_udf(GRID_TYPE)
-def link_edges(candidates: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
-    """Hysteresis: 255 for every candidate whose 8-connected component holds a strong cell.
-
-    An empty grid stays empty.
-    """
-    out = [np.empty(0, dtype="int32")] * len(candidates)
-    have = np.flatnonzero(candidates.map(len).to_numpy() > 0)
-    picked = [s.iloc[have].reset_index(drop=True) for s in (height, width, candidates)]
-    for at, (stack,) in _stacks(*picked):
-        for i, grid, label in zip(have[at], stack, _labels(stack > 0, 8)):
-            kept = np.isin(label, label[grid == 2]) & (grid > 0)
-            out[i] = np.where(kept, 255, 0).ravel().astype("int32")
-    return pd.Series(out)
-
-
 def _spectrum(stack):
     n, h, w = stack.shape
     if h < 4 or w < 4:

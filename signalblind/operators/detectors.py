@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import columns as C, features, grids
 from ..functions.columns import fenced, height, let, pixels, round6, width
-from ..functions.kernels import component_boxes, spectrum_peak
+from ..functions.kernels import spectrum_peak
 from ..session import cut
 from .ordering import top_per_group
-from .preprocess import canny
+from .preprocess import canny, held
 
 _CUSTOM = {}
 
@@ -23,28 +23,24 @@ def register_detector(name: str, fn):
     _CUSTOM[name] = fn
 
 
-def _in_row(df, keys, feature):
-    return df.select(*keys, let(pixels(), lambda p: feature(p, height(), width())).alias("_f")).select(*keys, "_f.*")
+def _in_row(df, keys, kernel, names, **options):
+    out = held(df).select(*keys, features.measured(kernel, names, **options)(pixels(), height(), width()).alias("_f"))
+    return out.select(*keys, *features.rounded("_f", names))
 
 
 def entropy_texture(df: DataFrame, keys: list) -> DataFrame:
     """T1"""
-    return _in_row(df, keys, features.entropy_texture)
+    return _in_row(df, keys, features.entropy_texture, features.TEXTURE)
 
 
 def binary_mask(df: DataFrame) -> DataFrame:
     """0/1 grids are scaled to 0/255 first, then Otsu."""
-
-    def mask(p):
-        return let(F.when(F.array_max(p) <= 1, F.transform(p, lambda v: v * 255)).otherwise(p), grids.otsu)
-
-    return df.withColumn("mask", let(pixels(), mask))
+    return held(df).withColumn("mask", features.binary_grid(pixels(), height(), width()))
 
 
 def with_boxes(df: DataFrame) -> DataFrame:
     """Boxes of all dark regions of each frame as one array column."""
-    dark = binary_mask(df).withColumn("_dark", fenced(let(F.col("mask"), grids.invert))).drop("mask")
-    return dark.withColumn("boxes", component_boxes("_dark", height(), width())).drop("_dark")
+    return held(df).withColumn("boxes", features.dark_boxes(pixels(), height(), width()))
 
 
 def _described(boxes, height, width, min_area):
@@ -224,12 +220,12 @@ def series_peak(power: DataFrame, by: list) -> DataFrame:
 
 def speckle(df: DataFrame, keys: list, window=7) -> DataFrame:
     """T9"""
-    return _in_row(df, keys, lambda p, h, w: features.speckle(p, h, w, window))
+    return _in_row(df, keys, features.speckle, features.SPECKLE, window=window)
 
 
 def glcm(df: DataFrame, keys: list, levels=16) -> DataFrame:
     """T10"""
-    return _in_row(df, keys, lambda p, h, w: features.pair_texture(p, h, w, levels))
+    return _in_row(df, keys, features.pair_texture, features.PAIRS, levels=levels)
 
 
 def text_evidence(words: DataFrame, keys: list) -> DataFrame:
@@ -244,23 +240,23 @@ def measure(df: DataFrame, keys: list, carry=(), original=None) -> DataFrame:
     """All per-frame features in one pass over the row, with what later steps need of
     the pixels: ``points`` of edge cells for lines and the packed bright ``mask``."""
     oh, ow = (F.col(original[0]), F.col(original[1])) if original else (height(), width())
-    boxed = canny(with_boxes(df.withColumn("pixels", fenced(pixels()))), 50, 150, into="_edges")
+    boxed = canny(with_boxes(df), 50, 150, into="_edges")
     measured = boxed.select(
         *keys, *carry, "_edges", "height", "width",
-        let(pixels(), lambda p: features.entropy_texture(p, height(), width())).alias("_texture"),
-        let(pixels(), lambda p: features.speckle(p, height(), width())).alias("_speckle"),
-        let(pixels(), lambda p: features.pair_texture(p, height(), width())).alias("_pairs"),
+        features.measured(features.entropy_texture, features.TEXTURE)(pixels(), height(), width()).alias("_texture"),
+        features.measured(features.speckle, features.SPECKLE)(pixels(), height(), width()).alias("_speckle"),
+        features.measured(features.pair_texture, features.PAIRS)(pixels(), height(), width()).alias("_pairs"),
         _summary(_described(F.col("boxes"), height(), width(), 4)).alias("_components"),
         _rois(F.col("boxes"), height(), width(), 5, 4, oh, ow).alias("candidate_rois"),
         spectrum_peak(pixels(), height(), width()).alias("_spectrum"),
         let(pixels(), lambda p: let(grids.otsu(p), grids.pack_bits)).alias("mask"))
     return measured.select(
         *keys, *carry, "height", "width", "mask", let(F.col("_edges"), lambda e: _points(e, 50)).alias("points"),
-        "_texture.*", "_speckle.*", "_components.*", "candidate_rois",
+        *features.rounded("_texture", features.TEXTURE), *features.rounded("_speckle", features.SPECKLE), "_components.*", "candidate_rois",
         F.size("candidate_rois").cast("bigint").alias("roi_count"),
         let(F.col("_edges"), features.bright_share).alias("edge_density"),
         *[F.round(F.col(f"_spectrum.{c}"), 3 if c == "angle" else 6).alias(c) for c in ("prominence", "radius", "angle", "ring")],
-        *[F.col(f"_pairs.{c}").alias(f"glcm_{c}") for c in ("contrast", "homogeneity", "energy", "entropy")])
+        *[c.alias(f"glcm_{n}") for n, c in zip(features.PAIRS, features.rounded("_pairs", features.PAIRS))])
 
 
 def detect(df: DataFrame, keys: list, metric="structure_score", words: DataFrame = None, carry=(), original=None) -> DataFrame:

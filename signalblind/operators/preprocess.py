@@ -2,9 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import grids
 from ..functions.columns import fenced, let
-from ..functions.kernels import link_edges
+from ..functions.stencils import chain, edge_grid, stencil
 
 
 # The two preprocessing profiles (variant name and its steps, in order).
@@ -53,9 +52,6 @@ PROFILES = {
     ],
 }
 
-# Low and high edge thresholds.
-CANNY = {"canny_edges": (50, 150), "canny_low": (25, 100), "canny_high": (100, 220), "canny_high_200": (100, 200)}
-
 _CUSTOM = {}
 
 
@@ -64,69 +60,48 @@ def register_step(name: str, fn):
     _CUSTOM[name] = fn
 
 
-def _number(step, position=-1):
-    return int(step.split("_")[position])
-
-
-def column_step(step: str):
-    """The step as ``fn(px, h, w, channels) -> px``, or None when it needs a whole DataFrame."""
-    fixed = {
-        "grayscale": lambda p, h, w, c: grids.grayscale(p, h, w, c),
-        "gaussian_blur": lambda p, h, w, c: grids.gaussian_5(p, h, w),
-        "otsu_threshold": lambda p, h, w, c: grids.otsu(p),
-        "adaptive_threshold": lambda p, h, w, c: grids.adaptive_threshold(p, h, w, 31, 5),
-        "adaptive_threshold_11_2": lambda p, h, w, c: grids.adaptive_threshold(p, h, w, 11, 2),
-        "histogram_equalization": lambda p, h, w, c: grids.equalize(p),
-        "clahe": lambda p, h, w, c: grids.clahe(p, h, w),
-        "invert": lambda p, h, w, c: grids.invert(p),
-        "sharpen": lambda p, h, w, c: grids.sharpen(p, h, w),
-        "bilateral": lambda p, h, w, c: grids.bilateral(p, h, w),
-        "resize_2x": lambda p, h, w, c: grids.resize_2x(p, h, w),
-    }
-    if step in fixed:
-        return fixed[step]
-    if step.startswith("threshold_"):
-        return lambda p, h, w, c: grids.threshold(p, _number(step))
-    if step.startswith("adaptive_threshold_"):
-        return lambda p, h, w, c: grids.adaptive_threshold(p, h, w, _number(step), 5)
-    if step.startswith("median_"):
-        return lambda p, h, w, c: grids.median(p, h, w, _number(step))
-    for name, fn in (("morph_close_", grids.morph_close), ("morph_open_", grids.morph_open),
-                     ("morph_gradient_", grids.morph_gradient)):
-        if step.startswith(name):
-            return lambda p, h, w, c, fn=fn: fn(p, h, w, _number(step))
-    return None
+def held(df):
+    """The frames with their pixels behind a fence, for an expression behind them may not move into a UDF."""
+    return df.withColumn("pixels", fenced(F.col("pixels")))
+
+
+def _run(lists, number):
+    return chain(lists)(F.col("pixels"), F.col("height"), F.col("width"), number)
+
+
+def scale_of(steps):
+    """By how much the steps enlarge a frame in each direction."""
+    return 2 ** steps.count("resize_2x")
 
 
 def canny(df: DataFrame, low: int, high: int, into="pixels") -> DataFrame:
-    """Thinned Sobel edges in the JVM, then one Arrow pass that links them."""
-    px, h, w = F.col("pixels"), F.col("height"), F.col("width")
-    thinned = df.withColumn("_thin", fenced(let(px, lambda p: grids.edge_candidates(p, h, w, low, high))))
-    return thinned.withColumn(into, link_edges("_thin", h, w)).drop("_thin")
+    """Thinned and linked Sobel edges as 0 and 255."""
+    return held(df).withColumn(into, edge_grid(low, high)(F.col("pixels"), F.col("height"), F.col("width")))
 
 
-def apply_steps(df: DataFrame, steps: list, channels=1) -> DataFrame:
-    """Run named steps over packed frames. No step shuffles.
+def apply_steps(df: DataFrame, steps: list) -> DataFrame:
+    """Run named steps over packed frames of one or three channels. No step shuffles.
 
-    ``channels`` tells how many interleaved values a cell has before ``grayscale``.
+    Neighbouring built-in steps are one Arrow pass; registered ones run between them.
     """
-    h, w = F.col("height"), F.col("width")
+    unknown = [s for s in steps if stencil(s) is None and s not in _CUSTOM]
+    if unknown:
+        raise ValueError(f"unknown preprocessing step: {unknown[0]}")
+    waiting = []
+
+    def flushed(df):
+        if not waiting:
+            return df
+        size, out = scale_of(waiting), held(df).withColumn("pixels", _run([list(waiting)], F.lit(0)))
+        waiting.clear()
+        return out if size == 1 else out.withColumns({"height": F.col("height") * size, "width": F.col("width") * size})
+
     for step in steps:
-        single = column_step(step)
-        if single is not None:
-            now = channels
-            df = df.withColumn("pixels", let(F.col("pixels"), lambda p: single(p, h, w, now)))
-            if step == "grayscale":
-                channels = 1
-            if step == "resize_2x":
-                df = df.withColumns({"height": h * 2, "width": w * 2})
-        elif step in CANNY:
-            df = canny(df, *CANNY[step])
-        elif step in _CUSTOM:
-            df = _CUSTOM[step](df)
+        if step in _CUSTOM:
+            df = _CUSTOM[step](flushed(df))
         else:
-            raise ValueError(f"unknown preprocessing step: {step}")
-    return df
+            waiting.append(step)
+    return flushed(df)
 
 
 def variants(spark: SparkSession, profile: str) -> DataFrame:
@@ -144,40 +119,30 @@ def variant_hash(profile, name, steps):
     return F.sha2(F.to_json(record), 256)
 
 
-def expand_variants(df: DataFrame, profile: str, channels=1) -> DataFrame:
+def expand_variants(df: DataFrame, profile) -> DataFrame:
     """Every frame under every variant of a profile (5 or 19), in one scan.
 
-    Each frame row is repeated per variant and a row runs only the steps of its own
-    variant, so one processed frame is in memory at a time and nothing is shuffled.
-    Edge variants share one Arrow pass; other rows send it an empty grid.
+    ``profile`` names a preset, or is a list of (variant, steps) of one's own. Each frame row
+    is repeated per variant and one Arrow pass runs a row's own steps on it, frames of equal
+    size and variant together; nothing is shuffled. Registered steps work on whole DataFrames
+    and belong to ``apply_steps``.
     """
-    if profile not in PROFILES:
+    if isinstance(profile, str) and profile not in PROFILES:
         raise ValueError(f"unknown preprocessing profile: {profile}")
+    chosen = PROFILES[profile] if isinstance(profile, str) else list(profile)
+    for step in (s for _, steps in chosen for s in steps):
+        if step in _CUSTOM:
+            raise ValueError(f"step {step} works on a whole DataFrame; run it with apply_steps")
+        if stencil(step) is None:
+            raise ValueError(f"unknown preprocessing step: {step}")
     listed = F.array(*[
-        F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("variant")) for i, (name, _) in enumerate(PROFILES[profile])])
+        F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("variant"), F.lit(scale_of(steps)).alias("_scale"))
+        for i, (name, steps) in enumerate(chosen)])
     keys = [c for c in df.columns if c not in ("pixels", "height", "width")]
     rows = df.select("*", F.explode_outer(listed).alias("_v")).select(*df.columns, "_v.*")
-    h, w = F.col("height"), F.col("width")
-    # The first branches keep the CASE chains well-formed for profiles without such steps.
-    thin, final, scale = F.when(F.lit(False), F.col("pixels")), F.when(F.lit(False), F.col("pixels")), F.when(F.lit(False), 1)
-    for name, steps in PROFILES[profile]:
-        mine, px, size, now = F.col("variant") == name, F.col("pixels"), 1, channels
-        for step in steps:
-            single = column_step(step)
-            if single is not None:
-                px = let(px, lambda p: single(p, h * size, w * size, now))
-                now = 1 if step == "grayscale" else now
-                size = 2 if step == "resize_2x" else size
-            elif step in CANNY and size == 1:
-                thin = thin.when(mine, let(px, lambda p: grids.edge_candidates(p, h, w, *CANNY[step])))
-                px = F.col("_linked")
-            else:
-                raise ValueError(f"step {step} works on a whole DataFrame; run it with apply_steps")
-        final, scale = final.when(mine, px), scale.when(mine, size)
-    thinned = rows.withColumn("_thin", fenced(thin.otherwise(F.array().cast("array<int>"))))
-    linked = thinned.withColumn("_linked", link_edges("_thin", h, w)).withColumn("_scale", scale)
-    return linked.select(*keys, "ordinal", "variant", final.alias("pixels"), (h * F.col("_scale")).alias("_height"), (
-        w * F.col("_scale")).alias("_width")).withColumnsRenamed({"_height": "height", "_width": "width"})
+    done = held(rows).withColumn("_done", _run([steps for _, steps in chosen], F.col("ordinal")))
+    return done.select(*keys, "ordinal", "variant", F.col("_done").alias("pixels"), (F.col("height") * F.col("_scale")).alias("_height"), (
+        F.col("width") * F.col("_scale")).alias("_width")).withColumnsRenamed({"_height": "height", "_width": "width"})
 
 
 def crop(df: DataFrame, x: int, y: int, width=None, height=None) -> DataFrame:

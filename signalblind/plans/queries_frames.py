@@ -287,7 +287,7 @@ FROM packed, ys, xs""")
 def _(spark, sf):
     # Three channels per cell: the cell and the two after it.
     three = let(pixels(), lambda p: F.flatten(F.transform(p, lambda v, i: F.array(v, p[(i + 1) % 64], p[(i + 2) % 64]))))
-    return cells(P.apply_steps(frames(spark, sf).withColumn("pixels", three), ["grayscale"], channels=3))
+    return cells(P.apply_steps(frames(spark, sf).withColumn("pixels", three), ["grayscale"]))
 
 
 GAUSS5 = """taps AS (SELECT * FROM (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) t(d, w)),

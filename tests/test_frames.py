@@ -312,7 +312,7 @@ def test_image_set_scan(spark, tmp_path):
     rows = {r.path.rsplit("/", 1)[1]: r for r in media.read_frames(spark, str(tmp_path)).collect()}
     assert sorted(rows) == ["a.png", "b.PNG"]
     assert rows["b.PNG"].pixels == rgb[:, :, ::-1].ravel().tolist()
-    gray = P.apply_steps(media.read_frames(spark, str(tmp_path)).filter("path like '%b.PNG'"), ["grayscale"], channels=3).first()
+    gray = P.apply_steps(media.read_frames(spark, str(tmp_path)).filter("path like '%b.PNG'"), ["grayscale"]).first()
     luma = (114 * rgb[:, :, 2] + 587 * rgb[:, :, 1] + 299 * rgb[:, :, 0] + 500) // 1000
     assert gray.pixels == luma.ravel().tolist()
 
