@@ -41,13 +41,26 @@ def to_byte(value: Column) -> Column:
 # --- colour and pointwise ------------------------------------------------------------
 
 
-def grayscale(px, height, width, channels=1) -> Column:
+def channels(px, height, width) -> Column:
+    """Values per cell, 1 or 3; any other length is an error."""
+    n = F.size(px)
+    refused = F.raise_error(F.concat(n.cast("string"), F.lit(" values are no frame of "), height.cast("string"), F.lit(" rows, "), width.cast("string"), F.lit(" columns and one or three channels")))
+    return F.when(n == height * width, F.lit(1)).when(n == 3 * height * width, F.lit(3)).otherwise(refused.cast("int"))
+
+
+def one_channel(px, height, width) -> Column:
     """G1: BT.601 luma of interleaved B, G, R values; one channel passes through."""
-    if channels == 1:
-        return px
-    return grid(height, width, lambda y, x: F.floor((
+    gray = grid(height, width, lambda y, x: F.floor((
         114 * px[(y * width + x) * 3] + 587 * px[(y * width + x) * 3 + 1] + 299 * px[(y * width + x) * 3 + 2] + 500
     ) / 1000).cast("int"))
+    return F.when(channels(px, height, width) == 1, px).otherwise(gray)
+
+
+def moved(px, height, width, to_height, to_width, source) -> Column:
+    """Cells at (y, x) taken whole, with all their channels, from cell number ``source(y, x)``."""
+    plain = grid(to_height, to_width, lambda y, x: px[source(y, x)])
+    interleaved = F.flatten(grid(to_height, to_width, lambda y, x: F.slice(px, source(y, x) * 3 + 1, 3)))
+    return F.when(channels(px, height, width) == 1, plain).otherwise(interleaved)
 
 
 def invert(px) -> Column:

@@ -120,6 +120,19 @@ def spectrum_peak(pixels: pd.Series, height: pd.Series, width: pd.Series) -> pd.
     return pd.DataFrame(out, columns=["prominence", "radius", "angle", "ring"])
 
 
+def window_power(size):
+    """Arrow UDF of (places, values) giving the power at the frequencies 1 .. size / 2 of a window."""
+
+    def run(places: pd.Series, values: pd.Series) -> pd.Series:
+        grid = np.zeros((len(places), size))
+        for row, at, v in zip(grid, places, values):
+            row[np.asarray(at)] = np.asarray(v) - np.mean(v)
+        power = np.abs(np.fft.rfft(grid, axis=1)[:, 1:]) ** 2
+        return pd.Series(list(power))
+
+    return F.pandas_udf(run, ArrayType(DoubleType()))
+
+
 def _fast_size(n):
     """Smallest length >= n whose only prime factors are 2, 3 and 5."""
     while True:

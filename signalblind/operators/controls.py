@@ -26,7 +26,7 @@ def blank_mean(p):
 
 def rotated(p):
     """90 degrees clockwise; the caller swaps height and width."""
-    return grids.grid(width(), height(), lambda y, x: p[(height() - 1 - x) * width() + y])
+    return grids.moved(p, height(), width(), width(), height(), lambda y, x: (height() - 1 - x) * width() + y)
 
 
 def block_order(count, seed=12345):
@@ -47,11 +47,11 @@ def block_shuffle(p, block=32, seed=12345):
             def read(src):
                 sy = F.floor(src / cols).cast("int") * block + (y - ty * block)
                 sx = (src % cols) * block + (x - tx * block)
-                return F.when((sy < height()) & (sx < width()), p[F.least(sy, height() - 1) * width() + F.least(sx, width() - 1)]).otherwise(p[y * width() + x])
+                return F.when((sy < height()) & (sx < width()), sy * width() + sx).otherwise(y * width() + x)
 
             return let(order[ty * cols + tx], read)
 
-        return grids.grid(height(), width(), cell)
+        return grids.moved(p, height(), width(), height(), width(), cell)
 
     return let(block_order(rows * cols, seed), place)
 

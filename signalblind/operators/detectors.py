@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import columns as C, features, grids
 from ..functions.columns import fenced, height, let, pixels, round6, width
-from ..functions.kernels import spectrum_peak
+from ..functions.kernels import spectrum_peak, window_power
 from ..session import cut
 from .ordering import top_per_group
 from .preprocess import canny, held
@@ -194,19 +194,22 @@ def spectrum(df: DataFrame, keys: list, digits=6) -> DataFrame:
     return measured.withColumns({c: F.round(c, n) for c, n in places.items()})
 
 
-def series_spectrum(df: DataFrame, by: list, position: str, value: str, harmonics=32) -> DataFrame:
-    """Power of an ordered series at its first ``harmonics`` frequencies.
+def series_spectrum(df: DataFrame, by: list, position: str, value: str, window=64) -> DataFrame:
+    """Power of an ordered series at every frequency k = 1 .. window / 2 of its windows.
 
-    ``position`` is 0-based and dense per series. The sums are partial aggregates, so a
-    hot series is added up in many tasks.
+    ``position`` is 0-based and dense per series, which is cut into windows of that many
+    places. Each loses its own mean (a short one is filled up with zeros; null values count
+    as missing) and is transformed in Arrow; power is averaged over the windows of a series.
+    A group is one window, so a hot series is many small groups.
     """
-    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"))
-    waves = df.join(n, by).select(*by, "n", position, (F.col(value) - F.col("m")).alias("d"),
-                                  F.explode_outer(F.sequence(F.lit(1), F.lit(harmonics))).alias("k"))
-    turn = 2 * math.pi * F.col("k") * F.col(position) / F.col("n")
-    power = waves.filter(F.col("k") * 2 <= F.col("n")).groupBy(*by, "n", "k").agg(
-        F.sum(F.col("d") * F.cos(turn)).alias("re"), F.sum(F.col("d") * F.sin(turn)).alias("im"))
-    return power.select(*by, "n", "k", F.log1p(F.hypot("re", "im")).alias("magnitude"))
+    at = F.col(position).cast("bigint")
+    cut_up = df.filter(F.col(value).isNotNull()).groupBy(*by, F.floor(at / window).alias("_window")).agg(
+        F.collect_list(F.struct((at % window).cast("int").alias("at"), F.col(value).cast("double").alias("v"))).alias("_held"))
+    held = cut_up.select(*by, F.size("_held").alias("_n"), F.transform("_held", lambda x: x["at"]).alias("_at"), F.transform("_held", lambda x: x["v"]).alias("_v"))
+    waves = held.select(*by, "_n", window_power(window)(F.col("_at"), F.col("_v")).alias("_power"))
+    power = waves.select(*by, "_n", F.posexplode("_power").alias("_k", "_p")).groupBy(*by, (F.col("_k") + 1).alias("k")).agg(
+        F.sum("_n").alias("n"), F.avg("_p").alias("_p"))
+    return power.select(*by, "n", "k", F.log1p(F.sqrt("_p")).alias("magnitude"))
 
 
 def series_peak(power: DataFrame, by: list) -> DataFrame:

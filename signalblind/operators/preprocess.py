@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import fenced, let
+from ..functions.grids import channels
 from ..functions.stencils import chain, edge_grid, stencil
 
 
@@ -153,7 +154,8 @@ def crop(df: DataFrame, x: int, y: int, width=None, height=None) -> DataFrame:
     y1 = F.least(h, y0 + (F.lit(max(1, height)) if height is not None else F.greatest(h - y0, F.lit(1))))
     valid = (x0 < x1) & (y0 < y1)
     cut_out = let(px, lambda p: F.flatten(F.transform(
-        F.sequence(y0, F.greatest(y1 - 1, y0)), lambda r: F.slice(p, r * w + x0 + 1, F.greatest(x1 - x0, F.lit(0))))))
+        F.sequence(y0, F.greatest(y1 - 1, y0)), lambda r: F.slice(
+            p, (r * w + x0) * channels(p, h, w) + 1, F.greatest(x1 - x0, F.lit(0)) * channels(p, h, w)))))
     kept = [c for c in df.columns if c not in ("pixels", "height", "width")]
     # Packed first: names in a lambda would resolve to new columns of the same select.
     return df.select(*kept, F.struct(

@@ -103,7 +103,7 @@ def timestamp_ms(index: Column, fps: Column) -> Column:
 
 def signature(px: Column, height: Column, width: Column) -> Column:
     """8x8 area means, one bit per cell at or above their mean, first cell highest."""
-    small = grids.area_resize(px, height, width, 8, 8)
+    small = let(grids.one_channel(px, height, width), lambda p: grids.area_resize(p, height, width, 8, 8))
 
     def bits(cells):
         total = F.aggregate(cells, F.lit(0), lambda a, v: a + v)
@@ -123,7 +123,7 @@ def scene_thumbnail(px: Column, height: Column, width: Column) -> Column:
     """64x64 area thumbnail. A grid that divides 64 is kept: repeating its cells
     would leave every mean difference as it is."""
     kept = (F.lit(64) % height == 0) & (F.lit(64) % width == 0)
-    return F.when(kept, px).otherwise(let(px, lambda p: grids.area_resize(p, height, width, 64, 64)))
+    return let(grids.one_channel(px, height, width), lambda g: F.when(kept, g).otherwise(grids.area_resize(g, height, width, 64, 64)))
 
 
 def scene_change(previous: Column, current: Column) -> Column:

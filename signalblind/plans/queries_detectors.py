@@ -138,11 +138,12 @@ def _(spark, sf):
     return D.spectrum(frames(spark, sf), KEY, digits=4)
 
 
-@query("t8_series_spectrum", """WITH placed AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t,
-    count(*) OVER (PARTITION BY user_id) AS n, avg(value) OVER (PARTITION BY user_id) AS m FROM events),
-power AS (SELECT user_id, n, k, ln(1 + sqrt(pow(sum((value - m) * cos(2 * pi() * k * t / n)), 2) + pow(sum((value - m) * sin(2 * pi() * k * t / n)), 2))) AS mag
-  FROM placed, (SELECT unnest(range(1, 33)) AS k) WHERE k * 2 <= n GROUP BY user_id, n, k)
-SELECT user_id, n, CAST(arg_min(k, -round(mag, 6) * 1000 + k / 1e6) AS INTEGER) AS peak_k,
+@query("t8_series_spectrum", """WITH placed AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t FROM events),
+centred AS (SELECT user_id, t // 64 AS win, t % 64 AS j, value - avg(value) OVER (PARTITION BY user_id, t // 64) AS d FROM placed),
+waves AS (SELECT user_id, win, k, count(*) AS c, pow(sum(d * cos(2 * pi() * k * j / 64)), 2) + pow(sum(d * sin(2 * pi() * k * j / 64)), 2) AS p
+  FROM centred, (SELECT unnest(range(1, 33)) AS k) GROUP BY user_id, win, k),
+power AS (SELECT user_id, k, sum(c) AS n, ln(1 + sqrt(avg(p))) AS mag FROM waves GROUP BY user_id, k)
+SELECT user_id, CAST(n AS BIGINT) AS n, CAST(arg_min(k, -round(mag, 6) * 1000 + k / 1e6) AS INTEGER) AS peak_k,
   round(greatest(0, (max(mag) - avg(mag)) / (stddev_pop(mag) + 1e-6)), 4) AS prominence FROM power GROUP BY user_id, n""")
 def _(spark, sf):
     ev = table(spark, sf, "events").select("user_id", "ts", "event_id", "value")

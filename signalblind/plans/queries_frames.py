@@ -171,16 +171,18 @@ def scene_frames(spark, sf):
     return frames(spark, sf).select("capture_id", "frame_id", "frame_index", S.scene_thumbnail(pixels(), height(), width()).alias("thumb"))
 
 
-@query("d5_scene_change_sampler", f"""WITH RECURSIVE {PACKED}, ordered AS (
-  SELECT capture_id, frame_id, px, row_number() OVER (PARTITION BY capture_id ORDER BY frame_index) AS rn FROM packed),
+SCENES = f"""WITH RECURSIVE {PACKED}, ordered AS (
+  SELECT capture_id, frame_id, frame_index, px, row_number() OVER (PARTITION BY capture_id ORDER BY frame_index) AS rn FROM packed),
 walk AS (
-  SELECT capture_id, frame_id, rn, px AS ref, true AS kept FROM ordered WHERE rn = 1
+  SELECT capture_id, frame_id, frame_index, rn, px AS ref, true AS kept FROM ordered WHERE rn = 1
   UNION ALL
-  SELECT capture_id, frame_id, rn, CASE WHEN passes THEN px ELSE ref END, passes FROM (
-    SELECT o.capture_id, o.frame_id, o.rn, o.px, w.ref,
+  SELECT capture_id, frame_id, frame_index, rn, CASE WHEN passes THEN px ELSE ref END, passes FROM (
+    SELECT o.capture_id, o.frame_id, o.frame_index, o.rn, o.px, w.ref,
       list_sum(list_transform(range(1, 65), lambda i: abs(o.px[i] - w.ref[i]))) / 64.0 / 255.0 >= 0.12 AS passes
-    FROM walk w JOIN ordered o ON o.capture_id = w.capture_id AND o.rn = w.rn + 1))
-SELECT capture_id, frame_id, CASE WHEN kept THEN 'kept' ELSE 'same_scene' END AS status FROM walk""")
+    FROM walk w JOIN ordered o ON o.capture_id = w.capture_id AND o.rn = w.rn + 1))"""
+
+
+@query("d5_scene_change_sampler", SCENES + " SELECT capture_id, frame_id, CASE WHEN kept THEN 'kept' ELSE 'same_scene' END AS status FROM walk")
 def _(spark, sf):
     out = S.select_frames(scene_frames(spark, sf), threshold=0.12, deduplicate=False)
     return out.select("capture_id", "frame_id", "status")
