@@ -283,12 +283,13 @@ def _encoded(vocab, split, texts):
         yield n, hid.hexdigest(), hdec.hexdigest(), ids, decoded
 
 
-def encode(docs: DataFrame, path: str, outputs=("n_tokens", "ids_sha256", "decoded_sha256")) -> DataFrame:
+def encode(docs: DataFrame, path: str, outputs=("n_tokens", "ids_sha256", "decoded_sha256"), keep_words=True) -> DataFrame:
     """Encode and decode the whole ``text`` of every row with the vocabulary at ``path``.
 
     ``outputs`` may also name ``ids`` (array of token ids) and ``decoded`` (text). Null text
     is the empty text: no tokens. Rows keep ``doc_id`` only, so other columns never clash;
-    a repeated row gives a repeated result. No shuffle.
+    a repeated row gives a repeated result. No shuffle. Without ``keep_words`` a worker
+    forgets the words of a task when it ends, for less memory.
     """
     kinds = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string", "ids": "array<int>", "decoded": "string"}
     key = docs.schema["doc_id"].dataType.simpleString()
@@ -309,4 +310,8 @@ def encode(docs: DataFrame, path: str, outputs=("n_tokens", "ids_sha256", "decod
                 }
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *(cols[o]() for o in outputs)], ["doc_id", *outputs])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    def forget():
+        if not keep_words:
+            vocabulary(path).known.clear()
+
+    return docs.select("doc_id", "text").mapInArrow(T.released(run, forget), schema)

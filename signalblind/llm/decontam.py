@@ -126,7 +126,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold=0.8, words=WORDS, block_s
                     if rows:
                         yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows)) for c in kept), pa.array(item, pa_type(ids)), pa.array([n for n, _ in share], pa.int64()), pa.array([c for _, c in share], pa.float64())], [*kept, "item_id", "shared", "containment"])
 
-        return docs.select(*kept, "text").mapInArrow(run, schema)
+        return docs.select(*kept, "text").mapInArrow(T.released(run), schema)
 
     out = None
     for b in range(blocks):

@@ -68,7 +68,7 @@ def document_frequencies(docs: DataFrame):
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([*some, -1], pa.int32()), pa.array([*df[some], rows], pa.int64())], ["bucket", "n"])
 
-    parts = docs.select("text").mapInArrow(run, "bucket int, n bigint")
+    parts = docs.select("text").mapInArrow(T.released(run), "bucket int, n bigint")
     df, rows = np.zeros(BUCKETS, np.int64), 0
     for r in parts.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS + 1 rows
         if r["bucket"] < 0:
@@ -142,14 +142,15 @@ def best_temperature(logits, classes):
     return float(np.exp((a + b) / 2))
 
 
-def fit(train: DataFrame, per_language=1500, calibration=0.25, max_languages=1000):
+def fit(train: DataFrame, per_language=1500, calibration=0.25, max_languages=None):
     """Fit on rows (doc_id, text, lang) of known language; None without any.
 
     ``per_language`` bounds the fitted rows of a language in expectation, ``calibration`` is
-    the share of them kept for the temperature. Only the ``max_languages`` most frequent
-    languages are learned, which bounds the model. Null texts count as empty.
+    the share of them kept for the temperature. Every language is learned; ``max_languages``
+    can bound the model to the most frequent ones. Null texts count as empty.
     """
-    langs = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    langs = train.groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    langs = (langs.limit(max_languages) if max_languages else langs).collect()
     if not langs:
         return None
     names = sorted(r["lang"] for r in langs)
@@ -188,7 +189,7 @@ def fit(train: DataFrame, per_language=1500, calibration=0.25, max_languages=100
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()]), pa.array([bias.tobytes()]), pa.array([t])], ["w", "bias", "t"])
 
     # the sample is bounded; its order is a hash, so classes come mixed
-    one = sample.mapInArrow(features, "order bigint, lang string, at binary, value binary").repartition(1).sortWithinPartitions("order", "lang", "at", "value")
+    one = sample.mapInArrow(T.released(features), "order bigint, lang string, at binary, value binary").repartition(1).sortWithinPartitions("order", "lang", "at", "value")
     got = one.mapInArrow(learn, "w binary, bias binary, t double").collect()[0]
     w = np.frombuffer(got["w"]).reshape(BUCKETS, len(names))
     return Model(names, (w * idf[:, None]).astype(np.float32), np.frombuffer(got["bias"]).astype(np.float32), (idf * idf).astype(np.float32), got["t"])
@@ -222,7 +223,7 @@ def predict(docs: DataFrame, model, keep=("doc_id",)) -> DataFrame:
                 kept = [batch.column(i).slice(lo, hi - lo) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(T.released(run), schema)
 
 
 def held_out(column="doc_id"):

@@ -170,7 +170,7 @@ def profiles(docs: DataFrame, words, bands, carry=()) -> DataFrame:
         if found:
             yield frequent()
 
-    return docs.select("doc_id", *carry, "text").mapInArrow(run, f"{kinds}, n bigint, keys bigint, h1 bigint, h2 bigint, mini binary, frequent binary")
+    return docs.select("doc_id", *carry, "text").mapInArrow(T.released(run), f"{kinds}, n bigint, keys bigint, h1 bigint, h2 bigint, mini binary, frequent binary")
 
 
 def hot_keys(profile: DataFrame, total):
@@ -278,7 +278,7 @@ def shared_keys(docs: DataFrame, classes: DataFrame, renamed, words, bands, hot,
         return pa.table({"key": key[keep], "c": c[keep], "doc": name[keep], "rep": np.repeat(name[first], n)[keep]})
 
     schema = "key bigint, c bigint, doc bigint, rep bigint"
-    asked = some.mapInArrow(ask, "bucket bigint, key bigint, low binary, name binary")
+    asked = some.mapInArrow(T.released(ask), "bucket bigint, key bigint, low binary, name binary")
     return asked.groupBy("bucket").applyInArrow(meet, schema)
 
 
@@ -294,7 +294,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, names: DataFrame, renamed, word
                 sets = [s for s in T.Words(data, offsets, lower=True).shingle_sets(words) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array(list(_names(sets, renamed)), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc", "shingles"])
 
-    return some.mapInArrow(run, "doc bigint, shingles array<bigint>").join(names, "doc", "left_semi").groupBy("doc").agg(F.any_value("shingles").alias("shingles"))
+    return some.mapInArrow(T.released(run), "doc bigint, shingles array<bigint>").join(names, "doc", "left_semi").groupBy("doc").agg(F.any_value("shingles").alias("shingles"))
 
 
 BROADCAST_ROWS = 1 << 20
@@ -354,7 +354,7 @@ def plausible(pairs: DataFrame, classes: DataFrame, num, den) -> DataFrame:
                         ok[at] = near(folded([ma[i] for i in at], pair.min()), folded([mb[i] for i in at], pair.min()), na[at], nb[at], num, den)
                 yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(ok))
 
-    return both.mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint")
+    return both.mapInArrow(T.released(run), "a bigint, b bigint, na bigint, nb bigint")
 
 
 def unsettled(members: DataFrame, num, den) -> DataFrame:
@@ -404,7 +404,7 @@ def unsettled(members: DataFrame, num, den) -> DataFrame:
             p = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
 
-    return units.mapInArrow(run, "a bigint, b bigint").distinct()
+    return units.mapInArrow(T.released(run), "a bigint, b bigint").distinct()
 
 
 def linked(docs: DataFrame, num=90, den=100, words=3, carry=()) -> DataFrame:
