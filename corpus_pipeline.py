@@ -72,7 +72,7 @@ def encoded(spark, docs, sf_dir):
     """Token counts and digests of every document left."""
     import public_tokenizers
 
-    return bpe.encode(docs, public_tokenizers.path(VOCABULARY))
+    return bpe.encode(docs, public_tokenizers.path(VOCABULARY), keep_words=False)
 
 
 STAGES = [
