@@ -134,6 +134,25 @@ def _(spark, sf):
     return frames(spark, sf).select("frame_id", signature_hex(sig).alias("signature"))
 
 
+COLOUR = CELLS + """, packed_cells AS (SELECT frame_id, list(v ORDER BY y, x) AS px FROM cells GROUP BY frame_id),
+gray AS (SELECT frame_id, CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x,
+    (114 * px[i + 1] + 587 * px[(i + 1) % 64 + 1] + 299 * px[(i + 2) % 64 + 1] + 500) // 1000 AS v
+  FROM packed_cells, (SELECT unnest(range(64)) AS i))"""
+
+
+@query("d1_colour_signature", f"""WITH {COLOUR}, sums AS (SELECT frame_id, sum(v) AS t FROM gray GROUP BY 1)
+SELECT frame_id, lower(lpad(to_hex(CAST(sum(CASE WHEN v * 64 >= t THEN CAST(pow(2, 63 - (y * 8 + x)) AS HUGEINT) ELSE 0 END) AS UBIGINT)), 16, '0')) AS signature
+FROM gray JOIN sums USING (frame_id) GROUP BY frame_id""")
+def _(spark, sf):
+    sig = let(pixels(), lambda p: S.signature(p, height(), width()))
+    return in_colour(frames(spark, sf)).select("frame_id", signature_hex(sig).alias("signature"))
+
+
+def in_colour(df):
+    """Three channels a cell: the cell and the two after it."""
+    return df.withColumn("pixels", let(pixels(), lambda p: F.flatten(F.transform(p, lambda v, i: F.array(v, p[(i + 1) % 64], p[(i + 2) % 64])))))
+
+
 @query("d1_mosaic_signature", f"""WITH {MOSAIC}, blocks AS (
   SELECT frame_id, y // 8 AS ty, x // 8 AS tx, floor(sum(v) / 64.0 + 0.5) AS v FROM mosaic GROUP BY ALL),
 sums AS (SELECT frame_id, sum(v) AS t FROM blocks GROUP BY 1)
@@ -287,9 +306,7 @@ def step_query(name, steps, sql, source=frames):
 SELECT frame_id, y, x, CAST((114 * px[y * 8 + x + 1] + 587 * px[(y * 8 + x + 1) % 64 + 1] + 299 * px[(y * 8 + x + 2) % 64 + 1] + 500) // 1000 AS INTEGER) AS v
 FROM packed, ys, xs""")
 def _(spark, sf):
-    # Three channels per cell: the cell and the two after it.
-    three = let(pixels(), lambda p: F.flatten(F.transform(p, lambda v, i: F.array(v, p[(i + 1) % 64], p[(i + 2) % 64]))))
-    return cells(P.apply_steps(frames(spark, sf).withColumn("pixels", three), ["grayscale"]))
+    return cells(P.apply_steps(in_colour(frames(spark, sf)), ["grayscale"]))
 
 
 GAUSS5 = """taps AS (SELECT * FROM (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) t(d, w)),

@@ -289,6 +289,29 @@ def test_block_shuffle_keeps_uncovered_cells(spark):
     assert (got == want).all()
 
 
+def test_colour_frames_keep_their_channels(spark):
+    a = np.random.default_rng(4).integers(0, 256, (40, 70, 3))
+    df = spark.createDataFrame([("f", "c", "laser", 0, 40, 70, [int(v) for v in a.ravel()])], "frame_id string, capture_id string, role string, frame_index long, height int, width int, pixels array<int>")
+    made = {r.control_type: r for r in K.matched_controls(df, "standard").collect()}
+    turned = made["rotated"]
+    assert (turned.height, turned.width) == (70, 40)
+    assert (np.array(turned.pixels).reshape(70, 40, 3) == np.rot90(a, -1)).all()
+    order = [i for _, i in sorted((__import__("hashlib").md5(f"12345:{i}".encode()).hexdigest(), i) for i in range(6))]
+    want = a.copy()
+    for target, source in enumerate(order):
+        ty, tx, sy, sx = target // 3 * 32, target % 3 * 32, source // 3 * 32, source % 3 * 32
+        block = a[sy:sy + 32, sx:sx + 32]
+        view = want[ty:ty + block.shape[0], tx:tx + block.shape[1]]
+        view[:] = block[:view.shape[0], :view.shape[1]]
+    assert (np.array(made["block_shuffle"].pixels).reshape(40, 70, 3) == want).all()
+    cut = P.crop(df, x=5, y=3, width=9, height=4).first()
+    assert (np.array(cut.pixels).reshape(4, 9, 3) == a[3:7, 5:14]).all()
+    gray = (114 * a[..., 0] + 587 * a[..., 1] + 299 * a[..., 2] + 500) // 1000
+    assert (pixels_of(P.apply_steps(df, ["invert"]))[0] == 255 - gray).all()
+    with pytest.raises(Exception, match="one or three channels"):
+        P.apply_steps(df.withColumn("width", F.lit(71)), ["invert"]).collect()
+
+
 def test_controls_only_for_laser_frames(spark):
     df = frame(spark, noise(8, 8), capture_id="c", role="control")
     assert K.matched_controls(df, "strict").count() == 0
