@@ -358,3 +358,27 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (7, 7), (None, 3)]
     out = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {**{i: 1 for i in range(1, 41)}, 90: 90, 95: 90, 100: 90}
+
+
+def test_groups_of_empty_texts_in_a_fresh_session():
+    """Nothing is warm in a worker that meets nulls and empty texts first."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+from signalblind.session import local_session
+from signalblind.llm import anchors, bytebpe, decontam, paritysketch, periods, suffixes
+import public_tokenizers as P
+spark = local_session("1", "cold")
+for rows in ([(i, None) for i in range(8)], [(i, "") for i in range(8)]):
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    assert decontam.leaks(d, items).count() == 0
+    for out in (anchors.remove_repeats(d), suffixes.remove_repeats(d), paritysketch.linked(d), periods.detect(d), bytebpe.encode(d, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)):
+        assert out.count() == 8
+"""
+    pytest.importorskip("public_tokenizers")
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]
