@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from .ordering import running_count
+from .ordering import global_rank
 
 CALIBRATION = "synthetic_positive"
 
@@ -25,13 +25,14 @@ ATTRIBUTION = [
 def assign_blind_ids(samples: DataFrame, seed: int, sample="sample_id") -> DataFrame:
     """B1: B000001... in the order of md5("seed:sample").
 
-    The first three hash digits cut the samples into 4096 even pieces that are numbered
-    on their own and shifted by the sizes of the pieces before.
+    Only the sample ids are numbered; pixels and other wide columns meet their number in
+    one join. Sample ids must be unique.
     """
-    hashed = samples.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(sample))))
-    ranked = running_count(hashed, [], [F.col("_h"), F.col(sample)], F.substring("_h", 1, 3), "blind_rank")
+    ids = samples.select(F.col(sample), F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(sample))).alias("_h"))
+    ranked = global_rank(ids, [F.col("_h"), F.col(sample)], "blind_rank").drop("_h")
     blind = F.format_string("B%06d", F.col("blind_rank"))
-    return ranked.withColumn("blind_id", blind).withColumn("blinded_label", F.col("blind_id")).drop("_h")
+    return samples.join(ranked.withColumns({"blind_id": blind, "blinded_label": blind}), sample).select(
+        *samples.columns, "blind_rank", "blind_id", "blinded_label")
 
 
 def seal(results: DataFrame, seal_map: DataFrame, extra_allowed=()) -> DataFrame:

@@ -6,8 +6,12 @@ group is cut into buckets that follow the order; windows run inside a bucket and
 only one summary row per bucket crosses bucket borders.
 """
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut, shuffle_partitions
+
 
 def _running(df, by, order, bucket, inner, outer, combine):
     keyed = df.withColumn("_bucket", bucket)
@@ -41,6 +45,27 @@ def running_min(df, by, order, bucket, value: str, name) -> DataFrame:
     return out.withColumn(name, F.least(F.col("_before"), F.col("_inner"))).drop("_bucket", "_before", "_inner")
 
 
+def global_rank(df: DataFrame, order: list, name="rank") -> DataFrame:
+    """1-based position of every row in the whole table, without a window over all of it.
+
+    Rows are dealt by sampled borders of ``order`` (columns that tell all rows apart, so a
+    value with many rows is split like any other) and sorted in each range. The first pass
+    writes them with their place in the range, the second adds the sizes of the ranges
+    before, of which there are as many as shuffle partitions. Pass keys only and join wide
+    columns afterwards. An empty table gives no rows.
+    """
+    spark = df.sparkSession
+    dealt = df.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    # The id holds the range in its upper 31 bits and the place in the lower 33.
+    placed = cut(dealt.withColumn("_place", F.monotonically_increasing_id()))
+    of = F.shiftright("_place", 33)
+    sizes = sorted(tuple(r) for r in placed.groupBy(of).count().collect())
+    ahead = list(itertools.accumulate((n for _, n in sizes), initial=0))
+    before = spark.createDataFrame([(k, a) for (k, _), a in zip(sizes, ahead)], "_range bigint, _ahead bigint")
+    at = F.col("_ahead") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.withColumn("_range", of).join(F.broadcast(before), "_range").select(*df.columns, at.alias(name))
+
+
 def with_previous(df: DataFrame, by: list, order: list, bucket: Column, cols: list, prefix="prev_") -> DataFrame:
     """Columns of the previous row of each group.
 

@@ -3,6 +3,10 @@
 Scores are summed as whole millionths, so means do not depend on how rows were split.
 """
 
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import columns as C
@@ -104,6 +108,79 @@ def bh_q(df: DataFrame, p="p_value", by=(), name="q_value") -> DataFrame:
     return clipped.join(q, [*by, "_p"]).drop("_p")
 
 
+# Samples one task takes in a permutation pass, at most, and rows of one cell it may leave to sort.
+PART, PER_CELL = 1 << 18, 1024
+
+
+def _draw_keys(ids, seed, permutations):
+    """(first permutation, 32-bit keys of four permutations) from one md5 a sample: eight hex digits each."""
+    tails = [b"" if i is None else b":" + i.encode() for i in ids]
+    for block in range(-(-permutations // 4)):
+        head = f"{seed}:{block}".encode()
+        digests = b"".join([md5(head + t, usedforsecurity=False).digest() for t in tails])
+        yield 4 * block, np.frombuffer(digests, ">u4").reshape(-1, 4).astype(np.int64) if tails else np.zeros((0, 4), np.int64)
+
+
+def _exact_sums(cells, values):
+    """Sums of whole numbers per cell; halves of 26 bits and the rest stay exact as doubles."""
+    low, high = values & ((1 << 26) - 1), values >> 26
+    sums = [np.bincount(cells, x, 256).astype(np.int64) for x in (low, high)]
+    return sums[0] + (sums[1] << 26)
+
+
+def _prefixes(edge, permutations):
+    """The prefix each permutation is cut at; -1, which no key has, where it is settled already."""
+    out = np.full(permutations, -1, np.int64)
+    out[edge["_perm"].to_numpy()] = edge["_prefix"].to_numpy()
+    return out
+
+
+def _constant(table, by, n):
+    """The group columns of a task's table for ``n`` rows."""
+    return {c: table[c].take(pa.array(np.zeros(n, np.int64))) for c in by}
+
+
+def _cell_counts(by, seed, permutations, level):
+    """Arrow pass: samples and their sum in each of the 256 cells below a permutation's prefix."""
+
+    def run(pool, edge):
+        values, rows = pool["_v"].to_numpy(), []
+        prefix = np.zeros(permutations, np.int64) if edge is None else _prefixes(edge, permutations)
+        for first, keys in _draw_keys(pool["_s"].to_pylist(), seed, permutations):
+            for i in range(min(4, permutations - first)):
+                key, v = keys[:, i], values
+                if level:
+                    inside = key >> (32 - 8 * level) == prefix[first + i]
+                    key, v = key[inside], v[inside]
+                cells = (key >> (24 - 8 * level)) & 255
+                n = np.bincount(cells, minlength=256)
+                some = np.flatnonzero(n)
+                rows.append((np.full(len(some), first + i), prefix[first + i] * 256 + some, n[some], _exact_sums(cells, v)[some]))
+        perm, cell, n, total = (np.concatenate(c) for c in zip(*rows))
+        return pa.table({**_constant(pool, by, len(perm)), "_perm": perm, "_prefix": cell, "_n": n, "_t": total})
+
+    return run if level else lambda pool: run(pool, None)
+
+
+def _edge_samples(by, seed, permutations, level):
+    """Arrow pass: the samples of the one cell in which a permutation is cut."""
+
+    def run(pool, edge):
+        prefix, rows = _prefixes(edge, permutations), []
+        for first, keys in _draw_keys(pool["_s"].to_pylist(), seed, permutations):
+            for i in range(min(4, permutations - first)):
+                at = np.flatnonzero(keys[:, i] >> (32 - 8 * level) == prefix[first + i])
+                rows.append((np.full(len(at), first + i), keys[at, i], at))
+        perm, key, at = (np.concatenate(c) for c in zip(*rows))
+        return pa.table({**_constant(pool, by, len(perm)), "_perm": perm, "_key": key, "_id": pool["_id"].take(pa.array(at)), "_v": pool["_v"].take(pa.array(at))})
+
+    return run
+
+
+def _added_up(cells, by):
+    return cells.groupBy(*by, "_perm", "_prefix").agg(F.sum("_n").alias("_n"), F.sum("_t").alias("_t"))
+
+
 def permutation_p(scores: DataFrame, seed: int, permutations=1000, by=(), value="score", sample="sample_id") -> DataFrame:
     """One-sided label permutation test.
 
@@ -111,36 +188,53 @@ def permutation_p(scores: DataFrame, seed: int, permutations=1000, by=(), value=
     sample) and the first n_laser of them play the laser group. The groups' total is
     fixed, so comparing sums equals comparing mean differences; sums are whole millionths.
 
-    Nothing is sorted at full size: a first pass adds samples up per (permutation, hash
-    prefix) with partial aggregation, which settles every prefix but the one that holds
-    the n_laser-th sample; a second pass orders only the samples of that prefix.
+    No permutation is sorted and none has a row per sample. A task takes a bounded part of
+    a group's samples and adds them up, in place, in 256 cells by the leading byte of the
+    hash; the sums settle every cell but the one that holds the n_laser-th sample. Large
+    groups look into that cell again by the next byte, until about a thousand samples a
+    permutation are left in it, and only those are ordered. Rows of other roles are ignored;
+    the p-value is null where a group lacks one of the two roles.
     """
-    by = list(by)
-    pool = scores.filter(F.col("role").isin("laser", "control")).select(
-        *by, F.col(sample).alias("_id"), (F.col("role") == "laser").alias("_laser"), micros(F.col(value)).alias("_v"))
-    observed = _grouped(pool, by).agg(
+    by, kinds = list(by), {f.name: f.dataType.simpleString() for f in scores.schema}
+    pool = cut(scores.filter(F.col("role").isin("laser", "control")).select(
+        *by, F.col(sample).alias("_id"), F.col(sample).cast("string").alias("_s"),
+        (F.col("role") == "laser").alias("_laser"), F.coalesce(micros(F.col(value)), F.lit(0).cast("bigint")).alias("_v")))
+    observed = cut(_grouped(pool, by).agg(
         F.count_if("_laser").alias("_na"), F.count(F.lit(1)).alias("_all"),
-        F.sum(F.when(F.col("_laser"), F.col("_v"))).alias("_observed"))
-    # Enough prefixes that one holds about a thousand samples.
-    observed = observed.withColumn("_digits", F.least(F.lit(4), F.greatest(F.lit(1), F.ceil(
-        F.log2(F.greatest(F.col("_all") / 1000.0, F.lit(1.0))) / 4))).cast("int"))
-    sized = attach_totals(pool, observed.select(*by, "_digits"), by)
-    # One md5 serves four permutations, eight hex digits each.
-    block = sized.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((permutations - 1) // 4))))
-    digest = block.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_block"), F.col("_id"))))
-    keyed = digest.select(*by, "_id", "_v", "_digits", "_block", F.posexplode(F.array(
-        *[F.substring("_h", 8 * i + 1, 8) for i in range(4)])).alias("_i", "_key"))
-    keyed = keyed.withColumn("_perm", F.col("_block") * 4 + F.col("_i")).filter(F.col("_perm") < permutations).select(
-        *by, "_perm", F.col("_key").substr(F.lit(1), F.col("_digits")).alias("_prefix"), "_key", "_id", "_v")
-    cells = keyed.groupBy(*by, "_perm", "_prefix").agg(F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_s"))
+        F.coalesce(F.sum(F.when(F.col("_laser"), F.col("_v"))), F.lit(0)).alias("_observed")))
+    # Small groups still use all cores; a part never has more than about PART samples.
+    cores = scores.sparkSession.sparkContext.defaultParallelism
+    parts = F.ceil(F.greatest(F.col("_all") / PART, F.least(F.col("_all") / 4096, F.lit(cores)), F.lit(1.0)))
+    sized = observed.select(*by, parts.cast("int").alias("_parts"))
+    dealt = attach_totals(pool, sized, by).withColumn("_part", F.pmod(F.xxhash64("_s"), F.col("_parts").cast("bigint"))).drop("_parts", "_laser")
+    keys = [*by, "_part"]
+    group = "".join(f"`{c}` {kinds[c]}, " for c in by)
+    most = observed.agg(F.max("_all")).first()[0] or 0
     across = Window.partitionBy(*by, "_perm").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = cells.withColumns({"_upto": F.sum("_n").over(across), "_sum": F.sum("_s").over(across)})
-    ranked = attach_totals(ranked, observed.select(*by, "_na"), by)
-    edge = ranked.filter((F.col("_upto") >= F.col("_na")) & (F.col("_upto") - F.col("_n") < F.col("_na"))).select(
-        *by, "_perm", "_prefix", (F.col("_sum") - F.col("_s")).alias("_before"),
-        (F.col("_na") - F.col("_upto") + F.col("_n")).alias("_need"))
-    rest = keyed.join(edge, [*by, "_perm", "_prefix"]).withColumn("_r", F.row_number().over(
-        Window.partitionBy(*by, "_perm", "_prefix").orderBy("_key", "_id"))).filter(F.col("_r") <= F.col("_need"))
+
+    def beside(edge):
+        """The cut points of a group, one copy for each of its parts."""
+        spread = attach_totals(edge.select(*by, "_perm", "_prefix"), sized, by)
+        return spread.select(*by, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts").cast("bigint") - 1)).alias("_part"), "_perm", "_prefix").groupBy(*keys)
+
+    edge, level = None, 0
+    while level == 0 or (most >> 8 * level > PER_CELL and level < 4):
+        count, cells = _cell_counts(by, seed, permutations, level), f"{group}_perm bigint, _prefix bigint, _n bigint, _t bigint"
+        if edge is None:
+            found = dealt.groupBy(*keys).applyInArrow(count, cells)
+            known = attach_totals(_added_up(found, by), observed.select(*by, F.col("_na").alias("_need"), F.lit(0).cast("bigint").alias("_before")), by)
+        else:
+            found = dealt.groupBy(*keys).cogroup(beside(edge)).applyInArrow(count, cells)
+            known = _added_up(found, by).join(edge.drop("_prefix"), [*by, "_perm"])
+        ranked = known.withColumns({"_upto": F.sum("_n").over(across), "_sum": F.sum("_t").over(across)})
+        edge = cut(ranked.filter((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_n") < F.col("_need"))).select(
+            *by, "_perm", "_prefix", (F.col("_before") + F.col("_sum") - F.col("_t")).alias("_before"),
+            (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_need")))
+        level += 1
+    tail = dealt.groupBy(*keys).cogroup(beside(edge)).applyInArrow(
+        _edge_samples(by, seed, permutations, level), f"{group}_perm bigint, _key bigint, _id {kinds[sample]}, _v bigint")
+    rest = tail.join(edge, [*by, "_perm"]).withColumn("_r", F.row_number().over(
+        Window.partitionBy(*by, "_perm").orderBy("_key", "_id"))).filter(F.col("_r") <= F.col("_need"))
     drawn = rest.groupBy(*by, "_perm", "_before").agg(F.sum("_v").alias("_tail")).withColumn(
         "_drawn", F.col("_before") + F.col("_tail"))
     hits = _grouped(attach_totals(drawn, observed, by), by).agg(

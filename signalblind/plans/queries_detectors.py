@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.columns import round6
 from ..operators import controls as K, crossframe as X, detectors as D, preprocess as P
-from ..operators.ordering import running_count, running_min
+from ..operators.ordering import global_rank, running_count, running_min
 from ..sources.tables import frames, mosaics, results, table, words
 from .queries_frames import canny_sql
 from .registry import CELL_OUT, CELLS, FRAMES, MOSAIC, PACKED, RESULTS, at, mirrored, otsu_sql, query
@@ -300,9 +300,7 @@ def _(spark, sf):
 @query("w4_candidate_rank", f"WITH {RESULTS}, {BEST} SELECT sample_id, score, row_number() OVER (ORDER BY score DESC, sample_id) AS rank FROM best")
 def _(spark, sf):
     best = X.best_variant(results(spark, sf), score="score", ties=TIES).select("sample_id", "score", "variant")
-    # Scores tie heavily, so equal scores are split by their id range as well.
-    bucket = F.struct((-F.floor(F.col("score") * 1e6)).alias("s"), F.floor(F.col("sample_id") / 4096).alias("b"))
-    return running_count(best, [], [F.desc("score"), F.col("sample_id")], bucket).select("sample_id", "score", "rank")
+    return global_rank(best, [F.desc("score"), F.col("sample_id")]).select("sample_id", "score", "rank")
 
 
 @query("w5_running_minimum", """SELECT event_id, user_id, min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS running FROM events""")

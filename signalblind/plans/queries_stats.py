@@ -249,9 +249,10 @@ def _(spark, sf):
 
 @query("k5_provenance_order", f"""WITH {PROVENANCE} SELECT source_key, row_number() OVER (ORDER BY CASE WHEN fixture_id IS NULL THEN 1 ELSE 0 END, coalesce(fixture_id, source_key)) AS rank FROM rolled""")
 def _(spark, sf):
-    # One row per capture of the report.
-    order = Window.orderBy(F.when(F.col("fixture_id").isNull(), 1).otherwise(0), F.coalesce("fixture_id", "source_key"))
-    return provenance(spark, sf).select("source_key", F.row_number().over(order).cast("long").alias("rank"))
+    from ..operators.ordering import global_rank
+
+    keyed = provenance(spark, sf).select("source_key", F.coalesce("fixture_id", "source_key").alias("key"), F.col("fixture_id").isNull().alias("own"))
+    return global_rank(keyed, [F.col("own"), F.col("key")]).select("source_key", "rank")
 
 
 @query("q1_report_badges", """SELECT o_orderkey, array_to_string(list_filter([CASE WHEN u THEN 'multiple comparisons corrected' ELSE 'review blinded' END,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from signalblind.functions import columns as C
 from signalblind.operators import stats as S
-from signalblind.operators.ordering import attach_totals, running_count, running_min, running_sum, with_previous
+from signalblind.operators.ordering import attach_totals, global_rank, running_count, running_min, running_sum, with_previous
 
 
 def scores(spark, rows):
@@ -141,3 +141,33 @@ def test_totals_without_groups_need_no_join(spark):
     out = attach_totals(df, df.agg(F.sum("v").alias("s")), [])
     assert {r.s for r in out.collect()} == {10}
     assert "CartesianProduct" not in out._jdf.queryExecution().toString()
+
+
+def test_permutation_keeps_groups_apart(spark, monkeypatch):
+    """Several parts, a second pass inside the cut cell, and a group without a laser sample."""
+    import hashlib
+
+    monkeypatch.setattr(S, "PART", 128)
+    monkeypatch.setattr(S, "PER_CELL", 1)
+    rng, permutations = random.Random(3), 10
+    rows = [(g, f"s{i}", "laser" if g != "c" and rng.random() < share else "control", round(rng.random(), 6)) for g, n, share in (("a", 900, 0.4), ("b", 7, 0.5), ("c", 3, 0), (None, 40, 0.5)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, sample_id string, role string, score double").filter("g is not null")
+    got = {r.g: r.permutation_p_value for r in S.permutation_p(df, 6, permutations, ["g"]).collect()}
+    for g in "abc":
+        own = [(i, r, round(s * 1e6)) for h, i, r, s in rows if h == g]
+        na = sum(r == "laser" for _, r, _ in own)
+        observed, hits = sum(v for _, r, v in own if r == "laser"), 0
+        for k in range(permutations):
+            digest = lambda i: hashlib.md5(f"6:{k // 4}:{i}".encode()).hexdigest()[8 * (k % 4):8 * (k % 4) + 8]
+            hits += sum(v for _, _, v in sorted(own, key=lambda t: (digest(t[0]), t[0]))[:na]) >= observed
+        assert got[g] == (round((hits + 1) / (permutations + 1), 6) if 0 < na < len(own) else None), g
+
+
+def test_global_rank_needs_no_single_task(spark):
+    df = spark.range(3000).selectExpr("id", "cast(id % 7 as double) / 3 score", "repeat('x', 5) wide")
+    out = global_rank(df, [F.desc("score"), F.col("id")])
+    got = {r.id: r["rank"] for r in out.collect()}
+    assert [i for i, _ in sorted(got.items(), key=lambda t: t[1])] == sorted(range(3000), key=lambda i: (-(i % 7), i))
+    assert sorted(got.values()) == list(range(1, 3001)) and out.columns == ["id", "score", "wide", "rank"]
+    assert "Window" not in out._jdf.queryExecution().toString()
+    assert global_rank(df.filter("id < 0"), [F.col("id")]).count() == 0
