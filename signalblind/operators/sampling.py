@@ -1,5 +1,6 @@
 """Frame sampling and near-duplicate suppression."""
 
+import functools
 import itertools
 
 import numpy as np
@@ -198,25 +199,27 @@ def near_pairs(frames: DataFrame, by="capture_id", order="frame_index", max_dist
     return near_classes(classes, classes, by, max_distance, max_mean_diff).filter(F.col("l_first") < F.col("r_first"))
 
 
-def _greedy(threshold, deduplicate, update_on_duplicate, max_distance, max_mean_diff, by, schema):
-    """Ordered scan of one bounded chunk, given what earlier chunks left behind."""
+def _greedy(threshold, deduplicate, update_on_duplicate, max_distance, max_mean_diff, schema):
+    """Ordered scan of one bounded chunk, given what earlier chunks left behind.
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+    ``start`` holds the picture the chunk is compared with at first, if there is one.
+    """
+
+    def scan(pdf: pd.DataFrame, start) -> pd.DataFrame:
         pdf = pdf.sort_values("_order")
-        sigs, means = pdf["signature"].to_numpy(), pdf["mean_intensity"].to_numpy()
-        hits = pdf["_hit"].to_numpy()
-        scene = pdf["_reference"].iloc[0] if threshold is not None else None
+        sigs, means, hits = (pdf[c].to_numpy() for c in ("signature", "mean_intensity", "_hit"))
+        scene = None if start is None or not len(start) else np.asarray(start["_picture"].iloc[0], dtype="int64")
+        thumbs = [np.asarray(t, dtype="int64") for t in pdf["thumb"]] if threshold is not None else None
         status = np.zeros(len(pdf), dtype="int32")  # 0 unchanged scene, 1 duplicate, 2 kept
         kept_sig, kept_mean = np.empty(len(pdf), dtype=sigs.dtype), np.empty(len(pdf))
         kept = 0
-        reference = None
+        reference = -1
         for i in range(len(pdf)):
             if threshold is not None:
-                thumb = np.asarray(pdf["thumb"].iloc[i], dtype="int64")
-                if scene is not None and np.abs(np.asarray(scene, dtype="int64") - thumb).mean() / 255.0 < threshold:
+                if scene is not None and np.abs(scene - thumbs[i]).mean() / 255.0 < threshold:
                     continue
                 if update_on_duplicate:
-                    scene, reference = thumb, i
+                    scene, reference = thumbs[i], i
             if deduplicate:
                 close = np.abs(kept_mean[:kept] - means[i]) <= max_mean_diff
                 bits = np.bitwise_count((kept_sig[:kept] ^ sigs[i]).view("uint64")) <= max_distance
@@ -227,10 +230,10 @@ def _greedy(threshold, deduplicate, update_on_duplicate, max_distance, max_mean_
             kept_sig[kept], kept_mean[kept] = sigs[i], means[i]
             kept += 1
             if threshold is not None and not update_on_duplicate:
-                scene, reference = thumb, i
-        out = pdf[[by, "_chunk", "_order"]].copy()
+                scene, reference = thumbs[i], i
+        out = pdf[[c.name for c in schema if c.name in pdf]].copy()
         out["status"] = status
-        out["_last"] = np.arange(len(pdf)) == (-1 if reference is None else reference)
+        out["_picture"] = [thumbs[i] if i == reference else None for i in range(len(pdf))]
         return out[[c.name for c in schema]]
 
     return scan
@@ -238,72 +241,101 @@ def _greedy(threshold, deduplicate, update_on_duplicate, max_distance, max_mean_
 
 def select_frames(
     frames: DataFrame, by="capture_id", order="frame_index", threshold=None, deduplicate=True,
-    update_on_duplicate=False, max_distance=3, max_mean_diff=4.0, chunk=CHUNK, max_rounds=1000,
+    update_on_duplicate=False, max_distance=3, max_mean_diff=4.0, chunk=CHUNK, trace=None,
 ) -> DataFrame:
     """The frames an ordered one-pass scan would keep, found in parallel.
 
     Whether a frame is kept depends on the frames kept before it, so a hot capture
-    would be one long sequential task. Instead every chunk of ``chunk`` source
-    positions is scanned on its own, given the reference frame and the kept frames of
-    earlier chunks from the previous round, until nothing changes. Chunk 0 is right
-    after round 0, chunk k at the latest after round k, and the only fixpoint is the
-    sequential answer; as scans agree again soon after a cut, few rounds are needed.
+    would be one long sequential task. Instead every chunk of ``chunk`` source positions
+    is scanned as a function of its incoming state: the reference picture and which of its
+    frames are near one kept in an earlier chunk. A round runs only the chunks whose state
+    is not the one they last ran with. Chunks before a capture's first such chunk are
+    settled, and so is that one once it ran: their decisions are laid aside, what they kept
+    is marked on the open rows for good, and no later round reads them. Each round settles
+    at least one chunk of every open capture, so it ends, with the sequential answer.
 
     Needs ``signature`` (bigint) and ``mean_intensity`` to de-duplicate and ``thumb``
     for a scene threshold; ``order`` must be a unique integer per capture.
-    Adds ``status``: kept / duplicate / same_scene.
+    Adds ``status``: kept / duplicate / same_scene. A list given as ``trace`` receives
+    (open rows, scanned rows) of every round.
     """
     if not deduplicate and threshold is None:
         return frames.withColumn("status", F.lit("kept"))
-    needed = [by, F.col(order).alias("_order"), F.floor(F.col(order) / chunk).cast("long").alias("_chunk")]
-    needed += ["signature", "mean_intensity"] if deduplicate else [
-        F.lit(0).cast("bigint").alias("signature"), F.lit(0.0).alias("mean_intensity")]
-    if threshold is not None:
-        needed.append("thumb")
-    rows = cut(frames.select(*needed), by, "_order")
-    classes = cut(rows.select(by, "signature", "mean_intensity").distinct()) if deduplicate else None
+    scenes = threshold is not None
+    parts, near = shuffle_partitions(frames.sparkSession), (by, max_distance, max_mean_diff)
+    rows = cut(frames.select(
+        by, F.col(order).alias("_order"), F.floor(F.col(order) / chunk).cast("long").alias("_chunk"),
+        *(["signature", "mean_intensity"] if deduplicate else [F.lit(0).cast("bigint").alias("signature"), F.lit(0.0).alias("mean_intensity")]),
+        *(["thumb"] if scenes else []), F.lit(False).alias("_hit"), F.lit(False).alias("_sure")), by, "_order")
     by_type = frames.schema[by].dataType.simpleString()
-    out_schema = spark_schema(f"{by} {by_type}, _chunk bigint, _order bigint, status int, _last boolean")
-    scan = _greedy(threshold, deduplicate, update_on_duplicate, max_distance, max_mean_diff, by, out_schema)
-
-    parts = shuffle_partitions(frames.sparkSession)
-    decided = None
-    for _ in range(max_rounds):
-        todo = rows
-        if decided is not None and threshold is not None:
-            # Reference frame each chunk starts from: the last one set in an earlier chunk.
-            last = decided.groupBy(by, "_chunk").agg(F.max(F.when(F.col("_last"), F.col("_order"))).alias("_set"))
-            across = Window.partitionBy(by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-            start = last.select(by, "_chunk", F.last("_set", ignorenulls=True).over(across).alias("_from"))
-            picture = rows.select(F.col(by).alias("_by"), F.col("_order").alias("_from"), F.col("thumb").alias("_reference"))
-            start = start.join(picture, (F.col(by) == F.col("_by")) & (start["_from"] == picture["_from"]), "left").select(
-                by, "_chunk", "_reference")
-            todo = todo.join(start, [by, "_chunk"])
-        elif threshold is not None:
-            todo = todo.withColumn("_reference", F.lit(None).cast(rows.schema["thumb"].dataType))
-        if decided is not None and deduplicate:
-            kept = rows.join(decided.filter("status = 2").select(by, "_order"), [by, "_order"])
-            kept = kept.groupBy(by, "signature", "mean_intensity").agg(F.min("_order").alias("at"))
-            seen = near_classes(classes, kept, by, max_distance, max_mean_diff).groupBy(
+    out_schema = spark_schema(f"{by} {by_type}, _chunk bigint, _order bigint, signature bigint, mean_intensity double, status int, _picture array<int>")
+    scan = _greedy(threshold, deduplicate, update_on_duplicate, max_distance, max_mean_diff, out_schema)
+
+    # One group is one chunk, so at most ``chunk`` rows whatever the capture holds.
+    first = rows.repartition(parts, by, "_chunk").groupBy(by, "_chunk").applyInPandas(lambda pdf: scan(pdf, None), out_schema)
+    decided = cut(first, by, "_order")
+    sizes = decided.groupBy(by, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    ran = cut(sizes.withColumns({"_from": F.lit(None).cast("bigint"), "_hits": F.lit(None).cast("bigint")}))
+    changed, settled, base = ran, [], None
+    while True:
+        # --- settle: everything up to the first chunk that ran in this round
+        frontier = cut(changed.groupBy(by).agg(F.min("_chunk").alias("_upto")))
+        placed = decided.join(frontier, by, "left")
+        done, decided = placed.filter("_upto is null or _chunk <= _upto").drop("_upto"), placed.filter("_chunk > _upto").drop("_upto")
+        settled.append(done.select(by, "_order", "status"))
+        rows = rows.join(frontier, by).filter("_chunk > _upto").drop("_upto")
+        if scenes:
+            left = done.filter("_picture is not null").select(by, "_order", "_picture")
+            left = left if base is None else left.unionByName(base)
+            base = cut(left.groupBy(by).agg(F.max_by("_picture", "_order").alias("_picture"), F.max("_order").alias("_order")))
+        # --- the state every open chunk would start from now
+        if deduplicate:
+            kept = done.join(frontier.select(by), by).withColumn("_final", F.lit(True)).unionByName(
+                decided.withColumn("_final", F.lit(False))).filter("status = 2")
+            kept = kept.groupBy(by, "signature", "mean_intensity").agg(F.min("_order").alias("at"), F.max("_final").alias("final"))
+            classes = rows.select(by, "signature", "mean_intensity").distinct()
+            seen = near_classes(classes, kept, *near).groupBy(
                 by, F.col("l_signature").alias("signature"), F.col("l_mean").alias("mean_intensity")
-            ).agg(F.min("r_at").alias("_seen"))
-            todo = todo.join(seen, [by, "signature", "mean_intensity"], "left").withColumn(
-                "_hit", F.coalesce(F.floor(F.col("_seen") / chunk) < F.col("_chunk"), F.lit(False))).drop("_seen")
+            ).agg(F.min("r_at").alias("_seen"), F.max("r_final").alias("_final"))
+            rows = rows.join(seen, [by, "signature", "mean_intensity"], "left").withColumn(
+                "_sure", F.col("_sure") | F.coalesce("_final", F.lit(False))).withColumn(
+                "_hit", F.col("_sure") | F.coalesce(F.floor(F.col("_seen") / chunk) < F.col("_chunk"), F.lit(False))).drop("_seen", "_final")
+        rows = cut(rows, by, "_order")
+        state = rows.groupBy(by, "_chunk").agg(
+            F.count(F.lit(1)).alias("_n"), F.bit_xor(F.when(F.col("_hit"), F.xxhash64("_order"))).alias("_hits"))
+        if scenes:
+            last = decided.groupBy(by, "_chunk").agg(F.max(F.when(F.col("_picture").isNotNull(), F.col("_order"))).alias("_set"))
+            across = Window.partitionBy(by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+            start = last.select(by, "_chunk", F.last("_set", ignorenulls=True).over(across).alias("_earlier"))
+            start = start.join(base.select(by, F.col("_order").alias("_base")), by, "left").select(
+                by, "_chunk", F.coalesce("_earlier", "_base").alias("_from"))
+            state = state.join(start, [by, "_chunk"])
+        else:
+            state = state.withColumn("_from", F.lit(None).cast("bigint"))
+        state = cut(state)
+        before = ran.select(by, "_chunk", F.struct("_from", "_hits").alias("_before"))
+        changed = cut(state.join(before, [by, "_chunk"]).filter(
+            ~F.struct("_from", "_hits").eqNullSafe(F.col("_before"))).drop("_before"))
+        scanned = changed.agg(F.sum("_n")).first()[0] or 0
+        if trace is not None:
+            trace.append((rows.count(), scanned))
+        if not scanned:
+            settled.append(decided.select(by, "_order", "status"))
+            break
+        # --- run the chunks whose state is a new one
+        todo = rows.join(changed.select(by, "_chunk"), [by, "_chunk"], "left_semi").repartition(parts, by, "_chunk").groupBy(by, "_chunk")
+        if scenes:
+            pictures = decided.filter("_picture is not null").select(by, "_order", "_picture").unionByName(base)
+            start = changed.join(pictures.withColumnRenamed("_order", "_from"), [by, "_from"]).select(
+                F.col(by).alias("_owner"), F.col("_chunk").alias("_of"), "_picture")
+            now = todo.cogroup(start.groupBy("_owner", "_of")).applyInPandas(scan, out_schema)
         else:
-            todo = todo.withColumn("_hit", F.lit(False))
-        # One group is one chunk, so at most ``chunk`` rows whatever the capture holds.
-        now = cut(todo.repartition(parts, by, "_chunk").groupBy(by, "_chunk").applyInPandas(scan, out_schema), by, "_order")
-        if decided is not None:
-            moved = now.alias("a").join(decided.alias("b"), [by, "_order"]).filter(
-                (F.col("a.status") != F.col("b.status")) | (F.col("a._last") != F.col("b._last")))
-            if moved.isEmpty():
-                break
-        decided = now
-    else:
-        raise RuntimeError(f"frame selection did not settle in {max_rounds} rounds")
+            now = todo.applyInPandas(lambda pdf: scan(pdf, None), out_schema)
+        stay = decided.join(changed.select(by, "_chunk"), [by, "_chunk"], "left_anti")
+        decided, ran = cut(stay.unionByName(now), by, "_order"), state
     names = F.element_at(F.array(F.lit("same_scene"), F.lit("duplicate"), F.lit("kept")), F.col("status") + 1)
-    verdict = decided.select(F.col(by), F.col("_order").alias(order), names.alias("status"))
-    return frames.join(verdict, [by, order])
+    verdict = functools.reduce(DataFrame.unionByName, settled)
+    return frames.join(verdict.select(F.col(by), F.col("_order").alias(order), names.alias("status")), [by, order])
 
 
 def spark_schema(ddl):

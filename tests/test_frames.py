@@ -241,8 +241,25 @@ def test_selection_equals_the_sequential_scan(spark, threshold, dedup):
         else:
             rows.append((pos * 2, signed, float(level), [level] * 4))
     df = spark.createDataFrame([("cap", *r) for r in rows], "capture_id string, frame_index bigint, signature bigint, mean_intensity double, thumb array<int>")
-    got = {r.frame_index: r.status for r in S.select_frames(df, threshold=threshold, deduplicate=dedup, chunk=64).collect()}
+    trace = []
+    got = {r.frame_index: r.status for r in S.select_frames(df, threshold=threshold, deduplicate=dedup, chunk=64, trace=trace).collect()}
     assert got == brute_select(rows, threshold, dedup)
+    # every round leaves settled chunks behind and scans no more than what is open
+    assert all(scanned <= left for left, scanned in trace)
+    assert [left for left, _ in trace] == sorted({left for left, _ in trace}, reverse=True)
+
+
+def test_selection_settles_captures_apart(spark):
+    """A capture without anything left to decide is not read again; null captures drop out, empty tables give no rows."""
+    still = spark.range(300).selectExpr("'still' capture_id", "id frame_index", "cast(id * 7919 as bigint) signature", "cast(id * 5 as double) mean_intensity")
+    same = spark.range(300).selectExpr("'same' capture_id", "id frame_index", "cast(1 as bigint) signature", "2.0 mean_intensity")
+    trace = []
+    out = S.select_frames(still.unionByName(same), chunk=50, trace=trace)
+    kept = {r.capture_id: r["count"] for r in out.filter("status = 'kept'").groupBy("capture_id").count().collect()}
+    assert kept == {"still": 300, "same": 1} and out.count() == 600
+    # all chunks ran once, then those of the repeated frame; nothing else was scanned
+    assert [scanned for _, scanned in trace] == [250, 0]
+    assert S.select_frames(same.filter("frame_index < 0")).count() == 0
 
 
 def test_copies_do_not_multiply_out(spark):
