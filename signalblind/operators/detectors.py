@@ -1,17 +1,15 @@
 """Per-frame features (T1-T15) over packed frames.
 
 A frame is one row, so its features are computed inside that row: a detector run is one
-scan without a shuffle. Only line votes and the series spectrum group rows.
+scan without a shuffle. Only the series spectrum groups rows.
 """
 
-import math
-
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import columns as C, features, grids
 from ..functions.columns import fenced, height, let, pixels, round6, width
 from ..functions.kernels import spectrum_peak, window_power
-from ..session import cut
+from ..functions.lines import line_lists, vote_lists
 from .ordering import top_per_group
 from .preprocess import canny, held
 
@@ -134,56 +132,30 @@ def edge_density(df: DataFrame, keys: list) -> DataFrame:
     return edges(df).select(*keys, let(pixels(), features.bright_share).alias("edge_density"))
 
 
-def edge_points(edge_frames: DataFrame, keys: list, votes=50, source="pixels") -> DataFrame:
-    """Positions of edge cells; null where a frame has fewer than ``votes`` of them, as
-    they cannot make a line."""
-    return edge_frames.select(*keys, "height", "width", let(F.col(source), lambda p: _points(p, votes)).alias("points"))
+def hough_votes(edge_frames: DataFrame, keys: list, votes=50) -> DataFrame:
+    """T5: lines (1 degree, 1 pixel) with at least ``votes`` edge cells, one row per line."""
+    voted = edge_frames.select(*keys, vote_lists(votes)(pixels(), height(), width()).alias("_l"))
+    return voted.select(*keys, F.inline("_l"))
 
 
-def _points(edge_cells, votes):
-    found = F.filter(F.transform(edge_cells, lambda v, i: F.when(v > 0, i)), lambda i: i.isNotNull())
-    return let(found, lambda f: F.when(F.size(f) >= votes, f))
+def hough_lines(edge_frames: DataFrame, keys: list, votes=50, max_gap=8, k=100) -> DataFrame:
+    """T5: straight runs of edge cells on well-voted lines, gaps of at most ``max_gap``."""
+    found = edge_frames.select(*keys, line_lists(votes, max_gap, k)(pixels(), height(), width()).alias("_l"))
+    listed = found.select(*keys, F.posexplode("_l").alias("_i", "_r"))
+    return listed.select(*keys, (F.col("_i") + 1).alias("rank"), "_r.theta", "_r.rho", "_r.votes", round6(F.col("_r.length")).alias("length"))
 
 
-def hough_votes(points: DataFrame, keys: list) -> DataFrame:
-    """T5: votes of edge cells for lines (1 degree, 1 pixel), one row per cell and angle.
+def _line_summary(lines):
+    """Number and mean length of a frame's runs; zeros without any."""
+    total = F.aggregate(lines, F.lit(0.0), lambda t, r: t + round6(r["length"]))
+    return [F.size(lines).cast("bigint").alias("line_count"),
+            F.when(F.size(lines) > 0, round6(total / F.size(lines))).otherwise(0.0).alias("mean_line_length")]
 
-    The rows are grouped right away, so partial counts keep at most one entry per line
-    of a frame.
-    """
-    table = F.array(*[
-        F.struct(F.lit(d).alias("theta"), F.lit(math.cos(math.radians(d))).alias("c"), F.lit(math.sin(math.radians(d))).alias("s"))
-        for d in range(180)])
-    cells = points.select(*keys, "width", F.explode_outer("points").alias("_pos")).filter("_pos is not null").select(
-        *keys, F.floor(F.col("_pos") / F.col("width")).cast("int").alias("y"), (F.col("_pos") % F.col("width")).alias("x"))
-    aimed = cells.select(*keys, "y", "x", F.explode_outer(table).alias("a"))
-    rho = F.floor(F.col("x") * F.col("a.c") + F.col("y") * F.col("a.s") + 0.5).cast("int")
-    return aimed.select(*keys, "y", "x", F.col("a.theta").alias("theta"), rho.alias("rho"))
 
-
-def hough_lines(points: DataFrame, keys: list, votes=50, max_gap=8, k=100) -> DataFrame:
-    """T5: straight runs of edge cells on well-voted lines, gaps of at most ``max_gap``."""
-    cells = hough_votes(points, keys)
-    winners = cells.groupBy(*keys, "theta", "rho").agg(F.count(F.lit(1)).alias("votes")).filter(F.col("votes") >= votes)
-    size = points.select(*keys, F.greatest(F.lit(10), F.floor(F.least("height", "width") / 20)).alias("_least"))
-    along = F.col("y") * F.cos(F.radians("theta")) - F.col("x") * F.sin(F.radians("theta"))
-    on = cells.join(winners, [*keys, "theta", "rho"]).withColumn("_t", along)
-    # One window is one line of one frame.
-    line = Window.partitionBy(*keys, "theta", "rho").orderBy("_t", "y", "x")
-    broken = (F.col("_t") - F.lag("_t").over(line) > max_gap).cast("int")
-    runs = on.withColumn("_broken", F.coalesce(broken, F.lit(0))).withColumn("_run", F.sum("_broken").over(line))
-    ends = runs.groupBy(*keys, "theta", "rho", "votes", "_run").agg(
-        F.min_by(F.struct("x", "y"), F.struct("_t", "y", "x")).alias("a"),
-        F.max_by(F.struct("x", "y"), F.struct("_t", "y", "x")).alias("b"))
-    length = F.hypot(F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y"))
-    kept = ends.join(size, keys).withColumn("length", round6(length)).filter(F.col("length") >= F.col("_least"))
-    return top_per_group(kept, keys, [F.desc("votes"), F.col("theta"), F.col("rho"), F.col("_run")], k).select(
-        *keys, "rank", "theta", "rho", "votes", "length")
-
-
-def line_summary(lines: DataFrame, keys: list) -> DataFrame:
-    return lines.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("line_count"), round6(F.avg("length")).alias("mean_line_length"))
+def line_evidence(edge_frames: DataFrame, keys: list, votes=50, max_gap=8, k=100) -> DataFrame:
+    """T5: number and mean length of a frame's lines, inside the row."""
+    found = edge_frames.select(*keys, line_lists(votes, max_gap, k)(pixels(), height(), width()).alias("_l"))
+    return found.select(*keys, *_line_summary(F.col("_l")))
 
 
 def spectrum(df: DataFrame, keys: list, digits=6) -> DataFrame:
@@ -240,8 +212,8 @@ def text_evidence(words: DataFrame, keys: list) -> DataFrame:
 
 
 def measure(df: DataFrame, keys: list, carry=(), original=None) -> DataFrame:
-    """All per-frame features in one pass over the row, with what later steps need of
-    the pixels: ``points`` of edge cells for lines and the packed bright ``mask``."""
+    """All per-frame features in one pass over the row, with the packed bright
+    ``mask`` that persistence needs of the pixels."""
     oh, ow = (F.col(original[0]), F.col(original[1])) if original else (height(), width())
     boxed = canny(with_boxes(df), 50, 150, into="_edges")
     measured = boxed.select(
@@ -252,9 +224,10 @@ def measure(df: DataFrame, keys: list, carry=(), original=None) -> DataFrame:
         _summary(_described(F.col("boxes"), height(), width(), 4)).alias("_components"),
         _rois(F.col("boxes"), height(), width(), 5, 4, oh, ow).alias("candidate_rois"),
         spectrum_peak(pixels(), height(), width()).alias("_spectrum"),
+        line_lists()(F.col("_edges"), height(), width()).alias("_lines"),
         let(pixels(), lambda p: let(grids.otsu(p), grids.pack_bits)).alias("mask"))
     return measured.select(
-        *keys, *carry, "height", "width", "mask", let(F.col("_edges"), lambda e: _points(e, 50)).alias("points"),
+        *keys, *carry, "height", "width", "mask", *_line_summary(F.col("_lines")),
         *features.rounded("_texture", features.TEXTURE), *features.rounded("_speckle", features.SPECKLE), "_components.*", "candidate_rois",
         F.size("candidate_rois").cast("bigint").alias("roi_count"),
         let(F.col("_edges"), features.bright_share).alias("edge_density"),
@@ -263,26 +236,21 @@ def measure(df: DataFrame, keys: list, carry=(), original=None) -> DataFrame:
 
 
 def detect(df: DataFrame, keys: list, metric="structure_score", words: DataFrame = None, carry=(), original=None) -> DataFrame:
-    """All features of each (sample, variant) row with T12-T14 scores.
-
-    Measurements feed the scores and the line votes, so they are written out once.
-    """
-    out = complete(cut(measure(df, keys, carry, original).drop("mask")), keys, metric, words)
+    """All features of each (sample, variant) row with T12-T14 scores, in one scan."""
+    out = complete(measure(df, keys, carry, original).drop("mask"), keys, metric, words)
     for fn in _CUSTOM.values():
         out = out.join(fn(df, keys), keys, "left")
-    return out.drop("points", "height", "width")
+    return out.drop("height", "width")
 
 
 def complete(measured: DataFrame, keys: list, metric="structure_score", words: DataFrame = None) -> DataFrame:
-    """Line evidence, text evidence and scores on top of ``measure``; what is joined is
-    one small row per frame."""
-    lines = line_summary(hough_lines(measured.select(*keys, "height", "width", "points"), keys), keys)
-    out = measured.join(lines, keys, "left")
+    """Text evidence, one small row per frame, and scores on top of ``measure``."""
+    out = measured
     if words is not None:
         out = out.join(text_evidence(words, keys), keys, "left")
     else:
         out = out.withColumns({"word_count": F.lit(None).cast("bigint"), "confidence": F.lit(0.0)})
-    return with_scores(out.fillna(0, ["line_count", "mean_line_length"]), metric)
+    return with_scores(out, metric)
 
 
 def with_scores(features: DataFrame, metric="structure_score") -> DataFrame:

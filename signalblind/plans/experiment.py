@@ -70,12 +70,12 @@ def blinded_run(samples: DataFrame, profile="baseline", metric="structure_score"
     work = P.expand_variants(spread(sized.select(*keep, "pixels", "height", "width"), "blind_id"), profile)
     keys, sequence = ["blind_id", "variant"], ["sequence_id", "variant"]
     order = [F.col("frame_index"), F.col("blind_id")]
-    # Features, edge points and masks are read by three later steps, so they are computed
-    # once and written out; pixels are not.
+    # Features and masks are read by two later steps, so they are computed once and
+    # written out; pixels are not.
     measured = cut(D.measure(work, keys, ["ordinal", "sequence_id", "frame_index"], ("review_height", "review_width")))
     persist = X.mask_persistence(measured, sequence, order, "blind_id").drop("sequence_id")
     moved = X.registration(work, sequence, order, "blind_id").drop("sequence_id")
-    found = D.complete(measured.drop("sequence_id", "frame_index"), keys, metric).drop("mask", "points", "height", "width")
+    found = D.complete(measured.drop("sequence_id", "frame_index"), keys, metric).drop("mask", "height", "width")
     known = [c for c in B.ATTRIBUTION if c in samples.columns]
     return found.join(persist, keys).join(moved, keys).join(samples.select("blind_id", *known), "blind_id").withColumnRenamed(
         "variant", "preprocessing_variant").withColumns({

@@ -10,7 +10,7 @@ from ..operators import controls as K, crossframe as X, detectors as D, preproce
 from ..operators.ordering import global_rank, running_count, running_min
 from ..sources.tables import frames, mosaics, results, table, words
 from .queries_frames import canny_sql
-from .registry import CELL_OUT, CELLS, FRAMES, MOSAIC, PACKED, RESULTS, at, mirrored, otsu_sql, query
+from .registry import CELL_OUT, CELLS, FRAMES, MOSAIC, MOSAIC_PACKED, PACKED, RESULTS, at, mirrored, otsu_sql, query
 
 KEY = ["frame_id"]
 
@@ -104,15 +104,31 @@ ANGLES = "angles(theta, c, s) AS (VALUES " + ", ".join(
 SELECT frame_id, theta, CAST(floor(x * c + y * s + 0.5) AS INTEGER) AS rho, count(*) AS votes
 FROM edge_cells, angles WHERE v > 0 GROUP BY ALL HAVING count(*) >= 6""")
 def _(spark, sf):
-    votes = D.hough_votes(D.edge_points(D.edges(frames(spark, sf)), KEY, 6), KEY)
-    return votes.groupBy("frame_id", "theta", "rho").agg(F.count(F.lit(1)).alias("votes")).filter("votes >= 6")
+    return D.hough_votes(D.edges(frames(spark, sf)), KEY, 6)
 
 
-@query("t5_line_evidence")
+LINES = f"""{canny_sql(50, 150, MOSAIC_PACKED, 64)}, {ANGLES},
+aimed_cells AS (SELECT frame_id, theta, CAST(floor(x * c + y * s + 0.5) AS INTEGER) AS rho, y, x, y * c - x * s AS t FROM edge_cells, angles WHERE v > 0),
+winners AS (SELECT frame_id, theta, rho, count(*) AS votes FROM aimed_cells GROUP BY ALL HAVING count(*) >= 50),
+steps AS (SELECT a.*, w.votes, a.t - lag(a.t) OVER (PARTITION BY a.frame_id, a.theta, a.rho ORDER BY a.t, a.y, a.x) AS gap
+  FROM aimed_cells a JOIN winners w USING (frame_id, theta, rho)),
+line_runs AS (SELECT *, count(*) FILTER (WHERE gap > 8) OVER (PARTITION BY frame_id, theta, rho ORDER BY t, y, x) AS run FROM steps),
+ends AS (SELECT frame_id, theta, rho, votes, run, arg_min(struct_pack(x, y), (t, y, x)) AS a, arg_max(struct_pack(x, y), (t, y, x)) AS b
+  FROM line_runs GROUP BY frame_id, theta, rho, votes, run),
+spans AS (SELECT *, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS length FROM ends),
+line_ranks AS (SELECT frame_id, theta, rho, votes, round(length, 6) AS length,
+  row_number() OVER (PARTITION BY frame_id ORDER BY votes DESC, theta, rho, run) AS rank FROM spans WHERE length >= 10)"""
+
+
+@query("t5_lines", f"WITH RECURSIVE {LINES} SELECT frame_id, CAST(rank AS INTEGER) AS rank, theta, rho, votes, length FROM line_ranks WHERE rank <= 100")
+def _(spark, sf):
+    return D.hough_lines(D.edges(mosaics(spark, sf)), KEY)
+
+
+@query("t5_line_evidence", f"""WITH RECURSIVE {LINES} SELECT frame_id, count(length) AS line_count, coalesce(round(avg(length), 6), 0.0) AS mean_line_length
+FROM packed LEFT JOIN (SELECT * FROM line_ranks WHERE rank <= 100) USING (frame_id) GROUP BY frame_id""")
 def _(spark, sf):
-    edged = D.edges(mosaics(spark, sf))
-    found = D.line_summary(D.hough_lines(D.edge_points(edged, KEY), KEY), KEY)
-    return edged.select("frame_id").join(found, KEY, "left").fillna(0, ["line_count", "mean_line_length"])
+    return D.line_evidence(D.edges(mosaics(spark, sf)), KEY)
 
 
 # --- spectra -----------------------------------------------------------------------------

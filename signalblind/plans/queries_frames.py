@@ -1,5 +1,7 @@
 """Queries over frames: sources, sampling, preprocessing (IO, F1-F3, D, G)."""
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import hamming, height, let, pixels, signature_hex, width
@@ -344,14 +346,15 @@ step_query("g9_sharpen", ["sharpen"], f"""WITH {PACKED} SELECT frame_id, y, x, C
 FROM packed, ys, xs""")
 
 
-def _sobel(dy, dx):
-    return at(repeated(f"y + {dy}"), repeated(f"x + {dx}"))
+def _sobel(dy, dx, n=8):
+    return at(repeated(f"y + {dy}", n), repeated(f"x + {dx}", n), n=n)
 
 
-def canny_sql(low, high):
-    gx = f"({_sobel(-1, 1)} + 2 * {_sobel(0, 1)} + {_sobel(1, 1)}) - ({_sobel(-1, -1)} + 2 * {_sobel(0, -1)} + {_sobel(1, -1)})"
-    gy = f"({_sobel(1, -1)} + 2 * {_sobel(1, 0)} + {_sobel(1, 1)}) - ({_sobel(-1, -1)} + 2 * {_sobel(-1, 0)} + {_sobel(-1, 1)})"
-    return f"""{PACKED}, grad AS (SELECT frame_id, y, x, {gx} AS gx, {gy} AS gy FROM packed, ys, xs),
+def canny_sql(low, high, packed=PACKED, n=8):
+    sobel = functools.partial(_sobel, n=n)
+    gx = f"({sobel(-1, 1)} + 2 * {sobel(0, 1)} + {sobel(1, 1)}) - ({sobel(-1, -1)} + 2 * {sobel(0, -1)} + {sobel(1, -1)})"
+    gy = f"({sobel(1, -1)} + 2 * {sobel(1, 0)} + {sobel(1, 1)}) - ({sobel(-1, -1)} + 2 * {sobel(-1, 0)} + {sobel(-1, 1)})"
+    return f"""{packed}, grad AS (SELECT frame_id, y, x, {gx} AS gx, {gy} AS gy FROM packed, ys, xs),
 mags AS (SELECT *, abs(gx) + abs(gy) AS m FROM grad),
 aimed AS (SELECT *, CASE WHEN abs(gy) < abs(gx) * tan(radians(22.5)) THEN 'flat'
                          WHEN abs(gy) > abs(gx) * (tan(radians(22.5)) + 2.0) THEN 'steep' ELSE 'diagonal' END AS way,

@@ -43,6 +43,9 @@ mosaic AS (
     ON c.frame_index = g.m * 64 + (g.pos // 64 // 8) * 8 + (g.pos % 64) // 8
    AND c.y = (g.pos // 64) % 8 AND c.x = (g.pos % 64) % 8)"""
 
+MOSAIC_PACKED = MOSAIC + """, packed AS (SELECT frame_id, list(v ORDER BY y, x) AS px FROM mosaic GROUP BY frame_id),
+ys AS (SELECT CAST(unnest(range(64)) AS INTEGER) AS y), xs AS (SELECT CAST(unnest(range(64)) AS INTEGER) AS x)"""
+
 RESULTS = """roles AS (
   SELECT l_orderkey AS sample_id,
          CASE WHEN max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 1 THEN 'laser' ELSE 'control' END AS unblinded_label
@@ -109,8 +112,8 @@ def repeated(expr, n=8):
     return f"least(greatest({expr}, 0), {n - 1})"
 
 
-def at(y, x, px="px"):
-    return f"{px}[{y} * 8 + {x} + 1]"
+def at(y, x, px="px", n=8):
+    return f"{px}[{y} * {n} + {x} + 1]"
 
 
 OTSU = """hist AS (SELECT frame_id, v, count(*) AS c FROM {src} GROUP BY 1, 2),

@@ -171,10 +171,37 @@ def test_enclosed_regions_are_not_candidates(spark):
 def test_line_evidence_finds_a_long_edge(spark):
     a = np.zeros((80, 120))
     a[40:, :] = 255
-    lines = D.hough_lines(D.edge_points(D.edges(frame(spark, a)), ["frame_id"]), ["frame_id"]).collect()
+    lines = D.hough_lines(D.edges(frame(spark, a)), ["frame_id"]).collect()
     assert any(r.theta == 90 and r.votes >= 100 and r.length >= 100 for r in lines)
 
 
+def test_votes_and_runs_by_plain_loops(spark):
+    rng = np.random.default_rng(8)
+    edge = (rng.random((30, 45)) < 0.2) * 255
+    edge[12, 3:20] = edge[12, 31:44] = 255
+    empty = np.zeros((6, 7))
+    on = {}
+    for y, x in zip(*np.nonzero(edge)):
+        for d in range(180):
+            c, s = np.cos(np.radians(d)), np.sin(np.radians(d))
+            on.setdefault((d, int(np.floor(x * c + y * s + 0.5))), []).append((y * c - x * s, y, x))
+    df = frame(spark, edge, empty)
+    votes = {(r.frame_id, r.theta, r.rho): r.votes for r in D.hough_votes(df, ["frame_id"], 15).collect()}
+    assert votes == {("f0", *k): len(v) for k, v in on.items() if len(v) >= 15}
+    want = []
+    for (d, rho), cells in on.items():
+        cells, run, number = sorted(cells), [], 0
+        for cell in [*cells, None] if len(cells) >= 15 else []:
+            if run and (cell is None or cell[0] - run[-1][0] > 8):
+                length = np.hypot(run[-1][2] - run[0][2], run[-1][1] - run[0][1])
+                want += [(-len(cells), d, rho, number, round(length, 6))] if length >= 10 else []
+                run, number = [], number + 1
+            run.append(cell)
+    got = D.hough_lines(df, ["frame_id"], votes=15, k=10**6).orderBy("rank").collect()
+    assert [(r.frame_id, -r.votes, r.theta, r.rho, round(r.length, 6)) for r in got] == [("f0", a, d, rho, n) for a, d, rho, _, n in sorted(want)]
+    assert [(r.line_count, r.mean_line_length) for r in D.line_evidence(df, ["frame_id"], votes=10**6).collect()] == [(0, 0.0)] * 2
+
+
 def test_spectrum_of_a_grating_stands_out(spark):
     out = D.spectrum(frame(spark, grating()), ["frame_id"]).first()
     assert out.prominence >= 8.0 and abs(out.angle) in (0.0, 180.0)
