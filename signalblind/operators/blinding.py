@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from . import hashtree
 from .ordering import global_rank
 
 CALIBRATION = "synthetic_positive"
@@ -64,17 +65,15 @@ def seal_captures(frames: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("frame_count")).withColumn("sealed", F.lit(True))
 
 
-def digest(seal_map: DataFrame) -> DataFrame:
-    """B2: one digest of the whole map, independent of row order and placement.
+def seal_rows(seal_map: DataFrame) -> DataFrame:
+    """B2: the rows of the map as hash tree leaves."""
+    return hashtree.leaves(seal_map, F.sha2(F.to_json(F.struct(*sorted(seal_map.columns)), {"ignoreNullFields": "false"}), 256))
 
-    Rows meet in 4096 slices by hash prefix; slice digests are hashed in slice order.
-    """
-    row = F.sha2(F.to_json(F.struct(*sorted(seal_map.columns)), {"ignoreNullFields": "false"}), 256)
-    hashed = seal_map.select(row.alias("h"))
-    slices = hashed.groupBy(F.substring("h", 1, 3).alias("s")).agg(
-        F.sha2(F.concat_ws("", F.array_sort(F.collect_list("h"))), 256).alias("d"))
-    ordered = F.array_sort(F.collect_list(F.struct("s", "d")))
-    return slices.agg(F.sha2(F.concat_ws("", F.transform(ordered, lambda x: x["d"])), 256).alias("digest"))
+
+def digest(seal_map: DataFrame) -> DataFrame:
+    """B2: one digest of the whole map, independent of row order and placement: the root
+    of its hash tree. An empty map has none (null)."""
+    return hashtree.roots(hashtree.tree(seal_rows(seal_map))).agg(F.max("digest").alias("digest"))
 
 
 def check_digest(seal_map: DataFrame, expected: str):

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions import grids
 from ..functions.columns import hamming, let, round6
 from ..session import cut, shuffle_partitions
+from . import clusters
 from .ordering import running_count, with_previous
 
 # Sampling profiles (profile, mode, interval, cap, deduplicate, scene threshold).
@@ -199,6 +200,95 @@ def near_pairs(frames: DataFrame, by="capture_id", order="frame_index", max_dist
     return near_classes(classes, classes, by, max_distance, max_mean_diff).filter(F.col("l_first") < F.col("r_first"))
 
 
+#: Most classes of one blocking key and slot that a task compares with as many others.
+NEAR_BLOCK = 1024
+
+
+def near_blocks(classes: DataFrame, by: str, max_distance=3, max_mean_diff=4.0, block=NEAR_BLOCK) -> DataFrame:
+    """Classes beside all they may be near to, in groups (``_group``, ``_i``, ``_j``) of at most
+    about two blocks.
+
+    A class goes to its own slot of every blocking key and, as ``_upper``, to the slot below.
+    A key and slot of many classes is dealt into blocks by a hash of the class, and every pair
+    of blocks is a group of its own, so one hot slot spreads over many tasks.
+    """
+    slot = F.floor(F.col("mean_intensity") / max(max_mean_diff, 1e-9)).cast("long")
+    keyed = classes.withColumn("_k", F.explode(_blocking_keys(F.col("signature"), max_distance))).withColumn(
+        "_at", F.explode(F.array(F.struct(slot.alias("slot"), F.lit(False).alias("upper")), F.struct((slot - 1).alias("slot"), F.lit(True).alias("upper")))))
+    placed = keyed.select(by, "signature", "mean_intensity", "node", F.xxhash64(by, "_k", "_at.slot").alias("_group"), F.col("_at.upper").alias("_upper"))
+    sizes = placed.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(~F.col("_upper"), 1)).alias("_own"))
+    # Alone, or with classes of the next slot only: those meet in their own slot.
+    sizes = sizes.filter("_n > 1 and _own > 0").select("_group", F.ceil(F.col("_n") / block).cast("int").alias("_b"))
+    mine = F.pmod(F.xxhash64("node"), F.col("_b")).cast("int")
+    dealt = placed.join(sizes, "_group").withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
+    return dealt.withColumn("_i", F.least("_mine", "_other")).withColumn("_j", F.greatest("_mine", "_other")).drop("_b", "_other")
+
+
+def _forest(max_distance, max_mean_diff):
+    """Links of the classes of one sorted partition, as (place, smallest place it reaches) inside each group."""
+
+    def reach(sig, mean, upper, who):
+        near = np.bitwise_count((sig[:, None] ^ sig[None]).view("uint64")) <= max_distance
+        near &= (np.abs(mean[:, None] - mean[None]) <= max_mean_diff) & ~(upper[:, None] & upper[None]) & (who[:, None] == who[None])
+        label = np.arange(len(sig))
+        while True:
+            least = np.minimum(label, np.where(near, label[None], len(sig)).min(axis=1))
+            # a root takes over the best label any of its members has seen
+            np.minimum.at(least, label, least.copy())
+            least = least[least]
+            if (least == label).all():
+                return label
+            label = least
+
+    def run(batches):
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            cuts = np.flatnonzero((pdf[["_group", "_i", "_j"]].to_numpy()[1:] != pdf[["_group", "_i", "_j"]].to_numpy()[:-1]).any(axis=1)) + 1
+            whole = cuts[-1] if len(cuts) else 0
+            rest = pdf.iloc[whole:].reset_index(drop=True)
+            if whole:
+                yield linked(pdf, np.append(0, cuts))
+        if rest is not None and len(rest):
+            yield linked(rest, np.array([0, len(rest)]))
+
+    def linked(pdf, borders):
+        sig, mean, upper, who = (pdf[c].to_numpy() for c in ("signature", "mean_intensity", "_upper", "_who"))
+        a, b = [], []
+        for lo, hi in zip(borders[:-1], borders[1:]):
+            if hi - lo > 1:
+                label = reach(sig[lo:hi], mean[lo:hi], upper[lo:hi], who[lo:hi])
+                moved = np.flatnonzero(label != np.arange(hi - lo))
+                a.append(lo + moved), b.append(lo + label[moved])
+        a, b = (np.concatenate(x) if x else np.empty(0, int) for x in (a, b))
+        node = pdf["node"].to_numpy()
+        return pd.DataFrame({"a": node[a], "b": node[b]})
+
+    return run
+
+
+def near_clusters(frames: DataFrame, by="capture_id", order="frame_index", max_distance=3, max_mean_diff=4.0, block=NEAR_BLOCK) -> DataFrame:
+    """(signature, mean) classes of each capture with their cluster: ``by``, first, n, cluster.
+
+    Two classes link when they are near; a cluster is what links reach, named by its smallest
+    ``first`` frame. No list of pairs is made: a group of ``near_blocks`` sends one link per
+    class at most. ``order`` must be unique per capture. Frames without a signature or mean
+    are in clusters of their own class; a null capture is a capture.
+    """
+    classes = frames.groupBy(by, "signature", "mean_intensity").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = cut(classes.withColumn("node", F.struct(F.col(by).alias("c"), F.col("first").alias("f"))))
+    named = classes.withColumn("node", F.to_json("node", {"ignoreNullFields": "false"}))
+    blocks = near_blocks(named.filter("signature is not null and mean_intensity is not null"), by, max_distance, max_mean_diff, block)
+    n = shuffle_partitions(frames.sparkSession)
+    sorted_blocks = blocks.select("_group", "_i", "_j", "signature", "mean_intensity", "_upper", "node", F.xxhash64(by).alias("_who")).repartition(
+        n, "_group", "_i", "_j").sortWithinPartitions("_group", "_i", "_j")
+    links = sorted_blocks.mapInPandas(_forest(max_distance, max_mean_diff), "a string, b string").distinct()
+    found = clusters.connected(links, "a", "b")
+    out = named.join(found, "node", "left").select(by, "first", "n", F.coalesce("root", "node").alias("root"))
+    least = out.groupBy("root").agg(F.min("first").alias("cluster"))
+    return out.join(least, "root").select(by, "first", "n", "cluster")
+
+
 def _greedy(threshold, deduplicate, update_on_duplicate, max_distance, max_mean_diff, schema):
     """Ordered scan of one bounded chunk, given what earlier chunks left behind.
 

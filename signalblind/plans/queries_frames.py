@@ -5,12 +5,12 @@ import functools
 from pyspark.sql import functions as F
 
 from ..functions.columns import hamming, height, let, pixels, signature_hex, width
-from ..operators import preprocess as P, sampling as S
+from ..operators import hashtree, preprocess as P, sampling as S
 from ..sources import media
 from ..session import cut
 from ..sources.tables import document_signatures, frames, mosaics, table
 from .registry import (
-    CELL_OUT, CELLS, DOC_SIGNATURES, FRAMES, MOSAIC, PACKED, at, mirrored, otsu_sql, query, repeated,
+    CELL_OUT, CELLS, DOC_SIGNATURES, FRAMES, MOSAIC, PACKED, at, hash_tree_sql, mirrored, otsu_sql, query, repeated,
 )
 
 
@@ -54,15 +54,29 @@ def _(spark, sf):
     return media.record_hash(df, ["c_name", "c_custkey", "c_nationkey", "c_mktsegment"]).select("c_custkey", "record_hash")
 
 
-@query("io6_group_fingerprint", """WITH recs AS (SELECT source, substr(md5(CAST(doc_id AS VARCHAR)), 1, 3) AS slice,
-    doc_id || ':' || sha256(text) AS rec FROM documents),
-slices AS (SELECT source, slice, sha256(string_agg(rec, '|' ORDER BY rec)) AS d, count(*) AS n FROM recs GROUP BY ALL)
-SELECT source, CAST(sum(n) AS BIGINT) AS records, sha256(string_agg(d, '|' ORDER BY slice)) AS fingerprint FROM slices GROUP BY source""")
+DOC_RECORDS = "SELECT source, sha256(doc_id || ':' || sha256(text)) AS h FROM documents"
+
+
+@query("io6_group_fingerprint", f"""WITH {hash_tree_sql(DOC_RECORDS, 'source')}
+SELECT source, CAST(n AS BIGINT) AS records, digest AS fingerprint FROM l0""")
 def _(spark, sf):
     docs = media.content_hash(table(spark, sf, "documents").select("source", "doc_id", "text"), "text")
     return media.group_fingerprint(docs, ["source"], "doc_id", "sha256")
 
 
+@query("io6_changed_records", """WITH kept AS (SELECT source, doc_id, sha256(text) AS was,
+    sha256(regexp_replace(text, '[0-9]{6,}', '#', 'g')) AS now_ FROM documents)
+SELECT source, sha256(doc_id || ':' || was) AS h, 'a' AS side FROM kept WHERE was <> now_
+UNION ALL SELECT source, sha256(doc_id || ':' || now_), 'b' FROM kept WHERE was <> now_""")
+def _(spark, sf):
+    # Long numbers are masked; the trees of both states lead to the records that differ.
+    docs = table(spark, sf, "documents").select("source", "doc_id", "text")
+    edited = docs.withColumn("text", F.regexp_replace("text", "[0-9]{6,}", "#"))
+    rows = [media.group_records(media.content_hash(d, "text"), ["source"], "doc_id", "sha256") for d in (docs, edited)]
+    trees = [hashtree.tree(r, ["source"]) for r in rows]
+    return hashtree.changed_rows(*rows, *trees, ["source"])
+
+
 @query("io7_json_records", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def _(spark, sf):
     df = table(spark, sf, "supplier")
@@ -249,6 +263,18 @@ def _(spark, sf):
         "capture_id", "l_first", "r_first", "l_n", "r_n", hamming(F.col("l_signature"), F.col("r_signature")).alias("distance"))
 
 
+@query("j7_near_clusters", f"""WITH RECURSIVE {DOC_SIGNATURES}, classes AS (
+  SELECT capture_id, signature, mean_intensity, min(frame_index) AS first_, count(*) AS n FROM sigs GROUP BY ALL),
+links AS (SELECT a.capture_id, a.first_ AS u, b.first_ AS v FROM classes a JOIN classes b ON a.capture_id = b.capture_id
+  WHERE bit_count(xor(a.signature, b.signature)) <= 3 AND abs(a.mean_intensity - b.mean_intensity) <= 4.0),
+reach AS (SELECT capture_id, first_ AS u, first_ AS v FROM classes
+  UNION SELECT r.capture_id, r.u, l.v FROM reach r JOIN links l ON l.capture_id = r.capture_id AND l.u = r.v),
+least_reached AS (SELECT capture_id, u, min(v) AS cluster FROM reach GROUP BY ALL)
+SELECT c.capture_id, c.first_ AS "first", c.n, l.cluster FROM classes c JOIN least_reached l ON l.capture_id = c.capture_id AND l.u = c.first_""")
+def _(spark, sf):
+    return S.near_clusters(signed_documents(spark, sf))
+
+
 CAPPED = GREEDY + """, numbered AS (
   SELECT *, sum(CASE WHEN dup THEN 0 ELSE 1 END) OVER (PARTITION BY capture_id ORDER BY rn) AS kept_so_far FROM walk),
 looked_at AS (SELECT * FROM numbered WHERE kept_so_far < 100 OR (kept_so_far = 100 AND NOT dup))"""

@@ -9,7 +9,7 @@ from ..session import cut
 from ..sources import sinks
 from ..sources.tables import frames, results, table
 from .queries_detectors import BEST, SPECKLE, TIES, W1
-from .registry import EMPIRICAL, FRAMES, PACKED, RESULTS, SCORES, STEP_UP, permutation_sql, query, scores_sql
+from .registry import EMPIRICAL, FRAMES, PACKED, RESULTS, SCORES, STEP_UP, hash_tree_sql, permutation_sql, query, scores_sql
 
 NAMES = {"score": "score", "persistence": "persistence"}
 SEED = 7
@@ -430,8 +430,8 @@ def _(spark, sf):
 
 
 def digest_sql(source, label):
-    return f"""(SELECT sha256(string_agg(d, '' ORDER BY s)) FROM (SELECT substr(h, 1, 3) AS s, sha256(string_agg(h, '' ORDER BY h)) AS d
-  FROM (SELECT sha256('{{"blind_id":"' || blind_id || '","capture_id":' || capture_id || ',"sample_id":' || sample_id || ',"unblinded_label":"' || {label} || '"}}') AS h FROM {source}) GROUP BY 1))"""
+    rows = f"""SELECT 0 AS all_rows, sha256('{{"blind_id":"' || blind_id || '","capture_id":' || capture_id || ',"sample_id":' || sample_id || ',"unblinded_label":"' || {label} || '"}}') AS h FROM {source}"""
+    return f"(WITH {hash_tree_sql(rows)} SELECT digest FROM l0)"
 
 
 @query("b2_seal_digest", f"WITH {SAMPLES} SELECT {digest_sql('blinded', 'unblinded_label')} AS digest")

@@ -112,6 +112,19 @@ def repeated(expr, n=8):
     return f"least(greatest({expr}, 0), {n - 1})"
 
 
+def hash_tree_sql(rows, by="all_rows", levels=6):
+    """Nodes ``l0`` .. of the hash trees over ``rows`` (``by``, h), for groups of up to 16 ** (levels + 1) rows."""
+    parts = [f"""tree_leaves AS (SELECT {by}, h, count(*) AS n FROM ({rows}) GROUP BY {by}, h),
+depths AS (SELECT {by}, length(format('{{:x}}', count(*) - 1)) - 1 AS depth FROM tree_leaves GROUP BY {by}),
+tree_ends AS (SELECT l.{by}, depth, substr(h, 1, depth) AS prefix, sha256(string_agg(h || ':' || n, '' ORDER BY h)) AS digest, sum(n) AS n
+  FROM tree_leaves l JOIN depths d ON l.{by} IS NOT DISTINCT FROM d.{by} GROUP BY l.{by}, depth, substr(h, 1, depth))"""]
+    for level in range(levels, -1, -1):
+        upper = "" if level == levels else f""" UNION ALL SELECT {by}, substr(prefix, 1, {level}), sha256(string_agg(digest, '' ORDER BY prefix)), sum(n)
+  FROM l{level + 1} GROUP BY {by}, substr(prefix, 1, {level})"""
+        parts.append(f"l{level} AS (SELECT {by}, prefix, digest, n FROM tree_ends WHERE depth = {level}{upper})")
+    return ", ".join(parts)
+
+
 def at(y, x, px="px", n=8):
     return f"{px}[{y} * {n} + {x} + 1]"
 

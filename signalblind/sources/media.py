@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.columns import stable_json
 from ..functions.kernels import unpack_bytes
+from ..operators import hashtree
 
 # File extensions an image set may hold.
 IMAGE_EXTENSIONS = ["bmp", "jpeg", "jpg", "png", "tif", "tiff", "webp"]
@@ -44,23 +45,15 @@ def record_hash(df: DataFrame, columns: list, name="record_hash") -> DataFrame:
     return df.withColumn(name, F.sha2(stable_json({c: F.col(c) for c in columns}), 256))
 
 
-def group_fingerprint(df: DataFrame, by: list, name: str, sha: str, fan_out=4096) -> DataFrame:
-    """IO6: one hash per group over its sorted (name, hash) records.
+def group_records(df: DataFrame, by: list, name: str, sha: str) -> DataFrame:
+    """IO6: the (name, hash) records of every group as hash tree leaves."""
+    return hashtree.leaves(df, F.sha2(F.concat_ws(":", F.col(name), F.col(sha)), 256), by)
 
-    Two levels keep any task bounded: records meet in ``fan_out`` slices picked by a
-    prefix of md5(name), then the slice digests are hashed in slice order.
-    """
-    record = F.concat_ws(":", F.col(name), F.col(sha))
-    digits = max(1, (fan_out - 1).bit_length() // 4)
-    slices = df.groupBy(*by, F.substring(F.md5(F.col(name).cast("string")), 1, digits).alias("_slice")).agg(
-        F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(record))), 256).alias("_digest"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    return slices.groupBy(*by).agg(
-        F.sum("_n").alias("records"),
-        F.sha2(F.concat_ws("|", F.transform(
-            F.array_sort(F.collect_list(F.struct("_slice", "_digest"))), lambda s: s["_digest"])), 256).alias("fingerprint"),
-    )
+
+def group_fingerprint(df: DataFrame, by: list, name: str, sha: str) -> DataFrame:
+    """IO6: one hash per group over its (name, hash) records: the root of their hash tree."""
+    nodes = hashtree.tree(group_records(df, by, name, sha), by)
+    return hashtree.roots(nodes, by).select(*by, F.col("n").alias("records"), F.col("digest").alias("fingerprint"))
 
 
 def write_json(df: DataFrame, path: str):

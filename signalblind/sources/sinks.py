@@ -2,7 +2,9 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators import hashtree
 from ..operators.review import candidate_table
+from . import media
 
 # Manifest fields that may leave a sealed run.
 SEALED_MANIFEST = [
@@ -29,9 +31,15 @@ def asset_hashes(candidates: DataFrame, rois_per_candidate=3) -> DataFrame:
         F.concat(folder, F.lit("/"), F.col("a.name")).alias("member"), F.col("a.sha256").alias("sha256"))
 
 
-def export_bundle(tables: dict, path: str, unblinded: bool, include_media=False):
+def bundle_tree(members: DataFrame) -> DataFrame:
+    """IO9: hash tree over the (member, sha256) rows of a bundle."""
+    return hashtree.tree(media.group_records(members, [], "member", "sha256"))
+
+
+def export_bundle(tables: dict, path: str, unblinded: bool, include_media=False, members: DataFrame = None):
     """IO9: a directory of tables. Media only after the reveal; a sealed manifest is cut
-    to its allow-list."""
+    to its allow-list. ``members`` (member, sha256) are written as ``hashes`` with the nodes
+    of their hash tree as ``hash_tree``, whose root stands for all of them."""
     if include_media and not unblinded:
         raise ValueError("media stay back until the roles have been revealed")
     for name, df in tables.items():
@@ -40,3 +48,6 @@ def export_bundle(tables: dict, path: str, unblinded: bool, include_media=False)
         if name == "manifest" and not unblinded:
             df = df.select(*[c for c in df.columns if c in SEALED_MANIFEST])
         df.write.mode("overwrite").json(f"{path}/{name}")
+    if members is not None:
+        members.write.mode("overwrite").json(f"{path}/hashes")
+        bundle_tree(members).write.mode("overwrite").json(f"{path}/hash_tree")

@@ -390,3 +390,44 @@ def test_record_hash_ignores_column_order(spark):
     import hashlib
 
     assert one == two == hashlib.sha256(b'{"a":[3,1],"b":2}').hexdigest()
+
+
+def test_near_clusters_by_plain_search(spark):
+    rng = random.Random(4)
+    rows = []
+    for cap in ("hot", "hot", "hot", "cold", None):
+        sig, mean = rng.getrandbits(63), rng.uniform(0, 50)
+        for _ in range(60):
+            if rng.random() < 0.3:
+                sig, mean = rng.getrandbits(63), rng.uniform(0, 50)
+            sig ^= 1 << rng.randrange(63) | 1 << rng.randrange(63)
+            rows.append((cap, len(rows), sig, mean + rng.uniform(-3, 3)))
+            if rng.random() < 0.2:
+                rows.append((cap, len(rows), *rows[-1][2:]))
+    rows += [("hot", 900, None, 3.0), ("hot", 901, None, 3.0), ("hot", 902, 5, None)]
+    df = spark.createDataFrame(rows, "capture_id string, frame_index bigint, signature bigint, mean_intensity double")
+    classes = {}
+    for cap, i, sig, mean in rows:
+        classes.setdefault((cap, sig, mean), []).append(i)
+    near = lambda a, b: a[0] == b[0] and None not in a[1:] + b[1:] and (a[1] ^ b[1]).bit_count() <= 3 and abs(a[2] - b[2]) <= 4.0
+    want = set()
+    for c in classes:
+        seen, todo = {c}, [c]
+        while todo:
+            x = todo.pop()
+            more = [y for y in classes if y not in seen and near(x, y)]
+            seen.update(more), todo.extend(more)
+        want.add((c[0], min(classes[c]), len(classes[c]), min(min(classes[y]) for y in seen)))
+    for block in (1024, 7):
+        out = S.near_clusters(df, block=block)
+        assert {tuple(r) for r in out.collect()} == want and out.count() == len(classes)
+    assert len({w[3] for w in want}) < len(classes)
+    assert S.near_clusters(df.filter("frame_index < 0")).count() == 0
+
+
+def test_a_hot_slot_is_many_groups(spark):
+    # all classes share their lower bands and their slot
+    hot = spark.range(3000).select(F.lit("cap").alias("capture_id"), F.shiftleft("id", 44).alias("signature"), F.lit(9.0).alias("mean_intensity"), F.col("id").cast("string").alias("node"))
+    groups = S.near_blocks(hot, "capture_id", block=200).groupBy("_group", "_i", "_j").count()
+    busiest = groups.groupBy("_group").agg(F.count("*").alias("groups"), F.sum("count").alias("rows")).orderBy(F.desc("rows")).first()
+    assert busiest.groups == 15 * 16 // 2 and groups.agg(F.max("count")).first()[0] < 3 * 200
