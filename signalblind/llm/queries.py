@@ -35,7 +35,7 @@ def _(spark, sf_dir):
 
 @query("op3_chat_quotes")
 def _(spark, sf_dir):
-    return quotes.conversations(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "reply_to", "thread", "n_quoted", "n_linked", F.sha2("text", 256).alias("text_sha256"))
+    return quotes.conversations(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "reply_to", "thread", "branch", "n_quoted", "n_linked", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query("op4_pii")
