@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalblind.llm import text as T
-from signalblind.llm.components import components
+from signalblind.llm.components import components, forest
 from signalblind.session import cut, shuffle_partitions
 
 MINI = 512
@@ -436,11 +436,12 @@ def linked(docs: DataFrame, num=90, den=100, words=3, carry=()) -> DataFrame:
         return counted.filter(F.col("shared") * den >= num * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
     star = cut(verified(shared.filter("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b")).distinct()))
-    label = components(star).select(F.col("node").alias("doc"), "component")
+    # members of a large group link with the same few representatives: one link each is enough
+    label = components(forest(star)).select(F.col("node").alias("doc"), "component")
     members = cut(shared.join(label, "doc", "left").select("key", "c", "doc", "rep", F.coalesce("component", "doc").alias("comp")))
     mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
     rest = verified(unsettled(members.join(mixed, "key", "left_semi").join(size_of, "doc"), num, den))
-    label = components(star.unionAll(rest)).select(F.col("node").alias("name"), "component")
+    label = components(label.select(F.col("doc").alias("a"), F.col("component").alias("b")).unionAll(rest)).select(F.col("node").alias("name"), "component")
     found = cut(classes.select("n", "h1", "h2", "doc", "name").join(label, "name", "left").withColumn("component", F.coalesce("component", "name")))
     least = found.groupBy("component").agg(F.min("doc").alias("component_id"))
     of_set = found.select("n", "h1", "h2", "component").join(least, "component")

@@ -382,3 +382,15 @@ for rows in ([(i, None) for i in range(8)], [(i, "") for i in range(8)]):
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=600)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_forest_connects_alike(spark):
+    import random
+
+    rng = random.Random(2)
+    group = [(i, j, "x") for i in range(100, 900) for j in rng.sample(range(100), 6) if i % 2 == j % 2]
+    edges = group + [(j, j + 2, "x") for j in range(0, 96, 2)] + [(5000, 5000, "x"), (None, 3, "x"), (7000, 6000, "x"), (7000, 6000, "x")]
+    d = spark.createDataFrame(edges, "doc long, rep long, n string")
+    thin = components.forest(d, "doc", "rep")
+    a, b = ({tuple(r) for r in components.components(x, *ends).collect()} for x, ends in ((d, ("doc", "rep")), (thin, ("a", "b"))))
+    assert a == b and components.forest(d.limit(0), "doc", "rep").count() == 0 and thin.count() < len(edges)
