@@ -5,12 +5,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalblind.session import cut
-
-
-def state(edges):
-    """Number of edges and a sum of their hashes: the same when nothing changed."""
-    return edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")).first()
+from signalblind.operators.clusters import connected
 
 
 def forest(edges: DataFrame, a="a", b="b") -> DataFrame:
@@ -49,24 +44,7 @@ def forest(edges: DataFrame, a="a", b="b") -> DataFrame:
 def components(edges: DataFrame, a="a", b="b") -> DataFrame:
     """(node, component) of every node of an edge, the component being its smallest node.
 
-    Each round hangs every node and its larger neighbours below the smallest neighbour
-    (large star, then small star), so long chains shrink fast. A round is cut by a
-    checkpoint; only a count and a sum per round reach the driver. Null ends are ignored.
+    Trees of links are contracted round by round; links inside a tree drop out, so most are
+    read once or twice. A round is cut by a checkpoint. Null ends are ignored.
     """
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null and u <> v")
-    now = cut(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = state(now)
-    while seen["n"]:
-        around = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = around.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionAll(least.filter("m < u").select("u", F.col("m").alias("v"))).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = cut(small.filter("u <> v").distinct())
-        if (new := state(now)) == seen:
-            break
-        seen = new
-    tops = now.groupBy("u").agg(F.min("v").alias("component"))
-    roots = tops.select(F.col("component").alias("u"), "component").distinct()
-    return tops.unionAll(roots.join(tops.select("u"), "u", "left_anti")).select(F.col("u").alias("node"), "component")
+    return connected(edges, a, b).withColumnRenamed("root", "component")
