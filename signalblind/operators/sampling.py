@@ -167,7 +167,8 @@ def near_classes(left: DataFrame, right: DataFrame, by: str, max_distance=3, max
     """Pairs of (signature, mean) classes that are near, ``l_*`` against ``r_*`` columns.
 
     Both sides hold distinct classes per capture: copies are collapsed before, so a
-    group of copies never multiplies out. Exact: blocking only prunes.
+    group of copies never multiplies out. Exact: blocking only prunes. A class on the left
+    goes to three slots, so that should be the smaller side.
     """
     width = max(max_mean_diff, 1e-9)
     # Classes fan out into many keys, so they are spread evenly first.
@@ -177,12 +178,12 @@ def near_classes(left: DataFrame, right: DataFrame, by: str, max_distance=3, max
     l = left.select(
         F.col(by).alias("l_by"), F.col("signature").alias("l_signature"), F.col("mean_intensity").alias("l_mean"),
         *[F.col(c).alias(f"l_{c}") for c in left.columns if c not in (by, "signature", "mean_intensity")],
-        F.explode(_blocking_keys(F.col("signature"), max_distance)).alias("key"), slot.alias("slot"))
+        F.explode(_blocking_keys(F.col("signature"), max_distance)).alias("key"), F.sequence(slot - 1, slot + 1).alias("slots")).withColumn(
+        "slot", F.explode("slots")).drop("slots")
     r = right.select(
         F.col(by).alias("r_by"), F.col("signature").alias("r_signature"), F.col("mean_intensity").alias("r_mean"),
         *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in (by, "signature", "mean_intensity")],
-        F.explode(_blocking_keys(F.col("signature"), max_distance)).alias("r_key"),
-        F.explode(F.sequence(slot - 1, slot + 1)).alias("r_slot"))
+        F.explode(_blocking_keys(F.col("signature"), max_distance)).alias("r_key"), slot.alias("r_slot"))
     pairs = l.join(r, (l.l_by == r.r_by) & (l.key == r.r_key) & (l.slot == r.r_slot)).filter(
         (hamming(F.col("l_signature"), F.col("r_signature")) <= max_distance)
         & (F.abs(F.col("l_mean") - F.col("r_mean")) <= max_mean_diff))
@@ -204,9 +205,9 @@ def near_pairs(frames: DataFrame, by="capture_id", order="frame_index", max_dist
 NEAR_BLOCK = 1024
 
 
-def near_blocks(classes: DataFrame, by: str, max_distance=3, max_mean_diff=4.0, block=NEAR_BLOCK) -> DataFrame:
+def near_blocks(classes: DataFrame, by: str, max_distance=3, max_mean_diff=4.0, block=NEAR_BLOCK, extra=()) -> DataFrame:
     """Classes beside all they may be near to, in groups (``_group``, ``_i``, ``_j``) of at most
-    about two blocks.
+    about two blocks; ``extra`` columns come along.
 
     A class goes to its own slot of every blocking key and, as ``_upper``, to the slot below.
     A key and slot of many classes is dealt into blocks by a hash of the class, and every pair
@@ -215,7 +216,7 @@ def near_blocks(classes: DataFrame, by: str, max_distance=3, max_mean_diff=4.0,
     slot = F.floor(F.col("mean_intensity") / max(max_mean_diff, 1e-9)).cast("long")
     keyed = classes.withColumn("_k", F.explode(_blocking_keys(F.col("signature"), max_distance))).withColumn(
         "_at", F.explode(F.array(F.struct(slot.alias("slot"), F.lit(False).alias("upper")), F.struct((slot - 1).alias("slot"), F.lit(True).alias("upper")))))
-    placed = keyed.select(by, "signature", "mean_intensity", "node", F.xxhash64(by, "_k", "_at.slot").alias("_group"), F.col("_at.upper").alias("_upper"))
+    placed = keyed.select(by, "signature", "mean_intensity", "node", *extra, F.xxhash64(by, "_k", "_at.slot").alias("_group"), F.col("_at.upper").alias("_upper"))
     sizes = placed.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(~F.col("_upper"), 1)).alias("_own"))
     # Alone, or with classes of the next slot only: those meet in their own slot.
     sizes = sizes.filter("_n > 1 and _own > 0").select("_group", F.ceil(F.col("_n") / block).cast("int").alias("_b"))
@@ -224,6 +225,21 @@ def near_blocks(classes: DataFrame, by: str, max_distance=3, max_mean_diff=4.0,
     return dealt.withColumn("_i", F.least("_mine", "_other")).withColumn("_j", F.greatest("_mine", "_other")).drop("_b", "_other")
 
 
+def _whole_groups(batches):
+    """(rows, borders of their groups) of one partition sorted by group, a group never in two pieces."""
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        keys = pdf[["_group", "_i", "_j"]].to_numpy()
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        whole = cuts[-1] if len(cuts) else 0
+        rest = pdf.iloc[whole:].reset_index(drop=True)
+        if whole:
+            yield pdf, np.append(0, cuts)
+    if rest is not None and len(rest):
+        yield rest, np.array([0, len(rest)])
+
+
 def _forest(max_distance, max_mean_diff):
     """Links of the classes of one sorted partition, as (place, smallest place it reaches) inside each group."""
 
@@ -241,16 +257,8 @@ def _forest(max_distance, max_mean_diff):
             label = least
 
     def run(batches):
-        rest = None
-        for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            cuts = np.flatnonzero((pdf[["_group", "_i", "_j"]].to_numpy()[1:] != pdf[["_group", "_i", "_j"]].to_numpy()[:-1]).any(axis=1)) + 1
-            whole = cuts[-1] if len(cuts) else 0
-            rest = pdf.iloc[whole:].reset_index(drop=True)
-            if whole:
-                yield linked(pdf, np.append(0, cuts))
-        if rest is not None and len(rest):
-            yield linked(rest, np.array([0, len(rest)]))
+        for pdf, borders in _whole_groups(batches):
+            yield linked(pdf, borders)
 
     def linked(pdf, borders):
         sig, mean, upper, who = (pdf[c].to_numpy() for c in ("signature", "mean_intensity", "_upper", "_who"))
@@ -289,6 +297,102 @@ def near_clusters(frames: DataFrame, by="capture_id", order="frame_index", max_d
     return out.join(least, "root").select(by, "first", "n", "cluster")
 
 
+#: States of a class while ``first_kept`` looks for the classes that are kept.
+UNDECIDED, KEPT = 1, 2
+
+#: Groups of at most so many classes are compared all at once, along diagonals.
+SMALL_GROUP = 64
+
+
+def _marks(max_distance, max_mean_diff):
+    """(node, mark) of the classes of one sorted partition that are near another one.
+
+    The mark is the highest state among the near classes that come earlier, 0 when all come later.
+    """
+
+    def compare(pdf, borders):
+        sig, mean, upper, who, first, state = (pdf[c].to_numpy() for c in ("signature", "mean_intensity", "_upper", "_who", "first", "state"))
+        mark = np.full(len(pdf), -1, dtype="int32")
+
+        def meet(x, y):
+            near = (np.bitwise_count((sig[x] ^ sig[y]).view("uint64")) <= max_distance) & (np.abs(mean[x] - mean[y]) <= max_mean_diff)
+            near &= ~(upper[x] & upper[y]) & (who[x] == who[y]) & (first[x] != first[y])
+            x, y = x[near], y[near]
+            early, late = np.where(first[x] < first[y], x, y), np.where(first[x] < first[y], y, x)
+            np.maximum.at(mark, early, 0)
+            np.maximum.at(mark, late, state[early])
+
+        sizes = np.diff(borders)
+        small = sizes <= SMALL_GROUP
+        at = np.concatenate([np.arange(0), *(np.arange(lo, hi) for lo, hi in zip(borders[:-1][small], borders[1:][small]))])
+        end = np.repeat(borders[1:][small], sizes[small])
+        for step in range(1, SMALL_GROUP):
+            inside = at + step < end
+            at, end = at[inside], end[inside]
+            if not len(at):
+                break
+            meet(at, at + step)
+        for lo, hi in zip(borders[:-1][~small], borders[1:][~small]):
+            for x in range(lo, hi - 1):
+                y = np.arange(x + 1, hi)
+                meet(np.full(len(y), x), y)
+        found = mark >= 0
+        return pd.DataFrame({"node": pdf["node"].to_numpy()[found], "mark": mark[found]})
+
+    def run(batches):
+        for pdf, borders in _whole_groups(batches):
+            if len(pdf) > 1:
+                yield compare(pdf, borders)
+
+    return run
+
+
+def _marked(classes, by, max_distance, max_mean_diff):
+    """(node, mark) of the classes that are near another one of the table; no pair leaves a task."""
+    blocks = near_blocks(classes, by, max_distance, max_mean_diff, extra=("first", "state"))
+    dealt = blocks.select("_group", "_i", "_j", "signature", "mean_intensity", "_upper", "node", "first", "state", F.xxhash64(by).alias("_who")).repartition(
+        shuffle_partitions(classes.sparkSession), "_group", "_i", "_j").sortWithinPartitions("_group", "_i", "_j")
+    return cut(dealt.mapInPandas(_marks(max_distance, max_mean_diff), "node bigint, mark int").groupBy("node").agg(F.max("mark").alias("mark")))
+
+
+def first_kept(frames: DataFrame, by, order, max_distance, max_mean_diff, chunk, trace=None) -> DataFrame:
+    """(``by``, signature, mean_intensity, first, kept) of all classes, as the one-pass scan decides.
+
+    Copies follow the first frame of their class, so only classes are decided. A class near
+    no earlier one is kept, one near an earlier kept one is a duplicate; what is near an
+    undecided one waits for the next round. After the first round only classes near another
+    one take part. A drifting capture, where few are decided in a round, is left to the scan
+    of chunks.
+    """
+    near = (by, max_distance, max_mean_diff)
+    classes = cut(frames.filter(F.col(by).isNotNull()).groupBy(by, "signature", "mean_intensity").agg(F.min(order).alias("first")).withColumn(
+        "node", F.monotonically_increasing_id()))
+    marks = _marked(classes.withColumn("state", F.lit(UNDECIDED)), *near)
+    rest = cut(classes.join(marks, "node").withColumn("state", F.when(F.col("mark") == 0, KEPT).otherwise(UNDECIDED)).drop("mark"))
+    dropped, before = [], None
+    while left := rest.filter(F.col("state") == UNDECIDED).count():
+        if trace is not None:
+            trace.append((left, rest.count()))
+        if before is not None and left * 2 > before:
+            scanned = _scan_chunks(rest.select(by, F.col("first").alias("_first"), "signature", "mean_intensity", "node"), by, "_first", max_distance=max_distance, max_mean_diff=max_mean_diff, chunk=chunk, trace=trace)
+            dropped.append(scanned.filter("status = 'duplicate'").select("node"))
+            break
+        before = left
+        marks = _marked(rest, *near).withColumnRenamed("mark", "_mark")
+        told = rest.join(marks, "node", "left").withColumn("_mark", F.when(F.col("state") == UNDECIDED, F.coalesce("_mark", F.lit(0))).otherwise(0))
+        told = cut(told.withColumn("state", F.when(F.col("_mark") == UNDECIDED, UNDECIDED).otherwise(KEPT)))
+        dropped.append(told.filter(F.col("_mark") == KEPT).select("node"))
+        rest = told.filter(F.col("_mark") < KEPT).drop("_mark")
+    if not dropped:
+        return classes.drop("node").withColumn("kept", F.lit(True))
+    out = functools.reduce(DataFrame.unionByName, dropped).withColumn("_out", F.lit(True))
+    return classes.join(out, "node", "left").select(by, "signature", "mean_intensity", "first", F.col("_out").isNull().alias("kept"))
+
+
+#: Up to so many chunks are scanned at once; more are first decided class by class.
+FEW_CHUNKS = 24
+
+
 def _greedy(threshold, deduplicate, update_on_duplicate, max_distance, max_mean_diff, schema):
     """Ordered scan of one bounded chunk, given what earlier chunks left behind.
 
@@ -331,10 +435,35 @@ def _greedy(threshold, deduplicate, update_on_duplicate, max_distance, max_mean_
 
 def select_frames(
     frames: DataFrame, by="capture_id", order="frame_index", threshold=None, deduplicate=True,
-    update_on_duplicate=False, max_distance=3, max_mean_diff=4.0, chunk=CHUNK, trace=None,
+    update_on_duplicate=False, max_distance=3, max_mean_diff=4.0, chunk=CHUNK, trace=None, few_chunks=FEW_CHUNKS,
 ) -> DataFrame:
     """The frames an ordered one-pass scan would keep, found in parallel.
 
+    Without a scene threshold, more than ``few_chunks`` chunks are decided class by class
+    (``first_kept``), in a number of rounds that does not grow with the chunks; else chunks
+    are scanned (``_scan_chunks``). Both give the sequential answer.
+
+    Needs ``signature`` (bigint) and ``mean_intensity`` to de-duplicate and ``thumb``
+    for a scene threshold; ``order`` must be a unique integer per capture.
+    Adds ``status``: kept / duplicate / same_scene. A list given as ``trace`` receives
+    (open rows, scanned rows) of every round.
+    """
+    if not deduplicate and threshold is None:
+        return frames.withColumn("status", F.lit("kept"))
+    scan = functools.partial(_scan_chunks, frames, by, order, threshold, deduplicate, update_on_duplicate, max_distance, max_mean_diff, chunk, trace)
+    if threshold is not None or frames.select(by, F.floor(F.col(order) / chunk)).distinct().limit(few_chunks + 1).count() <= few_chunks:
+        return scan()
+    classes = first_kept(frames, by, order, max_distance, max_mean_diff, chunk, trace)
+    status = F.when(F.col("kept") & (F.col("first") == F.col(order)), "kept").otherwise("duplicate")
+    return frames.join(classes, [by, "signature", "mean_intensity"]).select(*frames.columns, status.alias("status"))
+
+
+def _scan_chunks(
+    frames: DataFrame, by="capture_id", order="frame_index", threshold=None, deduplicate=True,
+    update_on_duplicate=False, max_distance=3, max_mean_diff=4.0, chunk=CHUNK, trace=None,
+) -> DataFrame:
+    """``select_frames`` by scans of chunks.
+
     Whether a frame is kept depends on the frames kept before it, so a hot capture
     would be one long sequential task. Instead every chunk of ``chunk`` source positions
     is scanned as a function of its incoming state: the reference picture and which of its
@@ -343,14 +472,7 @@ def select_frames(
     settled, and so is that one once it ran: their decisions are laid aside, what they kept
     is marked on the open rows for good, and no later round reads them. Each round settles
     at least one chunk of every open capture, so it ends, with the sequential answer.
-
-    Needs ``signature`` (bigint) and ``mean_intensity`` to de-duplicate and ``thumb``
-    for a scene threshold; ``order`` must be a unique integer per capture.
-    Adds ``status``: kept / duplicate / same_scene. A list given as ``trace`` receives
-    (open rows, scanned rows) of every round.
     """
-    if not deduplicate and threshold is None:
-        return frames.withColumn("status", F.lit("kept"))
     scenes = threshold is not None
     parts, near = shuffle_partitions(frames.sparkSession), (by, max_distance, max_mean_diff)
     rows = cut(frames.select(

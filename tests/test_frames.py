@@ -289,6 +289,29 @@ def test_selection_settles_captures_apart(spark):
     assert S.select_frames(same.filter("frame_index < 0")).count() == 0
 
 
+@pytest.mark.parametrize("drift", [False, True])
+def test_many_chunks_take_few_rounds(spark, drift):
+    """Scattered and mutually near frames are decided in a few rounds however many chunks there are; drift too is decided rightly."""
+    rng = random.Random(9)
+    base = [rng.getrandbits(63) for _ in range(60)]
+    rows, sig = [], base[0]
+    for pos in range(900):
+        sig = sig ^ (1 << rng.randrange(63)) if drift else base[rng.randrange(60)] ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(3)))
+        rows.append((pos, sig, 50.0 + rng.randrange(3), []))
+    df = spark.createDataFrame([("cap", *r[:3]) for r in rows], "capture_id string, frame_index bigint, signature bigint, mean_intensity double")
+    trace = []
+    got = {r.frame_index: r.status for r in S.select_frames(df, chunk=100 if drift else 10, trace=trace, few_chunks=4).collect()}
+    assert got == brute_select(rows, None, True)
+    assert drift or len(trace) <= 8
+
+
+def test_large_group_of_near_frames_is_marked_once(spark):
+    """Frames that are all near each other give one mark a frame, in groups beyond the small ones too."""
+    df = spark.range(400).selectExpr("'cap' capture_id", "id frame_index", "shiftleft(1L, cast(id % 40 as int)) signature", "cast(id % 3 as double) mean_intensity")
+    out = S.select_frames(df, chunk=10, few_chunks=0)
+    assert [r.frame_index for r in out.filter("status = 'kept'").collect()] == [0] and out.count() == 400
+
+
 def test_copies_do_not_multiply_out(spark):
     copies = spark.range(5000).select(F.lit("cap").alias("capture_id"), F.col("id").alias("frame_index"), F.lit(7).cast("bigint").alias("signature"), F.lit(9.0).alias("mean_intensity"))
     assert S.near_pairs(copies).count() == 0
