@@ -1,5 +1,6 @@
 """Ordered frame ingest as Structured Streaming (ST1-ST3)."""
 
+import math
 from contextlib import contextmanager
 
 import numpy as np
@@ -7,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import (
-    ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType,
+    ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType,
 )
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -28,11 +29,39 @@ def rocksdb_state(spark):
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
+class _Kept:
+    """Kept signatures and means, by slot of means: a frame can only be near one in its own slot or those beside."""
+
+    def __init__(self, max_distance, max_mean_diff):
+        self.distance, self.diff, self.width = max_distance, max_mean_diff, max(max_mean_diff, 1e-9)
+        self.slots, self.n = {}, 0
+
+    def near(self, sig, mean):
+        at = math.floor(mean / self.width)
+        for slot in (at - 1, at, at + 1):
+            if slot in self.slots:
+                sigs, means, n = self.slots[slot]
+                close = np.bitwise_count((sigs[:n] ^ sig).view("uint64")) <= self.distance
+                if (close & (np.abs(means[:n] - mean) <= self.diff)).any():
+                    return True
+        return False
+
+    def add(self, sig, mean):
+        slot = math.floor(mean / self.width)
+        sigs, means, n = self.slots.get(slot) or (np.empty(4, "int64"), np.empty(4), 0)
+        if n == len(sigs):
+            sigs, means = np.resize(sigs, 2 * n), np.resize(means, 2 * n)
+        sigs[n], means[n] = sig, mean
+        self.slots[slot] = (sigs, means, n + 1)
+        self.n += 1
+
+
 class _Deduplicate(StatefulProcessor):
     """ST1: keep a frame unless a frame kept before is within both limits.
 
     State per capture is the kept signatures and means, at most ``max_frames`` of them;
-    once the cap is reached no frame is looked at any more.
+    once the cap is reached no frame is looked at any more. A micro-batch reads them once
+    and appends what it keeps as one entry a batch of rows.
     """
 
     def __init__(self, order, max_frames, max_distance, max_mean_diff):
@@ -40,28 +69,31 @@ class _Deduplicate(StatefulProcessor):
         self.distance, self.diff = max_distance, max_mean_diff
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("kept", StructType([
-            StructField("signatures", ArrayType(LongType())), StructField("means", ArrayType(DoubleType()))]))
+        self.kept = handle.getListState("kept", StructType([
+            StructField("signatures", BinaryType()), StructField("means", BinaryType())]))
 
     def handleInputRows(self, key, rows, timerValues):
-        state = self.kept.get() if self.kept.exists() else ([], [])
-        sigs, means = list(state[0]), list(state[1])
+        kept = _Kept(self.distance, self.diff)
+        for sigs, means in self.kept.get():
+            for sig, mean in zip(np.frombuffer(sigs, "int64"), np.frombuffer(means, "float64")):
+                kept.add(sig, mean)
         # Arrow batches come one after the other; nothing is gathered per capture.
         for batch in rows:
             batch = batch.sort_values(self.order)
-            out = []
-            for pos, sig, mean in zip(batch[self.order], batch["signature"], batch["mean_intensity"]):
-                if self.cap is not None and len(sigs) >= self.cap:
+            out, new = [], []
+            for pos, sig, mean in zip(*(batch[c].to_numpy() for c in (self.order, "signature", "mean_intensity"))):
+                if self.cap is not None and kept.n >= self.cap:
                     break
-                bits = np.bitwise_count((np.array(sigs, dtype="int64") ^ np.int64(sig)).view("uint64"))
-                near = (bits <= self.distance) & (np.abs(np.array(means, dtype="float64") - mean) <= self.diff)
-                if not near.any():
-                    sigs.append(int(sig))
-                    means.append(float(mean))
-                out.append((key[0], int(pos), "duplicate" if near.any() else "kept"))
+                near = kept.near(sig, mean)
+                if not near:
+                    kept.add(sig, mean)
+                    new.append((sig, mean))
+                out.append((key[0], int(pos), "duplicate" if near else "kept"))
+            if new:
+                sigs, means = zip(*new)
+                self.kept.appendValue((np.array(sigs, "int64").tobytes(), np.array(means, "float64").tobytes()))
             if out:
                 yield pd.DataFrame(out, columns=["capture_id", self.order, "status"])
-        self.kept.update((sigs, means))
 
     def close(self) -> None:
         pass
@@ -81,7 +113,9 @@ class _SceneChange(StatefulProcessor):
     """ST2: frames wait until the watermark has passed them, then are judged in order.
 
     State per capture: the last kept thumbnail, the time up to which frames were judged
-    and the frames still waiting, which the watermark delay bounds.
+    and the frames still waiting, which the watermark delay bounds. These wait as one entry
+    a batch of rows, and one timer stands for them, at the first of their times: a row of
+    its own for each would make appending and expiring read them all again and again.
     """
 
     def __init__(self, order, threshold):
@@ -92,18 +126,31 @@ class _SceneChange(StatefulProcessor):
         self.last = handle.getValueState("last", StructType([
             StructField("thumb", ArrayType(IntegerType())), StructField("upto", LongType())]))
         self.waiting = handle.getListState("waiting", StructType([
-            StructField("ms", LongType()), StructField("pos", LongType()), StructField("thumb", ArrayType(IntegerType()))]))
+            StructField("ms", BinaryType()), StructField("pos", BinaryType()), StructField("size", BinaryType()), StructField("cells", BinaryType())]))
+
+    @staticmethod
+    def _packed(ms, pos, thumbs):
+        size = [len(t) for t in thumbs]
+        return tuple(np.asarray(x, t).tobytes() for x, t in ((ms, "int64"), (pos, "int64"), (size, "int32"), (np.concatenate(thumbs), "int32")))
+
+    @staticmethod
+    def _unpacked(entry):
+        ms, pos, size, cells = (np.frombuffer(x, t) for x, t in zip(entry, ("int64", "int64", "int32", "int32")))
+        return ms, pos, np.split(cells, np.cumsum(size)[:-1])
 
     def handleInputRows(self, key, rows, timerValues):
         upto = self.last.get()[1] if self.last.exists() else -1
-        late = []
+        late, first = [], None
         for batch in rows:
-            for ms, pos, thumb in zip(batch["ms"], batch[self.order], batch["thumb"]):
-                if ms <= upto:
-                    late.append((key[0], int(pos), "late"))
-                    continue
-                self.waiting.appendValue((int(ms), int(pos), [int(v) for v in thumb]))
-                self.handle.registerTimer(int(ms))
+            ms, pos = batch["ms"].to_numpy(), batch[self.order].to_numpy()
+            late += [(key[0], int(p), "late") for p in pos[ms <= upto]]
+            new = np.flatnonzero(ms > upto)
+            if len(new):
+                thumbs = batch["thumb"].to_numpy()
+                self.waiting.appendValue(self._packed(ms[new], pos[new], [np.asarray(thumbs[i], "int32") for i in new]))
+                first = int(ms[new].min()) if first is None else min(first, int(ms[new].min()))
+        if first is not None:
+            self.handle.registerTimer(first)
         if late:
             yield pd.DataFrame(late, columns=["capture_id", self.order, "status"])
 
@@ -114,16 +161,21 @@ class _SceneChange(StatefulProcessor):
             return
         scene = None if scene is None else np.asarray(scene)
         rest, due = [], []
-        for row in self.waiting.get():
-            (due if row[0] <= limit else rest).append(row)
+        for entry in self.waiting.get():
+            ms, pos, thumbs = self._unpacked(entry)
+            due += [(int(ms[i]), int(pos[i]), thumbs[i]) for i in np.flatnonzero(ms <= limit)]
+            later = np.flatnonzero(ms > limit)
+            if len(later):
+                rest.append((ms[later], pos[later], [thumbs[i] for i in later]))
         out = []
-        for ms, pos, thumb in sorted(due, key=lambda r: (r[0], r[1])):
-            now = np.asarray(thumb)
+        for ms, pos, now in sorted(due, key=lambda r: r[:2]):
             kept = scene is None or np.abs(scene - now).mean() / 255.0 >= self.threshold
             if kept:
                 scene = now
-            out.append((key[0], int(pos), "kept" if kept else "same_scene"))
-        self.waiting.put([tuple(r) for r in rest]) if rest else self.waiting.clear()
+            out.append((key[0], pos, "kept" if kept else "same_scene"))
+        self.waiting.put([self._packed(*r) for r in rest]) if rest else self.waiting.clear()
+        if rest:
+            self.handle.registerTimer(min(int(r[0].min()) for r in rest))
         self.last.update(([] if scene is None else [int(v) for v in scene], int(limit)))
         if out:
             yield pd.DataFrame(out, columns=["capture_id", self.order, "status"])
