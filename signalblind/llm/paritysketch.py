@@ -312,9 +312,9 @@ def shared_shingles(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near(a, b, na, nb, num, den):
-    """Pairs of short sketches that the Hamming distance and the sizes don't rule out."""
+    """Pairs of short sketches that the Hamming distance and the sizes don't rule out, and the distance."""
     apart = np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
-    return (apart * (num + den) <= (den - num) * (na + nb)) & (den * np.minimum(na, nb) >= num * np.maximum(na, nb))
+    return (apart * (num + den) <= (den - num) * (na + nb)) & (den * np.minimum(na, nb) >= num * np.maximum(na, nb)), apart
 
 
 def folded(sketches, size):
@@ -351,15 +351,19 @@ def plausible(pairs: DataFrame, classes: DataFrame, num, den) -> DataFrame:
                 for pair in np.unique(sizes, axis=0):
                     at = np.flatnonzero((sizes == pair).all(axis=1))
                     for at in np.array_split(at, 1 + len(at) * int(pair.max()) // (1 << 24)):
-                        ok[at] = near(folded([ma[i] for i in at], pair.min()), folded([mb[i] for i in at], pair.min()), na[at], nb[at], num, den)
+                        ok[at] = near(folded([ma[i] for i in at], pair.min()), folded([mb[i] for i in at], pair.min()), na[at], nb[at], num, den)[0]
                 yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(ok))
 
     return both.mapInArrow(T.released(run), "a bigint, b bigint, na bigint, nb bigint")
 
 
-def unsettled(members: DataFrame, num, den) -> DataFrame:
+def unsettled(members: DataFrame, num, den, most=1 << 62) -> DataFrame:
     """Distinct plausible pairs (a, b) of a key's members that are in different components.
 
+    A member shows at most ``most`` of its partners in a unit, the nearest ones; a pair of
+    nulls tells that some showed not all. Members of a large group of near copies become one
+    component by a few of their pairs, so the others need never come out.
+
     ``members`` has key, c (members of the key), doc, rep, comp, n, mini. A key with many
     members is cut into blocks by a hash of the id, and each pair of blocks is a unit of
     its own, so no task holds more than two blocks of a key; pairs are compared as bits
@@ -380,29 +384,46 @@ def unsettled(members: DataFrame, num, den) -> DataFrame:
         for lo in range(0, len(left), step):
             x = left[lo : lo + step, None]
             y = right[None, :]
-            ok = near(mini[x], mini[y], n[x], n[y], num, den) & (comp[x] != comp[y])
+            ok, apart = near(mini[x], mini[y], n[x], n[y], num, den)
+            ok &= comp[x] != comp[y]
             if i == j:
                 ok &= doc[x] < doc[y]
             a, b = np.nonzero(ok)
+            many = np.bincount(a, minlength=len(x)) > most
+            if many.any():
+                order = np.lexsort((b, apart[a, b], a))
+                a, b = a[order], b[order]
+                place = np.arange(len(a)) - np.searchsorted(a, a)
+                a, b = a[place < most], b[place < most]
+                yield None
             yield np.column_stack([doc[x[a, 0]], doc[right[b]]])
 
     def run(batches):
-        held, found = None, []
+        held, found, more = None, [], False
+
+        def take(pairs):
+            nonlocal found, more
+            for p in pairs:
+                more |= p is None
+                found += [p] if p is not None else []
+
         for batch in batches:
             t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
             key, i, j = (held[c].to_numpy() for c in ("key", "i", "j"))
             cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
             for lo, hi in zip([0, *cuts[:-1]], cuts):
-                found += compare(held.slice(lo, hi - lo))
+                take(compare(held.slice(lo, hi - lo)))
             held = held.slice(int(cuts[-1])) if len(cuts) else held
             if sum(map(len, found)) > 100_000:
                 found = [np.unique(np.concatenate(found), axis=0)]
         if held is not None and held.num_rows:
-            found += compare(held)
+            take(compare(held))
         if found:
             p = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
+        if more:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], ["a", "b"])
 
     return units.mapInArrow(T.released(run), "a bigint, b bigint").distinct()
 
@@ -439,9 +460,18 @@ def linked(docs: DataFrame, num=90, den=100, words=3, carry=()) -> DataFrame:
     # members of a large group link with the same few representatives: one link each is enough
     label = components(forest(star)).select(F.col("node").alias("doc"), "component")
     members = cut(shared.join(label, "doc", "left").select("key", "c", "doc", "rep", F.coalesce("component", "doc").alias("comp")))
-    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    rest = verified(unsettled(members.join(mixed, "key", "left_semi").join(size_of, "doc"), num, den))
-    label = components(label.select(F.col("doc").alias("a"), F.col("component").alias("b")).unionAll(rest)).select(F.col("node").alias("name"), "component")
+    most = 1
+    while True:
+        # the nearest partners first: what they connect asks for no more; the last round shows all that is left
+        mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+        pairs = cut(unsettled(members.join(mixed, "key", "left_semi").join(size_of, "doc"), num, den, most))
+        rest = verified(pairs.filter("a is not null"))
+        label = components(label.select(F.col("doc").alias("a"), F.col("component").alias("b")).unionAll(rest)).select(F.col("node").alias("doc"), "component")
+        if pairs.filter("a is null").isEmpty():
+            break
+        most *= 8
+        members = cut(members.join(label, "doc", "left").select("key", "c", "doc", "rep", F.coalesce("component", "comp").alias("comp")))
+    label = label.withColumnRenamed("doc", "name")
     found = cut(classes.select("n", "h1", "h2", "doc", "name").join(label, "name", "left").withColumn("component", F.coalesce("component", "name")))
     least = found.groupBy("component").agg(F.min("doc").alias("component_id"))
     of_set = found.select("n", "h1", "h2", "component").join(least, "component")

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import random
 import re
 
 import pytest
@@ -341,6 +342,27 @@ def test_similarity_join_of_repeated_ids(spark):
     assert len({x[2] for x in out}) == 2
 
 
+def test_near_copies_show_their_nearest_partners_first(spark):
+    """Many sets near one another, none linked with the smallest, must not come out as all their pairs."""
+    import numpy as np
+
+    rng = random.Random(5)
+    base = rng.sample(range(1 << 40), 200)
+    sets = [base[:-12] + rng.sample(range(1 << 40), 12) for _ in range(120)]
+    minis = [paritysketch.short_sketch(paritysketch.T.mix(np.array(x, np.uint64))) for x in sets]
+    members = spark.createDataFrame([(7, 120, d, -1, d, 200, bytearray(m)) for d, m in enumerate(minis)], "key long, c long, doc long, rep long, comp long, n long, mini binary")
+    every = {tuple(r) for r in paritysketch.unsettled(members, 80, 100).collect()}
+    few = {tuple(r) for r in paritysketch.unsettled(members, 80, 100, 1).collect()}
+    assert len(every) > 2000 and (None, None) not in every
+    assert (None, None) in few and len(few) <= 121 and few - {(None, None)} <= every
+    seen, words = [], [f"w{i}" for i in range(200)]
+    for d in range(40):
+        at = rng.sample(range(200), 3)
+        seen.append((d, " ".join(f"x{d}y{i}" if i in at else w for i, w in enumerate(words))))
+    d = spark.createDataFrame(seen, "doc_id long, text string")
+    assert {tuple(r) for r in paritysketch.linked(d).collect()} == linked_by_force(seen)
+
+
 def test_blocks_of_a_hot_key(spark, monkeypatch):
     from fixtures import sentence
 
