@@ -469,7 +469,7 @@ def linked(docs: DataFrame, num=90, den=100, words=3, carry=()) -> DataFrame:
         label = components(label.select(F.col("doc").alias("a"), F.col("component").alias("b")).unionAll(rest)).select(F.col("node").alias("doc"), "component")
         if pairs.filter("a is null").isEmpty():
             break
-        most *= 8
+        most *= 64
         members = cut(members.join(label, "doc", "left").select("key", "c", "doc", "rep", F.coalesce("component", "comp").alias("comp")))
     label = label.withColumnRenamed("doc", "name")
     found = cut(classes.select("n", "h1", "h2", "doc", "name").join(label, "name", "left").withColumn("component", F.coalesce("component", "name")))

@@ -4,8 +4,7 @@ A line's quote level is the number of ``>`` in front of it. A passage is a run o
 of one level; its words (lower case, blanks and line breaks alike) are hashed as shingles of
 five, a shorter passage as a whole. The original of a passage is an earlier message of the
 conversation that wrote at least 80 % of its shingles itself (short: wrote just that line):
-the one with most of them, of equals the latest. Looked at are, for every shingle, the
-latest earlier message and the first one that wrote it. So a passage may be wrapped anew, cut
+the one with most of them, of equals the latest. Every earlier message counts. So a passage may be wrapped anew, cut
 or changed a little, and a common line belongs to whoever wrote it last. A message replies to
 the original of its least nested passages, the one it quotes most; without a linked passage it
 continues the message before it. The first reply to a message continues its branch, others
@@ -17,7 +16,7 @@ import itertools
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalblind.operators.ordering import running_min, with_previous
@@ -78,13 +77,16 @@ def originals(known: DataFrame, words=5, share=80) -> DataFrame:
     """(conv_id, turn, level, lines, original) of every passage with an original.
 
     Only conversations with quotes are searched, and only shingles that are quoted are kept
-    of their messages. A shingle that many messages wrote is walked in blocks of turns, and
-    gives a passage two candidates at most.
+    of their messages. Passages of the same shingles are looked up once, and so are messages
+    that wrote the same ones. What holds ``share`` percent of a passage holds one of its
+    rarest shingles, as many as may be missing and one, so only these propose messages; none
+    is left out. The latest one before a passage is found in blocks of turns.
     """
     place = ["conv_id", "turn", "part"]
     asked = known.filter("size(passages) > 0").select("conv_id", "turn", F.posexplode("passages").alias("at", "p"))
-    asked = cut(asked.select("conv_id", "turn", F.xxhash64("at", "p").alias("part"), "p.*").dropDuplicates(place))
-    quoted = asked.select(*place, F.size("keys").alias("m"), F.explode("keys").alias("key"))
+    asked = asked.select("conv_id", "turn", F.xxhash64("at", "p").alias("part"), "p.*").dropDuplicates(place)
+    asked = cut(asked.withColumn("wanted", F.md5(F.col("keys").cast("string"))))
+    quoted = asked.dropDuplicates(["conv_id", "wanted"]).select("conv_id", "wanted", F.size("keys").alias("m"), F.explode("keys").alias("key"))
 
     def run(batches):
         for batch in batches:
@@ -93,18 +95,24 @@ def originals(known: DataFrame, words=5, share=80) -> DataFrame:
 
     searched = known.join(asked.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", "clean")
     own = searched.mapInArrow(run, "conv_id bigint, turn bigint, keys array<bigint>").select("conv_id", "turn", F.explode("keys").alias("key"))
-    own = cut(own.join(quoted.select("conv_id", "key").distinct(), ["conv_id", "key"], "left_semi").distinct())
+    own = own.join(quoted.select("conv_id", "key").distinct(), ["conv_id", "key"], "left_semi").distinct()
+    # a message holds few quoted shingles, and many messages the same ones
+    wrote = own.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    wrote = cut(wrote.withColumn("kind", F.md5(F.col("keys").cast("string"))))
+    kinds = wrote.dropDuplicates(["conv_id", "kind"]).select("conv_id", "kind", F.explode("keys").alias("key"))
+    ranked = quoted.join(kinds.groupBy("conv_id", "key").agg(F.count("*").alias("n")), ["conv_id", "key"], "left").withColumn(
+        "rank", F.row_number().over(Window.partitionBy("conv_id", "wanted").orderBy(F.coalesce("n", F.lit(0)), "key")))
+    rare = ranked.filter(F.col("rank") <= F.col("m") - F.floor((F.col("m") * share + 99) / 100) + 1)
+    candidates = rare.join(kinds, ["conv_id", "key"]).select("conv_id", "wanted", "kind").distinct()
+    hits = candidates.join(quoted, ["conv_id", "wanted"]).join(kinds, ["conv_id", "kind", "key"], "left_semi").groupBy("conv_id", "wanted", "m", "kind").agg(F.count("*").alias("hits"))
+    hits = cut(hits.filter(F.col("hits") * 100 >= F.col("m") * share).select("conv_id", "wanted", "kind", "hits"))
     # what a message writes itself comes after what it quotes
-    events = quoted.select(*place, "m", "key", F.lit(None).cast("bigint").alias("held")).unionByName(
-        own.select("conv_id", "turn", "key", (-F.col("turn")).alias("held")), allowMissingColumns=True)
-    seen = running_min(events, ["conv_id", "key"], [F.col("turn"), F.col("held").isNotNull()], F.floor(F.col("turn") / BUCKET), "held", "latest").filter("held is null")
-    first = own.groupBy("conv_id", "key").agg(F.min("turn").alias("first"))
-    both = F.array(-F.col("latest"), F.col("first"))
-    candidates = seen.join(first, ["conv_id", "key"]).select(*place, "m", F.explode(both).alias("original")).filter("original < turn").distinct()
-    holds = own.select("conv_id", "key", F.col("turn").alias("original"))
-    hits = quoted.drop("m").join(candidates, place).join(holds, ["conv_id", "key", "original"], "left_semi").groupBy(*place, "m", "original").agg(F.count("*").alias("hits"))
-    best = hits.filter(F.col("hits") * 100 >= F.col("m") * share).groupBy(*place).agg(F.max(F.struct("hits", "original"))["original"].alias("original"))
-    return asked.drop("keys").join(best, place).select("conv_id", "turn", "level", "lines", "original")
+    held = wrote.join(hits, ["conv_id", "kind"]).select("conv_id", "wanted", "hits", "turn", (-F.col("turn")).alias("held"))
+    asks = asked.select(*place, "wanted").join(hits.select("conv_id", "wanted", "hits").distinct(), ["conv_id", "wanted"])
+    events = asks.withColumn("held", F.lit(None).cast("bigint")).unionByName(held, allowMissingColumns=True)
+    seen = running_min(events, ["conv_id", "wanted", "hits"], [F.col("turn"), F.col("held").isNotNull()], F.floor(F.col("turn") / BUCKET), "held", "latest")
+    best = seen.filter("held is null and latest is not null").groupBy(*place).agg(F.max(F.struct("hits", (-F.col("latest")).alias("original")))["original"].alias("original"))
+    return asked.drop("keys", "wanted").join(best, place).select("conv_id", "turn", "level", "lines", "original")
 
 
 def chained(links: DataFrame, turns: DataFrame) -> DataFrame:

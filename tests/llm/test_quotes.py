@@ -111,3 +111,12 @@ def test_repeated_messages_and_a_hot_line(spark):
     rows = [(1, t, "user", "> ok then\nok then") for t in range(200)] + [(1, 7, "user", "> ok then\nok then")]
     out = quotes.conversations(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(out) == 201 and all(r.reply_to == (r.turn - 1 if r.turn else None) and r.n_linked == (1 if r.turn else 0) for r in out)
+
+
+def test_original_between_messages_that_wrote_its_parts(spark):
+    """The whole original counts although others wrote each of its shingles before and after it."""
+    words = [f"w{i}" for i in range(20)]
+    one, two = " ".join(words[:12]), " ".join(words[8:])
+    texts = [one, two, " ".join(words), one, two, "> " + " ".join(words) + "\nYes."]
+    out = quotes.conversations(spark.createDataFrame([(1, t, "user", x) for t, x in enumerate(texts)], SCHEMA)).collect()
+    assert {r.turn: (r.reply_to, r.n_linked) for r in out}[5] == (2, 1)
