@@ -4,16 +4,18 @@
    and two loose kinds (``secret``: long runs of key characters; ``number``: long digit
    runs), which may overlap the others.
 2. *Boosted trees* score the loose candidates from their format and the text before them.
-   They are fitted on a bounded sample of candidates of all kinds: what passes its check, or
-   is introduced by a key word, counts as personal, all else as not.
+   They are fitted on all candidates of all kinds, as distinct feature vectors with their
+   numbers: what passes its check, or is introduced by a key word, counts as personal, all
+   else as not. Counts of characters are features in steps, so vectors stay few.
 3. *A calibrated threshold*, the lowest that reaches the wanted precision on candidates kept
    apart, selects the spans that are added to the base ones.
 
 A text is searched inside its row, by built-in functions only: the pieces between matches
 and the matches give all offsets, and the fitted trees become CASE expressions. Nothing is
-shuffled but the sample.
+shuffled but the feature vectors.
 """
 
+import math
 import re
 
 from pyspark.ml.classification import GBTClassifier
@@ -36,12 +38,23 @@ PATTERNS = {
 BASE = ("email", "ip", "card", "phone")
 LOOSE = ("secret", "number")
 SPAN = "array<struct<start:int,end:int,hit:string,before:string>>"
+
+
+def _step(n):
+    """A count as it is up to 20, beyond that in quarters of a doubling."""
+    return F.when(n <= 20, n).otherwise(20 + F.floor(4 * F.log2(n / 20.0)).cast("int"))
+
+
+def _among(h, letters):
+    return _step(F.length(h) - F.length(F.translate(h, letters, "")))
+
+
 FEATURES = {
-    "size": lambda h, b: F.length(h),
-    "digits": lambda h, b: F.length(h) - F.length(F.translate(h, "0123456789", "")),
-    "hex_letters": lambda h, b: F.length(h) - F.length(F.translate(h, "abcdef", "")),
-    "capitals": lambda h, b: F.length(h) - F.length(F.translate(h, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")),
-    "marks": lambda h, b: F.length(h) - F.length(F.translate(h, " .-()_/+=@", "")),
+    "size": lambda h, b: _step(F.length(h)),
+    "digits": lambda h, b: _among(h, "0123456789"),
+    "hex_letters": lambda h, b: _among(h, "abcdef"),
+    "capitals": lambda h, b: _among(h, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    "marks": lambda h, b: _among(h, " .-()_/+=@"),
     "luhn": lambda h, b: _luhn(h).cast("int"),
     "octets": lambda h, b: _octets(h).cast("int"),
     "after_key": lambda h, b: b.rlike(KEY).cast("int"),
@@ -147,28 +160,30 @@ class Trees:
         return node()
 
 
-def fit(found: DataFrame, rows, per_fit=20_000, precision=0.98, trees=10, depth=3):
-    """Fit on about ``per_fit`` candidates; None when there is nothing to tell apart.
+def fit(found: DataFrame, precision=0.98, trees=10, depth=3):
+    """Fit on all candidates; None when there is nothing to tell apart.
 
-    ``found`` has the arrays of ``candidates``, ``rows`` is the number of candidates. A
-    quarter of the sample is kept apart for the threshold.
+    ``found`` has the arrays of ``candidates``. A quarter of the candidates is kept apart for
+    the threshold. Equal feature vectors are one row with their number as its weight.
     """
     all_spans = F.flatten(F.array(*(F.transform(k, _as(k, "hit", "before")) for k in PATTERNS)))
     flat = found.select(F.inline(all_spans))
-    u = F.pmod(F.xxhash64(F.lit("sample"), "hit", "before"), F.lit(1 << 30)) / float(1 << 30)
-    flat = flat.withColumn("u", u).filter(F.col("u") < min(1.0, per_fit / max(1, rows)))
     named = {f: make(F.col("hit"), F.col("before")).cast("double") for f, make in FEATURES.items()}
     personal = F.col("kind").isin(*BASE) | ((F.col("kind") == "secret") & F.col("before").rlike(KEY)) | ((F.col("kind") == "number") & _luhn(F.col("hit")))
-    sample = flat.select(F.xxhash64(F.lit("part"), "hit", "before").alias("part"), personal.cast("double").alias("label"), *(c.alias(n) for n, c in named.items()))
-    sample = cut(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample).repartition(1).sortWithinPartitions("part", *FEATURES))
-    apart = F.pmod(F.col("part"), F.lit(4)) == 0
-    classes = {r["label"]: r["count"] for r in sample.filter(~apart).groupBy("label").count().collect()}
+    part = F.pmod(F.xxhash64(F.lit("part"), "hit", "before"), F.lit(4)) == 0
+    rows = flat.select(part.alias("apart"), personal.cast("double").alias("label"), *(c.alias(n) for n, c in named.items()))
+    rows = rows.groupBy("apart", "label", *FEATURES).agg(F.count("*").cast("double").alias("n"))
+    rows = cut(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).repartition(1).sortWithinPartitions("apart", "label", *FEATURES))
+    train, apart = rows.filter(~F.col("apart")), rows.filter("apart")
+    classes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     if len(classes) < 2:
         return None
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=1).fit(sample.filter(~apart))
+    # with so many bins Spark takes the limits of the splits from all rows
+    bins = max(32, math.isqrt(sum(classes.values())) + 1)
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=bins, stepSize=0.3, seed=1, weightCol="n").fit(train)
     fitted = Trees([t.toDebugString for t in model.trees], model.treeWeights, 1.0)
-    scored = sample.filter(apart).select("label", F.floor(fitted.score([F.col(f) for f in FEATURES]) * 50).cast("int").alias("bin"))
-    bins = sorted(((r["bin"], r["n"], r["good"]) for r in scored.groupBy("bin").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()), reverse=True)
+    scored = apart.select("label", "n", F.floor(fitted.score([F.col(f) for f in FEATURES]) * 50).cast("int").alias("bin"))
+    bins = sorted(((r["bin"], r["n"], r["good"]) for r in scored.groupBy("bin").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("good")).collect()), reverse=True)
     n = good = 0
     for b, k, g in bins:  # at most 51 bins
         n, good = n + k, good + g
@@ -188,8 +203,7 @@ def detect(docs: DataFrame, model="fit", keep=("doc_id",)) -> DataFrame:
     found = candidates(docs, keep)
     if model == "fit":
         found = cut(found)
-        size = sum((F.size(k) for k in PATTERNS), F.lit(0))
-        model = fit(found, found.agg(F.sum(size)).first()[0] or 0)
+        model = fit(found)
     base = F.flatten(F.array(*(F.transform(k, _as(k, "start", "end", base=True)) for k in BASE)))
     if model is None:
         return found.select(*keep, base.alias("spans"))

@@ -155,6 +155,28 @@ def test_personal_data(docs, empty):
     assert out[0] is None and out[16] == "Mail me: <EMAIL>, <PHONE> or <IP> and 10.0.0.256."
 
 
+def test_personal_data_is_fitted_on_every_candidate(spark, monkeypatch):
+    """The weights of the rows that reach the trees add up to all candidates, also beyond 20,000."""
+    seen = []
+
+    class Trees:
+        def __init__(self, weightCol=None, **_):
+            self.weight = weightCol
+
+        def fit(self, rows):
+            seen.append((rows.agg(F.sum(self.weight)).first()[0], rows.count()))
+            raise InterruptedError
+
+    monkeypatch.setattr(pii, "GBTClassifier", Trees)
+    text = F.format_string("u%d@b.c and 1234567%d", "id", "id")
+    found = pii.candidates(spark.range(30_000).select(F.col("id").alias("doc_id"), text.alias("text")))
+    with pytest.raises(InterruptedError):
+        pii.fit(found)
+    apart = F.pmod(F.xxhash64(F.lit("part"), "x.hit", "x.before"), F.lit(4)) == 0
+    every = found.select(F.explode(F.concat(*pii.PATTERNS)).alias("x"))
+    assert seen[0][0] == every.filter(~apart).count() > 20_000 and seen[0][1] < 1_000
+
+
 def test_quality_counts(docs, empty):
     expected = []
     for r in docs.collect():
