@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalblind.operators.ordering import running_min, with_previous
+from signalblind.operators.ordering import running_min
 from signalblind.session import cut
 
 MARKS = re.compile(r"^[ \t]*((?:>[ \t]?)*)")
@@ -83,7 +83,10 @@ def originals(known: DataFrame, words=5, share=80) -> DataFrame:
     is left out. The latest one before a passage is found in blocks of turns.
     """
     place = ["conv_id", "turn", "part"]
-    asked = known.filter("size(passages) > 0").select("conv_id", "turn", F.posexplode("passages").alias("at", "p"))
+    quoting = known.filter("size(passages) > 0")
+    if quoting.isEmpty():
+        return known.sparkSession.createDataFrame([], "conv_id bigint, turn bigint, level int, lines bigint, original bigint")
+    asked = quoting.select("conv_id", "turn", F.posexplode("passages").alias("at", "p"))
     asked = asked.select("conv_id", "turn", F.xxhash64("at", "p").alias("part"), "p.*").dropDuplicates(place)
     asked = cut(asked.withColumn("wanted", F.md5(F.col("keys").cast("string"))))
     quoted = asked.dropDuplicates(["conv_id", "wanted"]).select("conv_id", "wanted", F.size("keys").alias("m"), F.explode("keys").alias("key"))
@@ -112,13 +115,29 @@ def originals(known: DataFrame, words=5, share=80) -> DataFrame:
     events = asks.withColumn("held", F.lit(None).cast("bigint")).unionByName(held, allowMissingColumns=True)
     seen = running_min(events, ["conv_id", "wanted", "hits"], [F.col("turn"), F.col("held").isNotNull()], F.floor(F.col("turn") / BUCKET), "held", "latest")
     best = seen.filter("held is null and latest is not null").groupBy(*place).agg(F.max(F.struct("hits", (-F.col("latest")).alias("original")))["original"].alias("original"))
-    return asked.drop("keys", "wanted").join(best, place).select("conv_id", "turn", "level", "lines", "original")
+    return cut(asked.drop("keys", "wanted").join(best, place).select("conv_id", "turn", "level", "lines", "original"))
 
 
-def chained(links: DataFrame, turns: DataFrame) -> DataFrame:
-    """(conv_id, segment, up): the segment at the end of each segment's chain of ``parent`` turns."""
-    where = turns.select("conv_id", F.col("turn").alias("parent"), F.col("segment").alias("up"))
-    up = cut(links.join(where, ["conv_id", "parent"]).select("conv_id", "segment", "up"))
+def placed(known: DataFrame, chosen: DataFrame) -> DataFrame:
+    """conv_id, turn, parent, n_linked, prev_turn, segment, opening of every turn, in blocks of turns.
+
+    A segment runs from the first message or a linked one up to the next linked one. Blocks
+    are dealt once; one summary row a block tells the next ones what came before.
+    """
+    empty = {c: F.lit(None).cast("bigint") for c in ("parent", "n_linked")}
+    turns = known.select("conv_id", "turn").withColumns(empty).unionByName(chosen).groupBy("conv_id", "turn").agg(F.max("parent").alias("parent"), F.max("n_linked").alias("n_linked"))
+    blocks, start = ["conv_id", "block"], F.when(F.col("parent").isNotNull(), F.col("turn"))
+    turns = turns.withColumn("block", F.floor(F.col("turn") / BUCKET)).repartition(*blocks)
+    ends = turns.groupBy(*blocks).agg(F.min("turn").alias("first"), F.max("turn").alias("last"), F.max(start).alias("start"))
+    whole, within = Window.partitionBy("conv_id"), Window.partitionBy(*blocks).orderBy("turn")
+    before = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*blocks, F.min("first").over(whole).alias("opening"), F.max("last").over(before).alias("last"), F.max("start").over(before).alias("carried"))
+    turns = turns.withColumns({"prev": F.lag("turn").over(within), "start": F.max(start).over(within)}).join(ends, blocks)
+    return cut(turns.select("conv_id", "turn", "parent", "n_linked", F.coalesce("prev", "last").alias("prev_turn"), F.coalesce("start", "carried", "opening").alias("segment"), "opening"))
+
+
+def chained(up: DataFrame) -> DataFrame:
+    """(conv_id, segment, up): the segment at the end of each segment's chain of links ``up``."""
     while not up.isEmpty():
         further = up.select("conv_id", F.col("segment").alias("up"), F.col("up").alias("next"))
         new = cut(up.join(further, ["conv_id", "up"], "left").select("conv_id", "segment", F.coalesce("next", "up").alias("up"), F.col("next").isNotNull().alias("moved")))
@@ -128,22 +147,28 @@ def chained(links: DataFrame, turns: DataFrame) -> DataFrame:
     return up
 
 
-def branches(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, branch) from (conv_id, turn, reply_to, prev_turn).
+def continued(turns: DataFrame) -> DataFrame:
+    """(conv_id, segment, thread, branch) of the segments that linked messages start.
 
-    The first reply to a message continues its branch, any further one starts a branch
-    named by its own turn. Stretches of turns that continue each other are one segment, so
-    only segments are chained.
+    The first reply to a message continues its branch, any further one starts a branch named
+    by its own turn. A message without a link is the first reply to the one before it, so
+    branches start with segments, and only these are ordered and chained.
     """
-    heirs = turns.filter("reply_to is not null").groupBy("conv_id", "reply_to").agg(F.min("turn").alias("heir"))
-    turns = turns.select("conv_id", "turn", "reply_to", "prev_turn").join(heirs, ["conv_id", "reply_to"], "left")
-    heir = F.coalesce(F.col("heir") == F.col("turn"), F.lit(False))
-    follows = heir & F.coalesce(F.col("reply_to") == F.col("prev_turn"), F.lit(False))
-    turns = turns.withColumns({"leads": heir, "start": F.when(~follows, -F.col("turn"))})
-    turns = running_min(turns, ["conv_id"], [F.col("turn")], F.floor(F.col("turn") / BUCKET), "start", "latest")
-    turns = cut(turns.select("conv_id", "turn", "reply_to", (-F.col("latest")).alias("segment"), "leads"))
-    links = turns.filter("leads and turn = segment").select("conv_id", "segment", F.col("reply_to").alias("parent"))
-    return turns.join(chained(links, turns), ["conv_id", "segment"], "left").select("conv_id", "turn", F.coalesce("up", "segment").alias("branch"))
+    where = turns.select("conv_id", F.col("turn").alias("parent"), F.col("segment").alias("up"))
+    links = cut(turns.filter("parent is not null").select("conv_id", F.col("turn").alias("segment"), "parent", "prev_turn", "opening").join(where, ["conv_id", "parent"]))
+    # where the next message is not linked, that one is the first reply
+    last = links.select("conv_id", F.col("prev_turn").alias("parent"), F.lit(None).cast("bigint").alias("segment"), F.lit(True).alias("last"))
+    heirs = links.select("conv_id", "parent", "segment", F.lit(False).alias("last")).unionByName(last).groupBy("conv_id", "parent").agg(F.min("segment").alias("heir"), F.max("last").alias("last"))
+    starts = links.join(heirs, ["conv_id", "parent"]).withColumn("leads", F.col("last") & (F.col("heir") == F.col("segment"))).drop("heir", "last")
+    starts = starts.withColumn("start", F.when(~(F.col("leads") & (F.col("parent") == F.col("prev_turn"))), -F.col("segment")))
+    starts = running_min(starts, ["conv_id"], [F.col("segment")], F.floor(F.col("segment") / BUCKET), "start", "latest")
+    starts = cut(starts.select("conv_id", "segment", "up", "leads", "opening", F.coalesce(-F.col("latest"), "opening").alias("stretch")))
+    stretches = starts.select("conv_id", F.col("segment").alias("up"), F.col("stretch").alias("onto"))
+    onto = starts.filter("leads and segment = stretch").join(stretches, ["conv_id", "up"], "left").select("conv_id", "segment", F.coalesce("onto", "opening").alias("up"))
+    threads = chained(links.select("conv_id", "segment", "up")).select("conv_id", "segment", F.col("up").alias("thread"))
+    branch = chained(cut(onto)).select("conv_id", F.col("segment").alias("stretch"), F.col("up").alias("branch"))
+    out = starts.select("conv_id", "segment", "stretch").join(threads, ["conv_id", "segment"]).join(branch, ["conv_id", "stretch"], "left")
+    return out.select("conv_id", "segment", "thread", F.coalesce("branch", "stretch").alias("branch"))
 
 
 def conversations(messages: DataFrame, words=5, share=80) -> DataFrame:
@@ -163,18 +188,12 @@ def conversations(messages: DataFrame, words=5, share=80) -> DataFrame:
     per = originals(known, words, share).groupBy("conv_id", "turn", "level", "original").agg(F.sum("lines").alias("n"))
     chosen = per.groupBy("conv_id", "turn").agg(
         (-F.min(F.struct("level", (-F.col("n")).alias("n"), (-F.col("original")).alias("o")))["o"]).alias("parent"), F.sum("n").alias("n_linked"))
-    chosen = cut(chosen)
-    turns = known.select("conv_id", "turn").distinct().join(chosen, ["conv_id", "turn"], "left")
-    bucket = F.floor(F.col("turn") / BUCKET)
-    # a thread segment runs from one linked message to the next
-    turns = turns.withColumn("start", F.when(F.col("parent").isNotNull(), -F.col("turn")))
-    turns = with_previous(turns, ["conv_id"], [F.col("turn")], bucket, ["turn"])
-    turns = running_min(turns, ["conv_id"], [F.col("turn")], bucket, "start", "latest").withColumn("latest", -F.col("latest"))
-    opening = known.groupBy("conv_id").agg(F.min("turn").alias("opening"))
-    turns = cut(turns.join(opening, "conv_id").select("conv_id", "turn", "parent", "n_linked", "prev_turn", F.coalesce("latest", "opening").alias("segment")))
-    turns = turns.join(chained(turns.filter("parent is not null").select("conv_id", "segment", "parent"), turns), ["conv_id", "segment"], "left")
-    turns = turns.select("conv_id", "turn", F.coalesce("parent", "prev_turn").alias("reply_to"), F.coalesce("up", "segment").alias("thread"), "n_linked", "prev_turn")
-    turns = turns.join(branches(cut(turns)), ["conv_id", "turn"])
+    turns = placed(known, chosen)
+    if not chosen.isEmpty():
+        turns = turns.join(continued(turns), ["conv_id", "segment"], "left")
+    else:
+        turns = turns.withColumns({c: F.col("segment") for c in ("thread", "branch")})
+    turns = turns.select("conv_id", "turn", F.coalesce("parent", "prev_turn").alias("reply_to"), *(F.coalesce(c, "segment").alias(c) for c in ("thread", "branch")), "n_linked")
     out = rows.join(turns, ["conv_id", "turn"], "left")
     n_linked = F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked")
     return out.select("conv_id", "turn", "role", F.col("clean").alias("text"), "reply_to", F.coalesce("thread", "turn").alias("thread"), F.coalesce("branch", "turn").alias("branch"), F.aggregate("passages", F.lit(0).cast("bigint"), lambda t, p: t + p["lines"]).alias("n_quoted"), n_linked)

@@ -120,3 +120,29 @@ def test_original_between_messages_that_wrote_its_parts(spark):
     texts = [one, two, " ".join(words), one, two, "> " + " ".join(words) + "\nYes."]
     out = quotes.conversations(spark.createDataFrame([(1, t, "user", x) for t, x in enumerate(texts)], SCHEMA)).collect()
     assert {r.turn: (r.reply_to, r.n_linked) for r in out}[5] == (2, 1)
+
+
+def test_blocks_of_turns_change_nothing(spark, monkeypatch):
+    """Segments and branches that run over many blocks of turns, negative turns and null keys included."""
+    rows = [(c, t - 9, r, x) for c, t, r, x in threads(11, 3, 40)] + [(None, 1, "user", "> a"), (1, None, "user", "> a")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    whole = sorted(map(str, quotes.conversations(df).collect()))
+    monkeypatch.setattr(quotes, "BUCKET", 4)
+    assert sorted(map(str, quotes.conversations(df).collect())) == whole
+
+
+def test_conversations_without_quotes_take_few_jobs(spark):
+    """Nothing is searched, chained or ordered for passages that are not there."""
+    sc, before = spark.sparkContext, spark.conf.get("spark.sql.adaptive.enabled")
+    rows = [(c, t, "user", f"message {t}") for c in range(5) for t in range(6)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # one job a result, not one a shuffle
+    sc.setJobGroup("quotes-few", "")
+    try:
+        out = quotes.conversations(df).collect()
+        stages = sum(len(sc.statusTracker().getJobInfo(j).stageIds) for j in sc.statusTracker().getJobIdsForGroup("quotes-few"))
+    finally:
+        sc.setJobGroup("none", "")
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert all((r.reply_to, r.thread, r.branch) == (r.turn - 1 if r.turn else None, 0, 0) for r in out) and len(out) == 30
+    assert 0 < stages <= 24, stages
