@@ -8,9 +8,11 @@ median and Sobel repeat it, morphology ignores what lies outside.
 
 import functools
 import math
+from typing import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from .kernels import GRID_TYPE, _labels
@@ -317,14 +319,37 @@ def chain(lists):
     return F.pandas_udf(run, GRID_TYPE)
 
 
+def sliced(kernel, kind):
+    """Arrow UDF of (pixels, height, width): the lists that ``kernel`` gives for a slice of the rows.
+
+    A batch is taken in slices of about SLICE cells, and the lists of one are handed on before
+    the next is begun. So a task holds one batch and the lists of one slice, however many
+    frames a batch has.
+    """
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            cells = columns[0].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.diff((np.cumsum(cells) - cells) // SLICE, prepend=-1))
+            for start, end in zip(starts, [*starts[1:], len(cells)]):
+                yield kernel(*(c.slice(start, end - start).to_pandas() for c in columns))
+
+    return F.arrow_udf(run, kind)
+
+
+def lists(lengths, values):
+    """Arrow lists of these lengths over the values."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), values)
+
+
 def edge_grid(low, high):
     """Arrow UDF of (pixels, height, width): the edge cells of a frame."""
 
-    def run(pixels: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+    def run(pixels, height, width):
         out = [None] * len(pixels)
         for at, stack in stacks(pixels, height, width):
             for i, frame in zip(at, canny(stack, low, high) if stack.size else stack):
                 out[i] = frame.ravel()
-        return pd.Series(out)
+        return lists([len(frame) for frame in out], pa.array(np.concatenate(out), pa.int32()))
 
-    return F.pandas_udf(run, GRID_TYPE)
+    return sliced(run, GRID_TYPE)

@@ -454,3 +454,21 @@ def test_a_hot_slot_is_many_groups(spark):
     groups = S.near_blocks(hot, "capture_id", block=200).groupBy("_group", "_i", "_j").count()
     busiest = groups.groupBy("_group").agg(F.count("*").alias("groups"), F.sum("count").alias("rows")).orderBy(F.desc("rows")).first()
     assert busiest.groups == 15 * 16 // 2 and groups.agg(F.max("count")).first()[0] < 3 * 200
+
+
+def test_lines_and_edges_are_handed_on_in_slices(monkeypatch):
+    """However many frames a batch has, a task holds the lists of one slice of it."""
+    import pyarrow as pa
+
+    from signalblind.functions import lines, stencils
+
+    rng = np.random.default_rng(5)
+    cells = [*(rng.random((99, 256)) < 0.4) * 255, np.zeros(256)]
+    batch = (pa.array([c.astype("int32") for c in cells], pa.list_(pa.int32())), *[pa.array([16] * 100, pa.int32())] * 2)
+    for udf in (lines.vote_lists(6), lines.line_lists(6, 2, 5), stencils.edge_grid(50, 150)):
+        whole = list(udf.func(iter([batch])))
+        with monkeypatch.context() as m:
+            m.setattr(stencils, "SLICE", 2560)
+            parts = list(udf.func(iter([batch, tuple(c.slice(0, 0) for c in batch)])))
+        assert [len(p) for p in whole] == [100] and [len(p) for p in parts] == [10] * 10
+        assert [x for p in parts for x in p.to_pylist()] == whole[0].to_pylist() and any(whole[0].to_pylist()[0])
