@@ -383,10 +383,15 @@ def seal_map(spark, sf):
     return B.assign_blind_ids(order_samples(spark, sf), SEED).select("blind_id", "sample_id", "capture_id", "unblinded_label")
 
 
-def run_results(spark, sf):
-    """Detector records of the blinded order samples, attribution still attached."""
+def stored_map(spark, sf):
+    """The seal map written out, for what numbers the samples once and reads the map several times."""
+    return cut(seal_map(spark, sf))
+
+
+def run_results(spark, sf, mapped):
+    """Detector records of the blinded order samples of a seal map, attribution still attached."""
     li = table(spark, sf, "lineitem")
-    return li.join(seal_map(spark, sf), F.col("l_orderkey") == F.col("sample_id")).select(
+    return li.join(mapped, F.col("l_orderkey") == F.col("sample_id")).select(
         "blind_id", "sample_id", "unblinded_label", F.col("l_linenumber").alias("preprocessing_variant"), F.col("l_partkey").alias("source_path"),
         F.round(F.col("l_discount") * 10, 6).alias("structure_score"), F.round(F.col("l_tax") * 10, 6).alias("persistence_score"))
 
@@ -402,12 +407,14 @@ SEALED = """sealed AS (SELECT blind_id, preprocessing_variant, structure_score,
 
 @query("f5_seal_projection", f"WITH {SAMPLES}, {SEALED} SELECT * FROM sealed")
 def _(spark, sf):
-    return B.seal(run_results(spark, sf), seal_map(spark, sf))
+    mapped = stored_map(spark, sf)
+    return B.seal(run_results(spark, sf, mapped), mapped)
 
 
 @query("j3_seal_anti_filter", f"WITH {SAMPLES} SELECT blind_id, count(*) AS records FROM run WHERE unblinded_label <> 'synthetic_positive' GROUP BY 1")
 def _(spark, sf):
-    return B.seal(run_results(spark, sf), seal_map(spark, sf)).groupBy("blind_id").agg(F.count(F.lit(1)).alias("records"))
+    mapped = stored_map(spark, sf)
+    return B.seal(run_results(spark, sf, mapped), mapped).groupBy("blind_id").agg(F.count(F.lit(1)).alias("records"))
 
 
 @query("f6_seal_captures", f"WITH {CAPTURES} SELECT capture_id, source_id, kind, count(o_orderkey) AS frame_count, true AS sealed FROM captures JOIN orders ON o_custkey = capture_id GROUP BY ALL")
@@ -424,8 +431,8 @@ def _(spark, sf):
 
 @query("j2_unblind_join", f"WITH {SAMPLES} SELECT blind_id, sample_id, capture_id, unblinded_label, count(*) AS records FROM blinded JOIN lineitem ON l_orderkey = sample_id WHERE unblinded_label <> 'synthetic_positive' GROUP BY ALL")
 def _(spark, sf):
-    mapped = seal_map(spark, sf)
-    restored = B.restore(B.seal(run_results(spark, sf), mapped), mapped)
+    mapped = stored_map(spark, sf)
+    restored = B.restore(B.seal(run_results(spark, sf, mapped), mapped), mapped)
     return restored.groupBy("blind_id", "sample_id", "capture_id", "unblinded_label").agg(F.count(F.lit(1)).alias("records"))
 
 
@@ -442,7 +449,7 @@ def _(spark, sf):
 @query("b3_integrity_check", f"""WITH {SAMPLES}, both_digests AS (SELECT {digest_sql('blinded', 'unblinded_label')} AS a,
   {digest_sql('blinded', "CASE WHEN blind_id = 'B000001' THEN 'tampered' ELSE unblinded_label END")} AS b) SELECT a AS sealed, b AS tampered, a = b AS intact FROM both_digests""")
 def _(spark, sf):
-    mapped = seal_map(spark, sf)
+    mapped = stored_map(spark, sf)
     changed = mapped.withColumn("unblinded_label", F.when(F.col("blind_id") == "B000001", "tampered").otherwise(F.col("unblinded_label")))
     out = B.digest(mapped).withColumn("tampered", B.digest(changed).scalar())
     return out.select(F.col("digest").alias("sealed"), "tampered", (F.col("digest") == F.col("tampered")).alias("intact"))
@@ -450,7 +457,8 @@ def _(spark, sf):
 
 @query("b4_unblind", f"WITH {SAMPLES} SELECT unblinded_label, count(*) AS records, count(DISTINCT sample_id) AS samples, round(avg(structure_score), 6) AS mean_score FROM run GROUP BY 1")
 def _(spark, sf):
-    mapped, ran = seal_map(spark, sf), run_results(spark, sf)
+    mapped = stored_map(spark, sf)
+    ran = run_results(spark, sf, mapped)
     expected = B.digest(mapped).first()["digest"]
     shown = B.unblind(B.seal(ran, mapped), mapped, B.calibration_results(ran, mapped), expected)
     return shown.groupBy("unblinded_label").agg(

@@ -142,3 +142,15 @@ def test_ingest_modes(spark):
     assert E.ingest(df, mode="capped_all_frames", cap=3).groupBy("capture_id").count().filter("count <> 3").count() == 0
     assert E.ingest(df, mode="scene_change", threshold=0.0, video=False).count() == 8
     assert E.ingest(df, mode="interval", interval=2, deduplicate=False).count() == 5
+
+
+def test_reveal_numbers_the_samples_once(spark, monkeypatch):
+    """The seal map is made once and stored, whatever reads it after that."""
+    from signalblind.operators import blinding
+    from signalblind.plans import load
+
+    calls, rank = [], blinding.global_rank
+    monkeypatch.setattr(blinding, "global_rank", lambda *a: calls.append(1) or rank(*a))
+    for n, name in enumerate(("b4_unblind", "j2_unblind_join", "j3_seal_anti_filter", "f5_seal_projection"), 1):
+        load().QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert len(calls) == n, name
