@@ -2,12 +2,13 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .columns import round6
 from .kernels import BOXES_TYPE, GRID_TYPE, _boxes
-from .stencils import histograms, mirrored, otsu, stacks, taken
+from .stencils import histograms, lists, mirrored, otsu, sliced, stacks, taken
 
 
 def _nlogn(counts):
@@ -112,14 +113,21 @@ def binary_grid(pixels: pd.Series, height: pd.Series, width: pd.Series) -> pd.Se
     return pd.Series(out)
 
 
-@F.pandas_udf(BOXES_TYPE)
-def dark_boxes(pixels: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
-    """Boxes of the dark regions of a frame's binary mask."""
-    out = [None] * len(pixels)
+def _dark_boxes(pixels, height, width):
+    lengths, rows, parts = np.zeros(len(pixels), int), [], []
     for at, stack in stacks(pixels, height, width):
-        for i, boxes in zip(at, _boxes(binary(stack) == 0) if stack.size else [[]] * len(at)):
-            out[i] = boxes
-    return pd.Series(out)
+        if stack.size:
+            lengths[at], columns = _boxes(binary(stack) == 0)
+            rows.append(np.repeat(at, lengths[at]))
+            parts.append(columns)
+    order = np.argsort(np.concatenate([*rows, np.empty(0, int)]), kind="stable")
+    found = [np.concatenate(c)[order] for c in zip(*parts)] or [np.empty(0)] * len(_BOX)
+    return lists(lengths, pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(found, _BOX.values())], list(_BOX)))
+
+
+_BOX = {**{c: pa.int32() for c in ("label", "x", "y", "w", "h")}, "area": pa.int64(), "outer": pa.bool_()}
+#: Arrow UDF of (pixels, height, width): boxes of the dark regions of a frame's binary mask.
+dark_boxes = sliced(_dark_boxes, BOXES_TYPE)
 
 
 def bright_share(px) -> Column:

@@ -56,7 +56,7 @@ def _labels(mask, connectivity):
 
 
 def _boxes(dark):
-    """Bounding boxes of the 8-connected regions of a stack, a list per grid.
+    """Bounding boxes of the 8-connected regions of a stack: boxes per grid, and their columns.
 
     ``outer`` tells whether background 4-connected to the border touches the region.
     """
@@ -67,18 +67,15 @@ def _boxes(dark):
     touched = np.zeros_like(dark)
     for dy, dx in ((0, 1), (2, 1), (1, 0), (1, 2)):
         touched |= open_air[:, dy:dy + h, dx:dx + w]
-    out = []
-    for i in range(n):
-        y, x = np.nonzero(dark[i])
-        found, at = np.unique(label[i][y, x], return_inverse=True)
-        box = np.array([np.full(len(found), h), np.full(len(found), w), np.full(len(found), -1), np.full(len(found), -1)])
-        np.minimum.at(box[0], at, y), np.minimum.at(box[1], at, x)
-        np.maximum.at(box[2], at, y), np.maximum.at(box[3], at, x)
-        area, outer = np.bincount(at, minlength=len(found)), np.bincount(at, weights=touched[i][y, x], minlength=len(found)) > 0
-        out.append([
-            {"label": int(found[k]), "x": int(box[1][k]), "y": int(box[0][k]), "w": int(box[3][k] - box[1][k] + 1),
-             "h": int(box[2][k] - box[0][k] + 1), "area": int(area[k]), "outer": bool(outer[k])} for k in range(len(found))])
-    return out
+    grid, y, x = np.nonzero(dark)
+    found, at = np.unique(grid * (h * w) + label[grid, y, x], return_inverse=True)
+    k = len(found)
+    top, left, bottom, right = np.full(k, h), np.full(k, w), np.full(k, -1), np.full(k, -1)
+    np.minimum.at(top, at, y), np.minimum.at(left, at, x)
+    np.maximum.at(bottom, at, y), np.maximum.at(right, at, x)
+    area, outer = np.bincount(at, minlength=k), np.bincount(at, weights=touched[grid, y, x], minlength=k) > 0
+    per_grid = np.bincount(found // (h * w), minlength=n)
+    return per_grid, [found % (h * w), left, top, right - left + 1, bottom - top + 1, area, outer]
 
 
 def _spectrum(stack):
@@ -150,18 +147,16 @@ def _shift(reference, moving):
     size = (_fast_size(h), _fast_size(w))
     cross = np.fft.fft2(reference, size) * np.conj(np.fft.fft2(moving, size))
     surface = np.fft.fftshift(np.fft.ifft2(cross / (np.abs(cross) + np.finfo("float64").eps)).real, axes=(1, 2))
-    out = np.zeros((n, 4))
-    for i, grid in enumerate(surface):
-        py, px = np.unravel_index(grid.argmax(), grid.shape)
-        y0, y1 = max(py - 2, 0), min(py + 2, size[0] - 1)
-        x0, x1 = max(px - 2, 0), min(px + 2, size[1] - 1)
-        near = grid[y0:y1 + 1, x0:x1 + 1]
-        mass = near.sum()
-        yy, xx = np.mgrid[y0:y1 + 1, x0:x1 + 1]
-        scale = mass + np.finfo("float64").eps
-        dx, dy = size[1] / 2.0 - (xx * near).sum() / scale, size[0] / 2.0 - (yy * near).sum() / scale
-        out[i] = dx, dy, np.hypot(dx, dy), mass
-    return out
+    frame, peak = np.arange(n), surface.reshape(n, -1).argmax(axis=1)
+    # the 5 x 5 cells around each peak; places outside weigh nothing
+    yy, xx = (p[:, None] + np.arange(-2, 3) for p in np.divmod(peak, size[1]))
+    there = ((yy >= 0) & (yy < size[0]))[:, :, None] & ((xx >= 0) & (xx < size[1]))[:, None, :]
+    near = surface[frame[:, None, None], yy.clip(0, size[0] - 1)[:, :, None], xx.clip(0, size[1] - 1)[:, None, :]] * there
+    mass = near.sum(axis=(1, 2))
+    scale = mass + np.finfo("float64").eps
+    dx = size[1] / 2.0 - (xx[:, None, :] * near).sum(axis=(1, 2)) / scale
+    dy = size[0] / 2.0 - (yy[:, :, None] * near).sum(axis=(1, 2)) / scale
+    return np.stack([dx, dy, np.hypot(dx, dy), mass], axis=1)
 
 
 @F.pandas_udf(SHIFT_TYPE)

@@ -472,3 +472,38 @@ def test_lines_and_edges_are_handed_on_in_slices(monkeypatch):
             parts = list(udf.func(iter([batch, tuple(c.slice(0, 0) for c in batch)])))
         assert [len(p) for p in whole] == [100] and [len(p) for p in parts] == [10] * 10
         assert [x for p in parts for x in p.to_pylist()] == whole[0].to_pylist() and any(whole[0].to_pylist()[0])
+
+
+def test_boxes_and_shifts_of_a_whole_stack(monkeypatch):
+    """Boxes of frames of mixed sizes come out as columns, in slices; shifts equal those of single frames."""
+    import pyarrow as pa
+
+    from signalblind.functions import features, kernels, stencils
+
+    rng = np.random.default_rng(8)
+    sides = [(4, 6), (8, 8), (6, 4), (8, 8), (5, 5)] * 4
+    cells = [rng.integers(0, 256, h * w).astype("int32") for h, w in sides]
+    batch = (pa.array(cells, pa.list_(pa.int32())), *(pa.array(list(c), pa.int32()) for c in zip(*sides)))
+    monkeypatch.setattr(stencils, "SLICE", 200)
+    parts = list(features.dark_boxes.func(iter([batch])))
+    got = [x for p in parts for x in p.to_pylist()]
+    assert len(parts) > 3 and len(got) == 20
+    for (h, w), frame_cells, boxes in zip(sides, cells, got):
+        left = {(i // w, i % w) for i in np.flatnonzero(features.binary(frame_cells.reshape(1, h, w)).ravel() == 0)}
+        want = []
+        while left:
+            region, open_cells = [], [min(left)]
+            left.discard(open_cells[0])
+            while open_cells:
+                y, x = open_cells.pop()
+                region.append((y, x))
+                near = {(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
+                left -= near
+                open_cells += near
+            ys, xs = zip(*region)
+            want.append((min(ys) * w + min(x for y, x in region if y == min(ys)), min(xs), min(ys), max(xs) - min(xs) + 1, max(ys) - min(ys) + 1, len(region)))
+        assert [tuple(b[c] for c in ("label", "x", "y", "w", "h", "area")) for b in boxes] == want
+    a, b = rng.random((2, 30, 8, 8)) * 255
+    b[::2] = np.roll(a[::2], 2, axis=1)
+    alone = np.concatenate([kernels._shift(a[i : i + 1], b[i : i + 1]) for i in range(30)])
+    assert np.allclose(kernels._shift(a, b), alone, atol=1e-9)
