@@ -36,25 +36,31 @@ def ensure_checkpoint_dir(spark: SparkSession):
 
 
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+EXCLUDED_RULES = "spark.sql.adaptive.optimizer.excludedRules"
+EMPTY_RELATIONS = "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation"
 
 
 def cut(df: DataFrame, *keys) -> DataFrame:
     """Write ``df`` out once and drop its lineage; survives executor loss.
 
-    The shuffle files behind it are removed then, for nothing reads them again.
+    The shuffle files behind it are removed then, for nothing reads them again. So no stage
+    may be left running: one whose result an empty side makes needless would ask for removed
+    files until its requests time out, two minutes a task, and hold a core meanwhile.
     With ``keys`` a small result is spread over all cores again.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    before = {name: spark.conf.get(name, None) for name in (CLEAN_SHUFFLES, EXCLUDED_RULES)}
     try:
         spark.conf.set(CLEAN_SHUFFLES, "true")
+        spark.conf.set(EXCLUDED_RULES, ",".join(filter(None, [before[EXCLUDED_RULES], EMPTY_RELATIONS])))
         out = df.select("*").checkpoint(eager=True)
     finally:
-        if before is None:
-            spark.conf.unset(CLEAN_SHUFFLES)
-        else:
-            spark.conf.set(CLEAN_SHUFFLES, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     return spread(out, *keys) if keys else out
 
 
