@@ -144,19 +144,18 @@ def with_scene_change(frames: DataFrame, by="capture_id", order="frame_index") -
 
 # --- near duplicates -----------------------------------------------------------------
 
-_BANDS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
-
-
 def _blocking_keys(sig: Column, max_distance: int) -> Column:
     """Keys two signatures within ``max_distance`` bits must share at least one of.
 
-    Six bands; d differing bits spoil at most d bands, so some 6 - d bands agree.
-    Keying on that many bands together (21 to 33 bits) keeps keys selective.
+    d + 2 bands; d differing bits spoil at most d bands, so some two bands agree.
+    Keying on two together (25 bits and more at d = 3, ten keys) keeps keys selective.
     """
-    if not 0 <= max_distance < len(_BANDS):
-        raise ValueError(f"max_distance must be between 0 and {len(_BANDS) - 1}")
+    if not 0 <= max_distance <= 5:
+        raise ValueError("max_distance must be between 0 and 5")
+    borders = [64 * i // (max_distance + 2) for i in range(max_distance + 3)]
+    bands = [(lo, hi - lo) for lo, hi in itertools.pairwise(borders)]
     keys = []
-    for i, chosen in enumerate(itertools.combinations(_BANDS, len(_BANDS) - max_distance)):
+    for i, chosen in enumerate(itertools.combinations(bands, 2)):
         mask = sum(((1 << size) - 1) << start for start, size in chosen)
         mask = mask - (1 << 64) if mask >= 1 << 63 else mask
         keys.append(F.struct(F.lit(i).alias("i"), sig.bitwiseAND(F.lit(mask).cast("bigint")).alias("bits")))
@@ -209,13 +208,18 @@ def near_blocks(classes: DataFrame, by: str, max_distance=3, max_mean_diff=4.0,
     """Classes beside all they may be near to, in groups (``_group``, ``_i``, ``_j``) of at most
     about two blocks; ``extra`` columns come along.
 
-    A class goes to its own slot of every blocking key and, as ``_upper``, to the slot below.
-    A key and slot of many classes is dealt into blocks by a hash of the class, and every pair
+    A class goes to its own slot of every blocking key and, as ``_upper``, to the slot below
+    if that ends close to its mean. A key and slot of many classes is dealt into blocks by a hash of the class, and every pair
     of blocks is a group of its own, so one hot slot spreads over many tasks.
     """
-    slot = F.floor(F.col("mean_intensity") / max(max_mean_diff, 1e-9)).cast("long")
-    keyed = classes.withColumn("_k", F.explode(_blocking_keys(F.col("signature"), max_distance))).withColumn(
-        "_at", F.explode(F.array(F.struct(slot.alias("slot"), F.lit(False).alias("upper")), F.struct((slot - 1).alias("slot"), F.lit(True).alias("upper")))))
+    reach = max(max_mean_diff, 1e-9)
+    width = 4 * reach
+    slot = F.floor(F.col("mean_intensity") / width).cast("long")
+    own, below = F.struct(slot.alias("slot"), F.lit(False).alias("upper")), F.struct((slot - 1).alias("slot"), F.lit(True).alias("upper"))
+    # Half as far again as needed, so rounding cannot part two classes.
+    close = F.col("mean_intensity") - slot * width <= 1.5 * reach
+    keyed = classes.withColumn("_at", F.explode(F.when(close, F.array(own, below)).otherwise(F.array(own)))).withColumn(
+        "_k", F.explode(_blocking_keys(F.col("signature"), max_distance)))
     placed = keyed.select(by, "signature", "mean_intensity", "node", *extra, F.xxhash64(by, "_k", "_at.slot").alias("_group"), F.col("_at.upper").alias("_upper"))
     sizes = placed.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(~F.col("_upper"), 1)).alias("_own"))
     # Alone, or with classes of the next slot only: those meet in their own slot.
@@ -361,8 +365,9 @@ def first_kept(frames: DataFrame, by, order, max_distance, max_mean_diff, chunk,
     Copies follow the first frame of their class, so only classes are decided. A class near
     no earlier one is kept, one near an earlier kept one is a duplicate; what is near an
     undecided one waits for the next round. After the first round only classes near another
-    one take part. A drifting capture, where few are decided in a round, is left to the scan
-    of chunks.
+    one take part, and kept ones leave with the last class near them. What fits one chunk a
+    capture, or a drifting capture, where few are decided in a round, is left to the scan of
+    chunks.
     """
     near = (by, max_distance, max_mean_diff)
     classes = cut(frames.filter(F.col(by).isNotNull()).groupBy(by, "signature", "mean_intensity").agg(F.min(order).alias("first")).withColumn(
@@ -370,19 +375,23 @@ def first_kept(frames: DataFrame, by, order, max_distance, max_mean_diff, chunk,
     marks = _marked(classes.withColumn("state", F.lit(UNDECIDED)), *near)
     rest = cut(classes.join(marks, "node").withColumn("state", F.when(F.col("mark") == 0, KEPT).otherwise(UNDECIDED)).drop("mark"))
     dropped, before = [], None
-    while left := rest.filter(F.col("state") == UNDECIDED).count():
+    while True:
+        each = rest.groupBy(by).agg(F.count_if(F.col("state") == UNDECIDED).alias("left"), F.count(F.lit(1)).alias("n"))
+        left, most, all_left = each.agg(F.sum("left"), F.max("n"), F.sum("n")).first()
+        if not left:
+            break
         if trace is not None:
-            trace.append((left, rest.count()))
-        if before is not None and left * 2 > before:
+            trace.append((left, all_left))
+        if most <= chunk or before is not None and left * 2 > before:
             scanned = _scan_chunks(rest.select(by, F.col("first").alias("_first"), "signature", "mean_intensity", "node"), by, "_first", max_distance=max_distance, max_mean_diff=max_mean_diff, chunk=chunk, trace=trace)
             dropped.append(scanned.filter("status = 'duplicate'").select("node"))
             break
         before = left
         marks = _marked(rest, *near).withColumnRenamed("mark", "_mark")
-        told = rest.join(marks, "node", "left").withColumn("_mark", F.when(F.col("state") == UNDECIDED, F.coalesce("_mark", F.lit(0))).otherwise(0))
-        told = cut(told.withColumn("state", F.when(F.col("_mark") == UNDECIDED, UNDECIDED).otherwise(KEPT)))
+        # Without a mark nothing is near any more, so the class is kept and has no say in later rounds.
+        told = cut(rest.join(marks, "node").withColumn("_mark", F.when(F.col("state") == UNDECIDED, F.col("_mark")).otherwise(0)))
         dropped.append(told.filter(F.col("_mark") == KEPT).select("node"))
-        rest = told.filter(F.col("_mark") < KEPT).drop("_mark")
+        rest = told.filter(F.col("_mark") < KEPT).withColumn("state", F.when(F.col("_mark") == UNDECIDED, UNDECIDED).otherwise(KEPT)).drop("_mark")
     if not dropped:
         return classes.drop("node").withColumn("kept", F.lit(True))
     out = functools.reduce(DataFrame.unionByName, dropped).withColumn("_out", F.lit(True))
@@ -392,6 +401,9 @@ def first_kept(frames: DataFrame, by, order, max_distance, max_mean_diff, chunk,
 #: Up to so many chunks are scanned at once; more are first decided class by class.
 FEW_CHUNKS = 24
 
+#: Frames of a chunk of the scan, unless pictures of so many cells together make it smaller.
+SCAN_CHUNK, SCAN_CELLS = 16384, 4096 * 4096
+
 
 def _greedy(threshold, deduplicate, update_on_duplicate, max_distance, max_mean_diff, schema):
     """Ordered scan of one bounded chunk, given what earlier chunks left behind.
@@ -402,8 +414,8 @@ def _greedy(threshold, deduplicate, update_on_duplicate, max_distance, max_mean_
     def scan(pdf: pd.DataFrame, start) -> pd.DataFrame:
         pdf = pdf.sort_values("_order")
         sigs, means, hits = (pdf[c].to_numpy() for c in ("signature", "mean_intensity", "_hit"))
-        scene = None if start is None or not len(start) else np.asarray(start["_picture"].iloc[0], dtype="int64")
-        thumbs = [np.asarray(t, dtype="int64") for t in pdf["thumb"]] if threshold is not None else None
+        scene = None if start is None or not len(start) else np.asarray(start["_picture"].iloc[0], dtype="int32")
+        thumbs = [np.asarray(t, dtype="int32") for t in pdf["thumb"]] if threshold is not None else None
         status = np.zeros(len(pdf), dtype="int32")  # 0 unchanged scene, 1 duplicate, 2 kept
         kept_sig, kept_mean = np.empty(len(pdf), dtype=sigs.dtype), np.empty(len(pdf))
         kept = 0
@@ -435,7 +447,7 @@ def _greedy(threshold, deduplicate, update_on_duplicate, max_distance, max_mean_
 
 def select_frames(
     frames: DataFrame, by="capture_id", order="frame_index", threshold=None, deduplicate=True,
-    update_on_duplicate=False, max_distance=3, max_mean_diff=4.0, chunk=CHUNK, trace=None, few_chunks=FEW_CHUNKS,
+    update_on_duplicate=False, max_distance=3, max_mean_diff=4.0, chunk=None, trace=None, few_chunks=FEW_CHUNKS,
 ) -> DataFrame:
     """The frames an ordered one-pass scan would keep, found in parallel.
 
@@ -445,27 +457,41 @@ def select_frames(
 
     Needs ``signature`` (bigint) and ``mean_intensity`` to de-duplicate and ``thumb``
     for a scene threshold; ``order`` must be a unique integer per capture.
-    Adds ``status``: kept / duplicate / same_scene. A list given as ``trace`` receives
-    (open rows, scanned rows) of every round.
+    Adds ``status``: kept / duplicate / same_scene; frames without capture or order drop out.
+    A list given as ``trace`` receives (open rows, scanned rows) of every round.
     """
     if not deduplicate and threshold is None:
         return frames.withColumn("status", F.lit("kept"))
     scan = functools.partial(_scan_chunks, frames, by, order, threshold, deduplicate, update_on_duplicate, max_distance, max_mean_diff, chunk, trace)
-    if threshold is not None or frames.select(by, F.floor(F.col(order) / chunk)).distinct().limit(few_chunks + 1).count() <= few_chunks:
+    if threshold is not None or frames.select(by, F.floor(F.col(order) / (chunk or CHUNK))).distinct().limit(few_chunks + 1).count() <= few_chunks:
         return scan()
-    classes = first_kept(frames, by, order, max_distance, max_mean_diff, chunk, trace)
-    status = F.when(F.col("kept") & (F.col("first") == F.col(order)), "kept").otherwise("duplicate")
-    return frames.join(classes, [by, "signature", "mean_intensity"]).select(*frames.columns, status.alias("status"))
+    measured = frames.dropna(subset=[by, order, "signature", "mean_intensity"])
+    classes = first_kept(measured, by, order, max_distance, max_mean_diff, chunk or SCAN_CHUNK, trace)
+    # Joined by frame, so copies of a class do not meet in one task.
+    kept = classes.filter("kept").select(by, F.col("first").alias(order), F.lit("kept").alias("status")).distinct()
+    return measured.join(kept, [by, order], "left").select(*frames.columns, F.coalesce("status", F.lit("duplicate")).alias("status"))
+
+
+def _chunks(keys: DataFrame, by, order, chunk) -> DataFrame:
+    """Buckets of ``chunk`` source positions (``by``, _bucket) with the chunk they are part of.
+
+    Frames of other captures lie between those of one, so buckets in a row are one chunk
+    until it holds ``chunk`` frames, and never twice as many.
+    """
+    buckets = keys.groupBy(by, F.floor(F.col(order) / chunk).alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    across = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(across), F.lit(0))
+    return buckets.select(by, "_bucket", F.floor(before / chunk).cast("long").alias("_chunk"))
 
 
 def _scan_chunks(
     frames: DataFrame, by="capture_id", order="frame_index", threshold=None, deduplicate=True,
-    update_on_duplicate=False, max_distance=3, max_mean_diff=4.0, chunk=CHUNK, trace=None,
+    update_on_duplicate=False, max_distance=3, max_mean_diff=4.0, chunk=None, trace=None,
 ) -> DataFrame:
     """``select_frames`` by scans of chunks.
 
     Whether a frame is kept depends on the frames kept before it, so a hot capture
-    would be one long sequential task. Instead every chunk of ``chunk`` source positions
+    would be one long sequential task. Instead every chunk of about ``chunk`` frames
     is scanned as a function of its incoming state: the reference picture and which of its
     frames are near one kept in an earlier chunk. A round runs only the chunks whose state
     is not the one they last ran with. Chunks before a capture's first such chunk are
@@ -475,10 +501,15 @@ def _scan_chunks(
     """
     scenes = threshold is not None
     parts, near = shuffle_partitions(frames.sparkSession), (by, max_distance, max_mean_diff)
-    rows = cut(frames.select(
-        by, F.col(order).alias("_order"), F.floor(F.col(order) / chunk).cast("long").alias("_chunk"),
+    rows = cut(frames.dropna(subset=[by, order]).select(
+        by, F.col(order).alias("_order"),
         *(["signature", "mean_intensity"] if deduplicate else [F.lit(0).cast("bigint").alias("signature"), F.lit(0.0).alias("mean_intensity")]),
         *(["thumb"] if scenes else []), F.lit(False).alias("_hit"), F.lit(False).alias("_sure")), by, "_order")
+    if chunk is None:
+        cells = scenes and rows.agg(F.max(F.size("thumb"))).first()[0] or 1
+        chunk = max(1, min(SCAN_CHUNK, SCAN_CELLS // max(cells, 1)))
+    at = cut(_chunks(rows, by, "_order", chunk))
+    rows = rows.withColumn("_bucket", F.floor(F.col("_order") / chunk)).join(at, [by, "_bucket"]).drop("_bucket")
     by_type = frames.schema[by].dataType.simpleString()
     out_schema = spark_schema(f"{by} {by_type}, _chunk bigint, _order bigint, signature bigint, mean_intensity double, status int, _picture array<int>")
     scan = _greedy(threshold, deduplicate, update_on_duplicate, max_distance, max_mean_diff, out_schema)
@@ -495,6 +526,10 @@ def _scan_chunks(
         placed = decided.join(frontier, by, "left")
         done, decided = placed.filter("_upto is null or _chunk <= _upto").drop("_upto"), placed.filter("_chunk > _upto").drop("_upto")
         settled.append(done.select(by, "_order", "status"))
+        if sizes.join(frontier, by).filter("_chunk > _upto").isEmpty():
+            if trace is not None:
+                trace.append((0, 0))
+            break
         rows = rows.join(frontier, by).filter("_chunk > _upto").drop("_upto")
         if scenes:
             left = done.filter("_picture is not null").select(by, "_order", "_picture")
@@ -504,14 +539,14 @@ def _scan_chunks(
         if deduplicate:
             kept = done.join(frontier.select(by), by).withColumn("_final", F.lit(True)).unionByName(
                 decided.withColumn("_final", F.lit(False))).filter("status = 2")
-            kept = kept.groupBy(by, "signature", "mean_intensity").agg(F.min("_order").alias("at"), F.max("_final").alias("final"))
+            kept = kept.groupBy(by, "signature", "mean_intensity").agg(F.min("_chunk").alias("at"), F.max("_final").alias("final"))
             classes = rows.select(by, "signature", "mean_intensity").distinct()
             seen = near_classes(classes, kept, *near).groupBy(
                 by, F.col("l_signature").alias("signature"), F.col("l_mean").alias("mean_intensity")
             ).agg(F.min("r_at").alias("_seen"), F.max("r_final").alias("_final"))
             rows = rows.join(seen, [by, "signature", "mean_intensity"], "left").withColumn(
                 "_sure", F.col("_sure") | F.coalesce("_final", F.lit(False))).withColumn(
-                "_hit", F.col("_sure") | F.coalesce(F.floor(F.col("_seen") / chunk) < F.col("_chunk"), F.lit(False))).drop("_seen", "_final")
+                "_hit", F.col("_sure") | F.coalesce(F.col("_seen") < F.col("_chunk"), F.lit(False))).drop("_seen", "_final")
         rows = cut(rows, by, "_order")
         state = rows.groupBy(by, "_chunk").agg(
             F.count(F.lit(1)).alias("_n"), F.bit_xor(F.when(F.col("_hit"), F.xxhash64("_order"))).alias("_hits"))

@@ -1,5 +1,6 @@
 """Grid steps, detectors and selection against small brute-force versions."""
 
+import hashlib
 import random
 import struct
 import zlib
@@ -12,6 +13,7 @@ from signalblind.functions import grids
 from signalblind.functions.columns import let
 from signalblind.operators import controls as K, crossframe as X, detectors as D, preprocess as P, sampling as S
 from signalblind.sources import media
+from signalblind.sources.tables import document_signatures
 
 
 def frame(spark, *arrays, **extra):
@@ -312,6 +314,77 @@ def test_large_group_of_near_frames_is_marked_once(spark):
     assert [r.frame_index for r in out.filter("status = 'kept'").collect()] == [0] and out.count() == 400
 
 
+@pytest.mark.parametrize("threshold", [None, 0.05])
+def test_interleaved_captures_are_one_chunk_each(spark, threshold):
+    """A chunk is measured in frames of its capture: what fits one is scanned once, whatever lies between."""
+    rng = random.Random(6)
+    rows = [(f"cap{pos % 8}", pos, rng.getrandbits(6), float(rng.randrange(9)), [rng.randrange(40)] * 4) for pos in range(400)]
+    df = spark.createDataFrame(rows, "capture_id string, frame_index bigint, signature bigint, mean_intensity double, thumb array<int>")
+    trace = []
+    got = {r.frame_index: r.status for r in S.select_frames(df, threshold=threshold, chunk=64, trace=trace, few_chunks=64).collect()}
+    want = {}
+    for cap in range(8):
+        want.update(brute_select([r[1:] for r in rows if r[0] == f"cap{cap}"], threshold, True))
+    assert got == want and trace == [(0, 0)]
+
+
+def test_classes_that_fit_a_chunk_are_scanned_at_once(spark):
+    """A drifting capture without room for rounds: one look at what is near, one scan; rows without keys drop out."""
+    rng = random.Random(3)
+    rows, sig = [], 0
+    for pos in range(300):
+        sig ^= 1 << rng.randrange(63)
+        rows += [(pos * 2, sig, 50.0), (pos * 2 + 1, sig, 50.0)]
+    schema = "capture_id string, frame_index bigint, signature bigint, mean_intensity double"
+    df = spark.createDataFrame([("cap", *r) for r in rows] + [(None, 1, 1, 1.0), ("cap", None, 1, 1.0)], schema)
+    trace = []
+    got = {r.frame_index: r.status for r in S.select_frames(df, trace=trace, few_chunks=0).collect()}
+    assert got == brute_select([(*r, []) for r in rows], None, True)
+    assert len(trace) == 2 and trace[-1] == (0, 0)
+
+
+def test_near_signatures_share_one_of_few_keys(spark):
+    """Ten keys find all signatures of up to three bits apart; before, twenty did."""
+    rng = random.Random(8)
+    pairs = [(s, s ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(4)))) for s in (rng.getrandbits(63) for _ in range(200))]
+    keys = spark.createDataFrame(pairs, "a bigint, b bigint").select(S._blocking_keys(F.col("a"), 3).alias("a"), S._blocking_keys(F.col("b"), 3).alias("b"))
+    found = keys.select(F.size("a").alias("n"), F.arrays_overlap("a", "b").alias("shared")).collect()
+    assert all(r.shared and r.n == 10 for r in found)
+
+
+def test_blocks_hold_every_near_pair(spark):
+    """Classes on both sides of a slot's border meet, and only those close to it go to two slots."""
+    rng = random.Random(1)
+    means = [0.0, 3.9, 4.0, 8.0, 12.0, 15.5, 16.0, 17.0, 20.0, 24.0, 31.9, 32.0, 36.0]
+    rows = [(i, rng.getrandbits(3), rng.choice(means) + rng.choice([0.0, 0.0, 1e-9, 4.0, -0.1])) for i in range(200)]
+    df = spark.createDataFrame([("cap", *r) for r in rows], "capture_id string, frame_index bigint, signature bigint, mean_intensity double")
+    got = {r.frame_index: r.status for r in S.select_frames(df, chunk=20, few_chunks=0).collect()}
+    assert got == brute_select([(*r, []) for r in rows], None, True)
+    apart = spark.createDataFrame([("cap", 0, 5, 8.0, 0), ("cap", 1, 5, 12.0, 1), ("cap", 2, 5, 15.0, 2)], "capture_id string, frame_index bigint, signature bigint, mean_intensity double, node bigint")
+    assert S.near_blocks(apart, "capture_id").count() == 30
+
+
+def test_document_signatures_without_a_row_a_word(spark, tmp_path):
+    """Odd texts, ids and languages against hashing word by word; no row is made for a word."""
+    texts = ["a b  a", " ", "", None, "x\ty z\n", "ü ß ü", "word " * 300, "a b"]
+    rows = [(i, "de" if i % 2 else "en", t) for i, t in enumerate(texts)]
+    rows += [(0, "en", "c"), (0, "fr", "c"), (None, "en", "a"), (None, "en", "b"), (5, None, "a b c"), (5, None, "")]
+    spark.createDataFrame(rows, "doc_id bigint, lang string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    counts = {}
+    for doc, lang, text in rows:
+        for word in filter(None, (text or "").split(" ")):
+            bucket = hashlib.md5(word.encode()).digest()[0] // 4
+            counts.setdefault((lang, doc), [0] * 64)[bucket] += 1
+    want = set()
+    for key, c in counts.items():
+        bits = sum(1 << (63 - i) for i in range(64) if c[i] * 64 >= sum(c))
+        want.add((*key, bits - (1 << 64) if bits >> 63 else bits, float(sum(c))))
+    out = document_signatures(spark, str(tmp_path))
+    assert out.count() == len(want) and {tuple(r) for r in out.collect()} == want
+    assert out.schema.simpleString() == "struct<capture_id:string,frame_index:bigint,signature:bigint,mean_intensity:double>"
+    assert "Generate" not in out._jdf.queryExecution().toString()
+
+
 def test_copies_do_not_multiply_out(spark):
     copies = spark.range(5000).select(F.lit("cap").alias("capture_id"), F.col("id").alias("frame_index"), F.lit(7).cast("bigint").alias("signature"), F.lit(9.0).alias("mean_intensity"))
     assert S.near_pairs(copies).count() == 0
