@@ -1,10 +1,20 @@
 """The driver tables in their domain roles (frames, words, results, annotations)."""
 
+import functools
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import let
 from ..session import spread
 
+try:
+    from _md5 import md5  # half the time of hashlib's for a word
+except ImportError:
+    from hashlib import md5
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -55,21 +65,46 @@ def words(spark, sf_dir) -> DataFrame:
     return confident.select("doc_id", "conf", F.posexplode(F.split("text", " ")).alias("pos", "word"))
 
 
+#: Bytes of text a task splits into words at once.
+TEXT_SLICE = 16 << 20
+
+
+def _word_buckets(batches):
+    """(doc_id, lang, total, counts) of every text with a word: words in each of 64 buckets of md5.
+
+    A word is hashed once a slice; what leaves a task is 64 numbers a text.
+    """
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype("int64")
+        piece = (np.cumsum(size) - size) // TEXT_SLICE
+        borders = np.flatnonzero(np.diff(piece, prepend=-1, append=-1))
+        for lo, hi in zip(borders[:-1], borders[1:]):
+            part = batch.slice(lo, hi - lo)
+            split = pc.split_pattern(part["text"], " ")
+            words = split.flatten().dictionary_encode()
+            # 64 stands for the empty word between two blanks, which does not count
+            named = words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+            bucket = np.array([md5(w).digest()[0] >> 2 if w else 64 for w in named], dtype="int64")
+            place = pc.list_parent_indices(split).to_numpy(zero_copy_only=False) * 65 + bucket[words.indices.to_numpy(zero_copy_only=False)]
+            counts = np.bincount(place, minlength=(hi - lo) * 65).reshape(-1, 65)[:, :64]
+            total = counts.sum(axis=1)
+            found = np.flatnonzero(total)
+            lists = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype="int32") * 64, counts[found].ravel())
+            keys = part.select(["doc_id", "lang"]).take(pa.array(found))
+            yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(total[found]), lists], ["doc_id", "lang", "total", "counts"])
+
+
 def document_signatures(spark, sf_dir) -> DataFrame:
     """64-bit signature per document: which of 64 word-hash buckets reach the mean count."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
-    tokens = docs.select("doc_id", "lang", F.explode(F.split("text", " ")).alias("word")).filter(F.trim("word") != "")
-    bucket = F.conv(F.substring(F.md5("word"), 1, 2), 16, 10).cast("int").bitwiseAND(F.lit(252)) / 4
-    counts = tokens.groupBy("doc_id", "lang", bucket.cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    packed = counts.groupBy("doc_id", "lang").agg(
-        F.sum("n").alias("total"), F.collect_list(F.struct("bucket", "n")).alias("counts"))
-    # At most 64 buckets per document.
-    bits = F.aggregate("counts", F.lit(0).cast("bigint"), lambda acc, c: acc.bitwiseOR(
-        F.when(c["n"] * 64 >= F.col("total"), F.call_function("shiftleft", F.lit(1).cast("bigint"), 63 - c["bucket"]))
-        .otherwise(F.lit(0).cast("bigint"))))
+    keys = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", "lang"))
+    counts = docs.mapInArrow(_word_buckets, f"{keys}, total bigint, counts array<bigint>")
+    each = [F.sum(F.get("counts", F.lit(i))).alias(f"n{i}") for i in range(64)]
+    packed = counts.groupBy("doc_id", "lang").agg(F.sum("total").alias("total"), *each)
+    bits = [F.when(F.col(f"n{i}") * 64 >= F.col("total"), F.lit((1 << 63 - i) - (1 << 64 if i == 0 else 0))).otherwise(0).cast("bigint") for i in range(64)]
     return packed.select(
         F.col("lang").alias("capture_id"), F.col("doc_id").alias("frame_index"),
-        bits.alias("signature"), F.col("total").cast("double").alias("mean_intensity"),
+        functools.reduce(lambda a, b: a.bitwiseOR(b), bits).alias("signature"), F.col("total").cast("double").alias("mean_intensity"),
     )
 
 
