@@ -144,8 +144,8 @@ def with_scene_change(frames: DataFrame, by="capture_id", order="frame_index") -
 
 # --- near duplicates -----------------------------------------------------------------
 
-def _blocking_keys(sig: Column, max_distance: int) -> Column:
-    """Keys two signatures within ``max_distance`` bits must share at least one of.
+def _band_masks(max_distance: int) -> list:
+    """Masks of signatures (signed); two within ``max_distance`` bits agree under at least one of them.
 
     d + 2 bands; d differing bits spoil at most d bands, so some two bands agree.
     Keying on two together (25 bits and more at d = 3, ten keys) keeps keys selective.
@@ -154,12 +154,15 @@ def _blocking_keys(sig: Column, max_distance: int) -> Column:
         raise ValueError("max_distance must be between 0 and 5")
     borders = [64 * i // (max_distance + 2) for i in range(max_distance + 3)]
     bands = [(lo, hi - lo) for lo, hi in itertools.pairwise(borders)]
-    keys = []
-    for i, chosen in enumerate(itertools.combinations(bands, 2)):
-        mask = sum(((1 << size) - 1) << start for start, size in chosen)
-        mask = mask - (1 << 64) if mask >= 1 << 63 else mask
-        keys.append(F.struct(F.lit(i).alias("i"), sig.bitwiseAND(F.lit(mask).cast("bigint")).alias("bits")))
-    return F.array(*keys)
+    masks = (sum(((1 << size) - 1) << start for start, size in chosen) for chosen in itertools.combinations(bands, 2))
+    return [mask - (1 << 64) if mask >= 1 << 63 else mask for mask in masks]
+
+
+def _blocking_keys(sig: Column, max_distance: int) -> Column:
+    """Keys two signatures within ``max_distance`` bits must share at least one of."""
+    return F.array(*[
+        F.struct(F.lit(i).alias("i"), sig.bitwiseAND(F.lit(mask).cast("bigint")).alias("bits"))
+        for i, mask in enumerate(_band_masks(max_distance))])
 
 
 def near_classes(left: DataFrame, right: DataFrame, by: str, max_distance=3, max_mean_diff=4.0) -> DataFrame:
@@ -167,17 +170,21 @@ def near_classes(left: DataFrame, right: DataFrame, by: str, max_distance=3, max
 
     Both sides hold distinct classes per capture: copies are collapsed before, so a
     group of copies never multiplies out. Exact: blocking only prunes. A class on the left
-    goes to three slots, so that should be the smaller side.
+    goes to the next slots too where it is close to them, so that should be the smaller side.
     """
-    width = max(max_mean_diff, 1e-9)
+    reach = max(max_mean_diff, 1e-9)
+    width = 4 * reach
     # Classes fan out into many keys, so they are spread evenly first.
     n = shuffle_partitions(left.sparkSession)
     left, right = left.repartition(n, by, "signature"), right.repartition(n, by, "signature")
     slot = F.floor(F.col("mean_intensity") / width).cast("long")
+    past = F.col("mean_intensity") - slot * width
+    # Half as far again as needed, so rounding cannot part two classes.
+    slots = F.array_compact(F.array(slot, F.when(past <= 1.5 * reach, slot - 1), F.when(past >= width - 1.5 * reach, slot + 1)))
     l = left.select(
         F.col(by).alias("l_by"), F.col("signature").alias("l_signature"), F.col("mean_intensity").alias("l_mean"),
         *[F.col(c).alias(f"l_{c}") for c in left.columns if c not in (by, "signature", "mean_intensity")],
-        F.explode(_blocking_keys(F.col("signature"), max_distance)).alias("key"), F.sequence(slot - 1, slot + 1).alias("slots")).withColumn(
+        F.explode(_blocking_keys(F.col("signature"), max_distance)).alias("key"), slots.alias("slots")).withColumn(
         "slot", F.explode("slots")).drop("slots")
     r = right.select(
         F.col(by).alias("r_by"), F.col("signature").alias("r_signature"), F.col("mean_intensity").alias("r_mean"),
@@ -402,7 +409,10 @@ def first_kept(frames: DataFrame, by, order, max_distance, max_mean_diff, chunk,
 FEW_CHUNKS = 24
 
 #: Frames of a chunk of the scan, unless pictures of so many cells together make it smaller.
-SCAN_CHUNK, SCAN_CELLS = 16384, 4096 * 4096
+SCAN_CHUNK, SCAN_CELLS = 65536, 4096 * 4096
+
+#: Up to so many kept frames that share a key with one are compared one by one, else all kept ones at once.
+FEW_KEPT = 64
 
 
 def _greedy(threshold, deduplicate, update_on_duplicate, max_distance, max_mean_diff, schema):
@@ -410,6 +420,7 @@ def _greedy(threshold, deduplicate, update_on_duplicate, max_distance, max_mean_
 
     ``start`` holds the picture the chunk is compared with at first, if there is one.
     """
+    masks = np.array(_band_masks(max_distance) if deduplicate else [], dtype="int64")
 
     def scan(pdf: pd.DataFrame, start) -> pd.DataFrame:
         pdf = pdf.sort_values("_order")
@@ -419,6 +430,18 @@ def _greedy(threshold, deduplicate, update_on_duplicate, max_distance, max_mean_
         status = np.zeros(len(pdf), dtype="int32")  # 0 unchanged scene, 1 duplicate, 2 kept
         kept_sig, kept_mean = np.empty(len(pdf), dtype=sigs.dtype), np.empty(len(pdf))
         kept = 0
+        keys = (sigs[:, None] & masks).tolist() if deduplicate else None
+        # For every mask the kept frames of each key, as (signature, mean).
+        known = [{} for _ in masks]
+
+        def near_kept(i):
+            some = [k for at, key in zip(known, keys[i]) if (k := at.get(key))]
+            if sum(map(len, some)) > FEW_KEPT:
+                close = np.abs(kept_mean[:kept] - means[i]) <= max_mean_diff
+                return (close & (np.bitwise_count((kept_sig[:kept] ^ sigs[i]).view("uint64")) <= max_distance)).any()
+            sig, mean = int(sigs[i]), float(means[i])
+            return any(((s ^ sig) & (1 << 64) - 1).bit_count() <= max_distance and abs(m - mean) <= max_mean_diff for k in some for s, m in k)
+
         reference = -1
         for i in range(len(pdf)):
             if threshold is not None:
@@ -427,14 +450,14 @@ def _greedy(threshold, deduplicate, update_on_duplicate, max_distance, max_mean_
                 if update_on_duplicate:
                     scene, reference = thumbs[i], i
             if deduplicate:
-                close = np.abs(kept_mean[:kept] - means[i]) <= max_mean_diff
-                bits = np.bitwise_count((kept_sig[:kept] ^ sigs[i]).view("uint64")) <= max_distance
-                if hits[i] or (close & bits).any():
+                if hits[i] or near_kept(i):
                     status[i] = 1
                     continue
+                kept_sig[kept], kept_mean[kept] = sigs[i], means[i]
+                kept += 1
+                for at, key in zip(known, keys[i]):
+                    at.setdefault(key, []).append((int(sigs[i]), float(means[i])))
             status[i] = 2
-            kept_sig[kept], kept_mean[kept] = sigs[i], means[i]
-            kept += 1
             if threshold is not None and not update_on_duplicate:
                 scene, reference = thumbs[i], i
         out = pdf[[c.name for c in schema if c.name in pdf]].copy()

@@ -343,6 +343,31 @@ def test_classes_that_fit_a_chunk_are_scanned_at_once(spark):
     assert len(trace) == 2 and trace[-1] == (0, 0)
 
 
+def test_many_kept_frames_of_one_key(spark):
+    """Kept frames that share a key are too many to be looked at one by one."""
+    rng = random.Random(5)
+    codes = [sum(0b1111 << 25 + 4 * k for k in range(9) if c >> k & 1) | 0x155 for c in range(512)]
+    assert len(codes) > 4 * S.FEW_KEPT
+    sigs = [rng.choice(codes) ^ sum(1 << b for b in rng.sample(range(61), rng.choice([0, 0, 1, 2, 4]))) for _ in range(600)]
+    rows = [(pos, sig, float(rng.choice([10, 13, 15]))) for pos, sig in enumerate(sigs)]
+    df = spark.createDataFrame([("cap", *r) for r in rows], "capture_id string, frame_index bigint, signature bigint, mean_intensity double")
+    got = {r.frame_index: r.status for r in S.select_frames(df).collect()}
+    assert got == brute_select([(*r, []) for r in rows], None, True)
+
+
+def test_large_pictures_make_small_chunks(spark, monkeypatch):
+    """The cells of a chunk's pictures are bounded, the result is the sequential one."""
+    rng = random.Random(2)
+    rows = [(pos, rng.getrandbits(6), float(rng.randrange(9)), [rng.randrange(60)] * 16) for pos in range(200)]
+    df = spark.createDataFrame([("cap", *r) for r in rows], "capture_id string, frame_index bigint, signature bigint, mean_intensity double, thumb array<int>")
+    want = brute_select(rows, 0.05, True)
+    for cells, rounds in ((16 * 200, 1), (16 * 50, 2)):
+        monkeypatch.setattr(S, "SCAN_CELLS", cells)
+        trace = []
+        assert {r.frame_index: r.status for r in S.select_frames(df, threshold=0.05, trace=trace).collect()} == want
+        assert (len(trace) == 1) == (rounds == 1)
+
+
 def test_near_signatures_share_one_of_few_keys(spark):
     """Ten keys find all signatures of up to three bits apart; before, twenty did."""
     rng = random.Random(8)
