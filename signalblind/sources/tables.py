@@ -66,7 +66,7 @@ def words(spark, sf_dir) -> DataFrame:
 
 
 #: Bytes of text a task splits into words at once.
-TEXT_SLICE = 16 << 20
+TEXT_SLICE = 4 << 20
 
 
 def _word_buckets(batches):
